@@ -23,17 +23,15 @@ def label_min(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of ``n`` vertices over pairs (a, b)."""
     label = np.arange(n)
     while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-    while True:
-        up = label[label]
-        if np.array_equal(up, label):
-            return label
-        label = up
+        ra, rb = label[a], label[b]
+        low = np.minimum(ra, rb)
+        np.minimum.at(label, ra, low)
+        np.minimum.at(label, rb, low)
+        while not np.array_equal(up := label[label], label):
+            label = up
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
 
 
 def _contract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +67,7 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     scratch = Scratch(spark, "components")
     e = edges.select(
         F.least(src, dst).cast("long").alias("u"), F.greatest(src, dst).cast("long").alias("v")
-    ).filter(f"{src} is not null and {dst} is not null and u < v")
+    ).filter("u < v")
     e = scratch.write(e.mapInPandas(_contract, "u long, v long").distinct())
     seen = digest_of(e)
     for _ in range(max_rounds):
