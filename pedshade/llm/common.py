@@ -30,15 +30,15 @@ def utf8(col: str = "text") -> Column:
     return F.encode(F.col(col), "UTF-8")
 
 
-def in_blocks(batches: Iterator[pa.RecordBatch], col: str, limit: int = BLOCK_BYTES):
-    """``(rows, values)`` of about ``limit`` bytes each; one long text may exceed it."""
+def in_blocks(batches: Iterator[pa.RecordBatch], col: str, limit: int = BLOCK_BYTES, most: int = 1 << 30):
+    """``(rows, values)`` of about ``limit`` bytes and ``most`` rows; one long text may exceed it."""
     for batch in batches:
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(col))
         sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
         block = (np.cumsum(sizes, dtype=np.int64) - sizes) // limit
-        cuts = np.flatnonzero(np.diff(block)) + 1
+        cuts = np.unique(np.concatenate([np.flatnonzero(np.diff(block)) + 1, np.arange(most, len(block), most)]))
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(lo, hi - lo), column.slice(lo, hi - lo).to_pylist()
 
