@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pedshade.llm import linededup
 from pedshade.llm.common import documents
+from pedshade.llm.decontaminate import contaminated
+from pedshade.llm.langid import language_id
+from pedshade.llm.licenses import license_scan
+from pedshade.llm.linededup import line_dedup
 from pedshade.llm.simhash import simhash_groups
 
 
@@ -12,8 +17,30 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_language_id": op2_language_id,
+    "op3_decontamination": op3_decontamination,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_license_scan": op8_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": linededup.oracle(),
+}
