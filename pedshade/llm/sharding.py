@@ -129,7 +129,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
         linked = state.filter(F.col("_part").isNotNull())
         held = linked.groupBy("_part", "shard").agg(F.count(F.lit(1)).alias("n"))
         best = held.groupBy("_part").agg(F.max_by("shard", F.struct("n", F.xxhash64("_part", "shard"))).alias("_to"))
-        aims = state.join(best, "_part", "left")
+        best = best.withColumnRenamed("_part", "_of")
+        # Rows without a part get a key of their own, so that they spread.
+        spread = F.coalesce("_part", F.xxhash64("_key", "_i"))
+        aims = state.join(best, (spread == F.col("_of")) & F.col("_part").isNotNull(), "left").drop("_of")
         aims = scratch.write(aims.withColumn("_to", F.coalesce("_to", F.lit(shards).cast("long"))))
         asked, free = np.zeros((shards, shards), np.int64), np.zeros(shards, np.int64)
         for r in aims.groupBy("shard", "_to").agg(F.count(F.lit(1)).alias("n")).collect():  # shards^2 rows at most
