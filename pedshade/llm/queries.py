@@ -15,6 +15,7 @@ from pedshade.llm.linededup import line_dedup
 from pedshade.llm.quality import classify
 from pedshade.llm.sharding import shard_documents
 from pedshade.llm.simhash import simhash_groups
+from pedshade.llm.substrings import dedup_substrings
 from pedshade.llm.wfst import encode_digests, read_model
 
 
@@ -30,6 +31,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(documents(spark, sf_dir))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
+    "op4_substrings": op4_substrings,
     "op5_sharding": op5_sharding,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_line_dedup": op7_line_dedup,
