@@ -42,40 +42,44 @@ def frequent_lines(docs: DataFrame, host: str = "source", max_ratio: float = MAX
     )
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with all columns, ``text`` without boilerplate lines, and ``_n_lines``, ``_n_dropped``.
+def mark_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``(row, lines, kept)``: each row as a struct, its lines, and those that are no boilerplate.
 
-    Every row stays, even one whose lines are all boilerplate; its text is then
-    empty.  Null texts stay null with 0 lines; null hosts are one host; each
-    row counts as a page, repeated ones too; an empty table gives an empty one.
+    Every row stays, even one whose lines are all boilerplate.  Null texts have
+    null lines; null hosts are one host; each row counts as a page, repeated
+    ones too; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
     # Written first, so that its size is known when the join below is planned:
     # Spark broadcasts it under its threshold and shuffles beyond.
-    frequent = Scratch(spark, "linededup").write(
-        frequent_lines(docs, host, max_ratio, min_pages).groupBy("host").agg(F.collect_set("line_hash").alias("_drop"))
+    frequent = Scratch(docs.sparkSession, "linededup").write(
+        frequent_lines(docs, host, max_ratio, min_pages).groupBy("host").agg(F.collect_set("line_hash").alias("drop"))
     )
-    frequent = frequent.withColumnRenamed("host", "_host")
-    joined = docs.join(frequent, F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left")
-    lines = _lines(F.col("text"))
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), F.xxhash64(x)))
-    )
-    columns = [F.array_join("_kept", "\n").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.withColumn("_kept", kept).select(
-        *columns,
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n_lines"),
-        F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).cast("long").alias("_n_dropped"),
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    lines = _lines(F.col("row.text"))
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(
+        F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), F.xxhash64(x)))
     )
+    joined = rows.join(frequent, F.col(f"row.`{host}`").eqNullSafe(F.col("host")), "left")
+    return joined.select("row", "drop", lines.alias("lines")).select("row", "lines", kept.alias("kept"))
+
+
+def drop_boilerplate(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with all columns and rows, its texts without their boilerplate lines.
+
+    A text of boilerplate only becomes empty; null texts stay null.
+    """
+    columns = [F.array_join("kept", "\n").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return mark_boilerplate(docs, **options).select(*columns)
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:
-    """``(doc_id, n_lines, n_dropped, kept_sha256)``, digests of :func:`drop_boilerplate`."""
-    return drop_boilerplate(docs, **options).select(
-        "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("_n_lines")).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("_n_dropped")).cast("long").alias("n_dropped"),
-        F.sha2("text", 256).alias("kept_sha256"),
+    """``(doc_id, n_lines, n_dropped, kept_sha256)``, digests of :func:`drop_boilerplate`; null text has no lines."""
+    lines, kept = F.coalesce(F.array_size("lines"), F.lit(0)), F.coalesce(F.array_size("kept"), F.lit(0))
+    return mark_boilerplate(docs, **options).select(
+        "row.doc_id",
+        lines.cast("long").alias("n_lines"),
+        (lines - kept).cast("long").alias("n_dropped"),
+        F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"),
     )
 
 

@@ -291,12 +291,7 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     The row with the smallest doc_id stays; of repeated rows with that id, one.
     """
     groups = simhash_groups(docs, threshold)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key_of().alias("_k")).distinct()
-    order = Window.partitionBy("_k").orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
-    return (
-        docs.withColumn("_k", key_of())
-        .join(stay, "_k", "left_semi")
-        .withColumn("_n", F.row_number().over(order))
-        .filter("_n = 1")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key_of().alias("key")).distinct()
+    rows = docs.select(key_of().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64(F.col("row").cast("string")))
+    return rows.join(stay, "key", "left_semi").withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("row.*")
