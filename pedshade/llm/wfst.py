@@ -32,8 +32,8 @@ from pedshade.llm.common import in_blocks, utf8
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Segments whose paths are remembered, and neighbour constraints, in one Python worker.
-MEMORY = 300_000
+#: Segments whose paths are remembered, in each of two generations, in one Python worker.
+MEMORY = 250_000
 
 #: Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -90,7 +90,6 @@ class Transducer:
         self.byte_ids = {int(p[1:-1], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         self.unknown = next((i for i, (*_, t) in enumerate(self.pieces) if t == UNKNOWN), 0)
         self.score = [s for _, s, _ in self.pieces]
-        self.longest = max(map(len, self.arcs), default=1)
         lowest = min((self.score[i] for i in self.arcs.values()), default=0.0)
         self.unknown_weight = _UNKNOWN_PENALTY - lowest
         # No piece goes on after a space that follows something else, so every
@@ -100,13 +99,22 @@ class Transducer:
             bytes([int(p[1:-1], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode()
             for p, _, t in self.pieces
         ]
+        self._spines: dict[str, tuple | None] = {}
         self._agree: dict[tuple[str, str], bool] = {}
         self._paths: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
+        # The longest piece for each pair of first characters bounds the arcs tried.
+        self._reach: dict[str, int] = {}
+        for piece in self.arcs:
+            self._reach[piece[:2]] = max(len(piece), self._reach.get(piece[:2], 1))
 
     # -- compiling -----------------------------------------------------
 
-    def _merged(self, text: str) -> list[str]:
-        """The merge order's result for a short string, by definition."""
+    def _merged(self, text: str, seen: list | None = None) -> list[str]:
+        """The merge order's result for a short string, by definition.
+
+        ``seen`` gets each merge as (parts before it, index of its left part).
+        """
         parts = list(text)
         while len(parts) > 1:
             best, at = -_INF, -1
@@ -116,79 +124,154 @@ class Transducer:
                     best, at = self.score[piece], i
             if at < 0:
                 break
+            if seen is not None:
+                seen.append((tuple(parts), at))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _may_follow(self, before: str, piece: str) -> bool:
-        """Whether the constraint lets ``piece`` follow ``before``; "" begins a segment."""
-        pair = (before, piece)
-        got = self._agree.get(pair)
-        if got is None:
-            if len(self._agree) >= 4 * MEMORY:
-                self._agree.clear()
-            got = self._agree[pair] = self._merged(before + piece) == ([before, piece] if before else [piece])
-        return got
+    def _spine(self, piece: str) -> tuple | None:
+        """How a piece's edges grow: (left edge's parts, right edge's parts, in order of falling score?).
+
+        None for a piece that its own merges don't give.
+        """
+        if piece not in self._spines:
+            steps: list = []
+            if self._merged(piece, steps) != [piece]:
+                self._spines[piece] = None
+            else:
+                left, right, falling, last = [piece[0]], [piece[-1]], True, _INF
+                for parts, at in steps:
+                    new = parts[at] + parts[at + 1]
+                    score = self.score[self.arcs[new]]
+                    falling &= score < last
+                    last = score
+                    if at == 0:
+                        left.append(new)
+                    if at + 2 == len(parts):
+                        right.append(new)
+                self._spines[piece] = (left, right, falling)
+        return self._spines[piece]
+
+    def _agrees(self, before: str, piece: str) -> bool:
+        """Whether merging the joined strings gives just these two pieces."""
+        b = self._spine(piece)
+        if b is None:
+            return False
+        a = self._spine(before) if before in self.arcs else ([before], [before], True)
+        if not before or a is None:
+            return not before
+        if not (a[2] and b[2]):
+            return self._merged(before + piece) == [before, piece]
+        # Merges fall in score, so what stands at the border when a merge across
+        # it would have its turn follows from the scores alone; ties go left.
+        arcs, score, right, left = self.arcs, self.score, a[1], b[0]
+        i = j = 0
+        while True:
+            over = arcs.get(right[i] + left[j])
+            x = score[arcs[right[i + 1]]] if i + 1 < len(right) else -_INF
+            y = score[arcs[left[j + 1]]] if j + 1 < len(left) else -_INF
+            if over is not None and score[over] > x and score[over] >= y:
+                return False
+            if x == y == -_INF:
+                return True
+            if x >= y:
+                i += 1
+            else:
+                j += 1
 
     # -- encoding --------------------------------------------------------
 
+    def _agreeing(self, segment: str) -> tuple[int, ...]:
+        """The one path of finite weight under a merge model's constraints.
+
+        Longer arcs are tried first.  At most one path of finite weight leads
+        to a position, so a position without a way on is tried only once.
+        """
+        n, arcs, agree, reach = len(segment), self.arcs, self._agree, self._reach
+        at, before, stack, dead = 0, "", [], set()
+        size = min(n, reach.get(segment[:2], 1))
+        while at < n:
+            while size:
+                piece = segment[at : at + size]
+                if (size == 1 or piece in arcs) and at + size not in dead:
+                    pair = (before, piece)
+                    ok = agree.get(pair)
+                    if ok is None:
+                        if len(agree) >= 4 * MEMORY:
+                            agree.clear()
+                        ok = agree[pair] = self._agrees(before, piece) if piece in arcs else True
+                    if ok:
+                        break
+                size -= 1
+            if size:
+                stack.append((at, before, size))
+                at, before = at + size, piece
+                size = min(n - at, reach.get(segment[at : at + 2], 1))
+            else:
+                dead.add(at)
+                at, before, size = stack.pop()
+                size -= 1
+        ids: list[int] = []
+        for start, _, size in stack:
+            self._emit(segment[start : start + size], ids)
+        return tuple(ids)
+
+    def _emit(self, piece: str, ids: list[int]) -> None:
+        at = self.arcs.get(piece)
+        if at is not None:
+            ids.append(at)
+        elif self.byte_ids:
+            ids += [self.byte_ids[b] for b in piece.encode()]
+        else:
+            ids.append(self.unknown)
+
     def _shortest(self, segment: str) -> tuple[int, ...]:
         """Piece ids on the shortest path over one segment."""
+        if self.bpe:
+            return self._agreeing(segment)
         n = len(segment)
         weight = [0.0] + [_INF] * n
-        last = [""] * (n + 1)  # the piece that ends at a position on its best path
-        arcs, score, bpe = self.arcs, self.score, self.bpe
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                if weight[start] == _INF:
+        back = [0] * (n + 1)
+        for start in range(n):
+            if weight[start] == _INF:
+                continue
+            for end in range(start + 1, start + 1 + min(n - start, self._reach.get(segment[start : start + 2], 1))):
+                at = self.arcs.get(segment[start:end])
+                if at is None and end > start + 1:
                     continue
-                piece = segment[start:end]
-                at = arcs.get(piece)
-                if at is None:
-                    if end - start > 1:
-                        continue
-                    w = weight[start] + self.unknown_weight
-                elif bpe:
-                    if not self._may_follow(last[start], piece):
-                        continue
-                    w = weight[start]
-                else:
-                    w = weight[start] - score[at]
+                w = weight[start] + (self.unknown_weight if at is None else -self.score[at])
                 if w < weight[end]:
-                    weight[end], last[end] = w, piece
+                    weight[end], back[end] = w, start
+        cuts = [n]
+        while cuts[-1]:
+            cuts.append(back[cuts[-1]])
         ids: list[int] = []
-        end = n
-        while end:
-            piece = last[end]
-            at = arcs.get(piece)
-            if at is not None:
-                ids.append(at)
-            elif self.byte_ids:
-                ids += [self.byte_ids[b] for b in reversed(piece.encode())]
-            else:
-                ids.append(self.unknown)
-            end -= len(piece)
-        return tuple(reversed(ids))
+        for lo, hi in zip(cuts[:0:-1], cuts[-2::-1], strict=True):
+            self._emit(segment[lo:hi], ids)
+        return tuple(ids)
 
     def _path(self, segment: str) -> tuple[int, ...]:
-        got = self._paths.get(segment)
+        """The segment's path, remembered in two generations."""
+        got = self._older.get(segment)
         if got is None:
             # A line feed has no piece here and so no constraint across it.
-            if "\n" in segment and "\n" not in self.arcs and self.byte_ids and self.segmented and segment != "\n":
+            if "\n" in segment and "\n" not in self.arcs and self.byte_ids and self.segmented:
                 feed = (self.byte_ids[10],)
                 head, *rest = segment.split("\n")
-                got = self._path(head) if head else ()
+                got = self._known(head)
                 for part in rest:
-                    got += feed + (self._path(part) if part else ())
-                if len(segment) > 100:
-                    return got
+                    got += feed + self._known(part)
             else:
                 got = self._shortest(segment)
+        if len(segment) <= 60:
             if len(self._paths) >= MEMORY:
-                self._paths.clear()
-            if len(segment) <= 100:
-                self._paths[segment] = got
+                self._older, self._paths = self._paths, {}
+            self._paths[segment] = got
         return got
 
+    def _known(self, segment: str) -> tuple[int, ...]:
+        return (self._paths.get(segment) or self._path(segment)) if segment else ()
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
