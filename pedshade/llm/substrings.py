@@ -37,8 +37,8 @@ WINDOW = 100
 GRAM = 24
 #: Rows of one gram that one shard takes.
 PIECE = 8_000
-#: Bytes of contexts that one suffix array spans, about.
-SHARD_BYTES = 1 << 20
+#: Bytes of contexts that one suffix array spans, and of text that is cut into contexts at once, about.
+SHARD_BYTES, TEXT_BYTES = 384 << 10, 768 << 10
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -83,9 +83,9 @@ def merged(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return key[start], a[start], ends
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], most: int = 8 << 20):
+def _pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 20):
     """Lists of (key, offset, bytes); a text beyond ``most`` comes in pieces that share no window start."""
-    for rows, values in in_blocks(batches, "text"):
+    for rows, values in in_blocks(batches, "text", TEXT_BYTES):
         keys = rows.column(0).to_pylist()
         small = [(k, 0, v) for k, v in zip(keys, values, strict=True) if v and WINDOW <= len(v) <= most]
         if small:
@@ -284,7 +284,7 @@ def _sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sort_shards(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in whole_groups(parts, "unit", 6_000):
+    for pdf in whole_groups(parts, "unit", 4_000):
         # Units in stretches of about a shard each; a unit is never cut.
         size = np.cumsum([len(x) for x in pdf.text])
         cut = bounds(pdf.unit.values)

@@ -46,7 +46,7 @@ def _deal(order: np.ndarray, symbols: np.ndarray, fill: np.ndarray, sa: np.ndarr
 def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
     """The suffix array that follows from LMS suffixes in the order given."""
     n = len(t)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32 if n < 2**31 else np.int64)
     first = t[lms]
     count = np.bincount(first, minlength=len(heads))
     _deal(lms, first, low := tails - count, sa, 1)
