@@ -97,7 +97,9 @@ def _search_all(shared, modes: list[str]):
         g: Adjacency = shared.value
         for pdf in parts:
             rows = []
-            known = {int(n): i for i, n in zip(np.searchsorted(g.nodes, ends := np.unique(pdf[["source", "target"]].to_numpy())).tolist(), ends.tolist(), strict=True) if i < len(g.nodes) and g.nodes[i] == n}
+            ends = np.unique(pdf[["source", "target"]].to_numpy())
+            at = np.minimum(np.searchsorted(g.nodes, ends), max(0, len(g.nodes) - 1))
+            known = {int(n): int(i) for n, i in zip(ends, at, strict=True) if len(g.nodes) and g.nodes[i] == n}
             # One search serves all destinations of a source.
             for source, group in pdf.groupby("source", sort=False):
                 goals = {int(t) for t in group.target}
