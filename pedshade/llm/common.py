@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 #: Bytes of text that a numpy kernel handles at once; bounds its temporaries.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +31,16 @@ def utf8(col: str = "text") -> Column:
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch], col: str, limit: int = BLOCK_BYTES, most: int = 1 << 30):
-    """``(rows, values)`` of about ``limit`` bytes and ``most`` rows; one long text may exceed it."""
+    """``(rows, values)`` of about ``limit`` bytes and ``most`` rows; one long text may exceed it.
+
+    Where there is no column ``col`` of bytes, it is the text of that name in
+    the struct that comes first.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.get_field_index(col))
+        at = batch.schema.get_field_index(col)
+        column = batch.column(at) if at >= 0 else pa.compute.struct_field(batch.column(0), col).cast(pa.binary())
         sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
         block = (np.cumsum(sizes, dtype=np.int64) - sizes) // limit
         cuts = np.unique(np.concatenate([np.flatnonzero(np.diff(block)) + 1, np.arange(most, len(block), most)]))

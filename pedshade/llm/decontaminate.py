@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pedshade.llm.common import in_blocks, mix64, utf8, word_hashes
@@ -119,7 +119,7 @@ def _load(items: DataFrame) -> Seeds | None:
     return Seeds(rows) if rows else None
 
 
-def _finder(seeds: Seeds):
+def _finder(seeds: Seeds, drop: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(
             pa.struct([("item_id", pa.int64()), ("n_equal", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64())])
@@ -141,21 +141,15 @@ def _finder(seeds: Seeds):
                     {"item_id": i, "n_equal": n, "first_word": w, "n_words": length}
                     for i, (n, w, length) in sorted(seeds.verified(own).items())
                 ]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(found, kind)], names=["row", "text", "found"])
+            if drop:
+                yield pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array([not f for f in found]))], names=["row"])
+            else:
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, kind)], names=["doc_id", "found"])
 
     return run
 
 
-def _search(docs: DataFrame, cols: list[Column], items: DataFrame) -> DataFrame | None:
-    seeds = _load(items)
-    if seeds is None:
-        return None
-    row = F.struct(*cols).alias("row")
-    schema = docs.select(row).schema["row"].dataType.simpleString()
-    return docs.select(row, utf8().alias("text")).mapInArrow(
-        _finder(seeds),
-        f"row {schema}, text binary, found array<struct<item_id: bigint, n_equal: bigint, first_word: bigint, n_words: bigint>>",
-    )
+_FOUND = "doc_id long, found array<struct<item_id: bigint, n_equal: bigint, first_word: bigint, n_words: bigint>>"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -170,9 +164,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE
     """
     out = None
     for items in benchmark_slices(benchmark, slice_bytes):
-        hits = _search(docs, [F.col("doc_id").cast("long").alias("doc_id")], items)
-        if hits is not None:
-            hits = hits.select("row.doc_id", F.inline("found"))
+        seeds = _load(items)
+        if seeds is not None:
+            hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(_finder(seeds, False), _FOUND)
+            hits = hits.select("doc_id", F.inline("found"))
             out = hits if out is None else out.unionByName(hits)
     if out is None:
         out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_equal long, first_word long, n_words long")
@@ -182,7 +177,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no passage of the benchmark."""
     for items in benchmark_slices(benchmark, slice_bytes):
-        hits = _search(docs, [F.col(f"`{c}`") for c in docs.columns], items)
-        if hits is not None:
-            docs = hits.filter(F.size("found") == 0).select("row.*")
+        seeds = _load(items)
+        if seeds is not None:
+            row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+            docs = row.mapInArrow(_finder(seeds, True), f"row {row.schema['row'].dataType.simpleString()}").select("row.*")
     return docs

@@ -172,45 +172,37 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_AL
     return Hierarchy(x, got.lang.to_numpy().astype(str))
 
 
-def _predictor(model: Hierarchy | None):
+def _predictor(model: Hierarchy | None, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, values in in_blocks(batches, "text", most=256):
             lang, score = np.full(len(values), "und", object), np.zeros(len(values))
             some = [i for i, v in enumerate(values) if v and model is not None and has_letter(v)]
             if some:
                 lang[some], score[some] = model.predict(features([values[i] for i in some]))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1).astype(np.float64))],
-                names=["row", "lang_pred", "score"],
-            )
+            if keep:
+                yield pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(lang != "und"))], names=["row"])
+            else:
+                added = [pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1).astype(np.float64))]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:2], *added], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, model: Hierarchy | None, keep: list[Column] | None = None) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to a struct ``row`` of the columns in ``keep``, by default all.
-
-    Only the text is an input of the prediction.  Null text, and text without
-    a letter, is ``und`` with score 0, as is everything without a model.
-    """
-    cols = keep or [F.col(f"`{c}`") for c in docs.columns]
-    row = F.struct(*cols).alias("row")
-    schema = docs.select(row).schema["row"].dataType.simpleString()
-    return docs.select(row, utf8().alias("text")).mapInArrow(_predictor(model), f"row {schema}, lang_pred string, score double")
-
-
 def language_id(docs: DataFrame) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` for every row of ``docs``.
 
-    Needs columns doc_id, text and lang; others are ignored.  The model learns
-    from the documents whose crc32(doc_id) mod 4 is not 2.  A null doc_id is
+    Needs columns doc_id, text and lang; others are ignored, and only the text
+    is an input of the prediction.  The model learns from the documents whose
+    crc32(doc_id) mod 4 is not 2.  Null text, and text without a letter, is
+    ``und`` with score 0, as is everything without a model.  A null doc_id is
     not held out and not learned from; repeated rows come out repeated; an
     empty table gives an empty one.
     """
-    out = identify(docs, train(docs), [F.col("doc_id"), held_out().alias("held_out")])
-    return out.select("row.doc_id", "row.held_out", "lang_pred", "score")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), utf8().alias("text"))
+    return rows.mapInArrow(_predictor(train(docs), False), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language can be told."""
-    return identify(docs, train(docs)).filter("lang_pred <> 'und'").select("row.*")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return row.mapInArrow(_predictor(train(docs), True), f"row {row.schema['row'].dataType.simpleString()}").select("row.*")

@@ -291,7 +291,11 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     The row with the smallest doc_id stays; of repeated rows with that id, one.
     """
     groups = simhash_groups(docs, threshold)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key_of().alias("key")).distinct()
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(key_of().alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    stay = Scratch(docs.sparkSession, "simhash").write(stay)
     rows = docs.select(key_of().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64(F.col("row").cast("string")))
-    return rows.join(stay, "key", "left_semi").withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("row.*")
+    kept = rows.join(stay.select("key").hint("shuffle_hash"), "key", "left_semi")
+    if not stay.filter("n > 1").isEmpty():
+        order = Window.partitionBy("key").orderBy(F.xxhash64(F.col("row").cast("string")))
+        kept = kept.withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    return kept.select("row.*")
