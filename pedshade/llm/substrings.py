@@ -9,9 +9,12 @@ to shards, whose suffix arrays are built by induced sorting; the permuted
 common prefixes tell which windows are equal, and in each set of equal windows
 all but the earliest are removed.
 
-A gram with more contexts than ``PIECE`` is dealt over several shards.  The
-windows that come out earliest there are compared across those shards by two
-64-bit hashes of their bytes, so that such grams lose no match either.
+Contexts of a gram that has more than ``PIECE`` of them are cut into bands of
+``BAND`` places of the gram within the window.  All windows of a band hold the
+same 85 bytes around the gram, their core, and go to shards by its hash.  A
+core that is still shared by more than ``PIECE`` is dealt over several shards;
+the windows that come out earliest there are compared across those shards by
+two 64-bit hashes of their bytes, so that no match is lost.
 
 Texts are shuffled once, by document, for both the contexts' bytes and the
 final digests.
@@ -29,14 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pedshade.llm.common import NULL_ID, bounds, in_blocks, key_of, load64, mix64, utf8, whole_groups
+from pedshade.llm.common import NULL_ID, bounds, in_blocks, key_of, load64, mix64, utf8
 from pedshade.llm.suffix import permuted_lcp, suffix_array
 from pedshade.runtime import Scratch
 
 WINDOW = 100
 GRAM = 24
-#: Rows of one gram that one shard takes.
+#: Rows of one gram or core that one shard takes.
 PIECE = 8_000
+BAND = 16
 #: Bytes of contexts that one suffix array spans, and of text that is cut into contexts at once, about.
 SHARD_BYTES, TEXT_BYTES = 384 << 10, 768 << 10
 
@@ -96,11 +100,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 20):
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (route, kind, same, key, a, b).
+    """Rows (route, kind, same, key, a, b, p).
 
     kind 0: a context's earliest place in its block; a and b are its first and
-    last window start, same the hash of its bytes and the gram's place in it.
-    kind 1: a removed span [a, b), found within the block.
+    last window start, p the gram's place from a, same the hash of its bytes
+    and p.  kind 1: a removed span [a, b), found within the block.
     """
     for pieces in _pieces(batches):
         sizes = np.array([len(t) for *_, t in pieces], np.int64)
@@ -120,9 +124,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.searchsorted(base, first, "right") - 1
         key = np.array([k for k, *_ in pieces], np.int64)[own]
         shift = np.array([o for _, o, _ in pieces], np.int64)[own] - base[own]
-        first, last = first + shift, last + shift
+        place, first, last = at - first, first + shift, last + shift
         order = np.lexsort((first, key, same, gram))
-        gram, same, key, first, last = gram[order], same[order], key[order], first[order], last[order]
+        gram, same, key, first, last, place = (x[order] for x in (gram, same, key, first, last, place))
         new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (same[1:] != same[:-1])])
         k, a, b = merged(key[~new], first[~new], last[~new] + WINDOW)
         n = np.array([new.sum(), len(k)])
@@ -134,64 +138,64 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.concatenate([key[new], k])),
                 pa.array(np.concatenate([first[new], a])),
                 pa.array(np.concatenate([last[new], b])),
+                pa.array(np.concatenate([place[new], np.zeros(len(k), np.int64)]).astype(np.int32)),
             ],
-            names=["route", "kind", "same", "key", "a", "b"],
+            names=["route", "kind", "same", "key", "a", "b", "p"],
         )
 
 
-def _in_pieces(parts: Iterator[pd.DataFrame], piece: int):
-    """Frames of whole ``route`` groups; groups beyond ``piece`` rows in pieces of their own, marked and numbered."""
+def _in_pieces(parts: Iterator[pd.DataFrame], by: str, piece: int):
+    """Frames of whole groups of ``by``, with False; groups beyond ``piece`` rows in frames of their own, with True."""
     held: pd.DataFrame | None = None
-    hot, number = None, 0
+    hot = None
     for pdf in parts:
         held = pdf if held is None or not len(held) else pd.concat([held, pdf], ignore_index=True)
         while len(held):
-            route = held.route.values
+            key = held[by].values
             if hot is not None:
-                n = int(np.searchsorted(route, hot, "right"))
+                n = int(np.searchsorted(key, hot, "right"))
                 while n >= piece:
-                    yield held.iloc[:piece], True, number
-                    held, n, number = held.iloc[piece:], n - piece, number + 1
+                    yield held.iloc[:piece], True
+                    held, n = held.iloc[piece:], n - piece
                 if n == len(held):
                     break
                 if n:
-                    yield held.iloc[:n], True, number
-                held, hot, number = held.iloc[n:], None, 0
+                    yield held.iloc[:n], True
+                held, hot = held.iloc[n:], None
                 continue
-            cut = bounds(route)
-            size = np.diff(cut)
-            big = np.flatnonzero(size >= piece)
+            cut = bounds(key)
+            big = np.flatnonzero(np.diff(cut) >= piece)
             to = int(cut[big[0]]) if len(big) else int(cut[-2])
             if to:
-                yield held.iloc[:to], False, 0
+                yield held.iloc[:to], False
                 held = held.iloc[to:]
             if not len(big):
                 break
-            hot = route[to]
+            hot = key[to]
     if held is not None and len(held):
-        yield held, hot is not None, number
+        yield held, hot is not None
 
 
 def _sift(parts: Iterator[pd.DataFrame], piece: int) -> Iterator[pd.DataFrame]:
-    """Rows (unit, hot, kind, key, a, b): kind 0 contexts for the suffix arrays, kind 1 removed spans.
+    """Rows (unit, hot, kind, key, a, b, p): kind 0 contexts for the suffix arrays, kind 1 removed spans.
 
     Input is sorted by route, kind, same, key, a.  Of equal contexts the first
     is the earliest; the windows of the others are removed.
     """
-    earlier: tuple[int, int] | None = None  # the context that a hot group's last piece ended in
-    for pdf, hot, number in _in_pieces(parts, piece):
+    earlier: tuple[int, int] | None = None  # the context that a hot group's last frame ended in
+    for pdf, hot in _in_pieces(parts, "route", piece):
         kind, route, same = pdf.kind.values, pdf.route.values, pdf.same.values
         key, a, b = pdf.key.values, pdf.a.values, pdf.b.values
         context = kind == 0
         new = np.ones(len(pdf), bool)
         new[1:] = (route[1:] != route[:-1]) | (same[1:] != same[:-1]) | (kind[1:] != kind[:-1])
-        if hot and number and earlier == (route[0], same[0]) and context[0]:
+        if hot and earlier == (route[0], same[0]) and context[0]:
             new[0] = False
         earlier = (route[-1], same[-1]) if context[-1] else None
         first = new & context
         # A gram with one context only has no other window to compare.
         cut = bounds(route)
-        several = np.repeat(np.add.reduceat(first.astype(np.int64), cut[:-1]) > 1, np.diff(cut)) if len(cut) > 1 else first
+        several = np.repeat(np.add.reduceat(first.astype(np.int64), cut[:-1]) > 1, np.diff(cut))
         send = first & (several | hot)
         again = context & ~new
         k, s, e = merged(
@@ -199,34 +203,50 @@ def _sift(parts: Iterator[pd.DataFrame], piece: int) -> Iterator[pd.DataFrame]:
             np.concatenate([a[again], a[~context]]),
             np.concatenate([b[again] + WINDOW, b[~context]]),
         )
-        unit = route[send]
-        if hot:
-            unit = mix64(unit.view(np.uint64) + np.uint64(number + 1)).view(np.int64)
+        n = np.array([send.sum(), len(k)])
         yield pd.DataFrame(
             {
-                "unit": np.concatenate([unit, k]),
-                "hot": np.concatenate([np.full(len(unit), hot), np.zeros(len(k), bool)]),
-                "kind": np.concatenate([np.zeros(len(unit), np.int8), np.ones(len(k), np.int8)]),
+                "unit": np.concatenate([route[send], k]),
+                "hot": np.repeat([hot, False], n),
+                "kind": np.repeat(np.array([0, 1], np.int8), n),
                 "key": np.concatenate([key[send], k]),
                 "a": np.concatenate([a[send], s]),
                 "b": np.concatenate([b[send], e]),
+                "p": np.concatenate([pdf.p.values[send], np.zeros(len(k), np.int32)]),
             }
         )
 
 
+def bands(a: int, b: int, gram: int):
+    """``(number, first start, last start, core's start, core's end)`` of the bands of a context.
+
+    A band holds the window starts whose distance to the gram has the same
+    quotient by ``BAND``, so the core depends on the windows' bytes alone.
+    """
+    for n in range((gram - b) // BAND, (gram - a) // BAND + 1):
+        near, far = n * BAND, n * BAND + BAND - 1
+        yield n, max(a, gram - far), min(b, gram - near), gram - near, gram - far + WINDOW
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each document's contexts."""
-    names = ["unit", "hot", "key", "a", "text"]
+    """The bytes of each document's contexts, those of hot grams by bands."""
+    h = xxhash.xxh3_64_intdigest
     for rows, values in in_blocks(batches, "text"):
-        out: list[list] = [[], [], [], [], []]
+        out: list[tuple] = []
         for key, contexts, v in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), values, strict=True):
             for c in contexts:
-                if v is not None and c["b"] + WINDOW <= len(v):
-                    for col, x in zip(out, (c["unit"], c["hot"], key, c["a"], v[c["a"] : c["b"] + WINDOW]), strict=True):
-                        col.append(x)
-        if out[0]:
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+                a, b = c["a"], c["b"]
+                if v is None or b + WINDOW > len(v):
+                    continue
+                if not c["hot"]:
+                    out.append((c["unit"], key, a, v[a : b + WINDOW]))
+                    continue
+                for n, lo, hi, s, e in bands(a, b, a + c["p"]):
+                    out.append((h(v[s:e], n) - (1 << 63), key, lo, v[lo : hi + WINDOW]))
+        if out:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["unit", "key", "a", "text"])
 
 
 def window_hashes(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,43 +259,45 @@ def window_hashes(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return x.view(np.int64), y.view(np.int64)
 
 
-def _sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Removed spans (kind 1) of a shard's contexts, and for hot grams the windows that are earliest here (kind 2)."""
+def _sort_shard(pdf: pd.DataFrame, hot: bool) -> pd.DataFrame:
+    """Removed spans (kind 1) of a shard's contexts; for a part of a larger unit the windows that are earliest here too (kind 2)."""
     pdf = pdf.sort_values(["key", "a"], kind="stable")
-    texts = pdf.text.tolist()
+    key, a = pdf.key.values, pdf.a.values
+    code, texts = pd.factorize(pdf.text)  # equal contexts: the earliest one stands for all
     size = np.array([len(t) for t in texts], np.int64)
+    again = np.flatnonzero(np.concatenate([[False], code[1:] <= np.maximum.accumulate(code)[:-1]]))
+    spans = [(key[again], a[again], a[again] + size[code[again]])]
+    lead = np.setdiff1d(np.arange(len(pdf)), again)
+    key, a = key[lead], a[lead]
     base = np.cumsum(size + 1) - size - 1
     text = np.frombuffer(b"\xff".join(texts) + b"\xff" + bytes(8), np.uint8)  # no UTF-8 text holds 0xff
     n = len(text) - 8
-    t = np.empty(n + 1, np.uint16)
-    t[:n] = text[:n]
-    t[:n] += 1
-    t[n] = 0
-    sa = suffix_array(t)
-    lcp = permuted_lcp(text[:n], sa)
     windows = size - WINDOW + 1
     starts = np.repeat(base, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    may = np.zeros(n + 1, bool)
-    may[starts] = True
-    run = np.zeros(n + 1, np.int64)  # number of each suffix's set of equal windows, in suffix order
-    run[1:] = np.cumsum(lcp[sa[1:]] < WINDOW)
-    keep = may[sa]
-    place, group = sa[keep], run[keep]
-    # Contexts stand in (key, start) order, so the least place is the earliest.
-    cut = bounds(group)
     gone = np.zeros(n + 1, bool)
-    if len(place):
-        least = np.minimum.reduceat(place, cut[:-1])
+    if len(texts) > 1:
+        t = np.empty(n + 1, np.uint16)
+        t[:n] = text[:n]
+        t[:n] += 1
+        t[n] = 0
+        sa = suffix_array(t)
+        lcp = permuted_lcp(text[:n], sa)
+        may = np.zeros(n + 1, bool)
+        may[starts] = True
+        run = np.zeros(n + 1, np.int64)  # number of each suffix's set of equal windows, in suffix order
+        run[1:] = np.cumsum(lcp[sa[1:]] < WINDOW)
+        keep = may[sa]
+        place, group = sa[keep], run[keep]
+        # Contexts stand in (key, start) order, so the least place is the earliest.
         gone[place] = True
-        gone[least] = False
+        gone[np.minimum.reduceat(place, bounds(group)[:-1])] = False
     at = np.flatnonzero(gone)
     own = np.searchsorted(base, at, "right") - 1
-    key, a = pdf.key.values, pdf.a.values
-    k, s, e = merged(key[own], a[own] + at - base[own], a[own] + at - base[own] + WINDOW)
+    spans.append((key[own], a[own] + at - base[own], a[own] + at - base[own] + WINDOW))
+    k, s, e = merged(*(np.concatenate(x) for x in zip(*spans, strict=True)))
     out = [pd.DataFrame({"kind": np.int8(1), "h1": mix64(k.view(np.uint64) ^ s.astype(np.uint64)).view(np.int64), "h2": s, "key": k, "a": s, "b": e})]
-    if pdf.hot.any():
-        hot = np.repeat(pdf.hot.values.astype(bool), windows)
-        at = starts[hot & ~gone[starts]]
+    if hot:
+        at = starts[~gone[starts]]
         own = np.searchsorted(base, at, "right") - 1
         h1, h2 = window_hashes(text, at)
         p = a[own] + at - base[own]
@@ -283,15 +305,20 @@ def _sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def _sort_shards(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in whole_groups(parts, "unit", 4_000):
-        # Units in stretches of about a shard each; a unit is never cut.
+def _sort_shards(parts: Iterator[pd.DataFrame], piece: int) -> Iterator[pd.DataFrame]:
+    for pdf, hot in _in_pieces(parts, "unit", piece):
+        # Units in stretches of about a shard each; a unit is never cut here.
         size = np.cumsum([len(x) for x in pdf.text])
         cut = bounds(pdf.unit.values)
+        # A unit of one context has nothing to compare.
         lo = 0
         for hi in cut[1:].tolist():
             if hi == len(pdf) or size[hi - 1] - (size[lo - 1] if lo else 0) >= SHARD_BYTES:
-                yield _sort_shard(pdf.iloc[lo:hi])
+                part = pdf.iloc[lo:hi]
+                if not hot:
+                    part = part[part.duplicated("unit", keep=False)]
+                if len(part):
+                    yield _sort_shard(part, hot)
                 lo = hi
 
 
@@ -329,24 +356,24 @@ def removed_spans(docs: DataFrame, piece: int = PIECE) -> tuple[DataFrame, DataF
     rows = docs.select(key_of().alias("key"), utf8().alias("text"))
     order = ["route", "kind", "same", "key", "a"]
     sifted = Scratch(spark, "substrings").write(
-        rows.mapInArrow(_contexts, "route long, kind byte, same long, key long, a long, b long")
+        rows.mapInArrow(_contexts, "route long, kind byte, same long, key long, a long, b long, p int")
         .repartition("route")
         .sortWithinPartitions(*order)
-        .mapInPandas(lambda parts: _sift(parts, piece), "unit long, hot boolean, kind byte, key long, a long, b long")
+        .mapInPandas(lambda parts: _sift(parts, piece), "unit long, hot boolean, kind byte, key long, a long, b long, p int")
     )
     texts = rows.repartition(n, "key")
     wanted = (
-        sifted.filter("kind = 0").groupBy("key").agg(F.collect_list(F.struct("unit", "hot", "a", "b")).alias("contexts")).hint("shuffle_hash")
+        sifted.filter("kind = 0").groupBy("key").agg(F.collect_list(F.struct("unit", "hot", "a", "b", "p")).alias("contexts")).hint("shuffle_hash")
     )
     shards = (
         texts.join(wanted, "key")
         .select("key", "contexts", "text")
-        .mapInArrow(_cut_out, "unit long, hot boolean, key long, a long, text binary")
+        .mapInArrow(_cut_out, "unit long, key long, a long, text binary")
         .repartition("unit")
         .sortWithinPartitions("unit")
-        .mapInPandas(_sort_shards, "kind byte, h1 long, h2 long, key long, a long, b long")
+        .mapInPandas(lambda parts: _sort_shards(parts, piece), "kind byte, h1 long, h2 long, key long, a long, b long")
     )
-    # Equal windows of a hot gram from several shards; at most one a shard each.
+    # Equal windows of a core dealt over several shards; at most one a shard each.
     nth = F.row_number().over(Window.partitionBy("h1", "h2", "kind").orderBy("key", "a"))
     found = shards.withColumn("nth", nth).filter("kind = 1 or nth > 1").select("key", "a", "b")
     return texts, sifted.filter("kind = 1").select("key", "a", "b").unionByName(found)
