@@ -87,6 +87,12 @@ def merged(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return key[start], a[start], ends
 
 
+def _later(new: np.ndarray, key: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Rows of a run that stand at another place than the run's first, which ``new`` marks."""
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return (key != key[lead]) | (a != a[lead])
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 20):
     """Lists of (key, offset, bytes); a text beyond ``most`` comes in pieces that share no window start."""
     for rows, values in in_blocks(batches, "text", TEXT_BYTES):
@@ -128,7 +134,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((first, key, same, gram))
         gram, same, key, first, last, place = (x[order] for x in (gram, same, key, first, last, place))
         new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (same[1:] != same[:-1])])
-        k, a, b = merged(key[~new], first[~new], last[~new] + WINDOW)
+        again = _later(new, key, first)
+        k, a, b = merged(key[again], first[again], last[again] + WINDOW)
         n = np.array([new.sum(), len(k)])
         yield pa.RecordBatch.from_arrays(
             [
@@ -182,26 +189,32 @@ def _sift(parts: Iterator[pd.DataFrame], piece: int) -> Iterator[pd.DataFrame]:
     Input is sorted by route, kind, same, key, a.  Of equal contexts the first
     is the earliest; the windows of the others are removed.
     """
-    earlier: tuple[int, int] | None = None  # the context that a hot group's last frame ended in
+    earlier: tuple[int, ...] | None = None  # the context that a hot group's last frame ended in, and its first place
     for pdf, hot in _in_pieces(parts, "route", piece):
         kind, route, same = pdf.kind.values, pdf.route.values, pdf.same.values
         key, a, b = pdf.key.values, pdf.a.values, pdf.b.values
         context = kind == 0
         new = np.ones(len(pdf), bool)
         new[1:] = (route[1:] != route[:-1]) | (same[1:] != same[:-1]) | (kind[1:] != kind[:-1])
-        if hot and earlier == (route[0], same[0]) and context[0]:
-            new[0] = False
-        earlier = (route[-1], same[-1]) if context[-1] else None
+        later = context & _later(new, key, a)
         first = new & context
+        if hot and earlier is not None and earlier[:2] == (route[0], same[0]) and context[0]:
+            n = int(np.argmax(new[1:])) + 1 if new[1:].any() else len(new)  # the run goes on from the last frame
+            first[0], later[:n] = False, (key[:n] != earlier[2]) | (a[:n] != earlier[3])
+        if context[-1]:
+            last = int(np.flatnonzero(new)[-1])
+            if first[last] or earlier is None or earlier[:2] != (route[-1], same[-1]):
+                earlier = (route[-1], same[-1], key[last], a[last])
+        else:
+            earlier = None
         # A gram with one context only has no other window to compare.
         cut = bounds(route)
         several = np.repeat(np.add.reduceat(first.astype(np.int64), cut[:-1]) > 1, np.diff(cut))
         send = first & (several | hot)
-        again = context & ~new
         k, s, e = merged(
-            np.concatenate([key[again], key[~context]]),
-            np.concatenate([a[again], a[~context]]),
-            np.concatenate([b[again] + WINDOW, b[~context]]),
+            np.concatenate([key[later], key[~context]]),
+            np.concatenate([a[later], a[~context]]),
+            np.concatenate([b[later] + WINDOW, b[~context]]),
         )
         n = np.array([send.sum(), len(k)])
         yield pd.DataFrame(
@@ -265,9 +278,9 @@ def _sort_shard(pdf: pd.DataFrame, hot: bool) -> pd.DataFrame:
     key, a = pdf.key.values, pdf.a.values
     code, texts = pd.factorize(pdf.text)  # equal contexts: the earliest one stands for all
     size = np.array([len(t) for t in texts], np.int64)
-    again = np.flatnonzero(np.concatenate([[False], code[1:] <= np.maximum.accumulate(code)[:-1]]))
+    lead = np.flatnonzero(np.concatenate([[True], code[1:] > np.maximum.accumulate(code)[:-1]]))
+    again = np.flatnonzero((key != key[lead][code]) | (a != a[lead][code]))
     spans = [(key[again], a[again], a[again] + size[code[again]])]
-    lead = np.setdiff1d(np.arange(len(pdf)), again)
     key, a = key[lead], a[lead]
     base = np.cumsum(size + 1) - size - 1
     text = np.frombuffer(b"\xff".join(texts) + b"\xff" + bytes(8), np.uint8)  # no UTF-8 text holds 0xff
@@ -289,8 +302,10 @@ def _sort_shard(pdf: pd.DataFrame, hot: bool) -> pd.DataFrame:
         keep = may[sa]
         place, group = sa[keep], run[keep]
         # Contexts stand in (key, start) order, so the least place is the earliest.
-        gone[place] = True
-        gone[np.minimum.reduceat(place, bounds(group)[:-1])] = False
+        cut = bounds(group)
+        least = np.repeat(np.minimum.reduceat(place, cut[:-1]), np.diff(cut))
+        mine, its = np.searchsorted(base, place, "right") - 1, np.searchsorted(base, least, "right") - 1
+        gone[place] = (key[mine] != key[its]) | (a[mine] + place - base[mine] != a[its] + least - base[its])
     at = np.flatnonzero(gone)
     own = np.searchsorted(base, at, "right") - 1
     spans.append((key[own], a[own] + at - base[own], a[own] + at - base[own] + WINDOW))
@@ -373,8 +388,8 @@ def removed_spans(docs: DataFrame, piece: int = PIECE) -> tuple[DataFrame, DataF
         .sortWithinPartitions("unit")
         .mapInPandas(lambda parts: _sort_shards(parts, piece), "kind byte, h1 long, h2 long, key long, a long, b long")
     )
-    # Equal windows of a core dealt over several shards; at most one a shard each.
-    nth = F.row_number().over(Window.partitionBy("h1", "h2", "kind").orderBy("key", "a"))
+    # Equal windows of a core dealt over several shards; equal places share a rank.
+    nth = F.rank().over(Window.partitionBy("h1", "h2", "kind").orderBy("key", "a"))
     found = shards.withColumn("nth", nth).filter("kind = 1 or nth > 1").select("key", "a", "b")
     return texts, sifted.filter("kind = 1").select("key", "a", "b").unionByName(found)
 
