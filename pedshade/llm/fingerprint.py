@@ -36,6 +36,11 @@ _31 = np.uint64(31)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A number congruent to x; below 2^33 for x below 2^63."""
+    return (x & PRIME) + (x >> _31)
+
+
 def _mod(x: np.ndarray) -> np.ndarray:
     """x modulo 2^31 - 1 for any 64-bit x."""
     x = (x & PRIME) + (x >> _31)
@@ -62,7 +67,7 @@ class PrefixHashes:
         c = points.astype(np.uint64) + np.uint64(1)
         self.prefix, self.inverse = [], []
         for base in BASES:
-            terms = _mod(c * _powers(base, bits)[:n])
+            terms = _fold(c * _powers(base, bits)[:n])  # below 2^32, so 2^31 of them can be summed
             self.prefix.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)]))
             self.inverse.append(_powers(pow(base, -1, int(PRIME)), bits))
 
@@ -71,8 +76,10 @@ class PrefixHashes:
         out = np.zeros(max(0, last - first), np.uint64)
         if not len(out):
             return out
+        # Sums of up to 2^20 terms fold below 2^32, whose product with a residue fits 64 bits.
+        fold = _fold if length < 1 << 20 else _mod
         for s, inv in zip(self.prefix, self.inverse, strict=True):
-            d = _mod(s[first + length : last + length] - s[first:last])
+            d = fold(s[first + length : last + length] - s[first:last])
             out = (out << _31) | _mod(d * inv[first:last])
         return out
 
@@ -137,11 +144,21 @@ def code_points(text: bytes | None) -> np.ndarray:
 
 
 class _Document:
+    """A text's hashes, and its registers in two parts: spans that its edited text keeps, and the rest."""
+
     def __init__(self, row_id, text: bytes | None):
         self.id = row_id
         self.points = code_points(text)
         self.hashes = PrefixHashes(self.points)
-        self.regs = text_registers(self.points, self.hashes)
+        n = len(self.points)
+        length = span_of(n)
+        self.kept = max(0, n - n // 4 - length + 1)
+        if not n:
+            self.regs = text_registers(self.points)
+            return
+        h = _marked(self.hashes.spans(0, n - length + 1, length), length)
+        self.head = registers(h[: self.kept])
+        self.regs = np.minimum(self.head, registers(h[self.kept :]))
 
     def row(self, after: _Document) -> dict:
         n, k = len(self.points), len(self.points) // 4
@@ -149,11 +166,9 @@ class _Document:
         m, length = len(edited), span_of(len(edited))
         if length != span_of(n) or not m:
             regs = text_registers(edited)
-        else:  # spans within the kept part have known hashes
-            kept = max(0, n - k - length + 1)
-            tail = PrefixHashes(edited[kept:])
-            known, new = self.hashes.spans(0, kept, length), tail.spans(0, m - kept - length + 1, length)
-            regs = registers(_marked(np.concatenate([known, new]), length))
+        else:
+            tail = PrefixHashes(edited[self.kept :])
+            regs = np.minimum(self.head, registers(_marked(tail.spans(0, m - self.kept - length + 1, length), length)))
         common = n - k + min(k, common_extension(self.hashes, n - k, after.hashes, 0) if k else 0)
         return {
             "doc_id": self.id,
@@ -256,7 +271,8 @@ def document_fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> Da
     order = sorted(first)
     heads = {p: first[order[(k + 1) % len(order)]] for k, p in enumerate(order)}
     dealt = rows.mapInArrow(_deal(splits, heads), "part long, ahead boolean, key long, doc_id long, text binary")
-    n = max(len(order), int(spark.conf.get("spark.sql.shuffle.partitions"))) if len(order) > 1 else 1
+    # Ranges meet in partitions by hash; twice as many partitions keep those meetings few.
+    n = max(2 * len(order), int(spark.conf.get("spark.sql.shuffle.partitions"))) if len(order) > 1 else 1
     return (
         dealt.repartition(n, "part")
         .sortWithinPartitions("part", "ahead", "key", "text")
