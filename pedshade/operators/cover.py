@@ -133,7 +133,7 @@ def select_solids(buildings: DataFrame) -> DataFrame:
     lod = F.when(whole(2), 2).when(whole(1), 1)
     solids = F.when(lod == 2, F.transform("parts", lambda p: p["lod2"])).when(lod == 1, F.transform("parts", lambda p: p["lod1"]))
     picked = buildings.select("building_id", "measured_height", lod.alias("lod"), solids.alias("solids"))
-    z = F.flatten(F.transform("solids", _zs))
+    z = F.flatten(F.transform("solids", lambda s: _zs(s)))
     height = F.array_max(z) - F.array_min(z)
     m = F.col("measured_height")
     measured = F.when((m > 0) & ~F.isnan(m) & (m < float("inf")), m)

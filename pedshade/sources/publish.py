@@ -197,7 +197,11 @@ def vector_tiles(features: DataFrame, properties: list[str], zooms: tuple[int, .
     """
     axis = lambda f, n: f(F.transform("geometry", lambda p: p[n]))
     box = (axis(F.array_min, "lon"), axis(F.array_min, "lat"), axis(F.array_max, "lon"), axis(F.array_max, "lat"))
-    tiles = F.flatten(F.array(*[F.transform(tiles_of(*box, z), lambda t, z=z: F.struct(F.lit(z).alias("z"), t["x"].alias("x"), t["y"].alias("y"))) for z in zooms]))
+
+    def at(zoom: int):
+        return F.transform(tiles_of(*box, zoom), lambda t: F.struct(F.lit(zoom).alias("z"), t["x"].alias("x"), t["y"].alias("y")))
+
+    tiles = F.flatten(F.array(*map(at, zooms)))
     rows = features.select("geometry", *properties, F.inline(tiles))
 
     def encode(pdf: pd.DataFrame) -> pd.DataFrame:
