@@ -182,3 +182,12 @@ def shade_scores(lines: DataFrame, selected: DataFrame, sun: DataFrame, cell: fl
     steps = F.transform(F.sequence(F.lit(1), F.size("line") - 1), lambda i: F.hypot(F.element_at("line", i + 1)["x"] - F.element_at("line", i)["x"], F.element_at("line", i + 1)["y"] - F.element_at("line", i)["y"]))
     lengths = lines.select("edge_id", F.aggregate(steps, F.lit(0.0), lambda a, x: a + x).alias("length")).crossJoin(scenarios)
     return intervals.covered_ratio(shadow, foot, lengths, ["edge_id", "scenario"]).withColumnRenamed("ratio", "score")
+
+
+def building_report(selected: DataFrame) -> DataFrame:
+    """Counts by level of detail, and the least, median and largest height: one row."""
+    h = F.percentile("height", F.lit(0.5))
+    return selected.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("lod") == 2).alias("n_lod2"), F.count_if(F.col("lod") == 1).alias("n_lod1"), F.count_if(F.col("lod").isNull()).alias("n_incomplete"),
+        F.min("height").alias("min_height"), h.alias("median_height"), F.max("height").alias("max_height"),
+    )

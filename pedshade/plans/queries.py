@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pedshade.config import DEFAULT, SAMPLER_EARTH_RADIUS_M, SCENARIOS, SHADE_COLUMNS, SNAP_EARTH_RADIUS_M
 from pedshade.functions import compare, exposure, geo, solar
-from pedshade.operators import components, evaluation, intervals, repair, routes, rules, spatial
+from pedshade.operators import components, cover, evaluation, intervals, repair, routes, rules, spatial
 from pedshade.operators.routing import relaxed_tree
 from pedshade.plans.fixtures import load, with_views
 from pedshade.runtime import Scratch
@@ -751,3 +751,113 @@ def latest_requests(s, d):
 def column_nulls(s, d):
     st = load(s, d, "stations")
     return st.agg(*[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in ("name", "location", "lon")])
+
+
+# -- planar joins -----------------------------------------------------------------------
+
+def _xy(x, y):
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def _square(x, y, dx, dy):
+    """A one-ring polygon around a point."""
+    w, e, so, n = x - F.lit(dx), x + F.lit(dx), y - F.lit(dy), y + F.lit(dy)
+    return F.array(F.array(_xy(w, so), _xy(e, so), _xy(e, n), _xy(w, n)))
+
+
+def _degree_lines(s, d):
+    """Edges as two-point lines in the plane of degrees, where they are parallel to the axes."""
+    return _ends(s, d).select("edge_id", F.array(_xy(F.col("a.lon"), F.col("a.lat")), _xy(F.col("b.lon"), F.col("b.lat"))).alias("line"))
+
+
+def _blocks(s, d):
+    return load(s, d, "stations").select(F.col("station_id").cast("long").alias("poly_id"), _square(F.col("lon"), F.col("lat"), 0.00063, 0.00047).alias("rings"))
+
+
+_BLOCKS = ", b AS (SELECT station_id AS poly_id, lon - 0.00063e0 AS w, lat - 0.00047e0 AS s, lon + 0.00063e0 AS e, lat + 0.00047e0 AS n FROM stations)"
+
+
+@query(with_views("road_nodes", "road_edges", "stations") + _ENDS + _BLOCKS + """,
+h AS (SELECT edge_id, poly_id, abs(CASE WHEN blon > alon THEN greatest(w, alon) ELSE least(e, alon) END - alon) AS s, abs(CASE WHEN blon > alon THEN least(e, blon) ELSE greatest(w, blon) END - alon) AS e
+  FROM ends JOIN b ON abs(alat - blat) < 1e-9 AND alat > s AND alat < n AND least(alon, blon) < e AND greatest(alon, blon) > w),
+v AS (SELECT edge_id, poly_id, abs(CASE WHEN blat > alat THEN greatest(b.s, alat) ELSE least(b.n, alat) END - alat) AS s, abs(CASE WHEN blat > alat THEN least(b.n, blat) ELSE greatest(b.s, blat) END - alat) AS e
+  FROM ends JOIN b ON abs(alon - blon) < 1e-9 AND alon > b.w AND alon < b.e AND least(alat, blat) < b.n AND greatest(alat, blat) > b.s)
+SELECT edge_id, poly_id, round(s, 8) AS s, round(e, 8) AS e FROM (SELECT * FROM h UNION ALL SELECT * FROM v)""")
+def line_polygon_intervals(s, d):
+    """Where the edges run under the block around each station."""
+    out = cover.line_polygon_intervals(_degree_lines(s, d), _blocks(s, d), ["poly_id"], 0.001)
+    return out.select("edge_id", "poly_id", r6(F.col("s"), 8).alias("s"), r6(F.col("e"), 8).alias("e"))
+
+
+@query(with_views("stations") + _BLOCKS + """, c AS (SELECT *, unnest(generate_series(CAST(floor(w / 0.001e0) AS BIGINT), CAST(floor(e / 0.001e0) AS BIGINT))) AS cx FROM b),
+f AS (SELECT *, unnest(generate_series(CAST(floor(s / 0.001e0) AS BIGINT), CAST(floor(n / 0.001e0) AS BIGINT))) AS cy FROM c)
+SELECT poly_id, cx, cy, round((least(e, (cx + 1) * 0.001e0) - greatest(w, cx * 0.001e0)) * (least(n, (cy + 1) * 0.001e0) - greatest(s, cy * 0.001e0)) * 1e6, 4) AS area FROM f""")
+def tile_fragments(s, d):
+    out = cover.fragments(_blocks(s, d), 0.001)
+    return out.select("poly_id", "cx", "cy", r6(F.col("area") * 1e6, 4).alias("area"))
+
+
+def _metric_lines(s, d):
+    x1, y1 = geo.project(F.col("a.lon"), F.col("a.lat"))
+    x2, y2 = geo.project(F.col("b.lon"), F.col("b.lat"))
+    return _ends(s, d).select("edge_id", F.array(_xy(x1, y1), _xy(x2, y2)).alias("line"))
+
+
+@query()
+def green_scores(s, d):
+    """Share of each edge's buffer under the green blocks around stations; tests hold the kernel against known areas."""
+    p = spatial.with_projection(load(s, d, "stations")).select(F.col("station_id").cast("long").alias("poly_id"), _square(F.col("x"), F.col("y"), 60.0, 45.0).alias("rings"))
+    return cover.green_scores(_metric_lines(s, d), p).select("edge_id", r6(F.col("green_score")).alias("green_score"))
+
+
+@query()
+def building_shade(s, d):
+    """Shade on each edge and scenario from a tower at every station; tests hold it against a known shadow."""
+    st = spatial.with_projection(load(s, d, "stations")).withColumn("top", (F.lit(10) + F.col("station_id") % 50).cast("double"))
+    corner = lambda dx, dy, z: F.struct((F.col("x") + F.lit(dx)).alias("x"), (F.col("y") + F.lit(dy)).alias("y"), z.alias("z"))
+    at = [(-20.0, -20.0), (20.0, -20.0), (20.0, 20.0), (-20.0, 20.0)]
+    low, top = F.lit(0.0), F.col("top")
+    face = lambda kind, pts: F.struct(F.lit(kind).alias("id"), F.lit(kind).alias("kind"), F.array(F.array(*pts, pts[0])).alias("rings"))
+    faces = [face("GroundSurface", [corner(*c, low) for c in at]), face("RoofSurface", [corner(*c, top) for c in at])]
+    faces += [face("WallSurface", [corner(*a, low), corner(*b, low), corner(*b, top), corner(*a, top)]) for a, b in zip(at, at[1:] + at[:1], strict=True)]
+    solid = F.struct(F.lit(2).alias("lod"), F.array(*faces).alias("surfaces"), F.array().cast("array<string>").alias("unresolved"))
+    b = st.select(F.col("station_id").cast("string").alias("building_id"), F.lit(None).cast("double").alias("measured_height"), F.array(F.struct(F.lit("p").alias("part_id"), solid.alias("lod1"), solid.alias("lod2"))).alias("parts"))
+    az, el = solar.solar_position(F.unix_timestamp("instant").cast("double"), F.lit(35.68), F.lit(139.75))
+    # Written tables, as a source would give them: the optimizer would copy these
+    # expressions into every use otherwise.
+    scratch = Scratch(s, "buildings")
+    sun = scratch.write(solar.scenarios(s).select("scenario", az.alias("azimuth"), el.alias("elevation")))
+    selected = scratch.write(cover.select_solids(scratch.write(b)))
+    return cover.shade_scores(scratch.write(_metric_lines(s, d)), selected, sun).select("edge_id", "scenario", r6(F.col("score"), 4).alias("score"))
+
+
+@query(_ROUTES + """, l AS (SELECT t.od_id, t.mode, coalesce(string_agg(edge_id, ',' ORDER BY seq), '') AS p FROM total t LEFT JOIN steps USING (od_id, mode) GROUP BY 1, 2),
+w AS (SELECT od_id, max(p) FILTER (mode = 'fastest') = max(p) FILTER (mode = 'coolest') AS same FROM l GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY same ORDER BY od_id) AS nth FROM w)
+SELECT od_id, same, nth FROM k WHERE nth <= CASE WHEN same THEN 2 ELSE 3 END""")
+def route_cases(s, d):
+    return evaluation.find_cases(paths_of(s, d))
+
+
+@query(_ROUTES + """, l AS (SELECT t.od_id, t.mode, coalesce(string_agg(edge_id, ',' ORDER BY seq), '') AS p FROM total t LEFT JOIN steps USING (od_id, mode) GROUP BY 1, 2),
+w AS (SELECT od_id, max(p) FILTER (mode = 'fastest') AS f, max(p) FILTER (mode = 'balanced') AS b, max(p) FILTER (mode = 'coolest') AS c FROM l GROUP BY 1)
+SELECT count(*) AS total, count_if(f = b) AS fastest_equals_balanced, count_if(f = c) AS fastest_equals_coolest, count_if(b = c) AS balanced_equals_coolest, count_if(f = b AND f = c) AS all_equal,
+ count_if(NOT (f = b AND f = c)) AS not_all_equal FROM w""")
+def equality_summary(s, d):
+    out = evaluation.equality_summary(routes.path_equality(paths_of(s, d)))
+    return out.select("total", "fastest_equals_balanced", "fastest_equals_coolest", "balanced_equals_coolest", "all_equal", "not_all_equal")
+
+
+@query(with_views("road_edges") + f" SELECT edge_id, 'LineString' AS kind, round({_BASE}, 10) AS heat FROM road_edges")
+def heat_features(s, d):
+    """GeoJSON features of the heat layer, read back from their text."""
+    nodes = nodes_of(s, d)
+    e = routes.edge_geometry(edges_of(s, d), nodes).withColumn("heat", r6(exposure.base_exposure(), 10))
+    text = routes.feature_collection(e, "geometry", ["edge_id", "heat"])
+    f = F.from_json("feature", "properties struct<edge_id: string, heat: double>, geometry struct<type: string, coordinates: array<array<double>>>")
+    return text.select(f.alias("f")).select("f.properties.edge_id", F.col("f.geometry.type").alias("kind"), "f.properties.heat")
+
+
+@query("SELECT extract(hour FROM ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def hourly_events(s, d):
+    """Event counts by hour of the day; an addition beside the routing model."""
+    return load(s, d, "events").groupBy(F.hour("ts").cast("long").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))

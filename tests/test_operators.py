@@ -389,3 +389,15 @@ def test_sampler_against_a_plain_loop(spark):
     assert len(got) == k
     with pytest.raises(ValueError, match="fell short"):
         evaluation.sample_pairs(n, e, per_stratum=500, attempts=60)
+
+
+def test_evaluation_end_to_end(spark):
+    n, e, _ = sampler_graph(spark)
+    tables = evaluation.evaluate(n, e, per_stratum=2, attempts=4000)
+    assert tables["cases"].count() == 6 and tables["cases"].orderBy("od_id").first().case_id == "m7-od-001"
+    assert evaluation.validate(tables, e).count() == 0
+    text = evaluation.summary_document(tables)
+    assert text == evaluation.summary_document(evaluation.evaluate(n, e, per_stratum=2, attempts=4000))
+    wrong = dict(tables, metrics=tables["metrics"].withColumn("exposure_load", F.col("exposure_load") + 1))
+    assert {r.rule for r in evaluation.validate(wrong, e).collect()} == {"differs-exposure_load", "cost-identity"}
+    assert evaluation.find_cases(tables["paths"]).count() > 0
