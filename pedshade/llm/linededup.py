@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pedshade.runtime import Scratch
 
 #: A line on more than this share of a host's pages, and on at least so many pages, is boilerplate.
-MAX_RATIO, MIN_PAGES = 0.02, 5
+MAX_RATIO, MIN_PAGES = 0.1, 5
 
 
 def _lines(text):

@@ -43,6 +43,7 @@ PIECE = 8_000
 BAND = 16
 #: Bytes of contexts that one suffix array spans, and of text that is cut into contexts at once, about.
 SHARD_BYTES, TEXT_BYTES = 384 << 10, 768 << 10
+PARTITION_BYTES = 48 << 20
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -367,8 +368,10 @@ def removed_from(text: bytes, spans: list) -> tuple[bytes, int, int]:
 def removed_spans(docs: DataFrame, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
     """``(texts, spans)``: texts (key, text) dealt by key, and spans (key, a, b) to remove, which may overlap."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(key_of().alias("key"), utf8().alias("text"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Partitions of the texts hold about so many bytes, whatever the session's setting.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
     order = ["route", "kind", "same", "key", "a"]
     sifted = Scratch(spark, "substrings").write(
         rows.mapInArrow(_contexts, "route long, kind byte, same long, key long, a long, b long, p int")

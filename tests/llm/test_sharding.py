@@ -80,7 +80,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter(r.doc_id for r in one) == Counter(r[0] for r in rows if r[1] and any(map(str.isalpha, r[1])))
     two = stages["line_dedup"](spark, docs, str(tmp_path))
     assert two.count() == len(rows) and two.columns == docs.columns
-    want = brute_lines(rows, 0.02, 5)
+    want = brute_lines(rows, 0.1, 5)
     assert sum(r[2] for r in want) > 0
     digest = lambda t: None if t is None else hashlib.sha256(t.encode()).hexdigest()
     assert Counter((r.doc_id, digest(r.text)) for r in two.collect()) == Counter((r[0], r[3]) for r in want.elements())
