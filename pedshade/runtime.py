@@ -42,6 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
     if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = sc.applicationId
@@ -58,6 +61,8 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        if spark.sparkContext.master.startswith("local["):  # one machine: nothing outlives the process
+            atexit.register(shutil.rmtree, self.base.removeprefix("file://"), True)
 
     def write(self, df: DataFrame) -> DataFrame:
         """Writes ``df`` and returns the written table, whose plan is one scan."""
