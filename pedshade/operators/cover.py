@@ -13,6 +13,7 @@ from pedshade.functions.solar import project_vertex
 from pedshade.operators import intervals
 from pedshade.operators.polygons import buffer, line_intervals, union_areas
 from pedshade.operators.spatial import box_pairs, line_box
+from pedshade.runtime import frame
 
 GREEN_BUFFER_M, FRAGMENT_M = 15.0, 100.0
 
@@ -49,7 +50,7 @@ def fragments(polygons: DataFrame, size: float = FRAGMENT_M) -> DataFrame:
                 _, area = union_areas([square], [_rings(r.rings)])
                 if area > 0:
                     rows.append((r.poly_id, r.cx, r.cy, area))
-            yield pd.DataFrame(rows, columns=["poly_id", "cx", "cy", "area"])
+            yield frame(rows, ["poly_id", "cx", "cy", "area"])
 
     placed = polygons.select("poly_id", "rings", F.inline(cells_of(rings_box(F.col("rings")), size)))
     return placed.mapInPandas(cut, "poly_id long, cx long, cy long, area double")
@@ -73,7 +74,7 @@ def green_scores(lines: DataFrame, polygons: DataFrame, distance: float = GREEN_
             for r in pdf.itertuples(index=False):
                 area, green = union_areas(buffer(_ring(r.line), distance), [_rings(p) for p in r.polygons])
                 rows.append((r.edge_id, min(1.0, max(0.0, green / area)) if area > 0 else 0.0))
-            yield pd.DataFrame(rows, columns=["edge_id", "green_score"])
+            yield frame(rows, ["edge_id", "green_score"])
 
     got = near.mapInPandas(score, "edge_id string, green_score double")
     return lines.select("edge_id").join(got, "edge_id", "left").select("edge_id", F.coalesce("green_score", F.lit(0.0)).alias("green_score"))
@@ -92,7 +93,7 @@ def line_polygon_intervals(lines: DataFrame, polygons: DataFrame, keys: list[str
             for r in pdf.itertuples(index=False):
                 own = tuple(getattr(r, k) for k in keys)
                 rows += [(r.edge_id, *own, s, e) for s, e in line_intervals(_ring(r.line), _rings(r.rings))]
-            yield pd.DataFrame(rows, columns=["edge_id", *keys, "s", "e"])
+            yield frame(rows, ["edge_id", *keys, "s", "e"])
 
     schema = "edge_id string, " + "".join(f"{k} {kinds[k]}, " for k in keys) + "s double, e double"
     return pairs.mapInPandas(cut, schema)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pedshade.runtime import Scratch
+from pedshade.runtime import Scratch, frame
 
 MAX_BROADCAST_EDGES = 5_000_000
 
@@ -115,7 +115,7 @@ def _search_all(shared, modes: list[str]):
                         slots = g.path(t, via)
                         nodes = [int(source), *g.nodes[g.targets[slots]].tolist()] if slots else [int(source)]
                         rows.append((od, mode, True, found[t], g.ids[g.rank[slots]].tolist() if slots else [], nodes))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PATHS.split(", ")])
+            yield frame(rows, [c.split()[0] for c in _PATHS.split(", ")])
 
     return run
 
@@ -144,38 +144,79 @@ def shortest_paths(od: DataFrame, edges: DataFrame, costs: dict[str, Column], ma
     return ods.repartition(n, "source").mapInPandas(_search_all(shared, modes), _PATHS)
 
 
-def relaxed_tree(edges: DataFrame, sources: DataFrame, cost: str = "cost", max_rounds: int = 10_000) -> DataFrame:
+def _settle_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Relaxes one block of nodes to rest: ``left`` has its known costs, ``right`` the edges that leave its nodes.
+
+    Returns improved rows of the block's own nodes (outside 0) and candidates
+    for nodes of other blocks (outside 1).
+    """
+    columns = ["source", "node", "cost", "edge_id", "outside"]
+    if not len(left) or not len(right):
+        return frame([], columns)
+    block = left["_b"].iloc[0]
+    out_of: dict[int, list] = {}
+    for row in zip(right["_s"].tolist(), right["_t"].tolist(), right["_c"].tolist(), right["edge_id"].tolist(), right["_tb"].tolist(), strict=True):
+        out_of.setdefault(row[0], []).append(row[1:])
+    rows = []
+    for source, known in left.groupby("source", sort=False):
+        best = {n: (c, e or "") for n, c, e in zip(known["node"].tolist(), known["cost"].tolist(), known["edge_id"].tolist(), strict=True)}
+        fresh = known[known["new"]]
+        heap = sorted(zip(fresh["cost"].tolist(), fresh["node"].tolist(), strict=True))
+        changed: dict[tuple[int, int], None] = {}
+        while heap:
+            d, u = heappop(heap)
+            if d > best[u][0]:
+                continue
+            for v, c, e, vb in out_of.get(u, ()):
+                old = best.get(v)
+                if old is None or (d + c, e) < old:
+                    best[v] = (d + c, e)
+                    changed[v, int(vb != block)] = None
+                    if vb == block and (old is None or d + c < old[0]):
+                        heappush(heap, (d + c, v))
+        rows += [(source, v, *best[v], outside) for v, outside in changed]
+    return frame(rows, columns)
+
+
+def relaxed_tree(edges: DataFrame, sources: DataFrame, cost: str = "cost", block_nodes: int = 4096, max_rounds: int = 10_000) -> DataFrame:
     """``(source, node, cost, edge_id)`` of all nodes reachable from each of ``sources``, by rounds of joins.
 
-    ``edge_id`` is the last edge of the path, null at the source itself.  Each
-    round extends only the nodes that the round before improved.
+    ``edge_id`` is the last edge of the path, null at the source itself.  Nodes
+    form blocks of neighbouring ids.  A round brings each block that other
+    blocks improved to rest at once, so rounds follow the blocks that a path
+    crosses and not its edges, and reads only those blocks' edges.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "relax")
-    e = scratch.write(edges.select(F.col("source").alias("_s"), F.col("target").alias("_t"), "edge_id", F.col(cost).cast("double").alias("_c")).repartition("_s"))
+    block = lambda c: F.floor(F.col(c) / F.lit(block_nodes)).cast("long")
+    e = scratch.write(
+        edges.select(F.col("source").cast("long").alias("_s"), F.col("target").cast("long").alias("_t"), "edge_id", F.col(cost).cast("double").alias("_c"))
+        .withColumns({"_b": block("_s"), "_tb": block("_t")}).repartition("_b")
+    )
     start = sources.select(F.col("source").cast("long").alias("source")).distinct()
     best = scratch.write(start.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("edge_id"), F.lit(True).alias("new")))
     for _ in range(max_rounds):
+        placed = best.withColumn("_b", block("node"))
+        awake = scratch.write(placed.filter("new").select("_b").distinct())
+        if awake.isEmpty():
+            return best.drop("new")
         step = (
-            best.filter("new").join(e, F.col("node") == F.col("_s"))
-            .groupBy("source", F.col("_t").alias("node"))
-            .agg(F.min(F.struct((F.col("cost") + F.col("_c")).alias("cost"), e["edge_id"].alias("edge_id"))).alias("b"))
-            .select("source", "node", "b.cost", "b.edge_id", F.lit(1).alias("fresh"))
+            placed.join(awake, "_b", "left_semi").groupBy("_b")
+            .cogroup(e.join(awake, "_b", "left_semi").groupBy("_b"))
+            .applyInPandas(_settle_block, "source long, node long, cost double, edge_id string, outside int")
         )
-        both = best.select("source", "node", "cost", "edge_id", F.lit(0).alias("fresh")).unionByName(step)
+        both = best.select("source", "node", "cost", "edge_id", F.lit(-1).alias("outside")).unionByName(step)
         # Of equal costs the smaller edge id stays; the source itself (null) always does.
+        at = lambda k: F.min(F.when(F.col("outside") == k, F.col("cost")))
+        lower = lambda c: F.col(c).isNull() | (F.col("b.cost") < F.col(c))
         merged = scratch.write(
             both.groupBy("source", "node")
-            .agg(
-                F.min(F.struct("cost", F.coalesce("edge_id", F.lit("")).alias("edge_id"))).alias("b"),
-                F.min(F.when(F.col("fresh") == 0, F.col("cost"))).alias("old"),
-            )
-            .select("source", "node", "b.cost", F.nullif("b.edge_id", F.lit("")).alias("edge_id"), (F.col("old").isNull() | (F.col("b.cost") < F.col("old"))).alias("new"))
+            .agg(F.min(F.struct("cost", F.coalesce("edge_id", F.lit("")).alias("edge_id"))).alias("b"), at(-1).alias("old"), at(0).alias("own"))
+            .select("source", "node", "b.cost", F.nullif("b.edge_id", F.lit("")).alias("edge_id"), (lower("old") & lower("own")).alias("new"))
         )
         scratch.drop(best)
+        scratch.drop(awake)
         best = merged
-        if best.filter("new").isEmpty():
-            return best.drop("new")
     raise RuntimeError(f"distances did not settle within {max_rounds} rounds")
 
 

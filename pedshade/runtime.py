@@ -13,6 +13,7 @@ import shutil
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[app]}"
 
 
+def frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Rows for Spark, as plain objects: pandas' own string arrays can come in chunks, which Arrow structs refuse."""
+    return pd.DataFrame(rows, columns=columns, dtype=object)
+
+
 class Scratch:
     """Tables of one operator call, written below :func:`shared_dir`."""
 

@@ -72,6 +72,10 @@ def test_both_strategies_equal_brute_force(spark):
             assert sum(cost[e][3] for e in r.edge_ids) == (r.total_cost or 0)
             assert [cost[e][1] for e in r.edge_ids] + r.nodes[-1:] == r.nodes or not r.edge_ids
     assert results[0] == results[1]
+    for size in (1, 3, 7):
+        tree = routing.relaxed_tree(df, od, "cost", size).collect()
+        want = {(s, n): c for s in {r.source for r in od.collect()} for n, c in dijkstra(edges, s).items()}
+        assert {(r.source, r.node): r.cost for r in tree} == want
     for r in od.collect():
         best = dijkstra(edges, r.source)
         want = best.get(r.target)
