@@ -25,8 +25,8 @@ SHARDS = 24
 ROUNDS = 4
 
 
-def ranked(df: DataFrame, cls: Column, order: list[Column], scratch: Scratch) -> DataFrame:
-    """``df`` with ``_class`` and each row's gapless rank within its class as ``_rank``.
+def ranked(df: DataFrame, cls: Column, order: list[Column], scratch: Scratch) -> tuple[DataFrame, dict[int, int]]:
+    """``df`` with ``_class`` and each row's gapless rank within its class as ``_rank``; and the classes' row counts.
 
     Rows are sorted by range, so a class of any size spreads over the
     cluster; only one count for each range and class goes to the driver.
@@ -50,11 +50,12 @@ def ranked(df: DataFrame, cls: Column, order: list[Column], scratch: Scratch) ->
         offsets.append((c, p, seen.get(c, 0) - first))
         seen[c] = seen.get(c, 0) + k
     table = spark.createDataFrame(offsets, "_class long, _range long, _off long")
-    return (
+    out = (
         sorted_.join(F.broadcast(table), ["_class", "_range"])  # a row for each range and class at most
         .withColumn("_rank", F.col("_at") + F.col("_off"))
         .drop("_at", "_off", "_range")
     )
+    return out, seen
 
 
 def quotas(asked: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,9 +110,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
         F.xxhash64(text).alias("_g1"),
         F.xxhash64(F.lit(1), text).alias("_g2"),
     )
-    rows = ranked(rows, F.lit(0), [F.col("_key"), F.col("_g1"), F.col("size")], scratch)
-    rows = scratch.write(rows.withColumnRenamed("_rank", "_i").drop("_class"))
-    total = rows.count()
+    rows, count = ranked(rows, F.lit(0), [F.col("_key"), F.col("_g1"), F.col("size")], scratch)
+    rows = rows.withColumnRenamed("_rank", "_i").drop("_class")
+    total = count.get(0, 0)
     part = max(1, 3 * total // (4 * shards))
     groups = (
         rows.groupBy("_g1", "_g2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -133,13 +134,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
         # Rows without a part get a key of their own, so that they spread.
         spread = F.coalesce("_part", F.xxhash64("_key", "_i"))
         aims = state.join(best, (spread == F.col("_of")) & F.col("_part").isNotNull(), "left").drop("_of")
-        aims = scratch.write(aims.withColumn("_to", F.coalesce("_to", F.lit(shards).cast("long"))))
+        aims = aims.withColumn("_to", F.coalesce("_to", F.lit(shards).cast("long")))
+        # A class for each shard and the shard its rows ask for, or none: at most shards * (shards + 1).
+        lined, count = ranked(aims, F.col("shard") * (shards + 1) + F.col("_to"), [F.col("_part"), F.col("_key"), F.col("_i")], scratch)
         asked, free = np.zeros((shards, shards), np.int64), np.zeros(shards, np.int64)
-        for r in aims.groupBy("shard", "_to").agg(F.count(F.lit(1)).alias("n")).collect():  # shards^2 rows at most
-            if r["_to"] == shards:
-                free[r["shard"]] = r["n"]
-            elif r["_to"] != r["shard"]:
-                asked[r["shard"], r["_to"]] = r["n"]
+        for c, n in count.items():
+            s, t = divmod(c, shards + 1)
+            if t == shards:
+                free[s] = n
+            elif t != s:
+                asked[s, t] = n
         granted, moves = quotas(asked, free)
         if not granted.any():
             break
@@ -151,19 +155,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
                 ranges.append((s * (shards + 1) + shards, at, at + int(moves[s, t]), t))
                 at += int(moves[s, t])
         table = spark.createDataFrame(ranges, "_class long, _lo long, _hi long, _new long")
-        lined = ranked(aims, F.col("shard") * (shards + 1) + F.col("_to"), [F.col("_part"), F.col("_key"), F.col("_i")], scratch)
         moved = lined.join(
             F.broadcast(table),  # at most shards * (2 shards + 1) rows
             (lined["_class"] == table["_class"]) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")),
             "left",
         ).drop("_class", "_rank", "_lo", "_hi", "_to")
-        after = scratch.write(moved.withColumn("shard", F.coalesce("_new", "shard")).drop("_new"))
-        scratch.drop(aims)
-        scratch.drop(state)
-        state = after
+        state = moved.withColumn("shard", F.coalesce("_new", "shard")).drop("_new")
         if (granted == asked).all():
             break
-    out = ranked(state, F.col("shard"), [F.col("_key"), F.col("_i")], scratch)
+        state = scratch.write(state)
+    out, _ = ranked(state, F.col("shard"), [F.col("_key"), F.col("_i")], scratch)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
         F.col("_rank").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group_parts",
