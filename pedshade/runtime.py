@@ -74,7 +74,8 @@ class Scratch:
         """Writes ``df`` and returns the written table, whose plan is one scan."""
         self._n += 1
         path = f"{self.base}/{self._n}"
-        df.write.parquet(path)
+        # zstd's writers free their buffers when they close; snappy's wait for the garbage collector.
+        df.write.option("compression", "zstd").parquet(path)
         # The schema is known, so no job is needed to infer it.
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
