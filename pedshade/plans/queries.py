@@ -117,7 +117,7 @@ def graph_contract(s, d):
 
 
 @query(with_views("road_edges") + """, c AS (SELECT source, target, count(*) AS n FROM road_edges GROUP BY 1, 2)
-SELECT count_if(n > 1) AS parallel_pairs, CAST(sum(n - 1) AS BIGINT) AS surplus_edges FROM c""")
+SELECT count(CASE WHEN n > 1 THEN 1 END) AS parallel_pairs, CAST(sum(n - 1) AS BIGINT) AS surplus_edges FROM c""")
 def parallel_edge_counts(s, d):
     c = edges_of(s, d).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
     return c.agg(F.count_if(F.col("n") > 1).alias("parallel_pairs"), F.sum(F.col("n") - 1).alias("surplus_edges"))
@@ -175,7 +175,7 @@ def edge_costs_unchecked(s, d):
 
 def _profile_sql(c: str) -> str:
     return f"""SELECT '{c}' AS field, count(*) AS n, round(min({c}), 6) AS min, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median, round(max({c}), 6) AS max,
- round(stddev_pop({c}), 6) AS std, count_if({c} = 0) AS zeros, count_if({c} = 1) AS ones, count(DISTINCT {c}) AS n_values FROM road_edges"""
+ round(stddev_pop({c}), 6) AS std, count(CASE WHEN {c} = 0 THEN 1 END) AS zeros, count(CASE WHEN {c} = 1 THEN 1 END) AS ones, count(DISTINCT {c}) AS n_values FROM road_edges"""
 
 
 @query(with_views("road_edges") + " " + " UNION ALL ".join(_profile_sql(c) for c in ("green_score", "water_penalty", "shade_1200")))
@@ -497,7 +497,7 @@ def path_equality(s, d):
     return routes.path_equality(paths_of(s, d))
 
 
-@query(_ROUTES + " SELECT 0 AS od_id, '' AS mode, 0 AS seq, '' AS edge_id FROM total WHERE cost < 0")
+@query(_ROUTES + " SELECT CAST(0 AS BIGINT) AS od_id, '' AS mode, 0 AS seq, '' AS edge_id FROM total WHERE cost < 0")
 def path_continuity(s, d):
     return routes.continuity_violations(paths_of(s, d), edges_of(s, d))
 
@@ -519,8 +519,8 @@ _TESTS = {
 _AB = "SELECT *, average_exposure_reduction AS a, exposure_load_reduction AS b FROM comp"
 
 
-@query(_ROUTES + _COMPARE + f", q AS ({_AB}) SELECT mode, count(*) AS total, " + ", ".join(f"count_if({t}) AS {n}" for n, t in _TESTS.items()) + ", "
-       + ", ".join(f"count_if({t}) / CAST(count(*) AS DOUBLE) AS {n}_rate" for n, t in _TESTS.items()) + " FROM q GROUP BY mode")
+@query(_ROUTES + _COMPARE + f", q AS ({_AB}) SELECT mode, count(*) AS total, " + ", ".join(f"count(CASE WHEN {t} THEN 1 END) AS {n}" for n, t in _TESTS.items()) + ", "
+       + ", ".join(f"count(CASE WHEN {t} THEN 1 END) / CAST(count(*) AS DOUBLE) AS {n}_rate" for n, t in _TESTS.items()) + " FROM q GROUP BY mode")
 def improvement_counts(s, d):
     return evaluation.improvements(comparisons_of(s, d))
 
@@ -531,8 +531,8 @@ _T3 = {"average_reduced": "a > 0", "load_reduced": "b > 0", "both_reduced": "a >
 @query(_ROUTES + _COMPARE + f", q AS ({_AB})," + """ t(field, threshold) AS (VALUES ('extra_distance_pct', 5e0), ('extra_distance_pct', 10e0), ('extra_distance_pct', 15e0), ('extra_distance_pct', 25e0),
  ('extra_walking_min', 1e0), ('extra_walking_min', 3e0), ('extra_walking_min', 5e0)),
 x AS (SELECT *, CASE field WHEN 'extra_distance_pct' THEN coalesce(extra_distance_pct, 0) ELSE extra_walking_min END <= threshold AS ok FROM q CROSS JOIN t)
-SELECT mode, field, threshold, count_if(ok) AS eligible, count_if(ok) / CAST(count(*) AS DOUBLE) AS eligible_rate, """
-       + ", ".join(f"count_if(ok AND {t}) AS {n}, count_if(ok AND {t}) / nullif(CAST(count_if(ok) AS DOUBLE), 0) AS {n}_rate" for n, t in _T3.items()) + " FROM x GROUP BY mode, field, threshold")
+SELECT mode, field, threshold, count(CASE WHEN ok THEN 1 END) AS eligible, count(CASE WHEN ok THEN 1 END) / CAST(count(*) AS DOUBLE) AS eligible_rate, """
+       + ", ".join(f"count(CASE WHEN ok AND {t} THEN 1 END) AS {n}, count(CASE WHEN ok AND {t} THEN 1 END) / nullif(CAST(count(CASE WHEN ok THEN 1 END) AS DOUBLE), 0) AS {n}_rate" for n, t in _T3.items()) + " FROM x GROUP BY mode, field, threshold")
 def threshold_sweep(s, d):
     return evaluation.threshold_sweep(comparisons_of(s, d))
 
@@ -747,7 +747,7 @@ def latest_requests(s, d):
     return state.latest(load(s, d, "ui_events"), "session_id", ["ts", "event_id"]).select("session_id", F.col("event_id").alias("latest"))
 
 
-@query(with_views("stations") + " SELECT count_if(name IS NULL) AS null_name, count_if(location IS NULL) AS null_location, count_if(lon IS NULL) AS null_lon FROM stations")
+@query(with_views("stations") + " SELECT count(CASE WHEN name IS NULL THEN 1 END) AS null_name, count(CASE WHEN location IS NULL THEN 1 END) AS null_location, count(CASE WHEN lon IS NULL THEN 1 END) AS null_lon FROM stations")
 def column_nulls(s, d):
     st = load(s, d, "stations")
     return st.agg(*[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in ("name", "location", "lon")])
@@ -835,13 +835,13 @@ def building_shade(s, d):
 w AS (SELECT od_id, max(p) FILTER (mode = 'fastest') = max(p) FILTER (mode = 'coolest') AS same FROM l GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY same ORDER BY od_id) AS nth FROM w)
 SELECT od_id, same, nth FROM k WHERE nth <= CASE WHEN same THEN 2 ELSE 3 END""")
 def route_cases(s, d):
-    return evaluation.find_cases(paths_of(s, d))
+    return evaluation.find_cases(paths_of(s, d)).withColumn("nth", F.col("nth").cast("long"))
 
 
 @query(_ROUTES + """, l AS (SELECT t.od_id, t.mode, coalesce(string_agg(edge_id, ',' ORDER BY seq), '') AS p FROM total t LEFT JOIN steps USING (od_id, mode) GROUP BY 1, 2),
 w AS (SELECT od_id, max(p) FILTER (mode = 'fastest') AS f, max(p) FILTER (mode = 'balanced') AS b, max(p) FILTER (mode = 'coolest') AS c FROM l GROUP BY 1)
-SELECT count(*) AS total, count_if(f = b) AS fastest_equals_balanced, count_if(f = c) AS fastest_equals_coolest, count_if(b = c) AS balanced_equals_coolest, count_if(f = b AND f = c) AS all_equal,
- count_if(NOT (f = b AND f = c)) AS not_all_equal FROM w""")
+SELECT count(*) AS total, count(CASE WHEN f = b THEN 1 END) AS fastest_equals_balanced, count(CASE WHEN f = c THEN 1 END) AS fastest_equals_coolest, count(CASE WHEN b = c THEN 1 END) AS balanced_equals_coolest, count(CASE WHEN f = b AND f = c THEN 1 END) AS all_equal,
+ count(CASE WHEN NOT (f = b AND f = c) THEN 1 END) AS not_all_equal FROM w""")
 def equality_summary(s, d):
     out = evaluation.equality_summary(routes.path_equality(paths_of(s, d)))
     return out.select("total", "fastest_equals_balanced", "fastest_equals_coolest", "balanced_equals_coolest", "all_equal", "not_all_equal")

@@ -9,6 +9,7 @@ its own when the setting is missing.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -20,6 +21,19 @@ from pyspark.sql import functions as F
 _LOCAL: dict[str, str] = {}
 
 
+def ensure_importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package wherever the driver was started from.
+
+    The folder that holds the package joins the workers' module path; machines
+    that have a copy elsewhere keep their own path as well.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def local_session(cores: int | str = "*", app: str = "pedshade", partitions: int = 8) -> SparkSession:
     """A session for one machine: tests and the benchmark."""
     spark = (
@@ -34,6 +48,7 @@ def local_session(cores: int | str = "*", app: str = "pedshade", partitions: int
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_importable(spark)
     return spark
 
 
