@@ -440,12 +440,19 @@ _COMPARE = _METRICS + ", comp AS (SELECT m.od_id, m.mode, " + ", ".join(f"round(
 FROM metrics m JOIN metrics f ON f.od_id = m.od_id AND f.mode = 'fastest' WHERE m.mode <> 'fastest')"""
 
 
+def routed(s, d, od="od_pairs"):
+    """(paths, edges), both written: the edges are a view over other tables, and both are read more than once."""
+    scratch = Scratch(s, "routes")
+    edges = scratch.write(edges_of(s, d))
+    return scratch.write(routes.route_bundle(load(s, d, od), edges, NOON)), edges
+
+
 def paths_of(s, d, od="od_pairs"):
-    return routes.route_bundle(load(s, d, od), edges_of(s, d), NOON)
+    return routed(s, d, od)[0]
 
 
 def metrics_of(s, d):
-    return routes.route_metrics(paths_of(s, d), edges_of(s, d), NOON)
+    return routes.route_metrics(*routed(s, d), NOON)
 
 
 def comparisons_of(s, d):
@@ -466,7 +473,7 @@ def route_paths(s, d):
 
 @query(_ROUTES + _METRICS + " SELECT od_id, mode, edge_count, " + ", ".join(f"round({n}, 6) AS {n}" for n in _METRIC_NAMES) + ", '12:00' AS scenario FROM metrics")
 def route_metrics(s, d):
-    return routes.route_metrics(paths_of(s, d), edges_of(s, d), NOON, digits=6)
+    return routes.route_metrics(*routed(s, d), NOON, digits=6)
 
 
 @query(_ROUTES + _COMPARE + " SELECT od_id, mode, " + ", ".join(_COMPARED) + " FROM comp")
@@ -485,8 +492,8 @@ def detour_guard(s, d):
 p AS (SELECT od_id, mode, seq + 1 AS k, blon AS lon, blat AS lat FROM g UNION ALL SELECT od_id, mode, 0, alon, alat FROM g WHERE seq = 0)
 SELECT od_id, mode, CAST(k AS INTEGER) AS k, lon, lat FROM p""")
 def route_geometry(s, d):
-    nodes, edges = nodes_of(s, d), edges_of(s, d)
-    lines = routes.route_geometry(paths_of(s, d), routes.edge_geometry(edges, nodes))
+    paths, edges = routed(s, d)
+    lines = routes.route_geometry(paths, routes.edge_geometry(edges, nodes_of(s, d)))
     return lines.select("od_id", "mode", F.posexplode("geometry").alias("k", "p")).select("od_id", "mode", "k", "p.lon", "p.lat")
 
 
@@ -499,7 +506,7 @@ def path_equality(s, d):
 
 @query(_ROUTES + " SELECT CAST(0 AS BIGINT) AS od_id, '' AS mode, 0 AS seq, '' AS edge_id FROM total WHERE cost < 0")
 def path_continuity(s, d):
-    return routes.continuity_violations(paths_of(s, d), edges_of(s, d))
+    return routes.continuity_violations(*routed(s, d))
 
 
 _FIELDS = ["distance_m", "walking_s", "average_exposure", "exposure_load", "green_indicator", "water_access", "edge_count"]
