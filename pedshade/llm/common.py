@@ -21,6 +21,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of rows that Spark hands to a Python worker at once; Spark's default is 64 MB.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(docs: DataFrame) -> DataFrame:
+    """``docs``; the session's Arrow batches shrink to ``BATCH_BYTES`` unless they were set by hand.
+
+    A worker holds a batch several times over, as bytes, values and results.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH) == "67108864b":
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
+    return docs
+
+
 def key_of(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
 

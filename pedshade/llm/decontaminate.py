@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pedshade.llm.common import in_blocks, mix64, utf8, word_hashes
+from pedshade.llm.common import bound_batches, in_blocks, mix64, utf8, word_hashes
 
 #: Word positions that a seed reads.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 2, 3, 4))
@@ -105,7 +105,7 @@ class Seeds:
 
 def benchmark_slices(benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> list[DataFrame]:
     """The items with text in slices of about ``slice_bytes``; one item is never cut."""
-    items = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(
+    items = bound_batches(benchmark).filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(
         F.col("item_id").cast("long").alias("item_id"), utf8().alias("text")
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pedshade.llm.common import in_blocks, key_of, mix64, utf8
+from pedshade.llm.common import bound_batches, in_blocks, key_of, mix64, utf8
 
 SPAN = 12
 BINS = 64
@@ -250,7 +250,7 @@ def document_fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> Da
     before as well.  There are at most ``MOST_RANGES`` ranges and first rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(key_of().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
+    rows = bound_batches(docs).select(key_of().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     want = int(min(MOST_RANGES, max(1, -(-total // range_bytes))))
     keys = rows.select("key")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pedshade.llm.common import in_blocks, load64, mix64, utf8
+from pedshade.llm.common import bound_batches, in_blocks, load64, mix64, utf8
 
 DIMENSIONS = 4096
 ORDERS = (1, 2, 3, 4)
@@ -156,7 +156,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_AL
     languages, and ``in_all`` lowers it where there are many.  None if no
     document qualifies.
     """
-    pool = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    pool = bound_batches(docs).filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None

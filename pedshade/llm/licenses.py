@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pedshade.llm.common import in_blocks, utf8
+from pedshade.llm.common import bound_batches, in_blocks, utf8
 
 #: Phrases whose places are counted, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -193,4 +193,4 @@ def license_scan(docs: DataFrame) -> DataFrame:
     readable identifier tag.  A null doc_id is kept; repeated rows come out
     repeated; an empty table gives an empty one.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(_scan_batches, _SCHEMA)
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(_scan_batches, _SCHEMA)

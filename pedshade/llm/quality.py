@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pedshade.llm.common import in_blocks, utf8, word_hashes
+from pedshade.llm.common import bound_batches, in_blocks, utf8, word_hashes
 from pedshade.runtime import Scratch
 
 TARGETS = ("quality", "toxic")
@@ -200,7 +200,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sam
     """
     scratch = Scratch(docs.sparkSession, "quality")
     models = train(docs, labels, sample)
-    rows = docs.select(
+    rows = bound_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(host.cast("string"), F.lit("\0")).alias("host"),
         F.coalesce(path.cast("string"), F.lit("\0")).alias("path"),

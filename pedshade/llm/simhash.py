@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pedshade.llm.common import bounds, in_blocks, key_of, utf8, whole_groups
+from pedshade.llm.common import bound_batches, bounds, in_blocks, key_of, utf8, whole_groups
 from pedshade.operators.components import connected_components, label_min
 from pedshade.runtime import Scratch
 
@@ -105,7 +105,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp)`` of whole texts; null and empty texts have fingerprint zero."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(
         _fingerprint_batches, "doc_id long, fp long"
     )
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pedshade.llm.common import NULL_ID, bounds, in_blocks, key_of, load64, mix64, utf8
+from pedshade.llm.common import NULL_ID, bound_batches, bounds, in_blocks, key_of, load64, mix64, utf8
 from pedshade.llm.suffix import permuted_lcp, suffix_array
 from pedshade.runtime import Scratch
 
@@ -368,7 +368,7 @@ def removed_from(text: bytes, spans: list) -> tuple[bytes, int, int]:
 def removed_spans(docs: DataFrame, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
     """``(texts, spans)``: texts (key, text) dealt by key, and spans (key, a, b) to remove, which may overlap."""
     spark = docs.sparkSession
-    rows = docs.select(key_of().alias("key"), utf8().alias("text"))
+    rows = bound_batches(docs).select(key_of().alias("key"), utf8().alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Partitions of the texts hold about so many bytes, whatever the session's setting.
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))

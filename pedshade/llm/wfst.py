@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pedshade.llm.common import in_blocks, utf8
+from pedshade.llm.common import bound_batches, in_blocks, utf8
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -325,7 +325,7 @@ def encode(docs: DataFrame, model: bytes, keep: list[Column] | None = None) -> D
     """
     row = F.struct(*(keep or [F.col(f"`{c}`") for c in docs.columns])).alias("row")
     schema = docs.select(row).schema["row"].dataType.simpleString()
-    return docs.select(row, utf8().alias("text")).mapInArrow(_encoder(model), f"row {schema}, ids array<int>")
+    return bound_batches(docs).select(row, utf8().alias("text")).mapInArrow(_encoder(model), f"row {schema}, ids array<int>")
 
 
 def _decoder(model: bytes):
@@ -376,7 +376,7 @@ def encode_digests(docs: DataFrame, model: bytes) -> DataFrame:
     holds U+2581, which decodes as a space.  A null doc_id is kept; repeated
     rows come out repeated; an empty table gives an empty one.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(
         _digests(model),
         "doc_id long, n_chars long, n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean",
     )
