@@ -100,14 +100,15 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             flat += shingle_hashes(v)
             cuts.append(len(flat))
         fp = bit_majority(np.array(flat, np.uint64), np.array(cuts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fp)], names=["doc_id", "fp"])
+        kept = [n for n in rows.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*map(rows.column, kept), pa.array(fp)], names=[*kept, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` of whole texts; null and empty texts have fingerprint zero."""
-    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(
-        _fingerprint_batches, "doc_id long, fp long"
-    )
+    """``(doc_id, same, fp)`` of whole texts; null and empty texts have fingerprint zero, equal texts equal ``same``."""
+    return bound_batches(docs).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same"), utf8().alias("text")
+    ).mapInArrow(_fingerprint_batches, "doc_id long, same long, fp long")
 
 
 @lru_cache(maxsize=1)
@@ -288,14 +289,21 @@ def simhash_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, less all but one of each linked set.
 
-    The row with the smallest doc_id stays; of repeated rows with that id, one.
+    The row with the smallest doc_id stays, one with a null doc_id only where
+    the set has no other; of rows that share that id, one.
     """
-    groups = simhash_groups(docs, threshold)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(key_of().alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    stay = Scratch(docs.sparkSession, "simhash").write(stay)
-    rows = docs.select(key_of().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = rows.join(stay.select("key").hint("shuffle_hash"), "key", "left_semi")
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.write(fingerprints(docs))
+    # A row is known by its doc_id and text, since documents that don't link may share an id.
+    rows_of = prints.groupBy("fp", "doc_id", "same").agg(F.count(F.lit(1)).alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), key_of().alias("key"), "same", "n")
+    distinct = scratch.write(rows_of.groupBy("fp").agg(F.min(first).alias("first")))
+    members = connected_components(fingerprint_links(distinct, threshold))
+    sets = distinct.join(members, distinct.fp == members.node, "left").groupBy(F.coalesce("component", "fp").alias("component"))
+    stay = scratch.write(sets.agg(F.min("first").alias("first")).select("first.key", "first.same", "first.n"))
+    rows = docs.select(key_of().alias("key"), F.xxhash64("text").alias("same"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(stay.select("key", "same").hint("shuffle_hash"), ["key", "same"], "left_semi")
     if not stay.filter("n > 1").isEmpty():
-        order = Window.partitionBy("key").orderBy(F.xxhash64(F.col("row").cast("string")))
+        order = Window.partitionBy("key", "same").orderBy(F.xxhash64(F.col("row").cast("string")))
         kept = kept.withColumn("nth", F.row_number().over(order)).filter("nth = 1")
     return kept.select("row.*")

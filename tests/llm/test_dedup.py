@@ -92,6 +92,18 @@ def test_simhash_empty_and_stage(empty, docs, rows):
     assert len(ids) == len(set(ids)) == len({c for _, c in groups})
 
 
+def test_keep_one_chooses_by_set_not_by_id(spark):
+    """Unlinked documents may share a doc_id, null or not, and each set keeps one row."""
+    say = lambda seed: " ".join(random.Random(seed).choices([f"word{k}" for k in range(500)], k=80))
+    rows = [(None, say(1)), (None, say(2)), (None, say(2)), (5, say(3)), (5, say(4)), (6, say(5)), (7, say(6)), (6, say(6)), (None, say(7)), (8, say(7)), (None, None)]
+    comp = brute_components([brute_fingerprint(t) for _, t in rows])
+    assert len(set(comp)) == 8
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    # Texts 5 and 6 share doc_id 6, text 6 also has 7; text 7 has null and 8.
+    want = [(None, say(1)), (None, say(2)), (5, say(3)), (5, say(4)), (6, say(5)), (6, say(6)), (8, say(7)), (None, None)]
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 def brute_removed(rows):
     """Bytes removed by doc_id, from the definition."""
     seen, spans = {}, defaultdict(set)
