@@ -77,6 +77,8 @@ class Seeds:
                 pair = np.unique(np.stack([self.item[seed], np.repeat(some[a : a + 4096], m) - self.at[seed]]), axis=1)
                 items.append(pair[0])
                 diagonals.append(pair[1])
+        if not items:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         both = np.unique(np.stack([np.concatenate(items), np.concatenate(diagonals)]), axis=1)
         return both[0], both[1]
 

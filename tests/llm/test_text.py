@@ -98,6 +98,16 @@ def test_decontamination_matches_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in want}
 
 
+def test_decontamination_seed_across_short_rows(spark):
+    """Rows too short for a seed that form a passage together neither match nor fail."""
+    passage = [f"quiz{k}" for k in range(20)]
+    rows = [(k, " ".join(passage[4 * k : 4 * k + 4])) for k in range(5)] + [(9, " ".join(passage))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.contaminated(docs, bench).collect()] == [(9, 1, 20, 0, 20)]
+    assert sorted(r.doc_id for r in decontaminate.keep_uncontaminated(docs, bench).collect()) == list(range(5))
+
+
 def test_decontamination_empty(docs, empty, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs, none).count() == 0
