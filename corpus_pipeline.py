@@ -41,9 +41,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, lang, source, n_pieces, piece_ids)`` of every document."""
+    """``(doc_id, lang, source, n_pieces, piece_ids, round_trip)`` of every document, the last whether its pieces decode to its text."""
     return encode(docs, read_model(), [F.col("doc_id"), F.col("lang"), F.col("source")]).select(
-        "row.*", F.coalesce(F.array_size("ids"), F.lit(0)).alias("n_pieces"), F.col("ids").alias("piece_ids")
+        "row.*", F.coalesce(F.array_size("ids"), F.lit(0)).alias("n_pieces"), F.col("ids").alias("piece_ids"), "round_trip"
     )
 
 

@@ -312,20 +312,29 @@ def _encoder(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(model)
         for rows, values in in_blocks(batches, "text"):
-            ids = [None if v is None else np.array(machine.encode(v.decode("utf-8", "replace")), np.int32) for v in values]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["row", "ids"])
+            ids, same = [], []
+            for v in values:
+                text = None if v is None else v.decode("utf-8", "replace")
+                pieces = None if text is None else machine.encode(text)
+                ids.append(None if text is None else np.array(pieces, np.int32))
+                same.append(None if text is None else machine.decode(pieces) == text)
+            arrays = [rows.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "ids", "round_trip"])
 
     return run
 
 
 def encode(docs: DataFrame, model: bytes, keep: list[Column] | None = None) -> DataFrame:
-    """``row`` (a struct of the columns in ``keep``, by default all) and ``ids`` of each whole text.
+    """``row`` (a struct of the columns in ``keep``, by default all), ``ids`` of each whole text and ``round_trip``.
 
-    Null text has null ids, empty text none.
+    ``round_trip`` tells whether the ids decode to the text again.  Null text
+    has null ids and a null round_trip, empty text no ids.
     """
     row = F.struct(*(keep or [F.col(f"`{c}`") for c in docs.columns])).alias("row")
     schema = docs.select(row).schema["row"].dataType.simpleString()
-    return bound_batches(docs).select(row, utf8().alias("text")).mapInArrow(_encoder(model), f"row {schema}, ids array<int>")
+    return bound_batches(docs).select(row, utf8().alias("text")).mapInArrow(
+        _encoder(model), f"row {schema}, ids array<int>, round_trip boolean"
+    )
 
 
 def _decoder(model: bytes):

@@ -292,3 +292,14 @@ def test_word_hashes_follow_words(texts):
     words = [w for t in texts for w in words_of(t)]
     assert len(h) == len(words) and [int(e) for e in ends] == list(np.cumsum([len(words_of(t)) for t in texts]))
     assert len(set(h.tolist())) == len(set(words))
+
+
+@pytest.mark.skipif(not os.path.exists(wfst.MODEL_PATH), reason="no tokenizer file here")
+def test_piece_stage_decodes(spark):
+    """Texts come back from their pieces, but for U+2581, which decodes as a space."""
+    import corpus_pipeline
+
+    texts = ["plain words", " two  spaces\n", "straße été 😀", "", None, "a\u2581b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
+    got = {r.doc_id: r.round_trip for r in corpus_pipeline.to_pieces(spark, df, "").collect()}
+    assert got == {0: True, 1: True, 2: True, 3: True, 4: None, 5: False}
