@@ -11,6 +11,8 @@ model weights alone can't tell which merges win, so arcs carry a constraint
 instead: two pieces may follow each other only if merging their joined string
 gives just these two.  A string has exactly one path all of whose neighbours
 agree, the merge order's own result; every other path weighs infinity.
+It is found by a depth-first search with backtracking, longest pieces first;
+tropical relaxation serves unigram models only.
 Constraints are compiled when a pair first occurs.
 
 Decoding is the inverse machine: piece bytes in a row, U+2581 as a space, the
