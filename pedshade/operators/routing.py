@@ -1,12 +1,17 @@
 """Weighted shortest paths over a directed multigraph.
 
-Two strategies give the same answers.  A graph up to ``MAX_BROADCAST_EDGES``
-goes to every executor as compressed adjacency arrays, and origins and
-destinations are searched partition by partition; beyond that size, distances
-relax over the edge table in rounds of joins.
-
-Of paths with equal cost the one whose last differing relaxation used the
-smaller edge id is taken, so results do not depend on heap order.
+Two strategies give the same answers.  A graph whose edges and bytes stay
+under ``MAX_BROADCAST_EDGES`` and ``MAX_BROADCAST_BYTES`` goes to every
+executor as compressed adjacency arrays, and origins and destinations are
+searched partition by partition; beyond that, distances relax over the edge
+table in rounds of joins.
+
+One rule decides between paths of equal cost, so that results depend neither
+on the strategy nor on the order of a heap.  Every node has a label (cost,
+level, edge id, prior node) and takes its least.  The level is 0 where the
+last edge raised the cost, else one more than the prior node's: on a plateau
+of edges that cost nothing, paths run outwards from where it is entered and
+never in a circle.
 """
 
 from __future__ import annotations
@@ -21,7 +26,8 @@ from pyspark.sql import functions as F
 
 from pedshade.runtime import Scratch, frame
 
-MAX_BROADCAST_EDGES = 5_000_000
+MAX_BROADCAST_EDGES = 1_000_000
+MAX_BROADCAST_BYTES = 128 << 20
 
 
 class Adjacency:
@@ -32,7 +38,7 @@ class Adjacency:
     """
 
     def __init__(self, edges: pd.DataFrame, modes: list[str]):
-        edges = edges.sort_values("edge_id", kind="stable").reset_index(drop=True)
+        edges = edges.sort_values(["edge_id", "source", "target"], kind="stable").reset_index(drop=True)
         src, dst = edges.source.to_numpy(), edges.target.to_numpy()
         self.nodes = np.unique(np.concatenate([src, dst])) if len(edges) else np.zeros(0, np.int64)
         s, t = np.searchsorted(self.nodes, src), np.searchsorted(self.nodes, dst)
@@ -59,11 +65,12 @@ class Adjacency:
     def search(self, source: int, targets: set[int], mode: str) -> tuple[dict[int, float], dict[int, int]]:
         """Costs of settled nodes, and the slot by which each was reached, until all targets are settled."""
         offsets, heads, rank, cost = self.lists(mode)
-        best, via, settled = {source: 0.0}, {source: -1}, set()
+        # Labels are (cost, level, edge rank); an edge raises the cost or the level, so nodes settle in their order.
+        best, via, settled = {source: (0.0, 0, -1)}, {source: -1}, set()
         left = set(targets)
-        heap = [(0.0, source)]
+        heap = [(0.0, 0, source)]
         while heap and left:
-            d, u = heappop(heap)
+            d, level, u = heappop(heap)
             if u in settled:
                 continue
             settled.add(u)
@@ -73,13 +80,13 @@ class Adjacency:
                 if v in settled:
                     continue
                 c = d + cost[e]
+                label = (c, level + 1 if c == d else 0, rank[e])
                 old = best.get(v)
-                if old is None or c < old:
-                    best[v], via[v] = c, e
-                    heappush(heap, (c, v))
-                elif c == old and via[v] >= 0 and rank[e] < rank[via[v]]:
-                    via[v] = e
-        return {t: best[t] for t in targets if t in settled}, via
+                if old is None or label < old:
+                    best[v], via[v] = label, e
+                    if old is None or label[:2] < old[:2]:
+                        heappush(heap, (c, label[1], v))
+        return {t: best[t][0] for t in targets if t in settled}, via
 
     def path(self, target: int, via: dict[int, int]) -> list[int]:
         slots = []
@@ -120,37 +127,64 @@ def _search_all(shared, modes: list[str]):
     return run
 
 
-def shortest_paths(od: DataFrame, edges: DataFrame, costs: dict[str, Column], max_edges: int = MAX_BROADCAST_EDGES) -> DataFrame:
+def _valid(cost: Column) -> Column:
+    return F.coalesce((cost >= 0) & (cost < F.lit(float("inf"))), F.lit(False))
+
+
+def shortest_paths(
+    od: DataFrame, edges: DataFrame, costs: dict[str, Column], max_edges: int = MAX_BROADCAST_EDGES, max_bytes: int = MAX_BROADCAST_BYTES
+) -> DataFrame:
     """``(od_id, mode, found, total_cost, edge_ids, nodes)`` for each row of ``od`` and mode.
 
     ``od`` has od_id, source and target; ``edges`` edge_id, source and target
     and what the ``costs`` expressions read.  A row whose source is its target
-    has an empty path of cost 0; unreachable rows have found false and a null
-    cost.  Costs must be finite and not negative.
+    has an empty path of cost 0; unreachable rows, and those with a null end,
+    have found false and a null cost.  A cost that is null, NaN, infinite or negative is an error, whatever
+    the strategy.
     """
     modes = list(costs)
-    priced = edges.select("edge_id", F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), *[c.alias(m) for m, c in costs.items()])
-    ods = od.select(*[F.col(c).cast("long").alias(c) for c in ("od_id", "source", "target")])
-    if edges.count() > max_edges:
-        parts = [relaxed_paths(ods, priced, m) for m in modes]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+    priced = edges.select("edge_id", F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), *[c.cast("double").alias(m) for m, c in costs.items()])
+    every = od.select(*[F.col(c).cast("long").alias(c) for c in ("od_id", "source", "target")])
+    ods = every.filter("source is not null and target is not null")
+    none = F.array().cast
+    nowhere = every.filter("source is null or target is null").select(
+        "od_id", F.explode(F.array(*map(F.lit, modes))).alias("mode"), F.lit(False).alias("found"), F.lit(None).cast("double").alias("total_cost"),
+        none("array<string>").alias("edge_ids"), none("array<bigint>").alias("nodes"),
+    )
+    # Edges and bytes are measured, and costs checked, before either strategy starts.
+    seen = priced.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("edge_id") + 24 + 8 * len(modes)), F.lit(0)).alias("size"),
+        *[F.count_if(~_valid(F.col(m))).alias(f"_bad_{m}") for m in modes],
+    ).first()
+    for m in modes:
+        if seen[f"_bad_{m}"]:
+            raise ValueError(f"costs of {m} must be finite and not negative")
+    if seen["n"] > max_edges or seen["size"] > max_bytes:
+        # Without a written table every mode's rounds would compute the costs again.
+        priced = Scratch(od.sparkSession, "priced").write(priced)
+        out = nowhere
+        for m in modes:
+            out = out.unionByName(relaxed_paths(ods, priced, m))
         return out
     spark = od.sparkSession
     shared = spark.sparkContext.broadcast(Adjacency(priced.toPandas(), modes))
     # Rows of one source meet in one task; sources spread over all cores.
     n = max(spark.sparkContext.defaultParallelism, 1)
-    return ods.repartition(n, "source").mapInPandas(_search_all(shared, modes), _PATHS)
+    return ods.repartition(n, "source").mapInPandas(_search_all(shared, modes), _PATHS).unionByName(nowhere)
+
+
+_TREE = "source long, node long, cost double, level long, edge_id string, prior long"
+#: A source's own label; the empty edge id comes before all others.
+_START = (0.0, 0, "", -(2**63))
 
 
 def _settle_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Relaxes one block of nodes to rest: ``left`` has its known costs, ``right`` the edges that leave its nodes.
+    """Relaxes one block of nodes to rest: ``left`` has its known labels, ``right`` the edges that leave its nodes.
 
     Returns improved rows of the block's own nodes (outside 0) and candidates
     for nodes of other blocks (outside 1).
     """
-    columns = ["source", "node", "cost", "edge_id", "outside"]
+    columns = [*(c.split()[0] for c in _TREE.split(", ")), "outside"]
     if not len(left) or not len(right):
         return frame([], columns)
     block = left["_b"].iloc[0]
@@ -159,93 +193,126 @@ def _settle_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out_of.setdefault(row[0], []).append(row[1:])
     rows = []
     for source, known in left.groupby("source", sort=False):
-        best = {n: (c, e or "") for n, c, e in zip(known["node"].tolist(), known["cost"].tolist(), known["edge_id"].tolist(), strict=True)}
+        best = {r[0]: r[1:] for r in zip(*(known[c].tolist() for c in ("node", "cost", "level", "edge_id", "prior")), strict=True)}
         fresh = known[known["new"]]
-        heap = sorted(zip(fresh["cost"].tolist(), fresh["node"].tolist(), strict=True))
+        heap = sorted(zip(fresh["cost"].tolist(), fresh["level"].tolist(), fresh["node"].tolist(), strict=True))
         changed: dict[tuple[int, int], None] = {}
         while heap:
-            d, u = heappop(heap)
-            if d > best[u][0]:
+            d, level, u = heappop(heap)
+            if (d, level) > best[u][:2]:
                 continue
             for v, c, e, vb in out_of.get(u, ()):
+                cost = d + c
+                label = (cost, level + 1 if cost == d else 0, e, u)
                 old = best.get(v)
-                if old is None or (d + c, e) < old:
-                    best[v] = (d + c, e)
+                if old is None or label < old:
+                    best[v] = label
                     changed[v, int(vb != block)] = None
-                    if vb == block and (old is None or d + c < old[0]):
-                        heappush(heap, (d + c, v))
+                    if vb == block and (old is None or label[:2] < old[:2]):
+                        heappush(heap, (cost, label[1], v))
         rows += [(source, v, *best[v], outside) for v, outside in changed]
     return frame(rows, columns)
 
 
 def relaxed_tree(edges: DataFrame, sources: DataFrame, cost: str = "cost", block_nodes: int = 4096, max_rounds: int = 10_000) -> DataFrame:
-    """``(source, node, cost, edge_id)`` of all nodes reachable from each of ``sources``, by rounds of joins.
-
-    ``edge_id`` is the last edge of the path, null at the source itself.  Nodes
-    form blocks of neighbouring ids.  A round brings each block that other
-    blocks improved to rest at once, so rounds follow the blocks that a path
-    crosses and not its edges, and reads only those blocks' edges.
+    """``(source, node, cost, level, edge_id, prior)`` of all nodes reachable from each of ``sources``, by rounds of joins.
+
+    ``edge_id`` is the last edge of the path and ``prior`` the node it leaves,
+    both null at the source itself.  Nodes form blocks of neighbouring ids.  A
+    round brings each block that other blocks improved to rest at once, so
+    rounds follow the blocks that a path crosses and not its edges, and reads
+    only those blocks' edges.  A cost that is null, NaN, infinite or negative
+    is an error, as are more than ``max_rounds`` rounds.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "relax")
     block = lambda c: F.floor(F.col(c) / F.lit(block_nodes)).cast("long")
+    c = F.col(cost).cast("double")
+    checked = F.when(_valid(c), c).otherwise(F.raise_error(F.lit(f"costs of {cost} must be finite and not negative")).cast("double"))
     e = scratch.write(
-        edges.select(F.col("source").cast("long").alias("_s"), F.col("target").cast("long").alias("_t"), "edge_id", F.col(cost).cast("double").alias("_c"))
+        edges.select(F.col("source").cast("long").alias("_s"), F.col("target").cast("long").alias("_t"), "edge_id", checked.alias("_c"))
         .withColumns({"_b": block("_s"), "_tb": block("_t")}).repartition("_b")
     )
-    start = sources.select(F.col("source").cast("long").alias("source")).distinct()
-    best = scratch.write(start.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("edge_id"), F.lit(True).alias("new")))
+    start = sources.select(F.col("source").cast("long").alias("source")).filter("source is not null").distinct()
+    zero = [F.lit(v).cast(t).alias(n) for v, t, n in zip(_START, ("double", "long", "string", "long"), ("cost", "level", "edge_id", "prior"), strict=True)]
+    best = scratch.write(start.select("source", F.col("source").alias("node"), *zero, F.lit(True).alias("new")))
+    label = ["cost", "level", "edge_id", "prior"]
     for _ in range(max_rounds):
         placed = best.withColumn("_b", block("node"))
         awake = scratch.write(placed.filter("new").select("_b").distinct())
         if awake.isEmpty():
-            return best.drop("new")
+            at = F.col("edge_id") == ""
+            return best.select("source", "node", "cost", "level", F.when(~at, F.col("edge_id")).alias("edge_id"), F.when(~at, F.col("prior")).alias("prior"))
         step = (
             placed.join(awake, "_b", "left_semi").groupBy("_b")
             .cogroup(e.join(awake, "_b", "left_semi").groupBy("_b"))
-            .applyInPandas(_settle_block, "source long, node long, cost double, edge_id string, outside int")
+            .applyInPandas(_settle_block, _TREE + ", outside int")
         )
-        both = best.select("source", "node", "cost", "edge_id", F.lit(-1).alias("outside")).unionByName(step)
-        # Of equal costs the smaller edge id stays; the source itself (null) always does.
-        at = lambda k: F.min(F.when(F.col("outside") == k, F.col("cost")))
-        lower = lambda c: F.col(c).isNull() | (F.col("b.cost") < F.col(c))
+        both = best.select("source", "node", *label, F.lit(-1).alias("outside")).unionByName(step)
+        # A node wakes its block where another block's label is below its own and what its block settled on.
+        at = lambda k: F.min(F.when(F.col("outside") == k, F.struct("cost", "level")))
+        lower = lambda c: F.col(c).isNull() | (F.struct("b.cost", "b.level") < F.col(c))
         merged = scratch.write(
-            both.groupBy("source", "node")
-            .agg(F.min(F.struct("cost", F.coalesce("edge_id", F.lit("")).alias("edge_id"))).alias("b"), at(-1).alias("old"), at(0).alias("own"))
-            .select("source", "node", "b.cost", F.nullif("b.edge_id", F.lit("")).alias("edge_id"), (lower("old") & lower("own")).alias("new"))
-        )
+            both.groupBy("source", "node").agg(F.min(F.struct(*label)).alias("b"), at(-1).alias("old"), at(0).alias("own"))
+            .select("source", "node", *[f"b.{c}" for c in label], (lower("old") & lower("own")).alias("new"))
+        )
         scratch.drop(best)
         scratch.drop(awake)
         best = merged
     raise RuntimeError(f"distances did not settle within {max_rounds} rounds")
 
 
-def relaxed_paths(od: DataFrame, priced: DataFrame, mode: str, max_rounds: int = 10_000) -> DataFrame:
-    """The result of :func:`shortest_paths` for one mode without a broadcast graph."""
+_WALK = "od_id long, source long, target long, total_cost double, at long, edge_ids array<string>, nodes array<long>"
+
+
+def _walk_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Walks paths back over one source's tree until they leave the block or reach the source."""
+    via = {n: (e, p) for n, e, p in zip(right["node"].tolist(), right["edge_id"].tolist(), right["prior"].tolist(), strict=True)}
+    rows = []
+    for od, source, target, cost, at, edges, nodes in zip(*(left[c.split()[0]].tolist() for c in _WALK.split(", ")), strict=True):
+        back_edges, back_nodes = [], []
+        while at != source and at in via:
+            edge, at = via[at]
+            back_edges.append(edge)
+            back_nodes.append(int(at))
+        rows.append((od, source, target, cost, int(at), back_edges[::-1] + list(edges), back_nodes[::-1] + list(nodes)))
+    return frame(rows, [c.split()[0] for c in _WALK.split(", ")])
+
+
+def relaxed_paths(od: DataFrame, priced: DataFrame, mode: str, block_nodes: int = 4096, max_rounds: int = 10_000) -> DataFrame:
+    """The result of :func:`shortest_paths` for one mode without a broadcast graph.
+
+    Paths are walked back a block of the tree at a time; a round moves every
+    open path out of the block it is in.  More than ``max_rounds`` rounds are
+    an error: no path is ever cut.
+    """
     scratch = Scratch(od.sparkSession, "paths")
-    tree = scratch.write(relaxed_tree(priced, od, mode))
+    tree = scratch.write(relaxed_tree(priced, od, mode, block_nodes, max_rounds))
     goals = od.join(tree.select("source", F.col("node").alias("target"), F.col("cost").alias("total_cost")), ["source", "target"], "left")
     walk = scratch.write(goals.select("od_id", "source", "target", "total_cost", F.col("target").alias("at"), F.array().cast("array<string>").alias("edge_ids"), F.array("target").alias("nodes")))
-    back = tree.join(priced.select("edge_id", F.col("source").alias("prior")), "edge_id").select(F.col("source").alias("_src"), F.col("node").alias("_node"), "prior", "edge_id")
+    block = F.floor(F.col("at") / F.lit(block_nodes)).cast("long")
+    back = tree.select(F.col("source").alias("_src"), "node", "edge_id", "prior", F.floor(F.col("node") / F.lit(block_nodes)).cast("long").alias("_b"))
+    open_ = F.col("total_cost").isNotNull() & (F.col("at") != F.col("source"))
+    steps = [walk]
     for _ in range(max_rounds):
-        open_ = (F.col("total_cost").isNotNull()) & (F.col("at") != F.col("source"))
-        if walk.filter(open_).isEmpty():
+        going = walk.filter(open_).withColumns({"_src": F.col("source"), "_b": block})
+        if going.isEmpty():
             break
-        stepped = walk.join(back, open_ & (F.col("source") == F.col("_src")) & (F.col("at") == F.col("_node")), "left")
-        after = scratch.write(
-            stepped.select(
-                "od_id", "source", "target", "total_cost", F.coalesce("prior", "at").alias("at"),
-                F.when(F.col("prior").isNull(), F.col("edge_ids")).otherwise(F.concat(F.array("edge_id"), "edge_ids")).alias("edge_ids"),
-                F.when(F.col("prior").isNull(), F.col("nodes")).otherwise(F.concat(F.array("prior"), "nodes")).alias("nodes"),
-            )
-        )
-        scratch.drop(walk)
-        walk = after
+        blocks = going.select("_src", "_b").distinct()
+        step = (
+            going.groupBy("_src", "_b")
+            .cogroup(back.join(blocks, ["_src", "_b"], "left_semi").groupBy("_src", "_b"))
+            .applyInPandas(_walk_block, _WALK)
+        )
+        walk = scratch.write(step)
+        steps.append(walk)
+    else:
+        raise RuntimeError(f"paths were not walked back within {max_rounds} rounds")
+    # Each path is closed in just one of the steps' tables.
+    done = od.sparkSession.read.schema(walk.schema).parquet(*[t._scratch_path for t in steps]).filter(~open_)
     same = F.col("source") == F.col("target")
     found = F.col("total_cost").isNotNull() | same
-    return walk.select(
+    return done.select(
         "od_id", F.lit(mode).alias("mode"), found.alias("found"), F.when(same, F.lit(0.0)).otherwise(F.col("total_cost")).alias("total_cost"),
         "edge_ids", F.when(found, F.col("nodes")).otherwise(F.array().cast("array<bigint>")).alias("nodes"),
     )
-
-

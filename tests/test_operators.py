@@ -89,10 +89,79 @@ def test_ties_take_the_smaller_edge(spark):
         assert routing.shortest_paths(od, df, {"m": F.col("cost")}, cap).first().edge_ids == ["b", "a"]
 
 
-def test_bad_costs_are_refused(spark):
-    df = spark.createDataFrame([("a", 1, 2, -1.0)], "edge_id string, source long, target long, cost double")
+EDGE_COST = "edge_id string, source long, target long, cost double"
+
+
+@pytest.mark.parametrize("cost", [-1.0, float("nan"), float("inf"), None])
+@pytest.mark.parametrize("cap", [10**6, 0])
+def test_bad_costs_are_refused(spark, cost, cap):
+    df = spark.createDataFrame([("a", 1, 2, cost), ("b", 2, 1, 1.0)], EDGE_COST)
     with pytest.raises(ValueError, match="negative"):
-        routing.shortest_paths(spark.createDataFrame([(1, 1, 2)], OD), df, {"m": F.col("cost")})
+        routing.shortest_paths(spark.createDataFrame([(1, 1, 2)], OD), df, {"m": F.col("cost")}, cap)
+    with pytest.raises(Exception, match="negative"):
+        routing.relaxed_tree(df, spark.createDataFrame([(1, 1, 2)], OD))
+
+
+def labelled_path(edges, source, target):
+    """The contract's path by a plain fixpoint of labels (cost, level, edge id, prior)."""
+    best = {source: (0.0, 0, "", None)}
+    moved = True
+    while moved:
+        moved = False
+        for e, a, b, c in edges:
+            if a in best and b != source:
+                cost = best[a][0] + c
+                label = (cost, best[a][1] + 1 if cost == best[a][0] else 0, e, a)
+                if b not in best or label < best[b]:
+                    best[b], moved = label, True
+    if target not in best:
+        return None
+    ids, at = [], target
+    while at != source:
+        ids.append(best[at][2])
+        at = best[at][3]
+    return best[target][0], ids[::-1]
+
+
+def test_one_contract_for_both_strategies(spark):
+    """Many small graphs side by side, with costs of zero, equal costs, parallel edges and loops."""
+    rnd = random.Random(11)
+    edges, ods, want = [], [], {}
+    for g in range(120):
+        costs = rnd.choice([(0.0,), (0.0, 1.0), (1.0,), (0.0, 1.0, 2.0), (1e16, 1.0, 0.0), (0.5, 0.25)])
+        nodes = [g * 50 + k for k in range(rnd.randint(2, 9))]
+        mine = [(f"{rnd.randrange(10)}e{g}:{k}", rnd.choice(nodes), rnd.choice(nodes), rnd.choice(costs)) for k in range(rnd.randint(1, 24))]
+        edges += mine
+        for _ in range(3):
+            od = len(ods)
+            ods.append((od, rnd.choice(nodes), rnd.choice(nodes)))
+            want[od] = labelled_path(mine, *ods[-1][1:])
+    # Two nodes in a circle of no cost, and a path over more blocks than a round walks.
+    edges += [("z1", 9001, 9002, 1.0), ("a2", 9002, 9003, 0.0), ("a1", 9003, 9002, 0.0)]
+    edges += [(f"l{k}", 10_000 + k, 10_001 + k, 1.0) for k in range(12)]
+    ods += [(len(ods), 9001, 9003), (len(ods) + 1, 10_000, 10_012), (len(ods) + 2, None, 9001), (len(ods) + 3, 9001, None)]
+    want |= {len(ods) - 4: (1.0, ["z1", "a2"]), len(ods) - 3: (12.0, [f"l{k}" for k in range(12)]), len(ods) - 2: None, len(ods) - 1: None}
+    df, od = spark.createDataFrame(edges, EDGE_COST), spark.createDataFrame(ods, OD)
+    ends = {e[0]: e[1:3] for e in edges}
+    for cap in (10**6, 0):
+        got = {r.od_id: r for r in routing.shortest_paths(od, df, {"m": F.col("cost")}, cap).collect()}
+        assert len(got) == len(ods)
+        for k, (_, s, t) in enumerate(ods):
+            same = s == t and s is not None
+            expected = (0.0, []) if same else want[k]
+            assert got[k].found == (expected is not None)
+            if expected is not None:
+                assert (got[k].total_cost, got[k].edge_ids) == expected, (cap, k)
+                assert got[k].nodes == [s, *(ends[e][1] for e in got[k].edge_ids)]
+
+
+def test_no_path_is_cut_at_the_cap(spark):
+    df = spark.createDataFrame([(f"l{k}", k, k + 1, 1.0) for k in range(12)], EDGE_COST)
+    od = spark.createDataFrame([(1, 0, 12)], OD)
+    row = routing.relaxed_paths(od, df.withColumnRenamed("cost", "m"), "m", block_nodes=2).first()
+    assert row.found and len(row.edge_ids) == 12
+    with pytest.raises(RuntimeError, match="rounds"):
+        routing.relaxed_paths(od, df.withColumnRenamed("cost", "m"), "m", block_nodes=1, max_rounds=5)
 
 
 def test_route_metrics(spark):
