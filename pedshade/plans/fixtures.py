@@ -57,12 +57,13 @@ SELECT c_custkey AS point_id,
        CAST(139.59 AS DOUBLE) + CAST((c_custkey * 7907) % (g.w * 10 + 200) AS DOUBLE) * CAST(0.0001 AS DOUBLE) AS lon,
        CAST(35.54 AS DOUBLE) + CAST((c_custkey * 104723) % (g.w * 10 + 200) AS DOUBLE) * CAST(0.0001 AS DOUBLE) AS lat
 FROM {customer} CROSS JOIN g""",
-    # One trip for each nation.
+    # One trip for each row of the street grid, from a node of that row; trips grow with the grid's side.
     "od_pairs": """
-WITH g AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS w, count(*) AS n FROM {part})
-SELECT CAST(n_nationkey AS BIGINT) AS od_id, (n_nationkey * 13) % g.n AS source,
-       ((n_nationkey * 13) % g.n + (n_nationkey % 9) * g.w + (n_nationkey * 5) % 11) % g.n AS target
-FROM {nation} CROSS JOIN g""",
+WITH g AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS w, count(*) AS n FROM {part}),
+rows_of AS (SELECT CAST(floor(CAST(p_partkey AS DOUBLE) / g.w) AS BIGINT) AS k, min(p_partkey) AS first FROM {part} CROSS JOIN g GROUP BY 1)
+SELECT k AS od_id, (first + (k * 13) % g.w) % g.n AS source,
+       ((first + (k * 13) % g.w) % g.n + (k % 9) * g.w + (k * 5) % 11) % g.n AS target
+FROM rows_of CROSS JOIN g""",
     # One trip for each station.
     "station_trips": """
 WITH g AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS w, count(*) AS n FROM {part})

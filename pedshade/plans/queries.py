@@ -400,14 +400,13 @@ r(src, mode, n, cost) USING KEY (src, mode, n) AS (
   WHERE p.cost IS NULL OR r.cost + e.cost < p.cost
   GROUP BY r.src, r.mode, e.target),
 dist AS MATERIALIZED (SELECT * FROM r),
+via AS MATERIALIZED (SELECT d.src, d.mode, d.n, arg_min(e.source, e.edge_id) AS source, min(e.edge_id) AS edge_id
+  FROM dist d JOIN es e ON e.mode = d.mode AND e.target = d.n JOIN dist a ON a.src = d.src AND a.mode = d.mode AND a.n = e.source
+  WHERE a.cost + e.cost = d.cost AND d.n <> d.src GROUP BY 1, 2, 3),
 back(od_id, src, mode, n, edge_id, hops) AS (
   SELECT o.od_id, o.source, d.mode, o.target, CAST(NULL AS VARCHAR), 0 FROM od_pairs o JOIN dist d ON d.src = o.source AND d.n = o.target
   UNION ALL
-  SELECT b.od_id, b.src, b.mode, via.source, via.edge_id, b.hops + 1
-  FROM back b JOIN (SELECT d.src, d.mode, d.n, arg_min(e.source, e.edge_id) AS source, min(e.edge_id) AS edge_id
-    FROM dist d JOIN es e ON e.mode = d.mode AND e.target = d.n JOIN dist a ON a.src = d.src AND a.mode = d.mode AND a.n = e.source
-    WHERE a.cost + e.cost = d.cost AND d.n <> d.src GROUP BY 1, 2, 3) via
-  ON via.src = b.src AND via.mode = b.mode AND via.n = b.n),
+  SELECT b.od_id, b.src, b.mode, via.source, via.edge_id, b.hops + 1 FROM back b JOIN via ON via.src = b.src AND via.mode = b.mode AND via.n = b.n),
 steps AS MATERIALIZED (SELECT b.od_id, b.mode, CAST(row_number() OVER (PARTITION BY b.od_id, b.mode ORDER BY b.hops DESC) - 1 AS INTEGER) AS seq, b.edge_id FROM back b WHERE b.hops > 0),
 total AS MATERIALIZED (SELECT o.od_id, d.mode, d.cost FROM od_pairs o JOIN dist d ON d.src = o.source AND d.n = o.target)"""
 _ROUTES = with_views("road_nodes", "road_edges", "od_pairs") + ", " + _PATHS
