@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -97,10 +98,6 @@ def bounds(sorted_values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [n]])
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def load64(buf: np.ndarray) -> np.ndarray:
     """Little-endian 64-bit word at every offset; ``buf`` needs 8 spare bytes."""
     return np.ndarray(len(buf) - 7, "<u8", buf, 0, (1,))
@@ -119,12 +116,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Bytes of text whose words are hashed at once; longer texts are cut between words.
+PIECE_BYTES = 4 << 20
+_BREAK = re.compile(rb"[\x00-\x2f:-@\[-`{-\x7f]")
+
+
+def pieces(raw: bytes, limit: int | None = None) -> Iterator[bytes]:
+    """A text's bytes in pieces of about ``limit``, cut where no word stands; a longer word stays whole."""
+    limit = limit or PIECE_BYTES
+    at = 0
+    while at < len(raw):
+        cut = _BREAK.search(raw, at + limit)
+        end = cut.start() if cut and at + limit < len(raw) else len(raw)
+        yield raw[at:end]
+        at = end
+
+
 def word_hashes(values: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and the words' cumulative count by text.
 
     A word is a run of ASCII letters and digits and non-ASCII characters after
     ASCII lower-casing; words of equal bytes have equal 64-bit hashes.
     """
+    if sum(len(v or b"") for v in values) <= PIECE_BYTES:
+        return _word_hashes(values)
+    hashes, ends = [], []
+    for v in values:
+        hashes += [_word_hashes([p])[0] for p in pieces(v or b"")]
+        ends.append(len(hashes))
+    sizes = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int64)
+    return np.concatenate([np.zeros(0, np.uint64), *hashes]), sizes[ends]
+
+
+def _word_hashes(values: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     raw = b"\0".join(v or b"" for v in values).lower() + bytes(16)
     buf = np.frombuffer(raw, np.uint8)
     is_word = _WORD[buf]

@@ -52,18 +52,27 @@ def words_of(text):
     return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def brute_leaks(rows, items):
-    found = set()
+def brute_passages(rows, items):
+    """(doc_id, item_id, equal words, first word, words) of each document's best alignment, by trying them all."""
+    texts = sorted({(k, b) for k, b in items})
+    out = []
     for i, t in rows:
         w = words_of(t)
-        for k, b in items:
+        best = {}
+        for k, b in texts:
             q = words_of(b)
             n, most = (13, 2) if len(q) >= 13 else (len(q), 1)
             if len(q) < 8:
                 continue
-            if any(sum(x != y for x, y in zip(w[a : a + n], q[c : c + n], strict=True)) <= most for a in range(len(w) - n + 1) for c in range(len(q) - n + 1)):
-                found.add((i, k))
-    return found
+            for d in range(-len(q), len(w)):
+                good = [c for c in range(max(0, -d), min(len(q), len(w) - d) - n + 1) if sum(w[c + d + j] != q[c + j] for j in range(n)) <= most]
+                inside = {c + j for c in good for j in range(n)}
+                if inside:
+                    equal = sum(w[c + d] == q[c] for c in inside)
+                    found = (-equal, min(inside) + d, max(inside) + 1 - min(inside))
+                    best[k] = min(best.get(k, found), found)
+        out += [(i, k, -f[0], f[1], f[2]) for k, f in best.items()]
+    return out
 
 
 def leak_fixture():
@@ -71,7 +80,8 @@ def leak_fixture():
     vocab = [f"w{k}é" if k % 5 == 0 else f"Word{k}" for k in range(300)]
     say = lambda n: [rnd.choice(vocab) for _ in range(n)]
     items = [(k, " ".join(say(n))) for k, n in enumerate([5, 8, 10, 12, 13, 20, 59, 59])]
-    items += [(20, items[5][1]), (None, "a b c d e f g h i"), (21, None)]
+    # A text under two ids, an id with two texts, a repeated row, an item whose passage stands in it twice.
+    items += [(20, items[5][1]), (4, items[6][1]), items[6], (22, f"{items[4][1]} between {items[4][1]}"), (None, "a b c d e f g h i"), (21, None)]
     rows = []
     for i in range(160):
         body = say(rnd.randint(0, 60))
@@ -84,18 +94,44 @@ def leak_fixture():
                 part[rnd.randrange(len(part))] = "changed" if part else ""
             body[len(body) // 2 : len(body) // 2] = part
         rows.append((i, rnd.choice([" ", ", ", "\n"]).join(body)))
-    return [*rows, (500, None), (501, ""), (None, items[6][1])], items
+    # Null ids with other texts, a repeated row, an id with two texts, one of them clean.
+    return [*rows, (500, None), (501, ""), (None, items[6][1]), (None, "nothing here"), rows[1], (3, "clean words"), (600, f"{items[6][1]} {items[6][1]}")], items
 
 
-def test_decontamination_matches_brute_force(spark):
+@pytest.mark.parametrize("step", [decontaminate.STEP, 7])
+def test_decontamination_matches_brute_force(spark, step, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HOT", 10)
     rows, items = leak_fixture()
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    want = brute_leaks(rows, [x for x in items if None not in x])
-    for size in (decontaminate.SLICE_BYTES, 300):
-        got = decontaminate.contaminated(docs, bench, size)
-        assert {(r.doc_id, r.item_id) for r in got.collect()} == want and got.count() == len(want)
+    want = brute_passages(rows, [x for x in items if None not in x])
+    assert len(want) > 50
+    if step < 10:  # the seeds of a long text come in steps
+        seeds = lambda: sorted(str(r) for b in decontaminate._seeds(None, 0, 8)(_batches(rows)) for r in b.to_pylist())
+        whole = seeds()
+        monkeypatch.setattr(decontaminate, "STEP", step)
+        assert seeds() == whole
+        return
+    got = decontaminate.contaminated(docs, bench)
+    assert Counter(map(tuple, got.collect())) == Counter(want)
     kept = decontaminate.keep_uncontaminated(docs, bench)
-    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in want}
+    bad = {r for r in rows if brute_passages([r], [x for x in items if None not in x])}
+    assert Counter(map(tuple, kept.collect())) == Counter(r for r in rows if r not in bad)
+
+
+def _batches(rows):
+    import pyarrow as pa
+
+    texts = [None if t is None else t.encode() for _, t in rows]
+    yield pa.RecordBatch.from_arrays([pa.array([i or 0 for i, _ in rows]), pa.array(range(len(rows)), pa.int64()), pa.array(texts, pa.binary())], names=["key", "same", "text"])
+
+
+def test_words_of_long_texts_in_pieces(monkeypatch):
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("abcXYZ09é. \n-") for _ in range(rnd.randint(0, 400))).encode() for _ in range(50)] + [None, b"", b"x" * 500]
+    want = common.word_hashes(texts)
+    monkeypatch.setattr(common, "PIECE_BYTES", 37)
+    got = common.word_hashes(texts)
+    assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
 
 
 def test_decontamination_seed_across_short_rows(spark):
