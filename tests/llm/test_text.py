@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -170,7 +171,7 @@ def test_encoding_equals_the_library(text):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     if "\x00" in text:
         text = text.replace("\x00", "")
-    assert m.encode(text) == library.encode(text)
+    assert m.encode(text).tolist() == library.encode(text)
     if wfst.SPACE not in text:
         assert m.decode(m.encode(text)) == text
 
@@ -199,6 +200,82 @@ def test_unigram_path_is_the_cheapest():
     assert m.encode("c")[-1] == 0 and m.decode(m.encode("ab ab")) == "ab ab"
 
 
+def remade(change, spec=b""):
+    """The model file with pieces changed by ``change(piece, type)`` and, if given, another normaliser."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for n, value in wfst._fields(wfst.read_model()):
+        if n == 1:
+            f = dict(wfst._fields(value))
+            piece, kind = f[1].decode(), f.get(3, 1)
+            body = varint(10) + varint(len(f[1])) + f[1] + bytes([21]) + f.get(2, bytes(4)) + bytes([24, change(piece, kind)])
+            out += varint(10) + varint(len(body)) + body
+        elif n == 3 and spec:
+            out += varint(26) + varint(len(spec)) + spec
+        else:
+            out += varint(n << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+@needs_model
+def test_user_defined_and_unused_pieces_equal_the_library():
+    import sentencepiece
+
+    own, unused = {"ing", "▁the", "12", "th"}, {"er", "▁and", "est"}
+    model = remade(lambda p, k: 4 if p in own else 5 if p in unused else k)
+    library, m = sentencepiece.SentencePieceProcessor(model_proto=model), wfst.Transducer(model)
+    rnd = random.Random(5)
+    parts = ["the", " and", "ing", "er", "est", "12", " ", "\n", "walk", "theatre", "é", "日", "th", "3"]
+    for _ in range(400):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 20)))
+        assert m.encode(text).tolist() == library.encode(text), text
+
+
+@needs_model
+@pytest.mark.parametrize("rules", ["nfkc", "nmt_nfkc_cf", "identity"])
+def test_compiled_normaliser_equals_the_library(rules):
+    import sentencepiece
+
+    made = sentencepiece.SentencePieceNormalizer(rule_name=rules)
+    made.SetProtoField("remove_extra_whitespaces", True) if hasattr(made, "SetProtoField") else None
+    spec = dict(wfst._fields(made.serialized_model_proto()))[3]
+    f = dict(wfst._fields(spec))
+    charsmap = f.get(2, b"")
+    size = b""
+    n = len(charsmap)
+    while n > 127:
+        size, n = size + bytes([n & 127 | 128]), n >> 7
+    for flags in (bytes([24, 1, 32, 1, 40, 1]), bytes([24, 0, 32, 1, 40, 1]), bytes([24, 1, 32, 0, 40, 1])):
+        model = remade(lambda p, k: k, bytes([18]) + size + bytes([n]) + charsmap + flags)
+        library, m = sentencepiece.SentencePieceProcessor(model_proto=model), wfst.Transducer(model)
+        rnd = random.Random(6)
+        alphabet = list(" \t\naAbBÄäﬁ①㍿ｶﾞ\u3000éé\u0301½Ⅳ…ß")
+        for _ in range(300):
+            text = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 25)))
+            assert m.encode(text).tolist() == library.encode(text), (flags, text)
+
+
+@needs_model
+def test_long_segments_and_parts(machine, monkeypatch):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rnd = random.Random(7)
+    texts = ["ab\n" * 350_000, "".join(rnd.choice("aeinrst") for _ in range(30_000)), "日本語" * 5000, "  two  spaces " * 500]
+    began = time.perf_counter()
+    first = machine.encode(texts[0])
+    assert time.perf_counter() - began < 10 and len(first) == 700_000
+    monkeypatch.setattr(wfst, "FLUSH", 50)
+    monkeypatch.setattr(wfst, "PART", 999)
+    for text in [texts[0][:3000], *texts[1:]]:
+        assert machine.encode(text).tolist() == library.encode(text) and machine.decode(machine.encode(text)) == text
+
+
 @needs_model
 def test_encode_tables(docs, empty, rows):
     model = wfst.read_model()
