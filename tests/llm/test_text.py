@@ -316,27 +316,80 @@ def test_license_expressions():
 
 # -- 9 ------------------------------------------------------------------------------------
 
+def plain_bins(text):
+    """The fingerprint's bins by definition: every span's polynomial modulo the prime, mixed, binned, least kept."""
+    prime, word = 2**31 - 1, 2**64
+    def mix(x):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % word
+        x = (x ^ x >> 29) * 0x9E3779B97F4A7C15 % word
+        return x ^ x >> 32
+    size = max(1, min(12, len(text) // 4))
+    least = [None] * 64
+    for at in range(max(1, len(text) - size + 1)):
+        h = 0
+        for base in fingerprint.BASES:
+            h = (h << 31) | sum((ord(c) + 1) * pow(base, j, prime) for j, c in enumerate(text[at : at + size])) % prime
+        h = mix((h + (size << 58)) % word if text else 0)
+        least[h & 63] = min(h >> 6, least[h & 63] if least[h & 63] is not None else word)
+    return [0xFFFF if v is None else min(v & 0xFFFF, 0xFFFE) for v in least]
+
+
+def plain_likeness(x, y):
+    some = [i for i in range(64) if x[i] != 0xFFFF or y[i] != 0xFFFF]
+    return sum(x[i] == y[i] for i in some) / max(1, len(some))
+
+
+def plain_row(text, after):
+    n, q = len(text), len(text) // 4
+    edited = text[: n - q] + after[:q]
+    a, b, c = plain_bins(text), plain_bins(edited), plain_bins(after)
+    as_hex = lambda bins: "".join(f"{v:04x}" for v in bins)
+    return (n, hashlib.sha256(edited.encode()).hexdigest(), as_hex(a), as_hex(b), plain_likeness(a, b), plain_likeness(a, c), len(os.path.commonprefix([text, edited])))
+
+
+_ROW = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_prefix")
+
+
+@pytest.mark.parametrize("piece", [fingerprint.PIECE_BYTES, 40])
+def test_pairs_of_texts_equal_brute_force(piece, monkeypatch):
+    monkeypatch.setattr(fingerprint, "PIECE_BYTES", piece)
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abcéß日😀 ") for _ in range(rnd.choice([0, 1, 2, 3, 5, 11, 30, 47, 48, 60, 150]))) for _ in range(60)]
+    texts += [texts[-1], texts[-1], texts[-1] + "x", ""]
+    raw = [t.encode() for t in texts]
+    made = [fingerprint._long_pair(x, y) for x, y in zip(raw, raw[1:])] if piece == 40 else [fingerprint._block(raw)]
+    got = [r for m in made for r in zip(*m.values(), strict=True)]
+    for r, x, y in zip(got, texts, texts[1:]):
+        want = plain_row(x, y)
+        assert (r[0], r[1], r[2].astype(">u2").tobytes().hex(), r[3].astype(">u2").tobytes().hex(), float(r[4]), float(r[5]), r[6]) == want
+
+
 def test_fingerprints_and_edits(spark, docs, empty, rows):
-    clean = sorted({(i, t or "") for i, t, *_ in rows if i is not None})
-    df = spark.createDataFrame(clean, "doc_id long, text string").repartition(3)
-    for size in (fingerprint.RANGE_BYTES, 4000):
+    short = sorted({(i, (t or "")[:400]) for i, t, *_ in rows if i is not None})
+    df = spark.createDataFrame(short, "doc_id long, text string").repartition(3)
+    for size in (fingerprint.RANGE_BYTES, 900):
         got = {r.doc_id: r for r in fingerprint.document_fingerprints(df, size).collect()}
-        assert len(got) == len(clean)
-        for k, (i, t) in enumerate(clean):
-            n, q = len(t), len(t) // 4
-            nxt = clean[(k + 1) % len(clean)][1]
-            e = t[: n - q] + nxt[:q]
-            assert got[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest() and got[i].n_chars == n
-            assert got[i].common_prefix == len(os.path.commonprefix([t, e]))
-            assert got[i].edited_fingerprint == fingerprint.as_string(fingerprint.text_registers(fingerprint.code_points(e.encode())))
-        same = {}
-        for i, t in clean:
-            assert same.setdefault(t, got[i].fingerprint) == got[i].fingerprint
-    long = [got[i] for i, t in clean if len(t) > 200]
-    assert np.mean([r.near_edited for r in long]) > 0.4
+        assert len(got) == len(short)
+        for k, (i, t) in enumerate(short):
+            assert tuple(got[i][c] for c in _ROW) == plain_row(t, short[(k + 1) % len(short)][1]), i
+    same = {}
+    for i, t in short:
+        assert same.setdefault(t, got[i].fingerprint) == got[i].fingerprint
     assert fingerprint.document_fingerprints(docs).count() == len(rows) and fingerprint.document_fingerprints(empty).count() == 0
 
 
+def test_fingerprints_of_null_and_shared_ids(spark):
+    rows = [(None, "x" * 60)] * 3 + [(None, None), (5, "abc" * 20), (5, "abd" * 20), (5, "abd" * 20), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprint.document_fingerprints(df, 50).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t or "")) for i, t in rows)
+    # Copies of one row follow each other: all but the last are their own next.
+    assert sum(r.near_next == 1.0 for r in got if r.doc_id is None and r.n_chars) == 2
+    assert sum(r.near_next == 1.0 for r in got if r.doc_id == 5) >= 1
+    lone = fingerprint.document_fingerprints(df.filter("doc_id = 7")).first()
+    assert (lone.n_chars, lone.near_next, lone.near_edited) == (0, 1.0, 1.0)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="ab", max_size=60), st.text(alphabet="ab", max_size=60), st.data())
 def test_spans_and_common_extensions(x, y, data):
