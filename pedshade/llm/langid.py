@@ -7,6 +7,7 @@ related candidates.  Features are hashed byte n-grams of the whole text.
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -43,12 +44,34 @@ _PAD = 8
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)).lower()
 
 
+#: Longer texts are read in pieces of this size.
+LONG_BYTES = 2 << 20
+
+
 def has_letter(text: bytes) -> bool:
-    return any(map(str.isalpha, text.decode("utf-8", "ignore")))
+    decoder = codecs.getincrementaldecoder("utf-8")("ignore")
+    return any(any(map(str.isalpha, decoder.decode(text[at : at + LONG_BYTES]))) for at in range(0, len(text), LONG_BYTES))
 
 
 def features(values: list[bytes | None]) -> np.ndarray:
     """Unit vectors of log n-gram counts; what is no letter counts as a space."""
+    counts = np.zeros((len(values), DIMENSIONS), np.float32)
+    short = [i for i, v in enumerate(values) if len(v or b"") <= LONG_BYTES]
+    counts[short] = _counts([values[i] for i in short])
+    for i, v in enumerate(values):
+        if len(v or b"") > LONG_BYTES:
+            # A piece's n-grams read on into the next piece.
+            whole = np.zeros(DIMENSIONS, np.float64)
+            for at in range(0, len(v), LONG_BYTES):
+                end = at + LONG_BYTES
+                whole += _counts([v[at : end + _PAD]], min(LONG_BYTES, len(v) - at))[0]
+            counts[i] = whole
+    x = np.log1p(counts)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def _counts(values: list[bytes | None], own: int | None = None) -> np.ndarray:
+    """Hashed n-gram counts; of a single text only of n-grams that start in its first ``own`` bytes."""
     n = len(values)
     texts = [(v or b"").translate(_LETTERS) for v in values]
     buf = np.frombuffer(bytes(_PAD).join(texts) + bytes(2 * _PAD), np.uint8)
@@ -58,7 +81,7 @@ def features(values: list[bytes | None]) -> np.ndarray:
     owner = np.empty(2 * n, np.int64)
     owner[0::2] = np.arange(n)
     owner[1::2] = n
-    row = np.repeat(owner, sizes) * DIMENSIONS
+    row = np.repeat(owner, sizes)[:own] * DIMENSIONS
     words = load64(buf)[: len(row)]
     counts = np.zeros((n + 1) * DIMENSIONS, np.float32)
     shift = np.uint64(64 - DIMENSIONS.bit_length() + 1)
@@ -66,8 +89,7 @@ def features(values: list[bytes | None]) -> np.ndarray:
         gram = words & np.uint64((1 << 8 * order) - 1)
         at = (mix64(gram + np.uint64(order << 40)) >> shift).astype(np.int64)
         counts += np.bincount(row + at, minlength=len(counts))
-    x = np.log1p(counts.reshape(n + 1, DIMENSIONS)[:n])
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return counts.reshape(n + 1, DIMENSIONS)[:n]
 
 
 def train_svm(x: np.ndarray, positive: np.ndarray, penalty: float = 2e-4, steps: int = 150) -> np.ndarray:

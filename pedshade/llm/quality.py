@@ -37,7 +37,9 @@ def _shape(values: list[bytes | None], words: np.ndarray, ends: np.ndarray) -> n
     for i, v in enumerate(values):
         v = v or b""
         buf = np.frombuffer(v, np.uint8)
-        counts = np.bincount(np.minimum(buf, 128), minlength=129)
+        counts = np.zeros(129, np.int64)
+        for at in range(0, len(buf), 1 << 20):
+            counts += np.bincount(np.minimum(buf[at : at + (1 << 20)], 128), minlength=129)
         out[i, :129] = np.sqrt(counts / max(1, len(buf)))
         own = words[ends[i - 1] if i else 0 : ends[i]]
         if len(own):

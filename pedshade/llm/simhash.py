@@ -19,6 +19,7 @@ dealt out as a grid of blocks, so that no task holds a whole hot anchor.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -36,6 +37,9 @@ from pedshade.runtime import Scratch
 
 SHINGLE_WORDS = 4
 THRESHOLD = 4
+#: Longer texts are read in pieces of about this size.
+LONG_BYTES = 2 << 20
+_SPACE = re.compile(rb"[ \t-\r]")
 #: Fingerprints of one anchor that are compared in one block of its grid.
 BLOCK = 4096
 
@@ -48,33 +52,33 @@ GOLAY_BITS, GOLAY_RADIUS = 23, 3
 PARTS = ((0, 23, 1), (23, 23, 1), (46, 18, 0))
 
 
-def bit_majority(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """For each run of hashes, the bits set in over half of them.
+def bit_counts(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """For each run of hashes, how many have each of the 64 bits set.
 
     Bits are summed eight to a word, each in a byte of its own, over stretches
     of at most 255 hashes, in which no byte can overflow.
     """
-    out = np.zeros(len(cuts) - 1, np.uint64)
+    out = np.zeros((len(cuts) - 1, 64), np.int64)
     full = np.flatnonzero(np.diff(cuts) > 0)
     if not len(full):
         return out
     lo, n = cuts[full], np.diff(cuts)[full]
-    pieces = -(-n // 255)
-    owner = np.repeat(np.arange(len(full)), pieces)
-    first = np.cumsum(pieces) - pieces
+    stretches = -(-n // 255)
+    owner = np.repeat(np.arange(len(full)), stretches)
+    first = np.cumsum(stretches) - stretches
     at = lo[owner] + 255 * (np.arange(len(owner)) - first[owner])
     lanes = np.uint64(0x0101010101010101)
-    got = np.zeros(len(full), np.uint64)
     for bit in range(8):
         sums = np.add.reduceat((hashes >> np.uint64(bit)) & lanes, at)
-        counts = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
-        majority = counts * 2 > n[:, None]
-        for byte in range(8):
-            got |= majority[:, byte].astype(np.uint64) << np.uint64(8 * byte + bit)
-    out[full] = got
+        out[full, bit::8] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
     return out
 
 
+def majority(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The bits set in over half of ``n`` hashes, as unsigned numbers."""
+    return ((counts * 2 > n[:, None]).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
 def shingle_hashes(text: bytes | None, words: int = SHINGLE_WORDS) -> list[int]:
     """Unsigned XXH64, seed 42, of every shingle of the lower-cased text."""
     tokens = (text or b"").lower().split()
@@ -92,15 +96,39 @@ def shingle_hashes(text: bytes | None, words: int = SHINGLE_WORDS) -> list[int]:
     return [h(joined[s:e], 42) for s, e in zip(starts, ends, strict=False)]
 
 
+def long_counts(text: bytes, words: int = SHINGLE_WORDS) -> tuple[np.ndarray, int]:
+    """Bit counts and number of the shingles of a long text, read in pieces that share their border's words."""
+    counts, n, before, at = np.zeros((1, 64), np.int64), 0, [], 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + LONG_BYTES)
+        end = cut.start() if cut else len(text)
+        tokens = before + text[at:end].lower().split()
+        if len(tokens) >= words:
+            h = np.array(shingle_hashes(b" ".join(tokens), words), np.uint64)
+            counts += bit_counts(h, np.array([0, len(h)]))
+            n += len(h)
+        before = tokens[1 - words :]
+        at = end
+    if not n:  # fewer words than a shingle has
+        h = np.array(shingle_hashes(b" ".join(before), words), np.uint64)
+        counts, n = bit_counts(h, np.array([0, len(h)])), len(h)
+    return counts, n
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, values in in_blocks(batches, "text"):
         flat: list[int] = []
         cuts = [0]
         for v in values:
-            flat += shingle_hashes(v)
+            if v is None or len(v) <= LONG_BYTES:
+                flat += shingle_hashes(v)
             cuts.append(len(flat))
-        fp = bit_majority(np.array(flat, np.uint64), np.array(cuts)).view(np.int64)
-        kept = [n for n in rows.schema.names if n != "text"]
+        counts, n = bit_counts(np.array(flat, np.uint64), np.array(cuts)), np.diff(cuts)
+        for i, v in enumerate(values):
+            if v is not None and len(v) > LONG_BYTES:
+                counts[i], n[i] = long_counts(v)
+        kept = [c for c in rows.schema.names if c != "text"]
+        fp = majority(counts, n).view(np.int64)
         yield pa.RecordBatch.from_arrays([*map(rows.column, kept), pa.array(fp)], names=[*kept, "fp"])
 
 

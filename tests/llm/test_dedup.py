@@ -45,6 +45,28 @@ def test_simhash_matches_brute_force(docs, rows):
     assert got == want
 
 
+def test_fingerprints_of_long_texts_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    texts = [" ".join("w" * rnd.randint(1, 30) + str(rnd.randrange(9)) for _ in range(rnd.choice([0, 1, 2, 3, 4, 5, 40, 300]))) for _ in range(60)]
+    texts += ["\t\n ", "x" * 200, None, "é" * 50 + "\x0b" + "É ß A"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([None if t is None else t.encode() for t in texts], pa.binary())], names=["doc_id", "text"])
+    want = [brute_fingerprint(t) for t in texts]
+    for limit in (simhash.LONG_BYTES, 37):
+        monkeypatch.setattr(simhash, "LONG_BYTES", limit)
+        got = [x for b in simhash._fingerprint_batches(iter([batch])) for x in b.column(1).to_numpy().view(np.uint64).tolist()]
+        assert got == want
+
+
+def test_keep_one_of_sets_that_share_ids(spark):
+    """Two linked sets with the same smallest doc_id, null ids, and rows repeated: each set keeps one row."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "far away from all the other texts here")
+    rows = [(4, a), (12, a), (4, b), (10, b), (11, b), (None, c), (None, c), (None, "unlike anything else that stands above")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(4, a), (4, b), (None, c), (None, rows[-1][1])])
+
+
 def test_simhash_links_distance_four_only(spark, monkeypatch):
     """Every pattern of up to four flipped bits meets at an anchor; five does not link."""
     rnd = random.Random(1)

@@ -1,6 +1,7 @@
 """Operators 2, 3, 6, 8, 9 and 10 against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -47,6 +48,62 @@ def test_language_id_without_labels(spark):
     assert [r.lang_pred for r in langid.language_id(df).collect()] == ["und"]
 
 
+def test_language_of_long_texts_in_pieces(monkeypatch):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abc déß日 19\n") for _ in range(rnd.randint(0, 300))).encode() for _ in range(40)] + [None, b""]
+    want, letters = langid.features(texts), [langid.has_letter(t or b"") for t in texts]
+    assert letters == [any(map(str.isalpha, (t or b"").decode())) for t in texts]
+    for limit in (1, 2, 37):
+        monkeypatch.setattr(langid, "LONG_BYTES", limit)
+        assert np.array_equal(langid.features(texts), want)
+        assert [langid.has_letter(t or b"") for t in texts] == letters
+
+
+def plain_votes(machine, x):
+    """The class with most votes, and its least chance, from the learned weights by plain loops."""
+    k = len(machine.classes)
+    votes, chance = [0.0] * k, [1.0] * k
+    for (a, b), w in zip(machine.pairs, machine.w.tolist(), strict=True):
+        m = sum(u * v for u, v in zip(x, w, strict=False)) + w[-1]
+        votes[a if m >= 0 else b] += 1
+        votes[a] += 0.01 * math.tanh(m)
+        votes[b] -= 0.01 * math.tanh(m)
+        p = 1 / (1 + math.exp(-max(-50, min(50, 4 * m))))
+        chance[a], chance[b] = min(chance[a], p), min(chance[b], 1 - p)
+    best = max(range(k), key=lambda c: votes[c])
+    return machine.classes[best], chance[best]
+
+
+def test_language_scores_equal_plain_loops(spark, docs, rows):
+    """Grams counted one by one, and the learned machines' votes: families first, then the languages in it."""
+    model = langid.train(docs)
+    got = {r.doc_id: r for r in langid.language_id(docs).collect() if r.doc_id is not None}
+    word = 2**64
+    def mix(x):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % word
+        x = (x ^ x >> 29) * 0x9E3779B97F4A7C15 % word
+        return x ^ x >> 32
+    checked = 0
+    for i, text, *_ in rows:
+        if i is None or not text or len(text) > 1500 or not any(map(str.isalpha, text)):
+            continue
+        raw = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in text.encode()).lower()
+        counts = [0] * langid.DIMENSIONS
+        for order in langid.ORDERS:
+            for at in range(len(raw) + 0):
+                gram = int.from_bytes(raw[at : at + order].ljust(order, b"\0"), "little")
+                counts[mix(gram + (order << 40)) >> 64 - 12] += 1
+        x = [math.log1p(c) for c in counts]
+        size = math.sqrt(sum(v * v for v in x))
+        x = [v / size for v in x]
+        family, score = plain_votes(model.top, x)
+        inner = model.within[model.top.classes.index(family)]
+        lang, p = plain_votes(inner, x) if len(inner.classes) > 1 else (inner.classes[0], 1.0)
+        assert got[i].lang_pred == lang and abs(got[i].score - score * p) < 1e-4
+        checked += 1
+    assert checked > 30
+
+
 # -- 3 ------------------------------------------------------------------------------------
 
 def words_of(text):
