@@ -65,6 +65,33 @@ def in_blocks(batches: Iterator[pa.RecordBatch], col: str, limit: int = BLOCK_BY
             yield batch.slice(lo, hi - lo), column.slice(lo, hi - lo).to_pylist()
 
 
+#: A key is hot where it holds over a thousandth of all rows, and at least this many: at most a thousand keys are.
+HOT_ROWS = 1000
+
+
+def is_hot(n: Column, total: int) -> Column:
+    return (n > HOT_ROWS) & (n * 1000 > F.lit(total))
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, spread: Column) -> DataFrame:
+    """``left`` with the other columns of ``right``, null without a match; no task gets all rows of a hot key.
+
+    ``right`` has one row for each key.  The rows of the keys in ``hot``, at
+    most a thousand (see :func:`is_hot`), are broadcast; rows of ``left`` that
+    found theirs go by ``spread`` through the join of the others.
+    """
+    names = [c for c in right.columns if c not in keys]
+    few = right.join(F.broadcast(hot.select(*keys)), keys, "left_semi").select(*keys, F.struct(*names).alias("_hot"))
+    marked = left.join(F.broadcast(few), keys, "left")
+    rest = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], F.struct(*names).alias("_rest"))
+    first = F.when(F.col("_hot").isNull(), F.col(keys[0])).otherwise(spread)
+    on = (first == F.col("_r0")) & F.col("_hot").isNull()
+    for i, k in enumerate(keys[1:], 1):
+        on = on & (F.col(k) == F.col(f"_r{i}"))
+    found = F.coalesce("_hot", "_rest")
+    return marked.join(rest, on, "left").select(*left.columns, *[found[c].alias(c) for c in names])
+
+
 def whole_groups(parts: Iterator[pd.DataFrame], key: str, least: int = 50_000) -> Iterator[pd.DataFrame]:
     """Regroups rows sorted by ``key`` into frames that hold every key whole.
 

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pedshade.llm.common import key_of
+from pedshade.llm.common import is_hot, join_spread, key_of
 from pedshade.runtime import Scratch
 
 SHARDS = 24
@@ -116,11 +116,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     part = max(1, 3 * total // (4 * shards))
     groups = (
         rows.groupBy("_g1", "_g2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        .select("_g1", "_g2", F.ceil(F.col("n") / F.lit(part)).cast("long").alias("group_parts"))
+        .select("_g1", "_g2", "n", F.ceil(F.col("n") / F.lit(part)).cast("long").alias("group_parts"))
     )
+    groups = scratch.write(groups)
     parts = F.coalesce("group_parts", F.lit(0))
+    row = F.xxhash64("_key", "_i")
     state = scratch.write(
-        rows.join(groups, ["_g1", "_g2"], "left")
+        join_spread(rows, groups.drop("n"), ["_g1", "_g2"], groups.filter(is_hot(F.col("n"), total)), row)
         .withColumn("group_parts", parts)
         .withColumn("_part", F.when(F.col("group_parts") > 0, F.xxhash64("_g1", "_g2", F.pmod(F.xxhash64("_key", "_i"), F.col("group_parts")))))
         .withColumn("shard", F.floor(F.col("_i") * shards / max(1, total)).cast("long"))
@@ -129,12 +131,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     for _ in range(rounds if total else 0):
         linked = state.filter(F.col("_part").isNotNull())
         held = linked.groupBy("_part", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = held.groupBy("_part").agg(F.max_by("shard", F.struct("n", F.xxhash64("_part", "shard"))).alias("_to"))
-        best = best.withColumnRenamed("_part", "_of")
-        # Rows without a part get a key of their own, so that they spread.
-        spread = F.coalesce("_part", F.xxhash64("_key", "_i"))
-        aims = state.join(best, (spread == F.col("_of")) & F.col("_part").isNotNull(), "left").drop("_of")
-        aims = aims.withColumn("_to", F.coalesce("_to", F.lit(shards).cast("long")))
+        best = scratch.write(held.groupBy("_part").agg(F.max_by("shard", F.struct("n", F.xxhash64("_part", "shard"))).alias("_to"), F.sum("n").alias("n")))
+        # Rows without a part get a key of their own, so that they spread; as a hash it could be a part's, so it counts for none.
+        lone = F.col("_part").isNull()
+        keyed = state.withColumns({"_lone": lone, "_part": F.coalesce("_part", row)})
+        aims = join_spread(keyed, best.drop("n"), ["_part"], best.filter(is_hot(F.col("n"), total)), row)
+        to = F.when(F.col("_lone"), F.lit(shards)).otherwise(F.coalesce("_to", F.lit(shards))).cast("long")
+        aims = aims.withColumns({"_to": to, "_part": F.when(~F.col("_lone"), F.col("_part"))}).drop("_lone")
         # A class for each shard and the shard its rows ask for, or none: at most shards * (shards + 1).
         lined, count = ranked(aims, F.col("shard") * (shards + 1) + F.col("_to"), [F.col("_part"), F.col("_key"), F.col("_i")], scratch)
         asked, free = np.zeros((shards, shards), np.int64), np.zeros(shards, np.int64)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pedshade.llm.common import bound_batches, bounds, in_blocks, key_of, utf8, whole_groups
+from pedshade.llm.common import bound_batches, bounds, in_blocks, is_hot, join_spread, key_of, utf8, whole_groups
 from pedshade.operators.components import connected_components, label_min
 from pedshade.runtime import Scratch
 
@@ -303,13 +303,15 @@ def simhash_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.write(fingerprints(docs))
-    distinct = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    total = distinct.agg(F.sum("n")).first()[0] or 0
     members = connected_components(fingerprint_links(distinct, threshold))
     linked = members.join(distinct, members.node == distinct.fp)
     roots = linked.groupBy("component").agg(F.min("least").alias("root"))
     of = linked.join(roots, "component").select("fp", "root")
     named = distinct.join(of, "fp", "left").select("fp", F.coalesce("root", "least").alias("component_id"))
-    return prints.join(named, "fp").select(
+    hot = distinct.filter(is_hot(F.col("n"), total)).select("fp")
+    return join_spread(prints, named, ["fp"], hot, F.xxhash64("doc_id", "same")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
