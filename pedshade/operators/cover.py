@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pedshade.functions.solar import project_vertex
 from pedshade.operators import intervals
 from pedshade.operators.polygons import buffer, line_intervals, union_areas
+from pedshade.operators.ranks import quantiles
 from pedshade.operators.spatial import box_pairs, line_box
 from pedshade.runtime import frame
 
@@ -187,8 +188,9 @@ def shade_scores(lines: DataFrame, selected: DataFrame, sun: DataFrame, cell: fl
 
 def building_report(selected: DataFrame) -> DataFrame:
     """Counts by level of detail, and the least, median and largest height: one row."""
-    h = F.percentile("height", F.lit(0.5))
-    return selected.agg(
+    heights = quantiles(selected.select(F.lit(0).alias("k"), "height"), ["k"], "height", (0.5,))
+    counts = selected.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("lod") == 2).alias("n_lod2"), F.count_if(F.col("lod") == 1).alias("n_lod1"), F.count_if(F.col("lod").isNull()).alias("n_incomplete"),
-        F.min("height").alias("min_height"), h.alias("median_height"), F.max("height").alias("max_height"),
-    )
+        F.min("height").alias("min_height"), F.max("height").alias("max_height"),
+    ).withColumn("k", F.lit(0))
+    return counts.join(heights, "k", "left").select("n", "n_lod2", "n_lod1", "n_incomplete", "min_height", F.col("q")[0].alias("median_height"), "max_height")

@@ -25,9 +25,9 @@ def merge(intervals: DataFrame, keys: list[str], s: str = "s", e: str = "e") ->
 
 
 def subtract(left: DataFrame, right: DataFrame, keys: list[str], s: str = "s", e: str = "e") -> DataFrame:
-    """What of ``left`` no interval of ``right`` covers, by a sweep over all ends."""
+    """What of ``left`` no interval of ``right`` covers, by one sweep over all ends; overlaps on a side only deepen it."""
     events = None
-    for df, side in ((merge(left, keys, s, e), "l"), (merge(right, keys, s, e), "r")):
+    for df, side in ((normalized(left, s, e), "l"), (normalized(right, s, e), "r")):
         for at, sign in ((s, 1), (e, -1)):
             part = df.select(*keys, F.col(at).alias("p"), F.lit(sign if side == "l" else 0).alias("dl"), F.lit(sign if side == "r" else 0).alias("dr"))
             events = part if events is None else events.unionByName(part)

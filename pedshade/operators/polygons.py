@@ -150,3 +150,43 @@ def buffer(line: np.ndarray, distance: float, quarter: int = 8) -> list[Rings]:
         left = a + distance * np.stack([np.cos(turn + math.pi), np.sin(turn + math.pi)], axis=1)
         out.append([np.concatenate([right, left])])
     return out
+
+
+def polygonize(ways: "DataFrame") -> "DataFrame":
+    """``(area_id, rings, n_open)``: ways joined at their ends to closed rings, one row for each area.
+
+    ``ways`` has area_id, way_id and line, an array of structs (x, y).  A way
+    may run either way round; each is used once, ways that close alone are
+    rings.  What stays open is counted and left out.  Holes need no marking:
+    rings fill by the even-odd rule.  An area's ways are one group: a boundary,
+    never a layer.
+    """
+    import pandas as pd
+
+    def close(pdf: "pd.DataFrame") -> "pd.DataFrame":
+        lines = [[(p["x"], p["y"]) for p in w] for w in pdf.sort_values("way_id").line]
+        at: dict[tuple, list[int]] = {}
+        for k, line in enumerate(lines):
+            for end in (line[0], line[-1]):
+                at.setdefault(end, []).append(k)
+        used, rings, n_open = set(), [], 0
+        for k, line in enumerate(lines):
+            if k in used or len(line) < 2:
+                continue
+            used.add(k)
+            chain, mine = list(line), 1
+            while chain[0] != chain[-1]:
+                follow = next((j for j in at[chain[-1]] if j not in used), None)
+                if follow is None:
+                    break
+                used.add(follow)
+                mine += 1
+                more = lines[follow] if lines[follow][0] == chain[-1] else lines[follow][::-1]
+                chain += more[1:]
+            if chain[0] == chain[-1] and len(chain) > 3:
+                rings.append([{"x": x, "y": y} for x, y in chain])
+            else:
+                n_open += mine
+        return pd.DataFrame({"area_id": [pdf.area_id.iloc[0]], "rings": [rings], "n_open": [n_open]})
+
+    return ways.groupBy("area_id").applyInPandas(close, "area_id long, rings array<array<struct<x: double, y: double>>>, n_open long")

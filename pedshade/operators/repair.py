@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pedshade.config import MAJOR_COMPONENT_NODES, RETAINED_COMPONENT_NODES
+from pedshade.config import MAJOR_COMPONENT_NODES, RETAINED_COMPONENT_NODES, SEARCH_GRID_DEGREES
 from pedshade.operators.components import component_sizes, connected_components
 from pedshade.operators.spatial import nearest_component_pairs
 from pedshade.runtime import Scratch
@@ -69,7 +69,7 @@ def bridge_edges(bridges: DataFrame) -> DataFrame:
     return end("node_a", "node_b").unionByName(end("node_b", "node_a"))
 
 
-def repair(nodes: DataFrame, edges: DataFrame, major: int = MAJOR_COMPONENT_NODES) -> DataFrame:
+def repair(nodes: DataFrame, edges: DataFrame, major: int = MAJOR_COMPONENT_NODES, grid: float = SEARCH_GRID_DEGREES) -> DataFrame:
     """``edges`` and the bridges that join all components of ``major`` nodes and more.
 
     A graph that is joined already comes back unchanged.
@@ -80,7 +80,7 @@ def repair(nodes: DataFrame, edges: DataFrame, major: int = MAJOR_COMPONENT_NODE
     columns = ["edge_id", "source", "target", "length", *ENVIRONMENT]
     if n < 2:
         return edges.select(*columns)
-    bridges = spanning_bridges(scratch.write(nearest_component_pairs(nodes, comps)), n)
+    bridges = spanning_bridges(scratch.write(nearest_component_pairs(nodes, comps, grid)), n)
     return edges.select(*columns).unionByName(bridge_edges(bridge_environment(bridges, edges)))
 
 

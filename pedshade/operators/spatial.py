@@ -85,6 +85,39 @@ def nearest(points: DataFrame, sites: DataFrame, cell_m: float = 500.0, max_roun
     raise RuntimeError("some points are too far from every site")
 
 
+def nearest_to_lines(lines: DataFrame, sites: DataFrame, cell_m: float = 500.0, max_rounds: int = 24) -> DataFrame:
+    """``(edge_id, site_id, distance_m)``: the sites nearest to each line in projected metres, all of them on ties.
+
+    ``lines`` has edge_id and line, an array of structs (x, y), and ``sites``
+    site_id, x, y.  Cells double in size each round; a line is settled once its
+    nearest find lies no farther than one cell, which the cells around its box
+    cover.  An empty site table is an error; a line without points has no row.
+    """
+    if sites.isEmpty():
+        raise ValueError("there is no site to be nearest to")
+    scratch = Scratch(lines.sparkSession, "nearest")
+    left = scratch.write(lines.select("edge_id", "line").filter("size(line) > 0"))
+    done = None
+    size = cell_m
+    for _ in range(max_rounds):
+        b = line_box(F.col("line"))
+        wide = F.struct(*[(b[k] + F.lit(s * size)).alias(k) for k, s in (("west", -1), ("south", -1), ("east", 1), ("north", 1))])
+        near = left.select("edge_id", "line", F.inline(cells_of(wide, size)))
+        placed = sites.select("site_id", F.col("x").alias("sx"), F.col("y").alias("sy"), cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
+        d = point_to_line(F.col("sx"), F.col("sy"), F.col("line"))
+        found = near.join(placed, ["cx", "cy"]).select("edge_id", "site_id", d.alias("distance_m")).filter(F.col("distance_m") <= size)
+        # A line keeps its least distance and the sites at it; a group's state holds those alone.
+        least = found.groupBy("edge_id").agg(F.min("distance_m").alias("least"))
+        best = scratch.write(found.join(least, "edge_id").filter("distance_m = least").drop("least"))
+        done = best if done is None else done.unionByName(best)
+        rest = scratch.write(left.join(best.select("edge_id").distinct(), "edge_id", "left_anti"))
+        scratch.drop(left)
+        left, size = rest, size * 2
+        if left.isEmpty():
+            return done
+    raise RuntimeError("some lines are too far from every site")
+
+
 def with_projection(df: DataFrame) -> DataFrame:
     x, y = project(F.col("lon"), F.col("lat"))
     return df.withColumns({"x": x, "y": y})

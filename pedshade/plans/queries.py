@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from pedshade.config import DEFAULT, SAMPLER_EARTH_RADIUS_M, SCENARIOS, SHADE_COLUMNS, SNAP_EARTH_RADIUS_M
 from pedshade.functions import compare, exposure, geo, solar
-from pedshade.operators import components, cover, evaluation, intervals, repair, routes, rules, spatial
-from pedshade.operators.routing import relaxed_tree
+from pedshade.operators import components, cover, evaluation, intervals, ranks, repair, routes, rules, spatial
+from pedshade.operators.routing import relaxed_tree, shortest_paths
 from pedshade.plans.fixtures import load, with_views
 from pedshade.runtime import Scratch
+from pedshade.sources import graph_json
 from pedshade.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,11 +69,20 @@ def graph_statistics(s, d):
     return n.crossJoin(e)  # one row each
 
 
-@query(with_views("road_nodes") + f"""
-SELECT 'far-outside' AS rule, CAST(node_id AS VARCHAR) AS key, '' AS detail FROM road_nodes
-WHERE NOT (lon BETWEEN {BBOX[0] - .01} AND {BBOX[2] + .01} AND lat BETWEEN {BBOX[1] - .01} AND {BBOX[3] + .01})""")
+_WIDE = (BBOX[0] - 0.01, BBOX[1] - 0.01, BBOX[2] + 0.01, BBOX[3] + 0.01)
+#: A box around the first half of the grid's columns: the rest of the nodes lies outside.
+_AREA = (139.6, 35.54, 139.61, 35.56)
+
+
+@query(with_views("road_nodes") + f""", s AS (SELECT avg(CASE WHEN lon BETWEEN {_AREA[0]} AND {_AREA[2]} AND lat BETWEEN {_AREA[1]} AND {_AREA[3]} THEN 1e0 ELSE 0e0 END) AS share,
+ (min(lon) + max(lon)) / 2 AS cx, (min(lat) + max(lat)) / 2 AS cy FROM road_nodes)
+SELECT 'far-outside' AS rule, CAST(node_id AS VARCHAR) AS key FROM road_nodes
+WHERE NOT (lon BETWEEN {_AREA[0]}::DOUBLE - 0.01 AND {_AREA[2]}::DOUBLE + 0.01 AND lat BETWEEN {_AREA[1]}::DOUBLE - 0.01 AND {_AREA[3]}::DOUBLE + 0.01)
+UNION ALL SELECT 'few-inside', 'graph' FROM s WHERE share < 0.9
+UNION ALL SELECT 'centre-outside', 'graph' FROM s WHERE NOT (cx BETWEEN {_AREA[0]} AND {_AREA[2]} AND cy BETWEEN {_AREA[1]} AND {_AREA[3]})""")
 def extent_violations(s, d):
-    return rules.extent(nodes_of(s, d), BBOX)
+    """A small area, which much of the network lies outside of."""
+    return rules.extent(nodes_of(s, d), _AREA).select("rule", "key")
 
 
 def _broken_edges(s, d):
@@ -108,12 +118,36 @@ def edge_rule_violations(s, d):
     return rules.edge_values(_broken_edges(s, d)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(with_views("road_nodes", "road_edges") + """ SELECT 'none' AS rule, 'none' AS key, 'none' AS detail FROM road_edges WHERE source IS NULL""")
-def graph_contract(s, d):
+_PLANTED = """, e0 AS (SELECT * REPLACE (CASE WHEN source % 50 = 1 THEN 0e0 ELSE length END AS length, CASE WHEN source % 50 = 2 THEN 1.5e0 ELSE green_score END AS green_score,
+ CASE WHEN source % 50 = 3 THEN NULL ELSE water_penalty END AS water_penalty, CASE WHEN source % 50 = 4 THEN target + 1000000000 ELSE target END AS target),
+ CASE WHEN source % 50 = 5 THEN 'short' WHEN source % 50 = 6 THEN 'turned' ELSE 'right' END AS line FROM road_edges),
+pe AS (SELECT * FROM e0 UNION ALL SELECT * FROM e0 WHERE source % 50 = 7), pn AS (SELECT * FROM road_nodes UNION ALL SELECT * FROM road_nodes WHERE node_id % 50 = 8)"""
+
+
+def _planted(s, d):
+    """The network with a violation of each rule on nodes of some numbers."""
+    k = F.col("source") % 50
+    at = lambda n, v, c: F.when(k == n, v).otherwise(F.col(c))
+    e = routes.edge_geometry(edges_of(s, d), nodes_of(s, d)).withColumns(
+        {"length": at(1, F.lit(0.0), "length"), "green_score": at(2, F.lit(1.5), "green_score"), "water_penalty": at(3, F.lit(None).cast("double"), "water_penalty"),
+         "target": F.when(k == 4, F.col("target") + 1_000_000_000).otherwise(F.col("target")),
+         "geometry": F.when(k == 5, F.slice("geometry", 1, 1)).when(k == 6, F.reverse("geometry")).otherwise(F.col("geometry"))}
+    )
+    n = nodes_of(s, d)
     # The views are computed once, as every rule reads them.
     scratch = Scratch(s, "contract")
-    nodes = scratch.write(nodes_of(s, d))
-    return rules.graph(nodes, scratch.write(routes.edge_geometry(edges_of(s, d), nodes)), connected=True)
+    return scratch.write(n.unionByName(n.filter("node_id % 50 = 8"))), scratch.write(e.unionByName(e.filter("source % 50 = 7")))
+
+
+@query(with_views("road_nodes", "road_edges") + _PLANTED + """, v AS (
+SELECT 'length' AS rule, edge_id AS key FROM pe WHERE NOT length > 0 UNION ALL SELECT 'green_score', edge_id FROM pe WHERE coalesce(NOT green_score BETWEEN 0 AND 1, true)
+UNION ALL SELECT 'water_penalty', edge_id FROM pe WHERE coalesce(NOT water_penalty BETWEEN 0 AND 1, true) UNION ALL SELECT 'target-missing', edge_id FROM pe WHERE target NOT IN (SELECT node_id FROM pn)
+UNION ALL SELECT 'geometry-short', edge_id FROM pe WHERE line = 'short' UNION ALL SELECT 'duplicate-id', edge_id FROM pe GROUP BY edge_id HAVING count(*) > 1
+UNION ALL SELECT 'duplicate-node', CAST(node_id AS VARCHAR) FROM pn GROUP BY node_id HAVING count(*) > 1
+UNION ALL SELECT 'geometry-ends', edge_id FROM pe WHERE line = 'turned' AND EXISTS (SELECT 1 FROM pn WHERE node_id = target))
+SELECT DISTINCT rule, key FROM v""")
+def graph_contract(s, d):
+    return rules.graph(*_planted(s, d)).select("rule", "key").distinct()
 
 
 @query(with_views("road_edges") + """, c AS (SELECT source, target, count(*) AS n FROM road_edges GROUP BY 1, 2)
@@ -140,11 +174,11 @@ def canonical_order(s, d):
     return edges_of(s, d).select("edge_id", "source", "target").orderBy("edge_id")
 
 
-@query(with_views("road_edges") + " SELECT sha256(string_agg(concat(edge_id, '|', printf('%.6f', length)), chr(10) ORDER BY edge_id)) AS fingerprint FROM road_edges")
+@query(with_views("road_edges") + """, b AS (SELECT source // 4096 AS block, sha256(string_agg(concat(edge_id, '|', printf('%.6f', length)), chr(10) ORDER BY edge_id)) AS digest FROM road_edges GROUP BY 1)
+SELECT sha256(string_agg(digest, chr(10) ORDER BY block)) AS fingerprint FROM b""")
 def content_fingerprint(s, d):
-    """Digest of the graph's canonical text; a table of block digests keeps any one value small."""
-    line = F.concat_ws("|", "edge_id", F.format_string("%.6f", "length"))
-    return edges_of(s, d).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("edge_id", line.alias("l")))), lambda x: x["l"]), "\n"), 256).alias("fingerprint"))
+    """Digest of the graph's canonical text: of blocks of nodes first, then of their digests in order."""
+    return rules.fingerprint(edges_of(s, d), F.concat_ws("|", "edge_id", F.format_string("%.6f", "length")), "edge_id", F.floor(F.col("source") / 4096))
 
 
 # -- exposure and cost ------------------------------------------------------------
@@ -182,10 +216,13 @@ def _profile_sql(c: str) -> str:
 def exposure_quality_profile(s, d):
     rows = evaluation.long_form(edges_of(s, d), ["edge_id"], ["green_score", "water_penalty", "shade_1200"])
     v = F.col("value")
-    return rows.groupBy("field").agg(
-        F.count(v).alias("n"), r6(F.min(v)).alias("min"), r6(F.avg(v)).alias("mean"), r6(F.percentile(v, F.lit(0.5))).alias("median"), r6(F.max(v)).alias("max"),
+    rows = Scratch(s, "profile").write(rows)
+    out = rows.groupBy("field").agg(
+        F.count(v).alias("n"), r6(F.min(v)).alias("min"), r6(F.avg(v)).alias("mean"), r6(F.max(v)).alias("max"),
         r6(F.stddev_pop(v)).alias("std"), F.count_if(v == 0).alias("zeros"), F.count_if(v == 1).alias("ones"), F.count_distinct(v).alias("n_values"),
     )
+    middle = ranks.quantiles(rows, ["field"], "value", (0.5,)).select("field", r6(F.col("q")[0]).alias("median"))
+    return out.join(middle, "field")
 
 
 @query(with_views("road_edges") + " SELECT water_penalty AS value, count(*) AS n FROM road_edges GROUP BY 1")
@@ -470,6 +507,15 @@ def route_paths(s, d):
     return routes.path_rows(paths_of(s, d))
 
 
+@query(_ROUTES + " SELECT od_id, mode, seq, edge_id FROM steps")
+def route_paths_relaxed(s, d):
+    """The same paths by rounds of joins, as for graphs too large to broadcast."""
+    scratch = Scratch(s, "routes")
+    edges = scratch.write(edges_of(s, d))
+    costs = {m: exposure.edge_cost(m, NOON) for m in ("fastest", "balanced", "coolest")}
+    return routes.path_rows(shortest_paths(load(s, d, "od_pairs"), edges, costs, max_edges=0))
+
+
 @query(_ROUTES + _METRICS + " SELECT od_id, mode, edge_count, " + ", ".join(f"round({n}, 6) AS {n}" for n in _METRIC_NAMES) + ", '12:00' AS scenario FROM metrics")
 def route_metrics(s, d):
     return routes.route_metrics(*routed(s, d), NOON, digits=6)
@@ -503,19 +549,26 @@ def path_equality(s, d):
     return routes.path_equality(paths_of(s, d))
 
 
-@query(_ROUTES + " SELECT CAST(0 AS BIGINT) AS od_id, '' AS mode, 0 AS seq, '' AS edge_id FROM total WHERE cost < 0")
+@query(_ROUTES + """, t AS (SELECT od_id, mode, seq - 1 AS seq, edge_id, row_number() OVER (PARTITION BY od_id, mode ORDER BY seq) AS k, count(*) OVER (PARTITION BY od_id, mode) AS n FROM steps),
+cut AS (SELECT od_id, mode, seq, edge_id, k, CASE WHEN k >= 3 THEN k - 1 ELSE k END AS j FROM t WHERE k <> 2),
+w AS (SELECT c.od_id, c.mode, c.j, c.edge_id, e.source, lag(e.target) OVER (PARTITION BY c.od_id, c.mode ORDER BY c.j) AS prior FROM cut c JOIN road_edges e USING (edge_id))
+SELECT od_id, mode, CAST(j - 1 AS INTEGER) AS seq, edge_id FROM w WHERE prior <> source""")
 def path_continuity(s, d):
-    return routes.continuity_violations(*routed(s, d))
+    """Paths that lost their second edge."""
+    paths, edges = routed(s, d)
+    holed = F.when(F.size("edge_ids") > 1, F.concat(F.slice("edge_ids", 1, 1), F.slice("edge_ids", 3, F.size("edge_ids")))).otherwise(F.col("edge_ids"))
+    return routes.continuity_violations(paths.withColumn("edge_ids", holed), edges)
 
 
+# Quartiles lie halfway between lengths of six decimals, so fewer are compared.
 _FIELDS = ["distance_m", "walking_s", "average_exposure", "exposure_load", "green_indicator", "water_access", "edge_count"]
 
 
 @query(_ROUTES + _METRICS + ", l AS (" + " UNION ALL ".join(f"SELECT mode, '{f}' AS field, CAST({f} AS DOUBLE) AS v FROM metrics" for f in _FIELDS) + """)
-SELECT mode, field, count(v) AS n, count(*) - count(v) AS n_null, round(min(v), 6) AS min, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS median,
- round(quantile_cont(v, 0.75), 6) AS p75, round(quantile_cont(v, 0.9), 6) AS p90, round(max(v), 6) AS max FROM l GROUP BY mode, field""")
+SELECT mode, field, count(v) AS n, count(*) - count(v) AS n_null, round(min(v), 4) AS min, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.5), 4) AS median,
+ round(quantile_cont(v, 0.75), 4) AS p75, round(quantile_cont(v, 0.9), 4) AS p90, round(max(v), 4) AS max FROM l GROUP BY mode, field""")
 def metric_distributions(s, d):
-    return evaluation.summarize(evaluation.long_form(metrics_of(s, d), ["od_id", "mode"], _FIELDS), "value", ["mode", "field"], 6)
+    return evaluation.summarize(evaluation.long_form(metrics_of(s, d), ["od_id", "mode"], _FIELDS), "value", ["mode", "field"], 4)
 
 
 _TESTS = {
@@ -550,9 +603,10 @@ def strata_counts(s, d):
     return evaluation.strata_counts(m, "distance_m")
 
 
-@query()
+@query(with_views("road_nodes", "road_edges", "station_trips") + ", od_pairs AS (SELECT * FROM station_trips), " + _PATHS + """, k AS (SELECT od_id, mode, count(*) AS n FROM steps GROUP BY 1, 2)
+SELECT od_id, mode, true AS found, round(cost, 6) AS total_cost, CAST(coalesce(n, 0) AS INTEGER) AS n_edges FROM total LEFT JOIN k USING (od_id, mode)""")
 def station_trip_costs(s, d):
-    """All modes for a trip from every station: the throughput query.  Tests compare it with brute force."""
+    """All modes for a trip from every station: the throughput query."""
     return paths_of(s, d, "station_trips").select("od_id", "mode", "found", r6(F.col("total_cost")).alias("total_cost"), F.size("edge_ids").alias("n_edges"))
 
 
@@ -636,10 +690,11 @@ def bridge_environment(s, d):
     return out.select("bridge", *[r6(F.col(c), 10).alias(c) for c in repair.ENVIRONMENT])
 
 
-@query(with_views("road_edges") + " SELECT edge_id, length FROM (SELECT edge_id, length FROM road_edges WHERE source % 3 <> 0 UNION SELECT edge_id, length FROM road_edges WHERE source % 3 <> 1)")
+@query(with_views("road_edges") + " SELECT edge_id, CASE WHEN source % 3 <> 0 THEN length ELSE length + 1 END AS length FROM road_edges")
 def keyed_union(s, d):
+    """Two overlapping tables whose lengths differ; the first one's stay."""
     e = edges_of(s, d).select("edge_id", "length", "source")
-    parts = [e.filter(F.col("source") % 3 != k).select("edge_id", "length") for k in (0, 1)]
+    parts = [e.filter(F.col("source") % 3 != k).select("edge_id", (F.col("length") + F.lit(float(k))).alias("length")) for k in (0, 1)]
     return repair.union_graphs(parts, ["edge_id"])
 
 
@@ -665,7 +720,7 @@ def od_attempts(s, d):
 
 
 def _sample(s, d):
-    return evaluation.sample_pairs(nodes_of(s, d), edges_of(s, d), per_stratum=10)
+    return evaluation.sample_pairs(nodes_of(s, d), edges_of(s, d))
 
 
 @query()
@@ -753,10 +808,9 @@ def latest_requests(s, d):
     return state.latest(load(s, d, "ui_events"), "session_id", ["ts", "event_id"]).select("session_id", F.col("event_id").alias("latest"))
 
 
-@query(with_views("stations") + " SELECT count(CASE WHEN name IS NULL THEN 1 END) AS null_name, count(CASE WHEN location IS NULL THEN 1 END) AS null_location, count(CASE WHEN lon IS NULL THEN 1 END) AS null_lon FROM stations")
+@query(with_views("stations") + " " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_null FROM stations" for c in ("station_id", "lon", "lat", "name", "location")))
 def column_nulls(s, d):
-    st = load(s, d, "stations")
-    return st.agg(*[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in ("name", "location", "lon")])
+    return graph_json.inspect_columns(load(s, d, "stations"))
 
 
 # -- planar joins -----------------------------------------------------------------------

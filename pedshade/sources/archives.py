@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pedshade.sources.publish import latest_version, write_version
+
 #: Fixed values of the ZIP format: signatures and the 64-bit marker.
 _END, _END64, _LOCATOR64, _CENTRAL, _LOCAL, _BIG = 0x06054B50, 0x06064B50, 0x07064B50, 0x02014B50, 0x04034B50, 0xFFFFFFFF
 BUILDING_PATH = r"(?:^|/)udx/bldg/[^/]+_bldg_6697(?:_2)?_op\.gml$"
@@ -35,27 +37,37 @@ class RangeZip:
 
     def entries(self) -> dict[str, Entry]:
         if self._entries is None:
-            start, length = self._directory()
-            self._entries = {e.path: e for e in self._parse(self.read(start, length))}
+            start, length, count = self._directory()
+            found = list(self._parse(self.read(start, length)))
+            if len(found) != count:
+                raise ValueError(f"the archive's directory has {len(found)} entries and not {count}")
+            self._entries = {e.path: e for e in found}
         return self._entries
 
-    def _directory(self) -> tuple[int, int]:
+    def _directory(self) -> tuple[int, int, int]:
+        """Start and length of the central directory, and how many entries it must hold."""
         tail_at = max(0, self.size - 65_557)
         tail = self.read(tail_at, self.size - tail_at)
         at = tail.rfind(struct.pack("<I", _END))
         if at < 0:
             raise ValueError("the archive has no end record")
-        length, start = struct.unpack_from("<II", tail, at + 12)
-        if _BIG in (length, start):
+        disk, first_disk, here, count, length, start = struct.unpack_from("<HHHHII", tail, at + 4)
+        if (disk, first_disk) not in ((0, 0), (0xFFFF, 0xFFFF)) or here != count:
+            raise ValueError("archives over several disks are not supported")
+        if _BIG in (length, start) or count == 0xFFFF:
             where = tail.rfind(struct.pack("<I", _LOCATOR64), 0, at)
             if where < 0:
                 raise ValueError("the archive's 64-bit locator is missing")
-            (record,) = struct.unpack_from("<Q", tail, where + 8)
-            head = self.read(record, 56)
-            if struct.unpack_from("<I", head)[0] != _END64:
+            record, disks = struct.unpack_from("<QI", tail, where + 8)
+            head = self.read(record, 56) if record + 56 <= self.size else b""
+            if len(head) < 56 or struct.unpack_from("<I", head)[0] != _END64:
                 raise ValueError("the archive's 64-bit end record is broken")
-            length, start = struct.unpack_from("<QQ", head, 40)
-        return start, length
+            disk, first_disk, here, count, length, start = struct.unpack_from("<IIQQQQ", head, 16)
+            if disks > 1 or disk or first_disk or here != count:
+                raise ValueError("archives over several disks are not supported")
+        if start + length > self.size:
+            raise ValueError("the archive's directory lies beyond its end")
+        return start, length, count
 
     @staticmethod
     def _parse(raw: bytes) -> Iterator[Entry]:
@@ -100,6 +112,11 @@ def safe_name(path: str) -> bool:
 
 def list_entries(spark: SparkSession, path: str) -> DataFrame:
     """``(archive, path, size, crc)`` of the entries of all archives; an unsafe name is an error."""
+    return entries_of(spark.read.format("binaryFile").load(path))
+
+
+def entries_of(files: DataFrame) -> DataFrame:
+    """The entries of the archives in a column ``content``, named by ``path``."""
     def entries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for name, content in zip(pdf.path, pdf.content, strict=True):
@@ -110,12 +127,16 @@ def list_entries(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"unsafe entry name {p!r}")
                 yield pd.DataFrame(rows, columns=["archive", "path", "size", "crc"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(entries, "archive string, path string, size long, crc long")
+    return files.select("path", "content").mapInPandas(entries, "archive string, path string, size long, crc long")
 
 
 def read_entries(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """``(archive, path, content)`` of the entries whose names match; only those are unpacked."""
+    return contents_of(spark.read.format("binaryFile").load(path), pattern)
+
+
+def contents_of(files: DataFrame, pattern: str = "") -> DataFrame:
+    """The unpacked entries, of names that match, of the archives in a column ``content``; an unsafe name is an error."""
     def contents(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
 
@@ -124,11 +145,34 @@ def read_entries(spark: SparkSession, path: str, pattern: str) -> DataFrame:
                 raw = bytes(content)
                 z = RangeZip(len(raw), lambda s, n, raw=raw: raw[s : s + n])
                 for p in sorted(z.entries()):
-                    if safe_name(p) and re.search(pattern, p):
+                    if not safe_name(p):
+                        raise ValueError(f"unsafe entry name {p!r}")
+                    if not p.endswith("/") and re.search(pattern, p):
                         yield pd.DataFrame({"archive": [name], "path": [p], "content": [z.read_entry(p)]})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(contents, "archive string, path string, content binary")
+    return files.select("path", "content").mapInPandas(contents, "archive string, path string, content binary")
+
+
+def stage(name: str, base: str, fetch: Callable[[], DataFrame], stamp: str, force: bool = False) -> str:
+    """Stages a source below ``base`` and returns ``cached`` or ``staged``.
+
+    What is staged already serves again without a fetch unless ``force`` is
+    set.  A new version is written beside the earlier ones, which stay, and a
+    fetch that fails leaves the last one as it was.
+    """
+    spark = SparkSession.active()
+    path = f"{base}/{name}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not force and any(fs.exists(s.getPath().suffix("/_SUCCESS")) for s in (fs.listStatus(p) if fs.exists(p) else [])):
+        return "cached"
+    write_version(fetch(), path, stamp)
+    return "staged"
+
+
+def staged(spark: SparkSession, name: str, base: str) -> DataFrame:
+    """The newest version of a staged source."""
+    return latest_version(spark.read, f"{base}/{name}")
 
 
 def is_building_path(path: Column) -> Column:
@@ -163,8 +207,10 @@ def raw_status(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -
 
 
 def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON shards of a folder with the unit each file is named after."""
-    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("unit_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
+    """JSON shards of a folder, documents or lines, with the unit that each file, or its folder ``unit_id=..``, is named after."""
+    name = F.input_file_name()
+    folder = F.nullif(F.regexp_extract(name, r"/unit_id=([^/]+)/", 1), F.lit(""))
+    return spark.read.schema(schema).json(path).withColumn("unit_id", F.coalesce(folder, F.regexp_extract(name, r"([^/]+)\.json$", 1)))
 
 
 #: The kinds of sources a deployment stages, and what each must hold.

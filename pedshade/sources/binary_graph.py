@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pedshade.config import COORDINATE_SCALE, SHADE_COLUMNS
@@ -82,47 +82,90 @@ def _load(spark: SparkSession, path: str, fallback: str | None) -> DataFrame:
 
 def read(spark: SparkSession, path: str, fallback: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(nodes, edges)``: ids are numbers; edges carry geometry and the shade columns."""
-    files = _load(spark, path, fallback)
+    return decode(_load(spark, path, fallback))
+
+
+def decode(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, edges)`` of graphs in a column ``content``, with the columns beside it."""
+    kept = [c for c in files.columns if c != "content"]
+    kinds = dict(files.dtypes)
+    own = "".join(f"{c} {kinds[c]}, " for c in kept)
 
     def nodes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for raw in pdf.content:
-                g = Graph(bytes(raw))
-                yield pd.DataFrame({"node_id": np.arange(len(g.nodes)), "lon": g.nodes[:, 0], "lat": g.nodes[:, 1]})
+            for row in pdf.to_dict("records"):
+                g = Graph(bytes(row["content"]))
+                yield pd.DataFrame({c: [row[c]] * len(g.nodes) for c in kept} | {"node_id": np.arange(len(g.nodes)), "lon": g.nodes[:, 0], "lat": g.nodes[:, 1]})
 
     names = list(SHADE_COLUMNS.values())
 
     def edges(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for raw in pdf.content:
-                g = Graph(bytes(raw))
+            for row in pdf.to_dict("records"):
+                g = Graph(bytes(row["content"]))
                 for lo in range(0, len(g.edges), 50_000):
                     e = g.edges[lo : lo + 50_000]
-                    out = pd.DataFrame({"edge_id": [str(i) for i in range(lo, lo + len(e))]} | {c: e[c].astype(np.int64 if c in ("source", "target") else np.float64) for c in _EDGE.names})
+                    out = pd.DataFrame({c: [row[c]] * len(e) for c in kept} | {"edge_id": [str(i) for i in range(lo, lo + len(e))]} | {c: e[c].astype(np.int64 if c in ("source", "target") else np.float64) for c in _EDGE.names})
                     out["geometry"] = [[{"lon": x, "lat": y} for x, y in g.points[a:b].tolist()] for a, b in zip(g.offsets[lo : lo + len(e)], g.offsets[lo + 1 : lo + len(e) + 1], strict=True)]
                     for k, c in enumerate(names):
                         out[c] = g.shade[lo : lo + len(e), k].astype(np.float64) if k < g.shade.shape[1] else np.nan
                     yield out
 
-    schema = "edge_id string, source long, target long, length double, green_score double, water_penalty double, geometry array<struct<lon: double, lat: double>>, "
-    return files.mapInPandas(nodes, "node_id long, lon double, lat double"), files.mapInPandas(edges, schema + ", ".join(f"{c} double" for c in names))
+    schema = own + "edge_id string, source long, target long, length double, green_score double, water_penalty double, geometry array<struct<lon: double, lat: double>>, "
+    return files.mapInPandas(nodes, own + "node_id long, lon double, lat double"), files.mapInPandas(edges, schema + ", ".join(f"{c} double" for c in names))
+
+
+#: Edges of the largest graph that is written as one file.
+MOST_EDGES = 1_000_000
 
 
-def write(nodes: DataFrame, edges: DataFrame, path: str, compress: bool = True) -> int:
-    """Writes one file for a browser and returns its size; for graphs of that scale only.
+def _encoded(nodes: pd.DataFrame, edges: pd.DataFrame, compress: bool = True) -> bytes:
+    """A graph's file: nodes numbered in id order, edges in the order of their ids; an end that is no node is an error."""
+    nodes = nodes.sort_values("node_id", kind="stable").reset_index(drop=True)
+    edges = edges.sort_values("edge_id", kind="stable").reset_index(drop=True)
+    ids = nodes.node_id.to_numpy()
+    ends = {}
+    for end in ("source", "target"):
+        wanted = edges[end].to_numpy()
+        at = np.minimum(np.searchsorted(ids, wanted), max(0, len(ids) - 1))
+        if len(wanted) and (not len(ids) or (ids[at] != wanted).any()):
+            raise ValueError("an edge's end is no node")
+        ends[end] = at
+    points = [np.array([(p["lon"], p["lat"]) for p in g]) for g in edges.geometry]
+    raw = encode(nodes, edges.assign(**ends), points, edges[list(SHADE_COLUMNS.values())].to_numpy())
+    return gzip.compress(raw, mtime=0) if compress else raw
 
-    Nodes are numbered in id order; an edge whose end is no node is an error.
+
+def encode_units(nodes: DataFrame, edges: DataFrame, unit: str = "unit") -> DataFrame:
+    """``(unit, content)``: a file for each unit of ``edges``, with the nodes at its edges' ends.
+
+    A unit is a tile or a ward, so that no task holds more than that.
     """
-    number = F.row_number().over(Window.orderBy("node_id")) - 1
-    placed = nodes.select("node_id", "lon", "lat", number.alias("k"))
-    a, b = placed.select(F.col("node_id").alias("source"), F.col("k").alias("s")), placed.select(F.col("node_id").alias("target"), F.col("k").alias("t"))
-    rows = edges.join(a, "source", "left").join(b, "target", "left").orderBy("edge_id").toPandas()
-    if rows[["s", "t"]].isna().any().any():
-        raise ValueError("an edge's end is no node")
-    points = [np.array([(p["lon"], p["lat"]) for p in g]) for g in rows.geometry]
-    rows = rows.drop(columns=["source", "target"]).rename(columns={"s": "source", "t": "target"})
-    raw = encode(placed.orderBy("k").toPandas(), rows, points, rows[list(SHADE_COLUMNS.values())].to_numpy())
-    raw = gzip.compress(raw, mtime=0) if compress else raw
-    with open(path, "wb") as f:
-        f.write(raw)
+    ends = edges.select(F.col(unit).alias("_unit"), F.explode(F.array("source", "target")).alias("node_id")).distinct().join(nodes.select("node_id", "lon", "lat"), "node_id")
+
+    def one(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({unit: [key[0]], "content": [_encoded(n, e)]})
+
+    ends = ends.toDF(*ends.columns)  # of its own, though it comes from the edges
+    return ends.groupBy("_unit").cogroup(edges.groupBy(unit)).applyInPandas(one, f"{unit} {dict(edges.dtypes)[unit]}, content binary")
+
+
+def write(nodes: DataFrame, edges: DataFrame, path: str, compress: bool = True, most_edges: int = MOST_EDGES) -> int:
+    """Writes one file for a browser, to any file system that Spark knows, and returns its size.
+
+    The driver holds the graph, so beyond ``most_edges`` edges (or as many
+    nodes) it is an error: such a graph is written by unit.  Nodes are numbered
+    in id order; an edge whose end is no node is an error.
+    """
+    if edges.count() > most_edges or nodes.count() > most_edges:
+        raise ValueError(f"one file holds {most_edges} edges at most; use encode_units")
+    raw = _encoded(nodes.select("node_id", "lon", "lat").toPandas(), edges.toPandas(), compress)
+    spark = nodes.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        for at in range(0, len(raw), 4 << 20):
+            out.write(raw[at : at + (4 << 20)])
+    finally:
+        out.close()
     return len(raw)

@@ -14,7 +14,8 @@ from pedshade.operators.cover import BUILDING
 
 #: Attribute names of the formats.
 GML_ID, HREF = "{http://www.opengis.net/gml}id", "{http://www.w3.org/1999/xlink}href"
-SURFACE_KINDS = ("RoofSurface", "WallSurface", "GroundSurface", "OuterCeilingSurface", "OuterFloorSurface", "ClosureSurface")
+#: Boundary surfaces of a building in the CityGML 2.0 building module (OGC 12-019, table of _BoundarySurface).
+SURFACE_KINDS = {"GroundSurface", "WallSurface", "RoofSurface", "ClosureSurface", "OuterFloorSurface", "OuterCeilingSurface"}
 
 
 class CityGmlError(ValueError):
@@ -133,6 +134,11 @@ def iter_buildings(raw: bytes) -> Iterator[dict]:
 
 def read_buildings(spark: SparkSession, path: str) -> DataFrame:
     """Building rows of all files under ``path``, a file to a task, a building in memory at a time."""
+    return parse_buildings(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+
+
+def parse_buildings(files: DataFrame) -> DataFrame:
+    """Building rows of the files in a column ``content``."""
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for raw in pdf.content:
@@ -145,4 +151,4 @@ def read_buildings(spark: SparkSession, path: str) -> DataFrame:
                 if batch:
                     yield pd.DataFrame(batch)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInPandas(parse, BUILDING)
+    return files.select("content").mapInPandas(parse, BUILDING)

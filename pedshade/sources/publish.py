@@ -6,6 +6,7 @@ import json
 import math
 import os
 import shutil
+import struct
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -113,6 +114,8 @@ def write_shards(df: DataFrame, path: str, unit: str = "mesh_id") -> None:
 # -- vector tiles -------------------------------------------------------------------------
 
 EXTENT, TILE_BUFFER, ZOOMS = 4096, 32, (10, 11, 12, 13)
+#: Points that lie this near to the line without them, in tile units, are left out.
+TOLERANCE = 3.0
 
 
 def _varint(n: int) -> bytes:
@@ -155,45 +158,76 @@ def clip_to_tile(line: list[tuple[float, float]], low: float, high: float) -> li
     return parts
 
 
-def encode_tile(features: list[tuple[list[tuple[float, float]], dict]], layer: str = "default") -> bytes:
-    """A vector tile (version 2) of polylines in tile units; empty bytes without any."""
+def simplified(line: list[tuple[float, float]], tolerance: float = TOLERANCE) -> list[tuple[float, float]]:
+    """A line with the fewest of its points kept by halving at the farthest one; ends stay."""
+    if tolerance <= 0 or len(line) < 3:
+        return line
+    keep, spans = {0, len(line) - 1}, [(0, len(line) - 1)]
+    while spans:
+        a, b = spans.pop()
+        (x0, y0), (x1, y1) = line[a], line[b]
+        dx, dy = x1 - x0, y1 - y0
+        far, worst = 0, tolerance * tolerance
+        for k in range(a + 1, b):
+            px, py = line[k][0] - x0, line[k][1] - y0
+            t = min(1.0, max(0.0, (px * dx + py * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+            off = (px - t * dx) ** 2 + (py - t * dy) ** 2
+            if off > worst:
+                far, worst = k, off
+        if far:
+            keep.add(far)
+            spans += [(a, far), (far, b)]
+    return [line[k] for k in sorted(keep)]
+
+
+def encode_line(line: list[tuple[float, float]], tolerance: float = TOLERANCE) -> bytes:
+    """A line's geometry within a tile, simplified, clipped and rounded; empty where nothing of it is left."""
+    geometry: list[int] = []
+    at = (0, 0)
+    for part in clip_to_tile(simplified(line, tolerance), -TILE_BUFFER, EXTENT + TILE_BUFFER):
+        points = [(round(x), round(y)) for x, y in part]
+        points = [p for i, p in enumerate(points) if i == 0 or p != points[i - 1]]
+        if len(points) < 2:
+            continue
+        geometry += [1 << 3 | 1, _zigzag(points[0][0] - at[0]), _zigzag(points[0][1] - at[1]), len(points) - 1 << 3 | 2]
+        for a, b in zip(points, points[1:], strict=False):
+            geometry += [_zigzag(b[0] - a[0]), _zigzag(b[1] - a[1])]
+        at = points[-1]
+    return b"".join(map(_varint, geometry))
+
+
+def assemble_tile(features: list[tuple[bytes, dict]], layer: str = "default") -> bytes:
+    """A vector tile (version 2) of encoded lines and their properties; empty bytes without any."""
     keys: dict[str, int] = {}
     values: dict[object, int] = {}
-    out = b""
-    for line, properties in features:
-        geometry: list[int] = []
-        at = (0, 0)
-        for part in clip_to_tile(line, -TILE_BUFFER, EXTENT + TILE_BUFFER):
-            points = [(round(x), round(y)) for x, y in part]
-            points = [p for i, p in enumerate(points) if i == 0 or p != points[i - 1]]
-            if len(points) < 2:
-                continue
-            geometry += [1 << 3 | 1, _zigzag(points[0][0] - at[0]), _zigzag(points[0][1] - at[1]), len(points) - 1 << 3 | 2]
-            for a, b in zip(points, points[1:], strict=False):
-                geometry += [_zigzag(b[0] - a[0]), _zigzag(b[1] - a[1])]
-            at = points[-1]
+    out = []
+    for geometry, properties in features:
         if not geometry:
             continue
         tags: list[int] = []
         for k, v in properties.items():
             if v is not None:
                 tags += [keys.setdefault(k, len(keys)), values.setdefault(v, len(values))]
-        body = _block(2, b"".join(map(_varint, tags))) + _varint(3 << 3) + _varint(2) + _block(4, b"".join(map(_varint, geometry)))
-        out += _block(2, body)
+        out.append(_block(2, _block(2, b"".join(map(_varint, tags))) + _varint(3 << 3) + _varint(2) + _block(4, geometry)))
     if not out:
         return b""
-    import struct
-
-    body = _block(1, layer.encode()) + out + b"".join(_block(3, k.encode()) for k in keys)
+    body = _block(1, layer.encode()) + b"".join(out) + b"".join(_block(3, k.encode()) for k in keys)
     for v in values:
         body += _block(4, _block(1, v.encode()) if isinstance(v, str) else _varint(3 << 3 | 1) + struct.pack("<d", v))
     return _block(3, body + _varint(5 << 3) + _varint(EXTENT) + _varint(15 << 3) + _varint(2))
 
 
-def vector_tiles(features: DataFrame, properties: list[str], zooms: tuple[int, ...] = ZOOMS, layer: str = "default") -> DataFrame:
-    """``(z, x, y, tile)``: features with ``geometry`` (structs lon, lat) in the tiles that their boxes meet.
+def encode_tile(features: list[tuple[list[tuple[float, float]], dict]], layer: str = "default", tolerance: float = TOLERANCE) -> bytes:
+    """A vector tile of polylines in tile units; empty bytes without any."""
+    return assemble_tile([(encode_line(line, tolerance), p) for line, p in features], layer)
+
 
-    Each tile is one group; tiles without any part of a line are left out.
+def vector_tiles(features: DataFrame, properties: list[str], zooms: tuple[int, ...] = ZOOMS, layer: str = "default", tolerance: float = TOLERANCE) -> DataFrame:
+    """``(z, x, y, n_features, tile)``: features with ``geometry`` (structs lon, lat) in the tiles that their boxes meet.
+
+    Lines are simplified, clipped and encoded row by row; only the bytes that
+    a tile holds anyway meet in its group.  Tiles without any part of a line are
+    left out.
     """
     axis = lambda f, n: f(F.transform("geometry", lambda p: p[n]))
     box = (axis(F.array_min, "lon"), axis(F.array_min, "lat"), axis(F.array_max, "lon"), axis(F.array_max, "lat"))
@@ -203,19 +237,31 @@ def vector_tiles(features: DataFrame, properties: list[str], zooms: tuple[int, .
 
     tiles = F.flatten(F.array(*map(at, zooms)))
     rows = features.select("geometry", *properties, F.inline(tiles))
+    kinds = dict(features.dtypes)
+    own = "".join(f"{c} {kinds[c]}, " for c in properties)
 
-    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, x, y = int(pdf.z.iloc[0]), int(pdf.x.iloc[0]), int(pdf.y.iloc[0])
-        n = 2.0**z
-
-        def unit(p) -> tuple[float, float]:
-            lat = math.radians(p["lat"])
-            return ((p["lon"] + 180) / 360 * n - x) * EXTENT, ((1 - math.log(math.tan(lat) + 1 / math.cos(lat)) / math.pi) / 2 * n - y) * EXTENT
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Lines become a tile's few bytes before tiles are grouped; what vanishes in a tile goes."""
+        for pdf in parts:
+            out = []
+            for r in pdf.to_dict("records"):
+                n = 2.0 ** r["z"]
+                line = []
+                for p in r["geometry"]:
+                    lat = math.radians(p["lat"])
+                    y = (1 - math.log(math.tan(lat) + 1 / math.cos(lat)) / math.pi) / 2 * n
+                    line.append((((p["lon"] + 180) / 360 * n - r["x"]) * EXTENT, (y - r["y"]) * EXTENT))
+                if encoded := encode_line(line, tolerance):
+                    out.append((*(r[c] for c in properties), r["z"], r["x"], r["y"], encoded))
+            yield pd.DataFrame(out, columns=[*properties, "z", "x", "y", "line"])
 
-        tile = encode_tile([([unit(p) for p in r["geometry"]], {k: r[k] for k in properties}) for r in pdf.to_dict("records")], layer)
-        return pd.DataFrame({"z": [z], "x": [x], "y": [y], "tile": [tile]} if tile else {"z": [], "x": [], "y": [], "tile": []})
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values([*properties, "line"], kind="stable").to_dict("records")
+        tile = assemble_tile([(r["line"], {k: r[k] for k in properties}) for r in rows], layer)
+        return pd.DataFrame({"z": [int(pdf.z.iloc[0])], "x": [int(pdf.x.iloc[0])], "y": [int(pdf.y.iloc[0])], "n_features": [len(rows)], "tile": [tile]})
 
-    return rows.groupBy("z", "x", "y").applyInPandas(encode, "z int, x long, y long, tile binary")
+    lines = rows.mapInPandas(cut, own + "z int, x long, y long, line binary")
+    return lines.groupBy("z", "x", "y").applyInPandas(encode, "z int, x long, y long, n_features long, tile binary")
 
 
 def write_tiles(tiles: DataFrame, directory: str) -> None:

@@ -474,3 +474,60 @@ def test_evaluation_end_to_end(spark):
     wrong = dict(tables, metrics=tables["metrics"].withColumn("exposure_load", F.col("exposure_load") + 1))
     assert {r.rule for r in evaluation.validate(wrong, e).collect()} == {"differs-exposure_load", "cost-identity"}
     assert evaluation.find_cases(tables["paths"]).count() > 0
+
+
+def test_nearest_to_lines_keeps_ties(spark):
+    line = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    lines = spark.createDataFrame([("a", line((0, 0), (100, 0))), ("b", line((5000, 5000), (5000, 5000))), ("c", [])], "edge_id string, line array<struct<x: double, y: double>>")
+    sites = spark.createDataFrame([(1, 50.0, 10.0), (2, 110.0, 0.0), (3, 50.0, -10.0), (4, 20.0, 300.0)], "site_id long, x double, y double")
+    got = sorted((r.edge_id, r.site_id, round(r.distance_m, 6)) for r in spatial.nearest_to_lines(lines, sites, 5.0).collect())
+    assert got[:3] == [("a", 1, 10.0), ("a", 2, 10.0), ("a", 3, 10.0)]
+    assert [(e, s) for e, s, _ in got[3:]] == [("b", 4)] or got[3][0] == "b"
+    best = min((np.hypot(5000 - x, 5000 - y), k) for k, x, y in [(1, 50, 10), (2, 110, 0), (3, 50, -10), (4, 20, 300)])
+    assert got[3][1] == best[1] and abs(got[3][2] - best[0]) < 1e-5
+    with pytest.raises(ValueError, match="no site"):
+        spatial.nearest_to_lines(lines, sites.filter("1 = 0"))
+
+
+def test_exact_quantiles(spark):
+    from pedshade.operators.ranks import gapless_rank, quantiles
+
+    rnd = random.Random(4)
+    rows = [(k % 3, None if rnd.random() < 0.1 else float(rnd.randint(0, 9))) for k in range(200)] + [(7, 2.5), (8, None)]
+    df = spark.createDataFrame(rows, "k long, v double").repartition(5)
+    got = {r.k: r.q for r in quantiles(df, ["k"], "v", (0.0, 0.25, 0.5, 0.9, 1.0)).collect()}
+    for k in (0, 1, 2, 7):
+        v = [x for j, x in rows if j == k and x is not None]
+        assert np.allclose(got[k], np.quantile(v, (0.0, 0.25, 0.5, 0.9, 1.0)))
+    assert 8 not in got
+    ranks = defaultdict(list)
+    for r in gapless_rank(df.filter("v is not null"), ["k"], ["v"]).collect():
+        ranks[r.k].append((r["rank"], r.v))
+    assert all([i for i, _ in sorted(x)] == list(range(len(x))) and [v for _, v in sorted(x)] == sorted(v for _, v in x) for x in ranks.values())
+
+
+def test_polygonized_ways(spark):
+    line = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    ways = [(1, 1, line((0, 0), (4, 0), (4, 4))), (1, 2, line((0, 0), (0, 4), (4, 4))), (1, 3, line((1, 1), (2, 1), (2, 2), (1, 1))), (2, 1, line((0, 0), (1, 0)))]
+    df = spark.createDataFrame(ways, "area_id long, way_id long, line array<struct<x: double, y: double>>")
+    got = {r.area_id: r for r in polygons.polygonize(df).collect()}
+    assert sorted(len(r) for r in got[1].rings) == [4, 5] and got[1].n_open == 0
+    assert got[2].rings == [] and got[2].n_open == 1
+
+
+def test_streams_of_requests_and_counts(spark, tmp_path):
+    from pedshade.streaming import state
+
+    rows = [(1, "2026-01-01 00:10:00", "a"), (1, "2026-01-01 00:10:00", "a"), (2, "2026-01-01 00:50:00", "a"), (3, "2026-01-01 01:10:00", "b")]
+    df = spark.createDataFrame(rows, "request_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+
+    def result(query, name, mode):
+        q = query.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name).collect()
+
+    assert sorted(r.request_id for r in result(state.single_flight(stream()), "flight", "append")) == [1, 2, 3]
+    counts = {(r.start.hour, r.event_type): r.n for r in result(state.tumbling_counts(stream()), "counts", "complete")}
+    assert counts == {(0, "a"): 3, (1, "b"): 1}

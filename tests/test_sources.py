@@ -298,3 +298,106 @@ def test_entry_and_registry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     trips = queries.QUERIES["station_trip_costs"](spark, DATA).collect()
     assert len(trips) == 3 * spark.read.parquet(f"{DATA}/supplier.parquet").count()
+
+
+def test_layers(spark):
+    import math
+
+    from pedshade.sources import layers
+
+    ring = lambda x, n=4: [[{"x": x + dx, "y": 0.0 + dy} for dx, dy in [(0, 0), (1, 0), (1, 1), (0, 1)][:n]]]
+    rows = [("a", 1, ring(0.0), "Polygon"), ("a", 2, ring(1.0), "Polygon"), ("a", 3, ring(9.0), "Polygon"), ("a", 4, ring(0.5, 2), "Polygon"), ("b", 5, ring(0.0), "LineString"), ("c", 6, ring(0.0), "Polygon"), ("a", 7, None, "Polygon")]
+    df = layers.with_boxes(spark.createDataFrame(rows, "layer string, poly_id long, rings array<array<struct<x: double, y: double>>>, kind string"))
+    definitions = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("none", True)], "layer string, include boolean")
+    got = {r.layer: tuple(r)[1:] for r in layers.inspect_layers(df, definitions, (0.0, 0.0, 1.0, 1.0)).collect()}
+    # Boxes that touch meet; a layer of lines, or without rows, is not usable.
+    assert got == {"a": (True, 5, 3, 2, True), "b": (True, 1, 1, 0, False), "c": (False, 1, 1, 0, False), "none": (True, 0, 0, 0, False)}
+    assert sorted(r.poly_id for r in layers.read_layers(df, definitions, (0.0, 0.0, 1.0, 1.0)).collect()) == [1, 2]
+    with pytest.raises(Exception, match="undecided layer: c"):
+        layers.read_layers(df, definitions.withColumn("include", F.when(F.col("layer") != "c", True)), (0.0, 0.0, 1.0, 1.0)).collect()
+    assert math.isclose(layers.with_boxes(df).filter("poly_id = 1").first().east, 1.0)
+
+
+def test_large_graphs_are_refused_as_one_document(spark, tmp_path):
+    nodes = spark.createDataFrame([(1, 139.7, 35.6), (2, 139.71, 35.61)], "node_id long, lon double, lat double")
+    edge = ("a", 1, 2, 5.0, 0.5, 0.5, 0.1, 0.2, 0.3, [{"lon": 139.7, "lat": 35.6}, {"lon": 139.71, "lat": 35.61}])
+    edges = spark.createDataFrame([edge], "edge_id string, source long, target long, length double, green_score double, water_penalty double, shade_0900 double, shade_1200 double, shade_1500 double, geometry array<struct<lon: double, lat: double>>")
+    for write in (lambda: graph_json.graph_document(nodes, edges, most_edges=0), lambda: binary_graph.write(nodes, edges, f"{tmp_path}/g.bin", most_edges=0)):
+        with pytest.raises(ValueError, match="at most"):
+            write()
+    with pytest.raises(Exception, match="no node"):
+        binary_graph.write(nodes.filter("node_id = 1"), edges, f"{tmp_path}/g.bin")
+
+
+def test_staged_sources_keep_what_they_had(spark, tmp_path):
+    from pedshade.sources import archives
+
+    one, two = (spark.createDataFrame([(k,)], "k long") for k in (1, 2))
+    assert archives.stage("s", str(tmp_path), lambda: one, "1") == "staged"
+    assert archives.stage("s", str(tmp_path), lambda: two, "2") == "cached"
+
+    def broken():
+        raise OSError("no network")
+
+    with pytest.raises(OSError):
+        archives.stage("s", str(tmp_path), broken, "3", force=True)
+    assert archives.staged(spark, "s", str(tmp_path)).first().k == 1
+    archives.stage("s", str(tmp_path), lambda: two, "4", force=True)
+    assert archives.staged(spark, "s", str(tmp_path)).first().k == 2
+
+
+def test_broken_archives_are_refused():
+    from pedshade.sources import archives
+
+    raw = zipped({"a.txt": b"a", "b.txt": b"b"})
+    end = raw.rfind(b"PK\x05\x06")
+    several = raw[: end + 4] + b"\x01\x00" + raw[end + 6 :]
+    fewer = raw[: end + 8] + b"\x01\x00\x01\x00" + raw[end + 12 :]
+    for bad, why in ((several, "several disks"), (fewer, "entries"), (raw[:end], "end record")):
+        with pytest.raises(ValueError, match=why):
+            archives.RangeZip(len(bad), lambda s, n, bad=bad: bad[s : s + n]).entries()
+
+
+def test_runner_resumes(spark, tmp_path):
+    from pedshade.pipelines import Runner
+
+    units = spark.createDataFrame([("001",), ("2",), ("3",)], "unit_id string")
+    runner = Runner(spark, "p", str(tmp_path))
+    asked = []
+
+    def build(bad):
+        def run(pending):
+            asked.append(sorted(r.unit_id for r in pending.collect()))
+            rows = pending.select("unit_id", F.lit(len(asked)).alias("attempt"))
+            return rows.filter(~F.col("unit_id").isin(bad)), pending.filter(F.col("unit_id").isin(bad)).select("unit_id", F.lit("why").alias("detail"))
+
+        return run
+
+    def crash(pending):
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        runner.run(units, crash)
+    assert runner.run(units, build(["2"])) == 1
+    assert [(r.unit_id, r.status, r.detail) for r in runner.progress().filter("status = 'failed'").collect()] == [("2", "failed", "why")]
+    with pytest.raises(ValueError, match="not complete: 2"):
+        runner.complete(units)
+    # A shard that was lost after its record is done again, with the unit that failed.
+    import shutil
+
+    shutil.rmtree(f"{tmp_path}/shards/unit_id=001")
+    assert runner.run(units, build([])) == 0
+    assert asked == [["001", "2", "3"], ["001", "2"]]
+    assert sorted((r.unit_id, r.attempt) for r in runner.complete(units).collect()) == [("001", 2), ("2", 2), ("3", 1)]
+    assert runner.run(units, build([])) == 0 and len(asked) == 2
+    assert runner.progress().filter("status = 'failed'").isEmpty()
+    with pytest.raises(ValueError, match="progress of 'p'"):
+        Runner(spark, "q", str(tmp_path)).progress()
+
+
+def test_simplified_lines():
+    from pedshade.sources import publish
+
+    assert publish.simplified([(0, 0), (5, 1), (10, 0), (10, 50)], 3) == [(0, 0), (10, 0), (10, 50)]
+    assert publish.simplified([(0, 0), (5, 9), (10, 0)], 3) == [(0, 0), (5, 9), (10, 0)]
+    assert publish.simplified([(0, 0), (9, 0), (0, 0)], 3) == [(0, 0), (9, 0), (0, 0)]
