@@ -22,6 +22,8 @@ DIMENSIONS = 4096
 ORDERS = (1, 2, 3, 4)
 #: Training documents: this many for a language and in all, about.
 PER_LANGUAGE, IN_ALL = 600, 4000
+#: The most frequent languages, at most this many, are learned.
+MOST_LANGUAGES = 200
 
 #: Families of ISO 639-1 codes.  A code without an entry is a family of its own.
 FAMILIES = {
@@ -175,11 +177,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_AL
 
     Those are chosen by a hash of doc_id from the documents that are not held
     out and have lang, doc_id and text; the sample's bound is the sum over the
-    languages, and ``in_all`` lowers it where there are many.  None if no
-    document qualifies.
+    languages, and ``in_all`` lowers it where there are many: with
+    ``MOST_LANGUAGES`` that are learned at most, about ``in_all`` documents in
+    all.  None if no document qualifies.
     """
     pool = bound_batches(docs).filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return None
     quota = max(20, min(per_language, in_all // len(counts)))

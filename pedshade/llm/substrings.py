@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pedshade.llm.common import NULL_ID, bound_batches, bounds, in_blocks, key_of, load64, mix64, utf8
+from pedshade.llm.common import bound_batches, bounds, in_blocks, key_of, load64, mix64, utf8
+from pedshade.llm.sharding import ranked
 from pedshade.llm.suffix import permuted_lcp, suffix_array
 from pedshade.runtime import Scratch
 
@@ -343,9 +344,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64()] * 4 + [pa.string()]
     for rows, values in in_blocks(batches, "text"):
         out = []
-        for key, spans, v in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), values, strict=True):
+        for doc_id, spans, v in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), values, strict=True):
             kept, removed, n = removed_from(v or b"", spans or [])
-            out.append((None if key == NULL_ID else key, len(v or b""), removed, n, hashlib.sha256(kept).hexdigest()))
+            out.append((doc_id, len(v or b""), removed, n, hashlib.sha256(kept).hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
@@ -365,16 +366,31 @@ def removed_from(text: bytes, spans: list) -> tuple[bytes, int, int]:
     return b"".join([*kept, text[at:]]), removed, n
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, key, text)``: ``key`` is a number for each distinct document, in their order.
+
+    It is the doc_id itself where no two texts share one.  Otherwise documents
+    of one doc_id, or of none, go by their texts' hashes and all are numbered.
+    """
+    rows = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), key_of().alias("key"), F.xxhash64("text").alias("same"), utf8().alias("text"))
+    ids = docs.select(key_of().alias("key"), F.xxhash64("text").alias("same"))
+    shared = ids.groupBy("key").agg(F.min("same").alias("a"), F.max("same").alias("b")).filter("a <> b")
+    if shared.isEmpty():
+        return rows.drop("same")
+    order, _ = ranked(ids.distinct(), F.lit(0), [F.col("key"), F.col("same")], Scratch(docs.sparkSession, "places"))
+    return rows.join(order.select("key", "same", "_rank"), ["key", "same"]).select("doc_id", F.col("_rank").alias("key"), "text")
+
+
 def removed_spans(docs: DataFrame, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
-    """``(texts, spans)``: texts (key, text) dealt by key, and spans (key, a, b) to remove, which may overlap."""
+    """``(texts, spans)``: texts (doc_id, key, text) dealt by key, and spans (key, a, b) to remove, which may overlap."""
     spark = docs.sparkSession
-    rows = bound_batches(docs).select(key_of().alias("key"), utf8().alias("text"))
+    rows = placed(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Partitions of the texts hold about so many bytes, whatever the session's setting.
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
     order = ["route", "kind", "same", "key", "a"]
     sifted = Scratch(spark, "substrings").write(
-        rows.mapInArrow(_contexts, "route long, kind byte, same long, key long, a long, b long, p int")
+        rows.select("key", "text").mapInArrow(_contexts, "route long, kind byte, same long, key long, a long, b long, p int")
         .repartition("route")
         .sortWithinPartitions(*order)
         .mapInPandas(lambda parts: _sift(parts, piece), "unit long, hot boolean, kind byte, key long, a long, b long, p int")
@@ -412,6 +428,6 @@ def dedup_substrings(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     by_doc = spans.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans")).hint("shuffle_hash")
     return (
         texts.join(by_doc, "key", "left")
-        .select("key", "spans", "text")
+        .select("doc_id", "spans", "text")
         .mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )

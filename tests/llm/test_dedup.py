@@ -128,9 +128,11 @@ def test_keep_one_chooses_by_set_not_by_id(spark):
 
 def brute_removed(rows):
     """Bytes removed by doc_id, from the definition."""
-    seen, spans = {}, defaultdict(set)
-    key = lambda i: -(2**63) if i is None else i
-    first = {}
+    spans, first = defaultdict(set), {}
+    signed = lambda t: 42 if t is None else int(np.uint64(xxhash.xxh64_intdigest(t.encode(), seed=42)).view(np.int64))
+    same = {t: signed(t) for _, t in rows}
+    rows = [((i, t), t) for i, t in rows]
+    key = lambda d: (-(2**63) if d[0] is None else d[0], same[d[1]])
     for i, t in rows:
         b = (t or "").encode()
         for k in range(len(b) - 99):
@@ -147,10 +149,21 @@ def brute_removed(rows):
         gone = [k in spans[key(i)] for k in range(len(b))]
         runs = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        out[(i, len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest())] += 1
+        out[(i[0], len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest())] += 1
     return out
 
 
+def test_substrings_of_shared_and_null_ids(spark):
+    """Texts that share a doc_id, or have none, lose their own repeats and not each other's places."""
+    rnd = random.Random(12)
+    say = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    a, b, c = say(150), say(220), say(130)
+    rows = [(5, a + b), (5, c + say(90)), (5, c + say(90)), (7, a), (None, b + say(40)), (None, say(300)), (None, say(10) + c), (3, say(200)), (9, b)]
+    rows += [rows[1], (None, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r) for r in substrings.dedup_substrings(df).collect()) == brute_removed(rows)
+
+
 @pytest.mark.parametrize("piece", [2, 8_000])
 def test_substrings_match_brute_force(docs, rows, piece):
     got = Counter(tuple(r) for r in substrings.dedup_substrings(docs, piece).collect())
