@@ -517,6 +517,52 @@ def test_word_hashes_follow_words(texts):
     assert len(set(h.tolist())) == len(set(words))
 
 
+def test_quality_equals_plain_loops(spark):
+    """Posteriors of hosts and paths, shrunk by moments, from the classifiers' own log-odds."""
+    rnd = random.Random(13)
+    good, bad = "river stone bright morning quiet".split(), "spam buy cheap now click".split()
+    rows, labels = [], []
+    for i in range(400):
+        q = rnd.random() < 0.5
+        host = f"h{rnd.randrange(4)}" if q else f"h{rnd.randrange(2, 6)}"
+        rows.append((i, " ".join(rnd.choice(good if q else bad) for _ in range(rnd.randint(3, 40))), host, rnd.choice(["a", "b", None])))
+        if i % 2:
+            labels.append((i, int(q), int(not q and rnd.random() < 0.5)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(docs, known, F.col("host"), F.col("path")).collect()}
+    models = quality.train(docs, known)
+    chance = lambda z: 1 / (1 + math.exp(-z))
+    for t in quality.TARGETS:
+        z = {}
+        for i, text, *_ in rows:
+            shape, distinct = quality._raw([text.encode()])
+            z[i] = max(-8.0, min(8.0, float(models[t].log_odds(shape, distinct)[0])))
+        p = {i: chance(v) for i, v in z.items()}
+        by_host, by_path = {}, {}
+        for i, _, h, path in rows:
+            by_host.setdefault(h, []).append(p[i])
+            by_path.setdefault((h, path), []).append(p[i])
+        rate = min(1 - 1e-4, max(1e-4, sum(p.values()) / len(p)))
+
+        def strength(sites):
+            n = sum(len(v) for v, _ in sites)
+            between = sum(len(v) * (sum(v) / len(v) - within) ** 2 for v, within in sites)
+            by_chance = sum(sum(x * x for x in v) / len(v) - (sum(v) / len(v)) ** 2 for v, _ in sites)
+            inside = sum(sum(x * x for x in v) - sum(v) ** 2 / len(v) for v, _ in sites)
+            return min(1e5, max(1.0, max(1e-6, inside / n) / max(1e-6, (between - by_chance) / n)))
+
+        of_host = strength([(v, rate) for v in by_host.values()])
+        of_path = strength([(v, sum(by_host[h]) / len(by_host[h])) for (h, _), v in by_path.items()])
+        for i, _, h, path in rows:
+            at_host = (sum(by_host[h]) - p[i] + rate * of_host) / (len(by_host[h]) - 1 + of_host)
+            at_path = (sum(by_path[h, path]) - p[i] + at_host * of_path) / (len(by_path[h, path]) - 1 + of_path)
+            at_path = max(1e-4, min(1 - 1e-4, at_path))
+            want = chance(z[i] + math.log(at_path / (1 - at_path)) - math.log(rate / (1 - rate)))
+            assert abs(got[i][t] - want) < 1e-6 and abs(got[i][f"evidence_{t}"] - p[i]) < 1e-6
+    assert all(r.keep == (r.quality >= 0.5 and r.toxic < 0.5) for r in got.values())
+
+
 @pytest.mark.skipif(not os.path.exists(wfst.MODEL_PATH), reason="no tokenizer file here")
 def test_piece_stage_decodes(spark):
     """Texts come back from their pieces, but for U+2581, which decodes as a space."""
