@@ -1,4 +1,4 @@
-"""Solar position after Meeus, without refraction, and shadow projection."""
+"""Solar position by Meeus's published equations, without refraction, and shadow projection."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ def _lit(x: float) -> Column:
 
 
 def _wrap(x: Column, m: float) -> Column:
-    return x - F.floor(x / _lit(m)) * _lit(m)
+    return F.pmod(x, _lit(m))
 
 
 def scenarios(spark: SparkSession) -> DataFrame:
@@ -23,40 +23,53 @@ def scenarios(spark: SparkSession) -> DataFrame:
     return rows.withColumn("instant", local.cast("timestamp"))
 
 
+def _series(t: Column, *coefficients: float) -> Column:
+    """Polynomial in t, coefficients in ascending order."""
+    out = _lit(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        out = _lit(c) + t * out
+    return out
+
+
+def sun_coordinates(T: Column) -> tuple[Column, Column]:
+    """(declination in radians, equation of time in minutes) for Julian centuries T since J2000.
+
+    Meeus, Astronomical Algorithms, 2nd edition: L0, M, e, C, Omega and lambda
+    of chapter 25, the obliquity epsilon by (22.2) and (25.8), declination by
+    (25.7), equation of time by (28.3).
+    """
+    L0 = _wrap(_series(T, 280.46646, 36000.76983, 0.0003032), 360)
+    M = F.radians(_series(T, 357.52911, 35999.05029, -0.0001537))
+    e = _series(T, 0.016708634, -0.000042037, -0.0000001267)
+    amplitudes = ((1.914602, -0.004817, -0.000014), (0.019993, -0.000101), (0.000289,))
+    C = sum((_series(T, *a) * F.sin(_lit(k) * M) for k, a in enumerate(amplitudes, 1)), _lit(0))
+    Omega = F.radians(_series(T, 125.04, -1934.136))
+    lambda_ = F.radians(L0 + C - _lit(0.00569) - _lit(0.00478) * F.sin(Omega))
+    epsilon0 = _lit(23 + 26 / 60) + _series(T, 21.448, -46.815, -0.00059, 0.001813) / _lit(3600)
+    epsilon = F.radians(epsilon0 + _lit(0.00256) * F.cos(Omega))
+    delta = F.asin(F.sin(epsilon) * F.sin(lambda_))
+    L, y = F.radians(L0), F.pow(F.tan(epsilon / _lit(2)), _lit(2))
+    terms = (
+        (y, F.sin(_lit(2) * L)), (_lit(-2) * e, F.sin(M)), (_lit(4) * e * y, F.sin(M) * F.cos(_lit(2) * L)),
+        (_lit(-0.5) * y * y, F.sin(_lit(4) * L)), (_lit(-1.25) * e * e, F.sin(_lit(2) * M)),
+    )
+    E = sum((k * f for k, f in terms), _lit(0))
+    return delta, F.degrees(E) * _lit(4)
+
+
 def solar_position(unix_seconds: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
-    """(azimuth clockwise from north, elevation) in degrees for seconds since 1970 UTC."""
-    jd = unix_seconds / _lit(86400) + _lit(2440587.5)
-    t = (jd - _lit(2451545)) / _lit(36525)
-    mean_longitude = _wrap(_lit(280.46646) + t * (_lit(36000.76983) + t * _lit(0.0003032)), 360)
-    anomaly = F.radians(_lit(357.52911) + t * (_lit(35999.05029) - _lit(0.0001537) * t))
-    eccentricity = _lit(0.016708634) - t * (_lit(0.000042037) + _lit(0.0000001267) * t)
-    center = (
-        F.sin(anomaly) * (_lit(1.914602) - t * (_lit(0.004817) + _lit(0.000014) * t))
-        + F.sin(_lit(2) * anomaly) * (_lit(0.019993) - _lit(0.000101) * t)
-        + F.sin(_lit(3) * anomaly) * _lit(0.000289)
-    )
-    omega = F.radians(_lit(125.04) - _lit(1934.136) * t)
-    apparent = F.radians(mean_longitude + center - _lit(0.00569) - _lit(0.00478) * F.sin(omega))
-    seconds = _lit(21.448) - t * (_lit(46.815) + t * (_lit(0.00059) - t * _lit(0.001813)))
-    obliquity = F.radians(_lit(23) + (_lit(26) + seconds / _lit(60)) / _lit(60) + _lit(0.00256) * F.cos(omega))
-    declination = F.asin(F.sin(obliquity) * F.sin(apparent))
-    y = F.pow(F.tan(obliquity / _lit(2)), _lit(2))
-    longitude = F.radians(mean_longitude)
-    equation = _lit(4) * F.degrees(
-        y * F.sin(_lit(2) * longitude)
-        - _lit(2) * eccentricity * F.sin(anomaly)
-        + _lit(4) * eccentricity * y * F.sin(anomaly) * F.cos(_lit(2) * longitude)
-        - _lit(0.5) * y * y * F.sin(_lit(4) * longitude)
-        - _lit(1.25) * eccentricity * eccentricity * F.sin(_lit(2) * anomaly)
-    )
-    minutes = _wrap(unix_seconds, 86400) / _lit(60)
-    hour = F.radians(_wrap(minutes + equation + _lit(4) * lon, 1440) / _lit(4) - _lit(180))
-    phi = F.radians(lat)
-    zenith = F.acos(
-        F.greatest(_lit(-1), F.least(_lit(1), F.sin(phi) * F.sin(declination) + F.cos(phi) * F.cos(declination) * F.cos(hour)))
-    )
-    azimuth = F.degrees(F.atan2(F.sin(hour), F.cos(hour) * F.sin(phi) - F.tan(declination) * F.cos(phi)))
-    return _wrap(azimuth + _lit(180), 360), _lit(90) - F.degrees(zenith)
+    """(azimuth clockwise from north, elevation) in degrees for seconds since 1970 UTC.
+
+    Horizontal coordinates by Meeus (13.5) and (13.6), whose azimuth counts from
+    the south; the hour angle H follows from true solar time.
+    """
+    JDE = unix_seconds / _lit(86400) + _lit(2440587.5)
+    delta, E = sun_coordinates((JDE - _lit(2451545)) / _lit(36525))
+    solar_minutes = _wrap(_wrap(unix_seconds, 86400) / _lit(60) + E + _lit(4) * lon, 1440)
+    H, phi = F.radians(solar_minutes / _lit(4) - _lit(180)), F.radians(lat)
+    A = F.atan2(F.sin(H), F.cos(H) * F.sin(phi) - F.tan(delta) * F.cos(phi))
+    h = F.sin(phi) * F.sin(delta) + F.cos(phi) * F.cos(delta) * F.cos(H)
+    return _wrap(F.degrees(A) + _lit(180), 360), F.degrees(F.asin(F.greatest(_lit(-1), F.least(_lit(1), h))))
 
 
 def project_vertex(x: Column, y: Column, z: Column, ground: Column, azimuth: Column, elevation: Column) -> Column:
