@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pedshade.llm.common import bound_batches, in_blocks, utf8
+from pedshade.llm.common import bound_batches, in_blocks, pieces, utf8
 
 #: Phrases whose places are counted, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -126,14 +126,19 @@ def evaluate(expression: str) -> tuple[set[str], bool] | None:
                 return None
             stack.append(({f"{min(a[0])}-with-{min(b[0])}"}, a[1]))
         else:
-            stack.append((a[0] | b[0], (a[1] and b[1]) if token == "and" else (a[1] or b[1])))
+            small, large = sorted((a[0], b[0]), key=len)
+            large |= small  # in place: each identifier moves into a larger set, so chains of any length stay cheap
+            stack.append((large, (a[1] and b[1]) if token == "and" else (a[1] or b[1])))
     return stack[0]
 
 
 def scan(text: bytes, machine: ahocorasick.Automaton) -> tuple:
     """(words, base places, first and last base word, base labels, labels, score, permissive)."""
-    words = text.translate(_TABLE).split()
-    joined = f" {b' '.join(words).decode('utf-8', 'replace')} "
+    # A piece at a time, as a long text's words take many times its bytes.
+    plain = b" ".join(filter(None, (b" ".join(p.translate(_TABLE).split()) for p in pieces(text))))
+    n_words = plain.count(b" ") + 1 if plain else 0
+    joined = f" {plain.decode('utf-8', 'replace')} "
+    del plain
     places: list[int] = []
     base: set[str] = set()
     labels: set[str] = set()
@@ -165,7 +170,7 @@ def scan(text: bytes, machine: ahocorasick.Automaton) -> tuple:
                 permissive = got[1] if permissive is None else permissive and got[1]
                 doubt *= 1 - TAG_WEIGHT
     return (
-        len(words), len(places), min(places) if places else None, max(places) if places else None,
+        n_words, len(places), min(places) if places else None, max(places) if places else None,
         ",".join(sorted(base)), ",".join(sorted(labels)), round(1 - doubt, 6), permissive,
     )
 

@@ -517,6 +517,19 @@ def test_word_hashes_follow_words(texts):
     assert len(set(h.tolist())) == len(set(words))
 
 
+def test_licenses_of_long_texts_and_expressions(monkeypatch):
+    machine = licenses.automaton()
+    rnd = random.Random(14)
+    parts = ["CC-BY", "General Public License", "all rights reserved", "words", "é\x0b", "--", "SPDX-License-Identifier: MIT AND Apache-2.0", "\n"]
+    texts = [" ".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60))).encode() for _ in range(80)] + [b"", b" \t", b"one"]
+    want = [licenses.scan(t, machine) for t in texts]
+    monkeypatch.setattr(common, "PIECE_BYTES", 7)
+    assert [licenses.scan(t, machine) for t in texts] == want
+    began = time.perf_counter()
+    names, _ = licenses.evaluate(" OR ".join(f"name-{k}" for k in range(40_000)).lower())
+    assert len(names) == 40_000 and time.perf_counter() - began < 5
+
+
 def test_quality_equals_plain_loops(spark):
     """Posteriors of hosts and paths, shrunk by moments, from the classifiers' own log-odds."""
     rnd = random.Random(13)
