@@ -785,7 +785,20 @@ def display_formats(s, d):
     )
 
 
-@query()
+@query(with_views("ui_events") + """, ev AS MATERIALIZED (SELECT session_id, event_id, action, mode, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS k FROM ui_events),
+f(session_id, k, phase, start, destination, route, selected_mode, error) AS (
+ SELECT DISTINCT session_id, CAST(0 AS BIGINT), 'awaiting-start', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 'balanced', CAST(NULL AS VARCHAR) FROM ev
+ UNION ALL SELECT f.session_id, ev.k,
+  CASE WHEN action = 'MAP_CLICK' AND phase = 'awaiting-start' THEN 'awaiting-destination' WHEN action = 'MAP_CLICK' THEN 'route-ready'
+   WHEN action = 'SELECT_START_REQUESTED' AND phase = 'route-ready' THEN 'selecting-start' WHEN action = 'SELECT_DESTINATION_REQUESTED' AND phase = 'route-ready' THEN 'selecting-destination' ELSE phase END,
+  CASE WHEN action = 'MAP_CLICK' AND phase IN ('awaiting-start', 'selecting-start') THEN CAST(event_id AS VARCHAR) ELSE start END,
+  CASE WHEN action = 'MAP_CLICK' AND phase IN ('awaiting-destination', 'selecting-destination') THEN CAST(event_id AS VARCHAR) ELSE destination END,
+  CASE WHEN action = 'MAP_CLICK' AND phase IN ('awaiting-destination', 'selecting-start', 'selecting-destination') THEN concat('route-', event_id) ELSE route END,
+  CASE WHEN action = 'ROUTE_MODE_SELECTED' THEN mode ELSE selected_mode END,
+  CASE WHEN action = 'CANDIDATE_REJECTED' THEN 'rejected' WHEN action = 'ROUTE_MODE_SELECTED' THEN NULL WHEN action = 'MAP_CLICK' AND phase <> 'route-ready' THEN NULL
+   WHEN action LIKE 'SELECT%' AND phase = 'route-ready' THEN NULL ELSE error END
+ FROM f JOIN ev ON ev.session_id = f.session_id AND ev.k = f.k + 1)
+SELECT session_id, phase, start, destination, route, selected_mode, error, k AS n_events FROM f QUALIFY k = max(k) OVER (PARTITION BY session_id)""")
 def selection_states(s, d):
     """The state of every session after its last event."""
     return state.fold_sessions(load(s, d, "ui_events"))
