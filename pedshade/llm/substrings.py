@@ -401,7 +401,7 @@ def removed_spans(docs: DataFrame, piece: int = PIECE) -> tuple[DataFrame, DataF
     )
     shards = (
         texts.join(wanted, "key")
-        .select("key", "contexts", "text")
+        .select("key", "contexts", "text", "doc_id")  # doc_id only so that both uses of the texts share one shuffle
         .mapInArrow(_cut_out, "unit long, key long, a long, text binary")
         .repartition("unit")
         .sortWithinPartitions("unit")
