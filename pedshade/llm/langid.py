@@ -228,6 +228,11 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language can be told."""
+    """The rows of ``docs``, with all their columns, whose language can be told.
+
+    Null texts and texts without a letter go, as does everything without a
+    model.  A null doc_id stays; repeated rows come out repeated; an empty table
+    gives an empty one; columns of any name pass through.
+    """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return row.mapInArrow(_predictor(train(docs), True), f"row {row.schema['row'].dataType.simpleString()}").select("row.*")

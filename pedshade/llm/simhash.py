@@ -320,7 +320,10 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, less all but one of each linked set.
 
     The row with the smallest doc_id stays, one with a null doc_id only where
-    the set has no other; of rows that share that id, one.
+    the set has no other; of rows that share that id the one with the smallest
+    text hash, of equal rows one.  Sets whose rows share doc_ids keep a row each.
+    Null and empty texts have fingerprint zero and link like any other; an empty
+    table gives an empty one; columns of any name pass through.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.write(fingerprints(docs))

@@ -144,3 +144,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(five) == len(rows) and all((r.piece_ids or []) == m.encode(text[r.doc_id] or "").tolist() for r in five)
     result = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert 0 < len(result) < len(rows) and 9 not in {r.doc_id for r in result}
+
+
+@pytest.mark.skipif(not os.path.exists(wfst.MODEL_PATH), reason="no tokenizer file here")
+def test_pipeline_of_empty_tables(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert all(stage(spark, docs, str(tmp_path)).columns == docs.columns for _, stage in corpus_pipeline.STAGES[:-1])
