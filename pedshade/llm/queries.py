@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pedshade.llm import linededup
+from pedshade.llm import linededup, search
 from pedshade.llm.common import documents
 from pedshade.llm.decontaminate import contaminated
 from pedshade.llm.fingerprint import document_fingerprints
@@ -13,6 +13,7 @@ from pedshade.llm.langid import language_id
 from pedshade.llm.licenses import license_scan
 from pedshade.llm.linededup import line_dedup
 from pedshade.llm.quality import classify
+from pedshade.llm.search import ranked_search
 from pedshade.llm.sharding import shard_documents
 from pedshade.llm.simhash import simhash_groups
 from pedshade.llm.substrings import dedup_substrings
@@ -61,6 +62,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), labels, F.col("source"), F.col("lang"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
@@ -72,8 +77,10 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality": op10_quality,
+    "op11_ranked_search": op11_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": linededup.oracle(),
+    "op11_ranked_search": search.oracle(),
 }
