@@ -17,6 +17,7 @@ from pedshade.llm.search import ranked_search
 from pedshade.llm.sharding import shard_documents
 from pedshade.llm.simhash import simhash_groups
 from pedshade.llm.substrings import dedup_substrings
+from pedshade.llm.urlfilter import judge_urls
 from pedshade.llm.wfst import encode_digests, read_model
 
 
@@ -66,6 +67,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
@@ -78,6 +83,7 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_quality": op10_quality,
     "op11_ranked_search": op11_ranked_search,
+    "op13_url_filter": op13_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
