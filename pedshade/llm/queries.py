@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pedshade.llm import linededup, search
 from pedshade.llm.common import documents
+from pedshade.llm.conversations import repair_conversations
 from pedshade.llm.decontaminate import contaminated
 from pedshade.llm.fingerprint import document_fingerprints
 from pedshade.llm.langid import language_id
@@ -67,6 +68,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -83,6 +88,7 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_quality": op10_quality,
     "op11_ranked_search": op11_ranked_search,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_url_filter": op13_url_filter,
 }
 
