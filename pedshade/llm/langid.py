@@ -2,16 +2,20 @@
 
 Linear support vector machines first tell language families apart; within the
 family found, one machine for each pair of its languages votes on the closely
-related candidates.  Features are hashed byte n-grams of the whole text.
+related candidates.  Features are hashed byte n-grams of the whole text.  Every
+language is learned: codes of no known family are grouped by likeness into
+families of bounded size, and the pairs are trained by tasks.
 """
 
 from __future__ import annotations
 
 import codecs
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Mapping
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +24,12 @@ from pedshade.llm.common import bound_batches, in_blocks, load64, mix64, utf8
 
 DIMENSIONS = 4096
 ORDERS = (1, 2, 3, 4)
-#: Training documents: this many for a language and in all, about.
-PER_LANGUAGE, IN_ALL = 600, 4000
-#: The most frequent languages, at most this many, are learned.
-MOST_LANGUAGES = 200
+#: Training documents: this many for a language and in all, about, but ``LEAST`` for a language in any case.
+PER_LANGUAGE, IN_ALL, LEAST = 600, 4000, 20
+#: Languages of a family that is found by likeness, at most.
+LARGEST_FAMILY = 16
 
-#: Families of ISO 639-1 codes.  A code without an entry is a family of its own.
+#: Families of ISO 639-1 codes.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi".split(),
     "romance": "fr es it pt ro ca gl oc".split(),
@@ -94,8 +98,8 @@ def _counts(values: list[bytes | None], own: int | None = None) -> np.ndarray:
     return counts.reshape(n + 1, DIMENSIONS)[:n]
 
 
-def train_svm(x: np.ndarray, positive: np.ndarray, penalty: float = 2e-4, steps: int = 150) -> np.ndarray:
-    """Weights and bias of a linear machine with squared hinge loss, by accelerated descent."""
+def train_svm(x: np.ndarray, positive: np.ndarray, penalty: float = 2e-4, steps: int = 150, flat: float = 1e-5) -> np.ndarray:
+    """Weights and bias of a linear machine with squared hinge loss, by accelerated descent until the loss is ``flat``."""
     y = np.where(positive, 1.0, -1.0).astype(np.float32)
     share = np.where(positive, 0.5 / positive.sum(), 0.5 / (~positive).sum()).astype(np.float32)
     x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
@@ -104,9 +108,11 @@ def train_svm(x: np.ndarray, positive: np.ndarray, penalty: float = 2e-4, steps:
     rate = 1 / (2 * 2 + penalty)  # the loss's curvature is at most 2 |x|^2, and |x|^2 = 2 with the bias
     for _ in range(steps):
         short = np.maximum(0, 1 - y * (x1 @ ahead))
-        grad = penalty * ahead - 2 * (x1.T @ (share * y * short))
+        grad = penalty * ahead - 2 * ((share * y * short) @ x1)
+        if np.abs(grad).max() < flat:
+            break
         step = ahead - rate * grad
-        after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        after = (1 + math.sqrt(1 + 4 * momentum**2)) / 2  # plain numbers keep the arrays in single precision
         ahead = step + (momentum - 1) / after * (step - w)
         w, momentum = step, after
     return w
@@ -115,14 +121,11 @@ def train_svm(x: np.ndarray, positive: np.ndarray, penalty: float = 2e-4, steps:
 class OneVersusOne:
     """A linear machine for each pair of classes; the most votes win, then the wider margin."""
 
-    def __init__(self, classes: list[str], x: np.ndarray, y: np.ndarray):
+    def __init__(self, classes: list[str], w: Mapping[tuple[str, str], np.ndarray]):
         self.classes = sorted(classes)
         self.pairs = list(combinations(range(len(self.classes)), 2))
-        w = []
-        for a, b in self.pairs:
-            here = (y == self.classes[a]) | (y == self.classes[b])
-            w.append(train_svm(x[here], y[here] == self.classes[a]))
-        self.w = np.array(w, np.float32).reshape(len(w), x.shape[1] + 1)
+        held = [w[self.classes[a], self.classes[b]] for a, b in self.pairs]
+        self.w = np.array(held, np.float32).reshape(len(held), DIMENSIONS + 1)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class numbers, and each one's least chance against any other class."""
@@ -142,13 +145,36 @@ class OneVersusOne:
         return best, chance[np.arange(len(x)), best]
 
 
+def families(x: np.ndarray, langs: np.ndarray) -> dict[str, str]:
+    """The family of each language.
+
+    Languages of unknown family are halved along the direction in which their
+    mean features differ most until ``LARGEST_FAMILY`` or fewer are left.
+    """
+    out = {v: FAMILY_OF[v] for v in sorted(set(langs)) if v in FAMILY_OF}
+    rest = [sorted(set(langs) - set(out))]
+    while rest:
+        group = rest.pop()
+        if len(group) <= LARGEST_FAMILY:
+            out |= {v: f"like {group[0]}" for v in group}
+            continue
+        means = np.array([x[langs == v].mean(axis=0) for v in group], np.float64)
+        means -= means.mean(axis=0)
+        _, axes = np.linalg.eigh(means @ means.T)
+        main = axes[:, -1] * np.sign(axes[np.abs(axes[:, -1]).argmax(), -1])
+        order = np.lexsort((np.arange(len(group)), main.round(9)))
+        half = len(group) // 2
+        rest += [sorted(group[i] for i in order[:half]), sorted(group[i] for i in order[half:])]
+    return out
+
+
 class Hierarchy:
     """Family first, then the languages within it."""
 
-    def __init__(self, x: np.ndarray, langs: np.ndarray):
-        family = np.array([FAMILY_OF.get(v, v) for v in langs])
-        self.top = OneVersusOne(sorted(set(family)), x, family)
-        self.within = [OneVersusOne(sorted(set(langs[family == f])), x[family == f], langs[family == f]) for f in self.top.classes]
+    def __init__(self, family_of: dict[str, str], weights: dict[bool, dict[tuple[str, str], np.ndarray]]):
+        """``weights`` of pairs of families, under True, and of languages."""
+        self.top = OneVersusOne(sorted(set(family_of.values())), weights[True])
+        self.within = [OneVersusOne([v for v, f in family_of.items() if f == family], weights[False]) for family in self.top.classes]
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fam, score = self.top.predict(x)
@@ -162,6 +188,22 @@ class Hierarchy:
         return lang, score
 
 
+def _train_pairs(shared, family_of: dict[str, str]):
+    """Trains the pairs of classes, families or languages, in its rows."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, langs = shared.value
+        labels = {True: np.array([family_of[v] for v in langs]), False: langs}
+        for pdf in parts:
+            for top, a, b in zip(pdf.top, pdf.a, pdf.b, strict=True):
+                y = labels[bool(top)]
+                here = np.flatnonzero((y == a) | (y == b))
+                w = train_svm(x[here].astype(np.float32), y[here] == a)
+                yield pd.DataFrame({"top": [top], "a": [a], "b": [b], "w": [w.tobytes()]})
+
+    return run
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
@@ -176,25 +218,38 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_AL
     """Fits the machines on about ``per_language`` documents of each language.
 
     Those are chosen by a hash of doc_id from the documents that are not held
-    out and have lang, doc_id and text; the sample's bound is the sum over the
-    languages, and ``in_all`` lowers it where there are many: with
-    ``MOST_LANGUAGES`` that are learned at most, about ``in_all`` documents in
-    all.  None if no document qualifies.
+    out and have lang, doc_id and text.  ``in_all`` lowers their number where
+    there are many languages, to ``LEAST`` for each at the least, so that the
+    sample, 8 KB a document, is bounded by the number of languages alone; a
+    language of fewer documents is learned from all of them.  None if no
+    document qualifies.
     """
+    spark = docs.sparkSession
     pool = bound_batches(docs).filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    quota = max(20, min(per_language, in_all // len(counts)))
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, quota / n))])
+    quota = max(LEAST, min(per_language, in_all // len(counts)))
+    share = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, quota / n))])
     lot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     sample = pool.filter(lot < share[F.col("lang")]).select("lang", utf8().alias("text"))
     got = sample.mapInArrow(_featurize, "lang string, x binary").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["lang", "x"], kind="stable")  # the same weights whatever order the rows came in
-    x = np.frombuffer(b"".join(got.x), np.float16).reshape(len(got), DIMENSIONS).astype(np.float32)
-    return Hierarchy(x, got.lang.to_numpy().astype(str))
+    x = np.frombuffer(b"".join(got.x), np.float16).reshape(len(got), DIMENSIONS)
+    langs = got.lang.to_numpy().astype(str)
+    family_of = families(x, langs)
+    pairs = [(True, a, b) for a, b in combinations(sorted(set(family_of.values())), 2)]
+    for family in sorted(set(family_of.values())):
+        pairs += [(False, a, b) for a, b in combinations(sorted(v for v, f in family_of.items() if f == family), 2)]
+    weights: dict[bool, dict[tuple[str, str], np.ndarray]] = {True: {}, False: {}}
+    if pairs:
+        shared = spark.sparkContext.broadcast((x, langs))
+        tasks = spark.createDataFrame(pairs, "top boolean, a string, b string").repartition(min(len(pairs), spark.sparkContext.defaultParallelism))
+        for r in tasks.mapInPandas(_train_pairs(shared, family_of), "top boolean, a string, b string, w binary").collect():
+            weights[r["top"]][r["a"], r["b"]] = np.frombuffer(r["w"], np.float32)
+    return Hierarchy(family_of, weights)
 
 
 def _predictor(model: Hierarchy | None, keep: bool):

@@ -48,6 +48,31 @@ def test_language_id_without_labels(spark):
     assert [r.lang_pred for r in langid.language_id(df).collect()] == ["und"]
 
 
+def test_every_language_is_learned(spark):
+    """300 languages of unknown family, more than any table of families holds."""
+    rnd = random.Random(5)
+    rows = []
+    for lang in range(300):
+        words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzäöüßéèñçøåæ") for _ in range(rnd.randint(2, 6))) for _ in range(12)]
+        rows += [(len(rows) + i, " ".join(rnd.choice(words) for _ in range(40)), f"x{lang}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = langid.language_id(df).toPandas().merge(df.toPandas(), on="doc_id")
+    held = got[got.held_out]
+    assert set(got.lang_pred) == {f"x{i}" for i in range(300)}
+    assert (held.lang == held.lang_pred).mean() > 0.95
+
+
+def test_families_by_likeness():
+    rnd = np.random.default_rng(1)
+    centre = rnd.normal(size=(3, 40))
+    langs = np.array([f"{k}{i:02}" for k in "abc" for i in range(20)] + ["en", "de"])
+    x = np.concatenate([centre[np.repeat(np.arange(3), 20)] + 0.1 * rnd.normal(size=(60, 40)), rnd.normal(size=(2, 40))])
+    got = langid.families(x, langs)
+    assert set(got) == set(langs) and got["en"] == got["de"] == "germanic"
+    assert max(Counter(got.values()).values()) <= langid.LARGEST_FAMILY
+    assert langid.families(x[:5], langs[:5]) == dict.fromkeys(langs[:5], f"like {langs[0]}")
+
+
 def test_language_of_long_texts_in_pieces(monkeypatch):
     rnd = random.Random(3)
     texts = ["".join(rnd.choice("abc déß日 19\n") for _ in range(rnd.randint(0, 300))).encode() for _ in range(40)] + [None, b""]
