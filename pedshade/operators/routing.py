@@ -3,8 +3,9 @@
 Two strategies give the same answers.  A graph whose edges and bytes stay
 under ``MAX_BROADCAST_EDGES`` and ``MAX_BROADCAST_BYTES`` goes to every
 executor as compressed adjacency arrays, and origins and destinations are
-searched partition by partition; beyond that, distances relax over the edge
-table in rounds of joins.
+searched partition by partition; beyond that, an overlay of the graph's blocks
+(:mod:`pedshade.operators.overlay`) keeps each search near its trip.  Whole
+trees relax over the edge table in rounds of joins.
 
 One rule decides between paths of equal cost, so that results depend neither
 on the strategy nor on the order of a heap.  Every node has a label (cost,
@@ -24,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pedshade.operators.overlay import BLOCK_NODES, Overlay
 from pedshade.runtime import Scratch, frame
 
 MAX_BROADCAST_EDGES = 1_000_000
@@ -132,15 +134,18 @@ def _valid(cost: Column) -> Column:
 
 
 def shortest_paths(
-    od: DataFrame, edges: DataFrame, costs: dict[str, Column], max_edges: int = MAX_BROADCAST_EDGES, max_bytes: int = MAX_BROADCAST_BYTES
-) -> DataFrame:
+    od: DataFrame, edges: DataFrame, costs: dict[str, Column], max_edges: int = MAX_BROADCAST_EDGES, max_bytes: int = MAX_BROADCAST_BYTES,
+    nodes: DataFrame | None = None, block_nodes: int = BLOCK_NODES,
+) -> DataFrame:
     """``(od_id, mode, found, total_cost, edge_ids, nodes)`` for each row of ``od`` and mode.
 
     ``od`` has od_id, source and target; ``edges`` edge_id, source and target
     and what the ``costs`` expressions read.  A row whose source is its target
     has an empty path of cost 0; unreachable rows, and those with a null end,
     have found false and a null cost.  A cost that is null, NaN, infinite or negative is an error, whatever
-    the strategy.
+    the strategy.  ``nodes`` (node_id, lon, lat) lets a graph beyond the limits
+    be cut into compact blocks of ``block_nodes`` nodes; without it blocks are
+    stretches of node ids.  :class:`Overlay` keeps such a graph for many calls.
     """
     modes = list(costs)
     priced = edges.select("edge_id", F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), *[c.cast("double").alias(m) for m, c in costs.items()])
@@ -160,12 +165,9 @@ def shortest_paths(
         if seen[f"_bad_{m}"]:
             raise ValueError(f"costs of {m} must be finite and not negative")
     if seen["n"] > max_edges or seen["size"] > max_bytes:
-        # Without a written table every mode's rounds would compute the costs again.
+        # The overlay reads the costs several times.
         priced = Scratch(od.sparkSession, "priced").write(priced)
-        out = nowhere
-        for m in modes:
-            out = out.unionByName(relaxed_paths(ods, priced, m))
-        return out
+        return Overlay(priced, modes, nodes, block_nodes).paths(ods).unionByName(nowhere)
     spark = od.sparkSession
     shared = spark.sparkContext.broadcast(Adjacency(priced.toPandas(), modes))
     # Rows of one source meet in one task; sources spread over all cores.

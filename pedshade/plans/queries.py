@@ -509,11 +509,11 @@ def route_paths(s, d):
 
 @query(_ROUTES + " SELECT od_id, mode, seq, edge_id FROM steps")
 def route_paths_relaxed(s, d):
-    """The same paths by rounds of joins, as for graphs too large to broadcast."""
+    """The same paths over the overlay, as for graphs too large to broadcast."""
     scratch = Scratch(s, "routes")
     edges = scratch.write(edges_of(s, d))
     costs = {m: exposure.edge_cost(m, NOON) for m in ("fastest", "balanced", "coolest")}
-    return routes.path_rows(shortest_paths(load(s, d, "od_pairs"), edges, costs, max_edges=0))
+    return routes.path_rows(shortest_paths(load(s, d, "od_pairs"), edges, costs, max_edges=0, nodes=nodes_of(s, d), block_nodes=512))
 
 
 @query(_ROUTES + _METRICS + " SELECT od_id, mode, edge_count, " + ", ".join(f"round({n}, 6) AS {n}" for n in _METRIC_NAMES) + ", '12:00' AS scenario FROM metrics")

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pedshade.config import DEFAULT
-from pedshade.operators import components, cover, evaluation, intervals, polygons, repair, routes, routing, rules, spatial
+from pedshade.operators import components, cover, evaluation, intervals, overlay, polygons, repair, routes, routing, rules, spatial
 
 EDGE = "edge_id string, source long, target long, length double, green_score double, water_penalty double, shade_0900 double, shade_1200 double, shade_1500 double"
 OD = "od_id long, source long, target long"
@@ -164,6 +164,66 @@ def test_no_path_is_cut_at_the_cap(spark):
         routing.relaxed_paths(od, df.withColumnRenamed("cost", "m"), "m", block_nodes=1, max_rounds=5)
 
 
+def grid(w, costs, seed=4):
+    """Directed edges between the neighbours of a grid, some of them twice."""
+    rnd = random.Random(seed)
+    out = []
+    for n in range(w * w):
+        for m in ([n + 1] if n % w < w - 1 else []) + ([n + w] if n < w * (w - 1) else []):
+            for k in range(rnd.choice([1, 1, 2])):
+                out += [(f"{a}:{b}:{k}", a, b, float(rnd.choice(costs)), 1.0) for a, b in ((n, m), (m, n))]
+    return out
+
+
+GRID = "edge_id string, source long, target long, p double, q double"
+
+
+@pytest.mark.parametrize("placed, block_nodes, cell_blocks", [(True, 20, 2), (False, 40, 1), (True, 1024, 16)])
+def test_overlay_keeps_the_contract(spark, placed, block_nodes, cell_blocks):
+    """Two modes, zero and equal costs, ends that are unknown or equal; every path as by search over the whole graph."""
+    w = 10
+    e = spark.createDataFrame(grid(w, [0, 1, 1, 2, 0.1]), GRID)
+    rnd = random.Random(8)
+    od = spark.createDataFrame([(i, rnd.randrange(w * w), rnd.randrange(w * w)) for i in range(30)] + [(90, 3, 3), (91, 5000, 5000), (92, 4, 5000), (1, 4, 77)], OD)
+    nodes = spark.createDataFrame([(n, n % w / 1000, n // w / 1000) for n in range(w * w - 5)], "node_id long, lon double, lat double") if placed else None
+    want = routing.shortest_paths(od, e, {"p": F.col("p"), "q": F.col("q")})
+    got = overlay.Overlay(e, ["p", "q"], nodes, block_nodes, cell_blocks).paths(od)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_overlay_touches_what_lies_near_a_trip(spark):
+    """Rows of short trips don't grow with the graph, and no table has a row for each trip and node."""
+
+    class Counted(overlay.Overlay):
+        touched = 0
+
+        def _spread(self, *args):
+            state, bounds = super()._spread(*args)
+            self.touched += state.count()
+            return state, bounds
+
+    touched = []
+    for w in (24, 48):
+        nodes = spark.createDataFrame([(n, n % w / 1000, n // w / 1000) for n in range(w * w)], "node_id long, lon double, lat double")
+        middle = w // 2 * w + w // 2
+        od = spark.createDataFrame([(i, middle + i, middle + i + 2 * w + 1) for i in range(3)], OD)
+        graph = Counted(spark.createDataFrame(grid(w, [1.0]), GRID), ["q"], nodes, 36, 4)
+        assert {r.total_cost for r in graph.paths(od).collect()} == {3.0}
+        touched.append(graph.touched)
+    assert touched[1] <= 2 * touched[0] and touched[1] < 3 * 48 * 48 / 20
+
+
+def test_overlay_serves_many_batches_and_refuses_to_cut(spark):
+    e = spark.createDataFrame([(f"l{k}", k, k + 1, 1.0) for k in range(12)], "edge_id string, source long, target long, m double")
+    graph = overlay.Overlay(e, ["m"], None, 2, 1)
+    for a, b in ((0, 12), (3, 5), (5, 3)):
+        row = graph.paths(spark.createDataFrame([(1, a, b)], OD)).first()
+        assert (row.found, row.edge_ids) == (a < b, [f"l{k}" for k in range(a, b)])
+    assert graph.paths(spark.createDataFrame([], OD)).count() == 0
+    with pytest.raises(RuntimeError, match="rounds"):
+        graph.paths(spark.createDataFrame([(1, 0, 12)], OD), 3)
+
+
 def test_route_metrics(spark):
     e = spark.createDataFrame([("p", 1, 2, 100.0, 1.0, 0.0, 0.0, 0.0, 0.0), ("q", 2, 3, 300.0, 0.0, 1.0, 0.0, 1.0, 0.0)], EDGE)
     paths = spark.createDataFrame([(1, "fastest", True, 400.0, ["p", "q"], [1, 2, 3]), (2, "fastest", True, 0.0, [], [1]), (3, "fastest", False, None, [], [])], "od_id long, mode string, found boolean, total_cost double, edge_ids array<string>, nodes array<long>")
