@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pedshade.sources.files import STEP, Ranges, listed
 from pedshade.sources.publish import latest_version, write_version
 
 #: Fixed values of the ZIP format: signatures and the 64-bit marker.
@@ -90,18 +92,39 @@ class RangeZip:
             at += 46 + n + m + k
 
     def read_entry(self, path: str) -> bytes:
-        e = self.entries()[path]
-        head = self.read(e.offset, 30)
-        if struct.unpack_from("<I", head)[0] != _LOCAL:
-            raise ValueError(f"{path}: the local header is broken")
-        n, m = struct.unpack_from("<HH", head, 26)
-        raw = self.read(e.offset + 30 + n + m, e.packed)
-        if e.method not in (0, 8):
-            raise ValueError(f"{path}: compression method {e.method} is not supported")
-        data = raw if e.method == 0 else zlib.decompress(raw, -15)
-        if len(data) != e.size or zlib.crc32(data) != e.crc:
-            raise ValueError(f"{path}: length or checksum does not match")
-        return data
+        return b"".join(inflate(self.entries()[path], self.read))
+
+
+def inflate(e: Entry, read_range: Callable[[int, int], bytes], step: int = STEP) -> Iterator[bytes]:
+    """An entry's bytes in pieces, read and unpacked a step at a time; a wrong length or checksum is an error at the end."""
+    head = read_range(e.offset, 30)
+    if len(head) < 30 or struct.unpack_from("<I", head)[0] != _LOCAL:
+        raise ValueError(f"{e.path}: the local header is broken")
+    n, m = struct.unpack_from("<HH", head, 26)
+    if e.method not in (0, 8):
+        raise ValueError(f"{e.path}: compression method {e.method} is not supported")
+    start = e.offset + 30 + n + m
+    unpack = zlib.decompressobj(-15) if e.method == 8 else None
+    size = crc = 0
+    for at in range(start, start + e.packed, step):
+        raw = read_range(at, min(step, start + e.packed - at))
+        while raw or (unpack and unpack.unconsumed_tail):
+            if unpack:
+                data = unpack.decompress(raw, step)  # a step of packed bytes can hold a thousand times as many
+                raw = unpack.unconsumed_tail
+            else:
+                data, raw = raw, b""
+            size, crc = size + len(data), zlib.crc32(data, crc)
+            if data:
+                yield data
+            elif not raw:
+                break
+    data = unpack.flush() if unpack else b""
+    size, crc = size + len(data), zlib.crc32(data, crc)
+    if data:
+        yield data
+    if size != e.size or crc != e.crc:
+        raise ValueError(f"{e.path}: length or checksum does not match")
 
 
 def safe_name(path: str) -> bool:
@@ -110,9 +133,85 @@ def safe_name(path: str) -> bool:
     return not (path.startswith(("/", "\\")) or ".." in parts or (len(path) > 1 and path[1] == ":"))
 
 
+_ENTRIES = "archive string, path string, method int, crc long, packed long, size long, offset long"
+
+
+def _directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 4]
+    for batch in batches:
+        for archive in batch.column(0).to_pylist():
+            with Ranges(archive) as file:
+                rows = [(archive, e.path, e.method, e.crc, e.packed, e.size, e.offset) for e in RangeZip(file.size, file.read).entries().values()]
+            for _, path, *_ in rows:
+                if not safe_name(path):
+                    raise ValueError(f"unsafe entry name {path!r}")
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _ENTRIES.split(", ")])
+
+
+def zip_entries(spark: SparkSession, path: str) -> DataFrame:
+    """``(archive, path, method, crc, packed, size, offset)`` of the entries of the archives at or below ``path``.
+
+    A row an archive goes to the tasks, which read the archives' ends and
+    directories alone.  An unsafe name is an error.
+    """
+    files = listed(spark, path, ".zip").select("path")
+    return files.repartition(max(1, files.count()), "path").mapInArrow(_directories, _ENTRIES)  # a number, as so few bytes would be merged into one task
+
+
+#: Packed bytes that a task reads, about; a larger entry is a task of its own.
+TASK_BYTES = 64 << 20
+
+
+def entry_rows(entries: DataFrame, kernel: Callable[[Entry, Ranges], Iterator[pa.RecordBatch]], schema: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """What ``kernel`` yields for each row of :func:`zip_entries`, given the entry and its archive opened."""
+    columns = [c.split()[0] for c in _ENTRIES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, name = None, None
+        try:
+            for batch in batches:
+                for archive, path, method, crc, packed, size, offset in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                    if archive != name:
+                        if file:
+                            file.file.close()
+                        file, name = Ranges(archive), archive
+                    yield from kernel(Entry(path, method, crc, packed, size, offset), file)
+        finally:
+            if file:
+                file.file.close()
+
+    total = entries.agg(F.coalesce(F.sum("packed"), F.lit(0))).first()[0]
+    n = max(entries.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
+    # Entries of an archive that stand together are read together.
+    spread = entries.select(*columns).repartition(n, "archive", F.expr(f"offset div {task_bytes}"))
+    return spread.sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
+
+
+def read_pieces(entries: DataFrame, piece_bytes: int = 8 << 20, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``(archive, path, nth, content)``: the unpacked entries in pieces, never a whole entry in memory."""
+
+    def pieces(e: Entry, file: Ranges) -> Iterator[pa.RecordBatch]:
+        held, size, nth = [], 0, 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([file.path]), pa.array([e.path]), pa.array([nth], pa.int32()), pa.array([b"".join(held)], pa.binary())], names=["archive", "path", "nth", "content"])
+
+        for data in inflate(e, file.read):
+            held.append(data)
+            size += len(data)
+            if size >= piece_bytes:
+                yield row()
+                held, size, nth = [], 0, nth + 1
+        if held or not nth:
+            yield row()
+
+    return entry_rows(entries, pieces, "archive string, path string, nth int, content binary", task_bytes)
+
+
 def list_entries(spark: SparkSession, path: str) -> DataFrame:
     """``(archive, path, size, crc)`` of the entries of all archives; an unsafe name is an error."""
-    return entries_of(spark.read.format("binaryFile").load(path))
+    return zip_entries(spark, path).select("archive", "path", "size", "crc")
 
 
 def entries_of(files: DataFrame) -> DataFrame:
@@ -131,8 +230,9 @@ def entries_of(files: DataFrame) -> DataFrame:
 
 
 def read_entries(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """``(archive, path, content)`` of the entries whose names match; only those are unpacked."""
-    return contents_of(spark.read.format("binaryFile").load(path), pattern)
+    """``(archive, path, content)`` of the entries whose names match; only their ranges are read."""
+    wanted = zip_entries(spark, path).filter(~F.col("path").endswith("/") & F.col("path").rlike(pattern))
+    return read_pieces(wanted, 2**31 - 1).select("archive", "path", "content")
 
 
 def contents_of(files: DataFrame, pattern: str = "") -> DataFrame:

@@ -1,21 +1,39 @@
-"""Buildings of CityGML files, one at a time, as nested rows."""
+"""Buildings of CityGML files, one at a time, as nested rows.
+
+A file is read in splits of bytes.  A split has the members that start in it;
+its task reads the file's head, which holds the namespaces and the reference
+system, and then the split in steps, so that neither a file nor a split is
+ever whole in memory.  Members inside of comments are not told from others.
+"""
 
 from __future__ import annotations
 
-import io
 import math
+import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pedshade.operators.cover import BUILDING
+from pedshade.sources.archives import entry_rows, inflate
+from pedshade.sources.files import STEP, Ranges, store
 
 #: Attribute names of the formats.
 GML_ID, HREF = "{http://www.opengis.net/gml}id", "{http://www.w3.org/1999/xlink}href"
-#: Boundary surfaces of a building in the CityGML 2.0 building module (OGC 12-019, table of _BoundarySurface).
-SURFACE_KINDS = {"GroundSurface", "WallSurface", "RoofSurface", "ClosureSurface", "OuterFloorSurface", "OuterCeilingSurface"}
+#: Bytes of a split, and buildings of a batch.
+SPLIT_BYTES, BATCH_BUILDINGS = 64 << 20, 200
+_MEMBER = re.compile(rb"<(?:[\w.-]+:)?cityObjectMember(?=[\s>/])")
+_CRS = re.compile(rb"""\bsrsName\s*=\s*["']([^"']*)["']""")
+#: Bytes that two steps of a search share, so that no tag between them is missed.
+_SHARED = 256
 
 
 class CityGmlError(ValueError):
@@ -63,8 +81,8 @@ def _surface(polygon: ET.Element, kind: str | None) -> dict:
 def _known(owner: ET.Element) -> dict[str, dict]:
     """Surfaces by id, with the kind of the boundary around them; the first of an id stays."""
     found: dict[str, dict] = {}
-    for boundary in owner.iter():
-        if _name(boundary) in SURFACE_KINDS:
+    for holder in _all(owner, "boundedBy"):
+        for boundary in holder:
             for p in _all(boundary, "Polygon"):
                 if p.get(GML_ID):
                     found.setdefault(p.get(GML_ID), _surface(p, _name(boundary)))
@@ -113,32 +131,139 @@ def building(e: ET.Element, crs: str | None = None) -> dict:
 
 
 def iter_buildings(raw: bytes) -> Iterator[dict]:
-    """Buildings in file order; each subtree is released once read.  The first srsName of the file is inherited."""
-    crs = None
+    """Buildings in file order; see :func:`buildings_of`."""
+    return buildings_of(raw[at : at + STEP] for at in range(0, len(raw), STEP))
+
+
+def buildings_of(pieces: Iterable[bytes], crs: str | None = None, whole: bool = True) -> Iterator[dict]:
+    """Buildings of a document that comes in pieces; each subtree is released once read.
+
+    The document's first srsName is inherited.  Where it is not ``whole`` it
+    may end before its last tags.
+    """
+    parser = ET.XMLPullParser(("start", "end"))
     stack: list[ET.Element] = []
-    for event, e in ET.iterparse(io.BytesIO(raw), ("start", "end")):
-        if event == "start":
-            stack.append(e)
-            continue
-        stack.pop()
-        if crs is None and e.get("srsName"):
-            crs = e.get("srsName")
-        if _name(e) == "Building":
-            yield building(e, crs)
-            e.clear()
-        elif _name(e) == "cityObjectMember":
-            e.clear()
-            if stack:
-                stack[-1].remove(e)
-
-
-def read_buildings(spark: SparkSession, path: str) -> DataFrame:
-    """Building rows of all files under ``path``, a file to a task, a building in memory at a time."""
-    return parse_buildings(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+
+    def read() -> Iterator[dict]:
+        nonlocal crs
+        for event, e in parser.read_events():
+            if event == "start":
+                stack.append(e)
+                continue
+            stack.pop()
+            if crs is None and e.get("srsName"):
+                crs = e.get("srsName")
+            if _name(e) == "Building":
+                yield building(e, crs)
+                e.clear()
+            elif _name(e) == "cityObjectMember":
+                e.clear()
+                if stack:
+                    stack[-1].remove(e)
+
+    for piece in pieces:
+        parser.feed(piece)
+        yield from read()
+    if whole:
+        parser.close()
+        yield from read()
+
+
+def _search(file: Ranges, pattern: re.Pattern, start: int, end: int) -> tuple[int, bytes] | None:
+    """The place of the pattern's first match that starts in [start, end), and its first group."""
+    for at in range(start, end, STEP):
+        m = pattern.search(file.read(at, min(STEP + _SHARED, file.size - at)))
+        if m and at + m.start() < end:
+            return at + m.start(), m[1] if pattern.groups else b""
+    return None
+
+
+def split_buildings(file: Ranges, start: int, end: int) -> Iterator[dict]:
+    """Buildings of the members that start in [start, end)."""
+    first = None if file.read(0, 2) in (b"\xfe\xff", b"\xff\xfe") else _search(file, _MEMBER, 0, file.size)
+    if first is None:  # a document without members, or in characters of two bytes, is one split
+        if start == 0:
+            yield from buildings_of(file.steps(0, file.size))
+        return
+    begin = _search(file, _MEMBER, max(start, first[0]), end)
+    if begin is None:
+        return
+    last = _search(file, _MEMBER, end, file.size)
+    named = _search(file, _CRS, 0, begin[0])
+
+    def pieces() -> Iterator[bytes]:
+        yield from file.steps(0, first[0])
+        yield from file.steps(begin[0], last[0] if last else file.size)
+
+    yield from buildings_of(pieces(), named[1].decode("utf-8", "replace") if named else None, last is None)
+
+
+def _batches(buildings: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    for b in buildings:
+        held.append(b)
+        if len(held) == BATCH_BUILDINGS:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+@dataclass
+class Split(InputPartition):
+    path: str
+    start: int
+    end: int
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, schema: StructType, path: str, split_bytes: int):
+        self.schema, self.path, self.split_bytes = to_arrow_schema(schema), path, split_bytes
+
+    def partitions(self) -> list[Split]:
+        where, name = store(self.path)
+        info = where.get_file_info(name)
+        found = [info] if info.type == arrow_fs.FileType.File else where.get_file_info(arrow_fs.FileSelector(name, recursive=True))
+        root = self.path[: len(self.path.rstrip("/")) - len(name.rstrip("/"))] if self.path.rstrip("/").endswith(name.rstrip("/")) else ""
+        shown = sorted((f.path, f.size) for f in found if f.type == arrow_fs.FileType.File and not f.base_name.startswith(("_", ".")))
+        return [Split(root + path, at, min(at + self.split_bytes, size)) for path, size in shown for at in range(0, size, self.split_bytes)]
+
+    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
+        with Ranges(split.path) as file:
+            yield from _batches(split_buildings(file, split.start, split.end), self.schema)
+
+
+class CityGmlSource(DataSource):
+    """``spark.read.format("citygml").load(path)``: buildings of the file, or of all files below the folder.
+
+    Option ``splitBytes`` is the size of a split; each split is a task.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "citygml"
+
+    def schema(self) -> str:
+        return BUILDING
+
+    def reader(self, schema: StructType) -> _Reader:
+        return _Reader(schema, self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)))
+
+
+def read_buildings(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Building rows of the files at or below ``path``; see :class:`CityGmlSource`."""
+    spark.dataSource.register(CityGmlSource)
+    return spark.read.format("citygml").option("splitBytes", split_bytes).load(path)
+
+
+def zipped_buildings(entries: DataFrame) -> DataFrame:
+    """Building rows of CityGML files in archives, from rows of :func:`archives.zip_entries`; unpacked and read in steps."""
+    schema = to_arrow_schema(entries.sparkSession.createDataFrame([], BUILDING).schema)
+    return entry_rows(entries, lambda e, file: _batches(buildings_of(inflate(e, file.read)), schema), BUILDING)
 
 
 def parse_buildings(files: DataFrame) -> DataFrame:
-    """Building rows of the files in a column ``content``."""
+    """Building rows of documents in a column ``content``, for such as a row can hold."""
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for raw in pdf.content:

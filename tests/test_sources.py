@@ -4,6 +4,7 @@ import gzip
 import io
 import json
 import os
+import random
 import zipfile
 
 import duckdb
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pedshade.plans import fixtures, queries
-from pedshade.sources import archives, binary_graph, citygml, graph_json, publish
+from pedshade.sources import archives, binary_graph, citygml, files, graph_json, publish
 from pedshade.streaming import state
 
 DATA = "/root/testdata/sf0.001"
@@ -116,6 +117,100 @@ def test_citygml(spark, tmp_path):
             list(citygml.iter_buildings(bad.encode()))
 
 
+def city(n, head=True):
+    """A file of n buildings that differ in length."""
+    start, end = GML.index("<m:cityObjectMember>"), GML.index("</m:CityModel>")
+    start_of = GML[:start] if head else GML[:start].replace(' srsName="crs-6697"', "")
+    members = [GML[start:end].replace('"one"', f'"one{k}"').replace('"two"', f'"two{k}"').replace("<b:measuredHeight>", "<!-- é " + "x" * (k % 40) + " --><b:measuredHeight>") for k in range(n)]
+    if not head:
+        members[2] = members[2].replace("<b:Building ", '<b:Building srsName="crs-late" ')
+    return start_of + "\n".join(members) + GML[end:]
+
+
+@pytest.mark.parametrize("head", [True, False])
+def test_citygml_splits_hold_the_same_buildings(tmp_path, monkeypatch, head):
+    """Any cut, also through tags and characters, and steps of any size."""
+    path = f"{tmp_path}/x.gml"
+    raw = city(6, head).encode()
+    with open(path, "wb") as f:
+        f.write(raw)
+    want = list(citygml.iter_buildings(raw))
+    assert len(want) == 12 and want[-1]["crs"] == ("crs-6697" if head else "crs-late")
+    for step in (64, 1 << 20):
+        monkeypatch.setattr(citygml, "STEP", step)
+        for size in (97, 500, 1333, len(raw)):
+            with files.Ranges(path) as file:
+                got = [b for at in range(0, len(raw), size) for b in citygml.split_buildings(file, at, min(at + size, len(raw)))]
+            assert got == want
+    for other in ("<a/>", "<m:CityModel xmlns:m='m'/>"):
+        with open(path, "w") as f:
+            f.write(other)
+        with files.Ranges(path) as file:
+            assert list(citygml.split_buildings(file, 0, file.size)) == []
+    with open(path, "wb") as f:
+        f.write(city(3).encode("utf-16"))
+    with files.Ranges(path) as file:
+        assert len([b for at in (0, 900) for b in citygml.split_buildings(file, at, at + 900)]) == 6
+
+
+def test_citygml_source_and_zipped_files(spark, tmp_path):
+    os.makedirs(f"{tmp_path}/in/a b")
+    for name in ("one", "a b/two"):
+        with open(f"{tmp_path}/in/{name}.gml", "w") as f:
+            f.write(city(20))
+    whole, cut = (citygml.read_buildings(spark, f"file://{tmp_path}/in", n) for n in (1 << 30, 5000))
+    assert whole.rdd.getNumPartitions() == 2 < 8 <= cut.rdd.getNumPartitions()
+    rows = sorted(map(str, whole.collect()))
+    assert len(rows) == 80 and sorted(map(str, cut.collect())) == rows
+    with open(f"{tmp_path}/a.zip", "wb") as f:
+        f.write(zipped({"x.gml": city(20).encode(), "y/z.gml": city(20).encode()}))
+    assert sorted(map(str, citygml.zipped_buildings(archives.zip_entries(spark, f"{tmp_path}/a.zip")).collect())) == rows
+
+
+def test_archives_are_read_by_ranges(spark, tmp_path):
+    rnd = random.Random(3)
+    entries = {f"doc/{k}.bin": rnd.randbytes(200_000) for k in range(12)} | {"zeros.bin": bytes(30_000_000), "empty": b""}
+    raw = zipped(entries, True)
+    with open(f"{tmp_path}/big.zip", "wb") as f:
+        f.write(raw)
+    with files.Ranges(f"{tmp_path}/big.zip") as file:
+        z = archives.RangeZip(file.size, file.read)
+        found = z.entries()
+        assert file.bytes_read < 70_000 + 200 * len(entries) < file.size / 10
+        before = file.bytes_read
+        e = found["doc/3.bin"]
+        assert b"".join(archives.inflate(e, file.read, 4096)) == entries["doc/3.bin"] and file.bytes_read - before == 30 + e.packed
+        sizes = [len(p) for p in archives.inflate(found["zeros.bin"], file.read, 1 << 16)]
+        assert sum(sizes) == 30_000_000 and max(sizes) <= 1 << 16  # a small range unpacks to much, but never at once
+    listed = archives.zip_entries(spark, str(tmp_path)).filter("path like '%.bin' or path = 'empty'")
+    got: dict = {}
+    for r in archives.read_pieces(listed, 1 << 20, 300_000).orderBy("path", "nth").collect():
+        got[r.path] = got.get(r.path, b"") + bytes(r.content)
+        assert len(r.content) < 3 << 20
+    assert got == entries
+    broken = bytearray(raw)
+    broken[found["doc/3.bin"].offset + 5000] ^= 255
+    with open(f"{tmp_path}/big.zip", "wb") as f:
+        f.write(broken)
+    assert archives.read_pieces(listed.filter("path = 'doc/4.bin'")).count() == 1
+    with pytest.raises(Exception, match="checksum|invalid|distance|block"):
+        archives.read_pieces(listed.filter("path = 'doc/3.bin'")).collect()
+
+
+def test_files_come_with_the_commit(spark, tmp_path):
+    base = f"file://{tmp_path}/out"
+    rows = spark.range(20).select(F.concat(F.lit("a b/"), (F.col("id") % 3).cast("string"), F.lit("/"), F.col("id").cast("string"), F.lit(".bin")).alias("path"), F.col("id").cast("string").cast("binary").alias("content"))
+    files.write_files(rows.repartition(4), base)
+    at = lambda: sorted(os.path.relpath(os.path.join(d, n), f"{tmp_path}/out") for d, _, names in os.walk(f"{tmp_path}/out") for n in names)
+    assert at() == sorted([f"a b/{k % 3}/{k}.bin" for k in range(20)] + ["_SUCCESS"])
+    assert open(f"{tmp_path}/out/a b/1/7.bin").read() == "7"
+    bad = rows.withColumn("path", F.concat(F.lit("new/"), "path")).withColumn("content", F.when(F.col("path").endswith("13.bin"), F.raise_error(F.lit("no"))).otherwise(F.col("content")))
+    for broken, why in ((bad.repartition(4), "no"), (rows.withColumn("path", F.lit("new/same")).repartition(2), "two rows"), (rows.withColumn("path", F.lit("../x")), "below")):
+        with pytest.raises(Exception, match=why):
+            files.write_files(broken, base)
+        assert at() == sorted([f"a b/{k % 3}/{k}.bin" for k in range(20)] + ["_SUCCESS"])
+
+
 def zipped(entries, force64=False):
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
