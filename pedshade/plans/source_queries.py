@@ -24,6 +24,7 @@ from pedshade.plans.queries import (
 )
 from pedshade.runtime import Scratch
 from pedshade.sources import archives, binary_graph, citygml, graph_json, layers, publish
+from pedshade.sources.files import write_files
 from pedshade.streaming import state
 
 NODES_A_UNIT, STATIONS_A_UNIT = 512, 64
@@ -91,6 +92,17 @@ def binary_graph_nodes(s, d):
     return binary_graph.decode(files)[0]
 
 
+@query(with_views("road_nodes", "road_edges") + """, num AS (SELECT node_id AS n, row_number() OVER (ORDER BY node_id) - 1 AS k FROM road_nodes)
+SELECT CAST(row_number() OVER (ORDER BY edge_id) - 1 AS VARCHAR) AS edge_id, a.k AS source, b.k AS target, CAST(CAST(length AS FLOAT) AS DOUBLE) AS length, CAST(CAST(green_score AS FLOAT) AS DOUBLE) AS green_score,
+ CAST(CAST(shade_1200 AS FLOAT) AS DOUBLE) AS shade_1200, 2 AS n_points FROM road_edges JOIN num a ON a.n = source JOIN num b ON b.n = target""")
+def binary_graph_sections(s, d):
+    """The whole network as one file, its parts made and read by all tasks."""
+    path = f"{_folder(s, 'sections')}/graph.bin"
+    binary_graph.write(nodes_of(s, d), _drawn(s, d), path, False, 4096)
+    e = binary_graph.read_ranges(s, path, 4096)[1]
+    return e.select("edge_id", "source", "target", "length", "green_score", "shade_1200", F.size("geometry").alias("n_points"))
+
+
 @query(with_views("road_edges") + " SELECT edge_id, '09:00' AS scenario, round(shade_0900, 4) AS score FROM road_edges UNION ALL SELECT edge_id, '12:00', round(shade_1200, 4) FROM road_edges UNION ALL SELECT edge_id, '15:00', round(shade_1500, 4) FROM road_edges")
 def shade_sidecar_round_trip(s, d):
     long = shade_rows(s, d).withColumn("unit", F.pmod(F.xxhash64("edge_id"), F.lit(4)))
@@ -170,7 +182,7 @@ def polygonized_ways(s, d):
 @query(with_views("stations") + """ SELECT concat('b', station_id) AS building_id, CAST(10 + station_id % 50 AS DOUBLE) AS measured_height, 'EPSG:6697' AS crs, CAST(1 AS INTEGER) AS n_parts,
  CASE WHEN station_id % 3 = 0 THEN 1 ELSE 2 END AS n_surfaces, CASE WHEN station_id % 3 = 0 THEN concat('w', station_id) ELSE '' END AS unresolved, 'RoofSurface' AS kind, round(lon, 6) AS x FROM stations""")
 def citygml_buildings(s, d):
-    """CityGML files by unit: a roof and a wall by link; every third building's wall is missing."""
+    """CityGML files by unit, read in splits: a roof and a wall by link; every third building's wall is missing."""
     at = lambda dx, dy: F.concat_ws(" ", F.format_string("%.6f", F.col("lat") + F.lit(dy)), F.format_string("%.6f", F.col("lon") + F.lit(dx)), F.lit("20"))
     k = F.col("station_id").cast("string")
     positions = F.concat_ws(" ", at(0.0, 0.0), at(0.001, 0.0), at(0.001, 0.001), at(0.0, 0.0))
@@ -187,7 +199,9 @@ def citygml_buildings(s, d):
     text = F.concat(F.lit(head), F.array_join(F.collect_list(one), ""), F.lit("</m:CityModel>"))
     files = load(s, d, "stations").groupBy(_station_unit()).agg(F.encode(text, "UTF-8").alias("content"))
     lod2 = F.col("parts")[0]["lod2"]
-    return citygml.parse_buildings(files).select(
+    base = _folder(s, "citygml")
+    write_files(files.select(F.concat("unit", F.lit(".gml")).alias("path"), "content"), base)
+    return citygml.read_buildings(s, base, 32 << 10).select(
         "building_id", "measured_height", "crs", F.size("parts").alias("n_parts"), F.size(lod2["surfaces"]).alias("n_surfaces"), F.array_join(lod2["unresolved"], ",").alias("unresolved"),
         lod2["surfaces"][0]["kind"].alias("kind"), r6(lod2["surfaces"][0]["rings"][0][0]["x"]).alias("x"),
     )
@@ -210,7 +224,7 @@ _MESH = """z AS (SELECT DISTINCT c_custkey // 300 AS unit, CASE WHEN c_custkey %
 
 
 def _zips(s, d):
-    """An archive for every 300 customers: a building file or a text each."""
+    """A folder with an archive for every 300 customers: a building file or a text each."""
     k = F.col("c_custkey")
     gml = F.concat(F.lit("a/udx/bldg/"), (F.lit(53390000) + k % 8000).cast("string"), F.when(k % 3 == 0, "_bldg_6697_2_op.gml").otherwise("_bldg_6697_op.gml"))
     path = F.when(k % 5 == 0, F.concat(F.lit("doc/"), k.cast("string"), F.lit(".txt"))).otherwise(gml)
@@ -223,18 +237,25 @@ def _zips(s, d):
                 z.writestr(r.path, r.body)
         return pd.DataFrame({"path": [f"{pdf.unit.iloc[0]}.zip"], "content": [raw.getvalue()]})
 
-    return Scratch(s, "zips").write(rows.groupBy("unit").applyInPandas(pack, "path string, content binary"))
+    base = _folder(s, "zips")
+    write_files(rows.groupBy("unit").applyInPandas(pack, "path string, content binary"), base)
+    return base
+
+
+def _archive():
+    return F.regexp_extract("archive", r"([^/]*)$", 1).alias("archive")
 
 
 @query("WITH " + _MESH + " SELECT concat(unit, '.zip') AS archive, path, regexp_extract(path, '([0-9]{8})[^/]*$', 1) AS mesh_id, CAST(length(body) AS BIGINT) AS size FROM z WHERE path LIKE '%.gml'")
 def archive_buildings(s, d):
     """Building entries of all archives by mesh, found in the directories alone."""
-    return archives.discover_buildings(archives.entries_of(_zips(s, d))).select("archive", "path", "mesh_id", "size")
+    return archives.discover_buildings(archives.zip_entries(s, _zips(s, d))).select(_archive(), "path", "mesh_id", "size")
 
 
 @query("WITH " + _MESH + " SELECT concat(unit, '.zip') AS archive, path, sha256(body) AS sha256 FROM z WHERE path LIKE 'doc/%'")
 def archive_contents(s, d):
-    return archives.contents_of(_zips(s, d), "^doc/").select("archive", "path", F.sha2("content", 256).alias("sha256"))
+    """Texts of all archives; the directories tell which ranges to read."""
+    return archives.read_entries(s, _zips(s, d), "^doc/").select(_archive(), "path", F.sha2("content", 256).alias("sha256"))
 
 
 _UNIT_TEXT = f", t AS (SELECT source // {NODES_A_UNIT} AS unit, concat(string_agg(edge_id, ',' ORDER BY edge_id), chr(10)) AS body FROM road_edges GROUP BY 1)"
@@ -342,6 +363,33 @@ def vector_tile_features(s, d):
     return publish.vector_tiles(e, ["edge_id", "green_score"]).select("z", "x", "y", "n_features")
 
 
+@query(with_views("road_nodes", "road_edges") + _ENDS + f""", z AS (SELECT unnest([10, 11, 12, 13]) AS z),
+b AS (SELECT z, CAST(floor((least(alon, blon) + 180) / 360 * pow(2, z)) AS BIGINT) AS x0, CAST(floor((greatest(alon, blon) + 180) / 360 * pow(2, z)) AS BIGINT) AS x1,
+ CAST(floor((1 - ln(tan(radians(greatest(alat, blat))) + 1 / cos(radians(greatest(alat, blat)))) / {math.pi!r}) / 2 * pow(2, z)) AS BIGINT) AS y0,
+ CAST(floor((1 - ln(tan(radians(least(alat, blat))) + 1 / cos(radians(least(alat, blat)))) / {math.pi!r}) / 2 * pow(2, z)) AS BIGINT) AS y1 FROM ends CROSS JOIN z),
+c AS (SELECT z, unnest(generate_series(x0, x1)) AS x, y0, y1 FROM b), t AS (SELECT z, x, unnest(generate_series(y0, y1)) AS y FROM c)
+, n AS (SELECT z, x, y, count(*) AS n FROM t GROUP BY 1, 2, 3)
+SELECT layer, z, x, y, n AS n_lines FROM n CROSS JOIN (SELECT unnest(['heat', 'shade']) AS layer)""")
+def tile_layer_files(s, d):
+    """Heat and shade layers written in one commit, read back from their files and decoded."""
+    e = routes.edge_geometry(edges_of(s, d), nodes_of(s, d))
+    base = _folder(s, "layers")
+    layers_of = {"heat": (e.select("geometry", "edge_id", "green_score"), ["edge_id", "green_score"]), "shade": (e.select("geometry", "edge_id", "shade_1200"), ["edge_id", "shade_1200"])}
+    publish.write_layers(layers_of, base, (139.6, 35.5, 140.0, 36.0))
+
+    def decoded(parts):
+        for pdf in parts:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                layer, z, x, y = path.removesuffix(".pbf").split("/")[-4:]
+                lines = [f for name, drawn, f in publish.decode_tile(bytes(content)) if name == layer and drawn and "edge_id" in f]
+                rows.append((layer, int(z), int(x), int(y), len(lines)))
+            yield pd.DataFrame(rows, columns=["layer", "z", "x", "y", "n_lines"])
+
+    read = s.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pbf").load(base)
+    return read.select("path", "content").mapInPandas(decoded, "layer string, z int, x long, y long, n_lines long")
+
+
 # -- contracts --------------------------------------------------------------------------------------
 
 @query(with_views("road_nodes", "road_edges") + _SPLIT + """, k AS (SELECT component, count(*) AS n FROM comp GROUP BY 1), top AS (SELECT component FROM k ORDER BY n DESC, component LIMIT 1)

@@ -10,19 +10,26 @@ edge.
 from __future__ import annotations
 
 import gzip
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pedshade.config import COORDINATE_SCALE, SHADE_COLUMNS
+from pedshade.operators.ranks import gapless_rank
+from pedshade.runtime import Scratch
+from pedshade.sources.files import Ranges, store
 from pedshade.sources.graph_json import SourceError
 
 #: Fixed values of the format.
 MAGIC, VERSION = 0x52434752, 1
 _EDGE = np.dtype([("source", "<i4"), ("target", "<i4"), ("length", "<f4"), ("green_score", "<f4"), ("water_penalty", "<f4")])
+_NODES = "node_id long, lon double, lat double"
+_EDGES = "edge_id string, source long, target long, length double, green_score double, water_penalty double, geometry array<struct<lon: double, lat: double>>, "
 
 
 class Graph:
@@ -111,12 +118,7 @@ def decode(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                         out[c] = g.shade[lo : lo + len(e), k].astype(np.float64) if k < g.shade.shape[1] else np.nan
                     yield out
 
-    schema = own + "edge_id string, source long, target long, length double, green_score double, water_penalty double, geometry array<struct<lon: double, lat: double>>, "
-    return files.mapInPandas(nodes, own + "node_id long, lon double, lat double"), files.mapInPandas(edges, schema + ", ".join(f"{c} double" for c in names))
-
-
-#: Edges of the largest graph that is written as one file.
-MOST_EDGES = 1_000_000
+    return files.mapInPandas(nodes, own + _NODES), files.mapInPandas(edges, own + _EDGES + ", ".join(f"{c} double" for c in names))
 
 
 def _encoded(nodes: pd.DataFrame, edges: pd.DataFrame, compress: bool = True) -> bytes:
@@ -150,22 +152,158 @@ def encode_units(nodes: DataFrame, edges: DataFrame, unit: str = "unit") -> Data
     return ends.groupBy("_unit").cogroup(edges.groupBy(unit)).applyInPandas(one, f"{unit} {dict(edges.dtypes)[unit]}, content binary")
 
 
-def write(nodes: DataFrame, edges: DataFrame, path: str, compress: bool = True, most_edges: int = MOST_EDGES) -> int:
-    """Writes one file for a browser, to any file system that Spark knows, and returns its size.
+#: Nodes or edges of a part of a section.
+PART_ROWS = 1 << 16
+_PART = "section int, part long, content binary"
+
+
+def _running_total(df: DataFrame, order: str, weight: str, scratch: Scratch) -> DataFrame:
+    """``df`` with ``rank``, its place by ``order`` from 0, and ``before``, the weights ahead of it."""
+    placed = scratch.write(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumns({"_n": F.coalesce(F.count(F.lit(1)).over(inside), F.lit(0)), "_w": F.coalesce(F.sum(weight).over(inside), F.lit(0))})
+    sums = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))  # a row for each range
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_range", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_before_{c}") for c in ("n", "w")])
+    out = placed.join(F.broadcast(starts), "_range").withColumns({"rank": F.col("_n") + F.col("_before_n"), "before": F.col("_w") + F.col("_before_w")})
+    return out.drop("_at", "_range", "_n", "_w", "_before_n", "_before_w")
+
+
+def _fixed(x: np.ndarray) -> bytes:
+    at = np.floor(np.asarray(x, float) * COORDINATE_SCALE + 0.5)
+    if at.size and not (np.abs(at) <= 2**31 - 1).all():
+        raise ValueError("a coordinate exceeds the format's range")
+    return at.astype("<i4").tobytes()
+
+
+def _node_part(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("rank")
+    return pd.DataFrame({"section": [0], "part": [int(pdf["part"].iloc[0])], "content": [_fixed(pdf[["lon", "lat"]].to_numpy())]})
+
+
+def _edge_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """An edge part's bytes in each section."""
+    pdf = pdf.sort_values("rank")
+    e = np.zeros(len(pdf), _EDGE)
+    for c in _EDGE.names:
+        e[c] = pdf[c].to_numpy()
+    points = [(p["lon"], p["lat"]) for g in pdf["geometry"] for p in g]
+    contents = [e.tobytes(), pdf["before"].to_numpy().astype("<u4").tobytes(), _fixed(np.array(points).reshape(-1, 2)), pdf[list(SHADE_COLUMNS.values())].to_numpy().astype("<f4").tobytes()]
+    return pd.DataFrame({"section": [1, 2, 3, 4], "part": [int(pdf["part"].iloc[0])] * 4, "content": contents})
+
+
+def sections(nodes: DataFrame, edges: DataFrame, compress: bool = True, part_rows: int = PART_ROWS) -> DataFrame:
+    """``(section, part, content)``: a graph's file in parts, to be put behind each other in that order.
 
-    The driver holds the graph, so beyond ``most_edges`` edges (or as many
-    nodes) it is an error: such a graph is written by unit.  Nodes are numbered
-    in id order; an edge whose end is no node is an error.
+    Nodes are numbered in id order, edges stand in the order of their ids, and
+    offsets into the points come from running totals over sorted ranges; no
+    task holds more than a part.  Every part is packed by itself, which the gzip
+    format allows.  An end that is no node is an error, as is a graph whose
+    counts exceed the format's 32 bits.
     """
-    if edges.count() > most_edges or nodes.count() > most_edges:
-        raise ValueError(f"one file holds {most_edges} edges at most; use encode_units")
-    raw = _encoded(nodes.select("node_id", "lon", "lat").toPandas(), edges.toPandas(), compress)
     spark = nodes.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
-    try:
-        for at in range(0, len(raw), 4 << 20):
-            out.write(raw[at : at + (4 << 20)])
-    finally:
-        out.close()
-    return len(raw)
+    scratch = Scratch(spark, "sections")
+    numbered = scratch.write(gapless_rank(nodes.select("node_id", "lon", "lat"), [], ["node_id"]).withColumn("part", F.expr(f"rank div {part_rows}")))
+    number = numbered.select("node_id", "rank")
+    ends = edges
+    for end in ("source", "target"):
+        ends = ends.join(number.select(F.col("node_id").alias(end), F.col("rank").alias(f"_{end}")), end, "left")
+    rest = [c for c in _EDGE.names if c not in ("source", "target")]
+    rows = ends.select("edge_id", F.col("_source").alias("source"), F.col("_target").alias("target"), *rest, "geometry", *SHADE_COLUMNS.values(), F.size("geometry").cast("long").alias("_points"))
+    placed = scratch.write(_running_total(rows, "edge_id", "_points", scratch).withColumn("part", F.expr(f"rank div {part_rows}")))
+    n = numbered.count()
+    e, p, lost = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("_points"), F.lit(0)), F.count_if(F.col("source").isNull() | F.col("target").isNull())).first()
+    if lost:
+        raise ValueError("an edge's end is no node")
+    if max(n, e, p) >= 2**31:
+        raise ValueError("the graph exceeds the format's counts")
+    header = np.array([MAGIC, VERSION, n, e, p, len(SHADE_COLUMNS)], "<u4").tobytes()
+    own = [(-1, 0, header), (2, e // part_rows + 1, np.array([p], "<u4").tobytes())]  # the last offset ends the points
+    parts = (
+        numbered.groupBy("part").applyInPandas(_node_part, _PART)
+        .unionByName(placed.groupBy("part").applyInPandas(_edge_parts, _PART))
+        .unionByName(spark.createDataFrame(own, _PART))
+    )
+    if not compress:
+        return parts
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                yield row.set_column(2, "content", pa.array([gzip.compress(row.column(2)[0].as_py(), mtime=0)], pa.binary()))
+
+    return parts.mapInArrow(packed, _PART)
+
+
+def write(nodes: DataFrame, edges: DataFrame, path: str, compress: bool = True, part_rows: int = PART_ROWS, most_edges: int | None = None) -> int:
+    """Writes one file for a browser and returns its size; graphs of any size that the format can hold.
+
+    ``most_edges`` refuses larger graphs, for browsers that can't take them.
+    The parts are made by all tasks and put into the file by one, which reads
+    them in order, a few at a time; see :func:`sections`.
+    """
+    if most_edges is not None and edges.count() > most_edges:
+        raise ValueError(f"one file holds {most_edges} edges at most; use encode_units")
+    parts = Scratch(nodes.sparkSession, "parts").write(sections(nodes, edges, compress, part_rows))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, name = store(path)
+        staged = f"{name}.{uuid.uuid4().hex}.tmp"
+        size = 0
+        where.create_dir(staged.rsplit("/", 1)[0], recursive=True)
+        with where.open_output_stream(staged, compression=None) as out:
+            for batch in batches:
+                for content in batch.column(2):
+                    out.write(content.as_buffer())
+                    size += len(content.as_buffer())
+        where.move(staged, name)
+        yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64())], names=["size"])
+
+    one = parts.repartition(1).sortWithinPartitions("section", "part")
+    return one.mapInArrow(put, "size long").first()["size"]
+
+
+def read_ranges(spark: SparkSession, path: str, part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, edges)`` of an unpacked file, as :func:`read` has them; each task reads its rows' ranges of every section."""
+    with Ranges(path) as file:
+        head = np.frombuffer(file.read(0, 24), "<u4").tolist() if file.size >= 24 else [0] * 6
+        n, e, p, s = head[2:]
+        if head[:2] != [MAGIC, VERSION]:
+            raise SourceError("the magic number or the version does not match; packed files are read whole")
+        if file.size != 24 + 8 * n + 20 * e + 4 * (e + 1) + 8 * p + 4 * e * s:
+            raise SourceError("the size does not match the header")
+    edges_at = 24 + 8 * n
+    offsets_at = edges_at + 20 * e
+    points_at = offsets_at + 4 * (e + 1)
+    shade_at = points_at + 8 * p
+    names = list(SHADE_COLUMNS.values())
+
+    def node_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with Ranges(path) as file:
+            for pdf in batches:
+                for part in pdf["id"].tolist():
+                    lo, hi = part * part_rows, min(n, (part + 1) * part_rows)
+                    at = np.frombuffer(file.read(24 + 8 * lo, 8 * (hi - lo)), "<i4").reshape(-1, 2) / COORDINATE_SCALE
+                    yield pd.DataFrame({"node_id": np.arange(lo, hi), "lon": at[:, 0], "lat": at[:, 1]})
+
+    def edge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with Ranges(path) as file:
+            for pdf in batches:
+                for part in pdf["id"].tolist():
+                    lo, hi = part * part_rows, min(e, (part + 1) * part_rows)
+                    rows = np.frombuffer(file.read(edges_at + 20 * lo, 20 * (hi - lo)), _EDGE)
+                    offsets = np.frombuffer(file.read(offsets_at + 4 * lo, 4 * (hi - lo + 1)), "<u4").astype(np.int64)
+                    points = np.frombuffer(file.read(points_at + 8 * int(offsets[0]), 8 * int(offsets[-1] - offsets[0])), "<i4").reshape(-1, 2) / COORDINATE_SCALE
+                    shade = np.frombuffer(file.read(shade_at + 4 * s * lo, 4 * s * (hi - lo)), "<f4").reshape(hi - lo, s)
+                    out = pd.DataFrame({"edge_id": [str(i) for i in range(lo, hi)]} | {c: rows[c].astype(np.int64 if c in ("source", "target") else np.float64) for c in _EDGE.names})
+                    places = [{"lon": x, "lat": y} for x, y in points.tolist()]
+                    cut = (offsets - offsets[0]).tolist()
+                    out["geometry"] = [places[a:b] for a, b in zip(cut, cut[1:])]
+                    for k, c in enumerate(names):
+                        out[c] = shade[:, k].astype(np.float64) if k < s else np.nan
+                    yield out
+
+    parts = lambda rows: spark.range(0, -(-rows // part_rows), 1, max(1, -(-rows // part_rows)))
+    return parts(n).mapInPandas(node_rows, _NODES), parts(e).mapInPandas(edge_rows, _EDGES + ", ".join(f"{c} double" for c in names))

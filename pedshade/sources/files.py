@@ -81,7 +81,7 @@ class _Writer(DataSourceArrowWriter):
                     raise ValueError(f"a file's name must stay below the folder: {name!r}")
                 if "/" in name or not done.names:
                     where.create_dir(f"{folder}/{name}".rsplit("/", 1)[0], recursive=True)
-                with where.open_output_stream(f"{folder}/{name}") as out:
+                with where.open_output_stream(f"{folder}/{name}", compression=None) as out:
                     out.write(content or b"")
                 done.names.append(name)
         return done

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pedshade.functions.geo import tiles_of
+from pedshade.sources.files import write_files
 
 
 def publish_files(files: dict[str, bytes], rename: Callable[[str, str], None] = os.replace) -> None:
@@ -257,7 +258,7 @@ def vector_tiles(features: DataFrame, properties: list[str], zooms: tuple[int, .
 
     def encode(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values([*properties, "line"], kind="stable").to_dict("records")
-        tile = assemble_tile([(r["line"], {k: r[k] for k in properties}) for r in rows], layer)
+        tile = assemble_tile([(r["line"], {k: r[k] for k in properties if r[k] == r[k]}) for r in rows], layer)
         return pd.DataFrame({"z": [int(pdf.z.iloc[0])], "x": [int(pdf.x.iloc[0])], "y": [int(pdf.y.iloc[0])], "n_features": [len(rows)], "tile": [tile]})
 
     lines = rows.mapInPandas(cut, own + "z int, x long, y long, line binary")
@@ -265,18 +266,99 @@ def vector_tiles(features: DataFrame, properties: list[str], zooms: tuple[int, .
 
 
 def write_tiles(tiles: DataFrame, directory: str) -> None:
-    """One file ``z/x/y.pbf`` a tile, written by the tasks to a folder that all machines share."""
-    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for r in pdf.itertuples(index=False):
-                folder = f"{directory}/{r.z}/{r.x}"
-                os.makedirs(folder, exist_ok=True)
-                with open(f"{folder}/{r.y}.pbf.tmp", "wb") as f:
-                    f.write(r.tile)
-                os.replace(f"{folder}/{r.y}.pbf.tmp", f"{folder}/{r.y}.pbf")
-            yield pd.DataFrame({"n": [len(pdf)]})
-
-    tiles.mapInPandas(put, "n long").agg(F.sum("n")).collect()
+    """One file ``z/x/y.pbf`` a tile; none before all are written."""
+    write_files(tiles.select(F.concat_ws("/", "z", "x", F.concat("y", F.lit(".pbf"))).alias("path"), F.col("tile").alias("content")), directory)
+
+
+def write_layers(layers: dict[str, tuple[DataFrame, list[str]]], directory: str, bounds: tuple[float, float, float, float], zooms: tuple[int, ...] = ZOOMS) -> None:
+    """Vector tiles of several layers, ``layer/z/x/y.pbf``, and a TileJSON ``layer.json`` each, all in one commit.
+
+    ``layers`` has the features of each layer and the names of their properties.
+    """
+    out = None
+    for name, (features, properties) in layers.items():
+        tiles = vector_tiles(features, properties, zooms, name)
+        files = tiles.select(F.concat_ws("/", F.lit(name), "z", "x", F.concat("y", F.lit(".pbf"))).alias("path"), F.col("tile").alias("content"))
+        described = features.sparkSession.createDataFrame([(f"{name}.json", bytearray(tile_json(name, bounds, zooms)))], "path string, content binary")
+        files = files.unionByName(described)
+        out = files if out is None else out.unionByName(files)
+    if out is not None:
+        write_files(out, directory)
+
+
+def decode_tile(raw: bytes) -> list[tuple[str, list[list[tuple[int, int]]], dict]]:
+    """``(layer, lines, properties)`` of each feature of a vector tile of lines."""
+    out = []
+    for number, layer in _fields(raw):
+        if number != 3:
+            continue
+        name, features, keys, values = "", [], [], []
+        for n, v in _fields(layer):
+            if n == 1:
+                name = v.decode()
+            elif n == 2:
+                features.append(dict(_fields(v)))
+            elif n == 3:
+                keys.append(v.decode())
+            elif n == 4:
+                kind, value = next(iter(_fields(v)))
+                values.append(value.decode() if kind == 1 else value)
+        for f in features:
+            tags = _varints(f.get(2, b""))
+            out.append((name, _lines(_varints(f.get(4, b""))), {keys[k]: values[v] for k, v in zip(tags[0::2], tags[1::2], strict=True)}))
+    return out
+
+
+def _varints(raw: bytes) -> list[int]:
+    out, value, shift = [], 0, 0
+    for byte in raw:
+        value |= (byte & 127) << shift
+        shift += 7
+        if byte < 128:
+            out.append(value)
+            value, shift = 0, 0
+    return out
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
+    """Numbers and values of a message's fields: bytes, whole numbers, or doubles."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        end = at
+        while raw[end] > 127:
+            end += 1
+        value = _varints(raw[at : end + 1])[0]
+        at = end + 1
+        return value
+
+    while at < len(raw):
+        key = varint()
+        if key & 7 == 2:
+            size = varint()
+            yield key >> 3, raw[at : at + size]
+            at += size
+        elif key & 7 == 1:
+            yield key >> 3, struct.unpack_from("<d", raw, at)[0]
+            at += 8
+        else:
+            yield key >> 3, varint()
+
+
+def _lines(commands: list[int]) -> list[list[tuple[int, int]]]:
+    lines: list[list[tuple[int, int]]] = []
+    x = y = at = 0
+    while at < len(commands):
+        kind, count = commands[at] & 7, commands[at] >> 3
+        at += 1
+        for _ in range(count):
+            dx, dy = ((v >> 1) ^ -(v & 1) for v in commands[at : at + 2])
+            x, y, at = x + dx, y + dy, at + 2
+            if kind == 1:
+                lines.append([])
+            lines[-1].append((x, y))
+    return lines
 
 
 def tile_json(name: str, bounds: tuple[float, float, float, float], zooms: tuple[int, ...] = ZOOMS) -> bytes:

@@ -549,6 +549,17 @@ def test_nearest_to_lines_keeps_ties(spark):
         spatial.nearest_to_lines(lines, sites.filter("1 = 0"))
 
 
+def test_quantiles_of_few_values_move_few_rows(spark):
+    """Equal values are counted first: ties by the thousand are four rows, and the quantiles stay exact."""
+    from pedshade.operators.ranks import quantiles
+
+    values = [0.0] * 700 + [0.3] * 1200 + [0.6] * 50 + [1.0] * 2051
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", float(k % 97)) for k in range(500)], "k string, v double").repartition(5)
+    at = (0.0, 0.1, 0.175, 0.25, 0.48, 0.5, 0.9, 1.0)
+    got = {r.k: r.q for r in quantiles(df, ["k"], "v", at).collect()}
+    assert np.allclose(got["a"], np.quantile(values, at)) and np.allclose(got["b"], np.quantile([k % 97 for k in range(500)], at))
+
+
 def test_exact_quantiles(spark):
     from pedshade.operators.ranks import gapless_rank, quantiles
 

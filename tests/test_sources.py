@@ -43,6 +43,52 @@ def test_binary_graph_round_trip(spark, tmp_path):
     assert n.count() == 2
 
 
+@pytest.mark.parametrize("part_rows", [3, 7, 1 << 16])
+def test_binary_graph_in_sections(spark, tmp_path, part_rows):
+    """Parts of any size make the file that one writer would make, and ranges of it read the same rows."""
+    rnd = random.Random(part_rows)
+    n = [(f"n{k:03}", 139 + k / 1000, 35.6 - k / 997) for k in range(20)]
+    line = lambda: [(139 + rnd.random(), 35 + rnd.random()) for _ in range(rnd.randint(2, 5))]
+    e = [(f"e{k:04}", rnd.choice(n)[0], rnd.choice(n)[0], rnd.random() * 90, rnd.random(), rnd.random(), line(), 0.5, rnd.random(), 1.0) for k in range(50)]
+    nodes = spark.createDataFrame(n, "node_id string, lon double, lat double").repartition(3)
+    edges = spark.createDataFrame(e, "edge_id string, source string, target string, length double, green_score double, water_penalty double, geometry array<struct<lon: double, lat: double>>, shade_0900 double, shade_1200 double, shade_1500 double").repartition(4)
+    path = f"{tmp_path}/in/g.bin"
+    assert binary_graph.write(nodes, edges, path, False, part_rows) == os.path.getsize(path)
+    number = {name: k for k, (name, *_) in enumerate(n)}
+    frame = pd.DataFrame([(number[r[1]], number[r[2]], *r[3:6]) for r in e], columns=["source", "target", "length", "green_score", "water_penalty"])
+    whole = binary_graph.encode(pd.DataFrame(n, columns=["node_id", "lon", "lat"]), frame, [np.array(r[6]) for r in e], np.array([r[7:] for r in e]))
+    assert open(path, "rb").read() == whole
+    packed = f"{tmp_path}/in/g.bin.gz"
+    binary_graph.write(nodes, edges, packed, True, part_rows)
+    assert gzip.decompress(open(packed, "rb").read()) == whole
+    want, got = binary_graph.read(spark, path), binary_graph.read_ranges(spark, path, part_rows)
+    for a, b in zip(want, got):
+        assert a.schema == b.schema and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    with pytest.raises(graph_json.SourceError, match="packed"):
+        binary_graph.read_ranges(spark, packed)
+    empty = f"{tmp_path}/in/none.bin"
+    binary_graph.write(nodes.filter("false"), edges.filter("false"), empty, False)
+    assert [df.count() for df in binary_graph.read_ranges(spark, empty)] == [0, 0]
+
+
+def test_tile_layers(spark, tmp_path):
+    line = lambda *at: [(139.7 + x / 1000, 35.6 + y / 1000) for x, y in at]
+    rows = [("a", 0.5, line((0, 0), (5, 3), (9, 9))), ("b", None, line((0, 0), (90, 0)))]
+    df = spark.createDataFrame(rows, "id string, heat double, geometry array<struct<lon: double, lat: double>>")
+    base = f"file://{tmp_path}/tiles"
+    publish.write_layers({"heat": (df, ["id", "heat"]), "shade": (df.filter("heat is null"), ["id"])}, base, (139.0, 35.0, 140.0, 36.0), (12,))
+    told = json.load(open(f"{tmp_path}/tiles/shade.json"))
+    assert told["tiles"] == ["shade/{z}/{x}/{y}.pbf"] and os.path.exists(f"{tmp_path}/tiles/_SUCCESS")
+    found = [os.path.join(d, f) for d, _, names in os.walk(f"{tmp_path}/tiles/heat") for f in names]
+    features = [f for path in found for f in publish.decode_tile(open(path, "rb").read())]
+    assert {(name, p["id"], p.get("heat")) for name, _, p in features} == {("heat", "a", 0.5), ("heat", "b", None)}
+    assert len([1 for *_, p in features if p["id"] == "b"]) == len(found) > 1
+    for path in found:  # the flat line crosses its tiles from edge to edge, at one height
+        for _, lines, p in publish.decode_tile(open(path, "rb").read()):
+            assert all(-publish.TILE_BUFFER <= v <= publish.EXTENT + publish.TILE_BUFFER for drawn in lines for point in drawn for v in point)
+            assert p["id"] == "a" or (len(lines) == 1 and len({y for _, y in lines[0]}) == 1)
+
+
 def test_binary_graph_refuses_bad_files(spark, tmp_path):
     nodes, edges = graph(spark)
     binary_graph.write(nodes, edges, f"{tmp_path}/g.bin", False)
