@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pedshade.config import DEFAULT, SEARCH_GRID_DEGREES, Config
@@ -106,9 +106,9 @@ def nearest_to_lines(lines: DataFrame, sites: DataFrame, cell_m: float = 500.0,
         placed = sites.select("site_id", F.col("x").alias("sx"), F.col("y").alias("sy"), cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
         d = point_to_line(F.col("sx"), F.col("sy"), F.col("line"))
         found = near.join(placed, ["cx", "cy"]).select("edge_id", "site_id", d.alias("distance_m")).filter(F.col("distance_m") <= size)
-        # A line keeps its least distance and the sites at it; a group's state holds those alone.
-        least = found.groupBy("edge_id").agg(F.min("distance_m").alias("least"))
-        best = scratch.write(found.join(least, "edge_id").filter("distance_m = least").drop("least"))
+        # Ranks above the first are dropped before rows move, so that each pair is worked out once and few of them travel.
+        first = F.rank().over(Window.partitionBy("edge_id").orderBy("distance_m"))
+        best = scratch.write(found.withColumn("nth", first).filter("nth = 1").drop("nth"))
         done = best if done is None else done.unionByName(best)
         rest = scratch.write(left.join(best.select("edge_id").distinct(), "edge_id", "left_anti"))
         scratch.drop(left)
@@ -177,15 +177,87 @@ def cells_of(box: Column, size: float) -> Column:
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
-def box_pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+#: Boxes of both sides that a cell holds before it is split, or dealt out where splitting does not part them.
+MOST_BOXES = 20_000
+#: Times that a cell is halved along both axes at most.
+DEPTH = 12
+
+
+def _children(box: Column, k: int, size: float) -> Column:
+    """Array of the quarters of the cell (cx, cy) of level ``k`` that a box meets."""
+    half = size / 2 ** (k + 1)
+    axis = lambda low, high, at: F.sequence(
+        F.greatest(F.col(at) * 2, F.least(cell(box[low], half), F.col(at) * 2 + 1)), F.least(F.col(at) * 2 + 1, F.greatest(cell(box[high], half), F.col(at) * 2))
+    )
+    return F.flatten(F.transform(axis("west", "east", "cx"), lambda x: F.transform(axis("south", "north", "cy"), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+
+
+class BoxIndex:
+    """A quadtree over the boxes of two tables, split where the two together are dense.
+
+    ``splits`` has the cells (cx, cy) of each level that are split; ``deals``
+    the leaves (lv, cx, cy) that stay dense because splitting would copy their
+    boxes more often than it parts them, with the parts p and q in which the
+    two sides are dealt out.
+    """
+
+    def __init__(self, left: DataFrame, right: DataFrame, size: float, most: int = MOST_BOXES, depth: int = DEPTH):
+        self.size, self.splits, scratch = size, [], Scratch(left.sparkSession, "quadtree")
+        sides = [df.select(F.col("box"), F.lit(k).alias("side")) for k, df in enumerate((left, right))]
+        held = sides[0].unionByName(sides[1]).select("box", "side", F.inline(cells_of(F.col("box"), size)))
+        deals = []
+        for k in range(depth + 1):
+            n = [F.count_if(F.col("side") == side) for side in (0, 1)]
+            counts = held.groupBy("cx", "cy").agg(n[0].alias("a"), n[1].alias("b"), F.sum(F.size(_children(F.col("box"), k, size))).alias("copies"))
+            # A cell with one side only has no pair.
+            dense = scratch.write(counts.filter((F.col("a") + F.col("b") > most) & (F.col("a") > 0) & (F.col("b") > 0)))
+            if dense.isEmpty():
+                break
+            parts = F.col("copies") <= 2 * (F.col("a") + F.col("b")) if k < depth else F.lit(False)
+            share = lambda c: F.ceil(2 * F.col(c) / most).cast("int")
+            deals.append(dense.filter(~parts).select(F.lit(k).alias("lv"), "cx", "cy", share("a").alias("p"), share("b").alias("q")))
+            split = dense.filter(parts).select("cx", "cy")
+            self.splits.append(split)
+            before = held
+            held = scratch.write(held.join(split, ["cx", "cy"], "left_semi").select("box", "side", F.inline(_children(F.col("box"), k, size))))
+            scratch.drop(before)
+        self.deals = None
+        for d in deals:
+            self.deals = d if self.deals is None else self.deals.unionByName(d)
+
+    def place(self, df: DataFrame, side: int) -> DataFrame:
+        """``df`` (with box) with the keys lv, cx, cy, i, j of every leaf that its boxes meet."""
+        columns = df.columns
+        rows = df.select("*", F.lit(0).alias("lv"), F.inline(cells_of(F.col("box"), self.size)))
+        for k, split in enumerate(self.splits):
+            marked = rows.join(split.select(F.lit(k).alias("lv"), "cx", "cy", F.lit(True).alias("_split")), ["lv", "cx", "cy"], "left")
+            here = F.array(F.struct("cx", "cy"))
+            cells = F.when(F.col("_split"), _children(F.col("box"), k, self.size)).otherwise(here)
+            rows = marked.select(*columns, F.when(F.col("_split"), k + 1).otherwise(F.col("lv")).alias("lv"), F.inline(cells))
+        if self.deals is None:
+            return rows.withColumns({"i": F.lit(0), "j": F.lit(0)})
+        dealt = rows.join(self.deals, ["lv", "cx", "cy"], "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("p", "q")})
+        own, others, at, along = ("p", "q", "i", "j") if side == 0 else ("q", "p", "j", "i")
+        return dealt.withColumns({at: F.pmod(F.xxhash64(*columns), F.col(own)).cast("int"), along: F.explode(F.sequence(F.lit(0), F.col(others) - 1))}).drop("p", "q")
+
+    def home(self, west: Column, south: Column) -> Column:
+        """Whether a point lies in the row's leaf."""
+        size = F.lit(self.size) / F.pow(F.lit(2.0), F.col("lv"))
+        return (F.col("cx") == F.floor(west / size)) & (F.col("cy") == F.floor(south / size))
+
+
+def box_pairs(left: DataFrame, right: DataFrame, size: float, most: int = MOST_BOXES) -> DataFrame:
     """Pairs of rows whose ``box`` structs intersect, each once.
 
-    Both sides go to the cells they meet; a pair counts in the cell of its
-    boxes' common lower corner only.
+    Both sides go to the leaves of a quadtree that they meet (see
+    :class:`BoxIndex`); a pair counts in the leaf of its boxes' common lower
+    corner only.  No task gets more than about ``most`` rows of one leaf.
     """
-    a = left.select(F.struct(*left.columns).alias("l"), F.inline(cells_of(F.col("box"), size)))
-    b = right.select(F.struct(*right.columns).alias("r"), F.inline(cells_of(F.col("box"), size)))
+    index = BoxIndex(left, right, size, most)
+    key = ["lv", "cx", "cy", "i", "j"]
+    a = index.place(left, 0).select(F.struct(*left.columns).alias("l"), *key)
+    b = index.place(right, 1).select(F.struct(*right.columns).alias("r"), *key)
     l, r = F.col("l.box"), F.col("r.box")
     touch = (l["west"] <= r["east"]) & (l["east"] >= r["west"]) & (l["south"] <= r["north"]) & (l["north"] >= r["south"])
-    home = (F.col("cx") == cell(F.greatest(l["west"], r["west"]), size)) & (F.col("cy") == cell(F.greatest(l["south"], r["south"]), size))
-    return a.join(b, ["cx", "cy"]).filter(touch & home).select("l", "r")
+    home = index.home(F.greatest(l["west"], r["west"]), F.greatest(l["south"], r["south"]))
+    return a.join(b, key).filter(touch & home).select("l", "r")

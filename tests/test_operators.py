@@ -549,6 +549,45 @@ def test_nearest_to_lines_keeps_ties(spark):
         spatial.nearest_to_lines(lines, sites.filter("1 = 0"))
 
 
+def boxes(rnd, n, spread, large):
+    out = []
+    for k in range(n):
+        dense = k % 2
+        x, y = (rnd.random() * 3 + 50, rnd.random() * 3 + 50) if dense else (rnd.random() * spread - spread / 2, rnd.random() * spread - spread / 2)
+        w, h = (rnd.random() * large, rnd.random() * large)
+        out.append((k, x, y, x + w, y + h))
+    return out
+
+
+def boxed(spark, rows):
+    df = spark.createDataFrame(rows, "id long, west double, south double, east double, north double")
+    return df.select("id", F.struct("west", "south", "east", "north").alias("box"))
+
+
+@pytest.mark.parametrize("large, most", [(0.2, 40), (200.0, 60), (3.0, 10**6)])
+def test_box_pairs_of_a_dense_cell(spark, large, most):
+    """Half of all rows in one cell: small boxes part in the tree, large ones are dealt out; each pair comes once."""
+    rnd = random.Random(int(large))
+    a, b = boxes(rnd, 220, 800, large), boxes(rnd, 180, 800, large)
+    index = spatial.BoxIndex(boxed(spark, a), boxed(spark, b), 100.0, most)
+    assert bool(index.splits) == (most < 10**6) and ((index.deals is not None and not index.deals.isEmpty()) == (large == 200.0))
+    got = [(r.l.id, r.r.id) for r in spatial.box_pairs(boxed(spark, a), boxed(spark, b), 100.0, most).collect()]
+    want = [(x[0], y[0]) for x in a for y in b if x[1] <= y[3] and x[3] >= y[1] and x[2] <= y[4] and x[4] >= y[2]]
+    assert sorted(got) == sorted(want)
+
+
+def test_leaves_of_a_skewed_table_are_even(spark):
+    rnd = random.Random(2)
+    a, b = boxes(rnd, 3000, 4000, 0.01), boxes(rnd, 3000, 4000, 0.01)
+    index = spatial.BoxIndex(boxed(spark, a), boxed(spark, b), 100.0, 100)
+    key = ["lv", "cx", "cy", "i", "j"]
+    sizes = index.place(boxed(spark, a), 0).groupBy(*key).count().toPandas()["count"]
+    assert sizes.max() <= 100 and sizes.sum() < 3000 * 1.3
+    # Dealt by leaf over 8 tasks, the largest holds no more than three times the median.
+    tasks = index.place(boxed(spark, a), 0).unionByName(index.place(boxed(spark, b), 1)).repartition(8, *key).groupBy(F.spark_partition_id().alias("t")).count().toPandas()["count"]
+    assert tasks.max() <= 3 * tasks.median()
+
+
 def test_quantiles_of_few_values_move_few_rows(spark):
     """Equal values are counted first: ties by the thousand are four rows, and the quantiles stay exact."""
     from pedshade.operators.ranks import quantiles
