@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pedshade.config import DEFAULT, SAMPLER_EARTH_RADIUS_M, SCENARIOS, SHADE_COLUMNS, SNAP_EARTH_RADIUS_M
-from pedshade.functions import compare, exposure, geo, solar
+from pedshade.functions import compare, exposure, extensions, geo, solar
 from pedshade.operators import components, cover, evaluation, intervals, ranks, repair, routes, rules, spatial
 from pedshade.operators.routing import relaxed_tree, shortest_paths
 from pedshade.plans.fixtures import load, with_views
@@ -202,6 +202,16 @@ def edge_costs(s, d):
     return edges_of(s, d).select("edge_id", *[r6(exposure.edge_cost(m, NOON), 10).alias(m) for m in ("fastest", "balanced", "coolest")])
 
 
+@query(with_views("road_edges") + f", c AS ({_COSTS}) SELECT edge_id, round(balanced, 6) AS balanced, round(coolest, 6) AS coolest FROM c")
+def edge_costs_by_function(s, d):
+    """The same costs from a function of the user's over arrays of values."""
+    def cost(lam):
+        return lambda length, green, water, shade: length * (1 + lam * (0.75 * (0.7 * (1 - green) + 0.3 * water) + 0.25 * (1 - shade)))
+
+    columns = ("length", "green_score", "water_penalty", "shade_1200")
+    return edges_of(s, d).select("edge_id", *[r6(extensions.cost_function(cost(lam), *columns)).alias(m) for m, lam in (("balanced", 1.0), ("coolest", 3.0))])
+
+
 @query(with_views("road_edges") + f", c AS ({_COSTS}) SELECT edge_id, round(balanced, 10) AS balanced, round(coolest, 10) AS coolest FROM c")
 def edge_costs_unchecked(s, d):
     return edges_of(s, d).select("edge_id", *[r6(exposure.edge_cost(m, NOON, strict=False), 10).alias(m) for m in ("balanced", "coolest")])
@@ -862,6 +872,21 @@ def line_polygon_intervals(s, d):
     return out.select("edge_id", "poly_id", r6(F.col("s"), 8).alias("s"), r6(F.col("e"), 8).alias("e"))
 
 
+@query(with_views("road_nodes", "road_edges", "stations") + _ENDS + _BLOCKS + """,
+h AS (SELECT edge_id, poly_id, abs(CASE WHEN blon > alon THEN greatest(w, alon) ELSE least(e, alon) END - alon) AS s, abs(CASE WHEN blon > alon THEN least(e, blon) ELSE greatest(w, blon) END - alon) AS e
+  FROM ends JOIN b ON abs(alat - blat) < 1e-9 AND alat > s AND alat < n AND least(alon, blon) < e AND greatest(alon, blon) > w),
+v AS (SELECT edge_id, poly_id, abs(CASE WHEN blat > alat THEN greatest(b.s, alat) ELSE least(b.n, alat) END - alat) AS s, abs(CASE WHEN blat > alat THEN least(b.n, blat) ELSE greatest(b.s, blat) END - alat) AS e
+  FROM ends JOIN b ON abs(alon - blon) < 1e-9 AND alon > b.w AND alon < b.e AND least(alat, blat) < b.n AND greatest(alat, blat) > b.s)
+SELECT edge_id, poly_id, round(s, 8) AS s, round(e, 8) AS e FROM (SELECT * FROM h UNION ALL SELECT * FROM v)""")
+def interval_table_function(s, d):
+    """The same intervals by the table function in a lateral join, over the pairs whose boxes meet."""
+    extensions.register(s)
+    lines = _degree_lines(s, d).select("edge_id", "line", spatial.line_box(F.col("line")).alias("box"))
+    blocks = _blocks(s, d).select("poly_id", "rings", cover.rings_box(F.col("rings")).alias("box"))
+    pairs = spatial.box_pairs(lines, blocks, 0.001).select("l.edge_id", "l.line", "r.poly_id", "r.rings")
+    return s.sql("SELECT edge_id, poly_id, round(i.s, 8) AS s, round(i.e, 8) AS e FROM {pairs}, LATERAL line_intervals(line, rings) i", pairs=pairs)
+
+
 @query(with_views("stations") + _BLOCKS + """, c AS (SELECT *, unnest(generate_series(CAST(floor(w / 0.001e0) AS BIGINT), CAST(floor(e / 0.001e0) AS BIGINT))) AS cx FROM b),
 f AS (SELECT *, unnest(generate_series(CAST(floor(s / 0.001e0) AS BIGINT), CAST(floor(n / 0.001e0) AS BIGINT))) AS cy FROM c)
 SELECT poly_id, cx, cy, round((least(e, (cx + 1) * 0.001e0) - greatest(w, cx * 0.001e0)) * (least(n, (cy + 1) * 0.001e0) - greatest(s, cy * 0.001e0)) * 1e6, 4) AS area FROM f""")

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -144,3 +145,29 @@ def test_normalizer_and_ramp(spark):
         column(spark, [float("inf")], compare.normalized)
     assert column(spark, [-1.0, 0.35, 0.7, 0.85, 2.0], lambda x: compare.ramp(x, [(0, 0), (0.7, 1), (1, 3)])) == pytest.approx([0, 0.5, 1, 2, 3])
     assert one(spark, u=compare.asset_url(F.lit("/base//"), F.lit("/data/x.json"))).u == "/base/data/x.json"
+
+
+def test_costs_and_intervals_of_users(spark):
+    from pedshade.functions import extensions
+    from pedshade.operators import routing
+
+    edges = spark.createDataFrame([("a", 1, 2, 1.0, 9.0), ("b", 1, 2, 2.0, 1.0), ("c", 2, 3, 1.0, None)], "edge_id string, source long, target long, length double, heat double")
+    od = spark.createDataFrame([(1, 1, 2)], "od_id long, source long, target long")
+    warm = lambda length, heat: length + np.nan_to_num(heat)
+    costs = {"short": F.col("length"), "cool": extensions.cost_function(warm, "length", "heat")}
+    for cap in (10**6, 0):
+        got = {r["mode"]: (r.edge_ids, r.total_cost) for r in routing.shortest_paths(od, edges, costs, cap).collect()}
+        assert got == {"short": (["a"], 1.0), "cool": (["b"], 3.0)}
+    with pytest.raises(ValueError, match="negative"):
+        routing.shortest_paths(od, edges, {"m": extensions.cost_function(lambda x: -x, "length")})
+    with pytest.raises(Exception, match="shape"):
+        edges.select(extensions.cost_function(lambda x: x[:0], "length")).collect()
+
+    extensions.register(spark)
+    square = "array(array(named_struct('x', 1d, 'y', -1d), named_struct('x', 3d, 'y', -1d), named_struct('x', 3d, 'y', 1d), named_struct('x', 1d, 'y', 1d)))"
+    line = "array(named_struct('x', 0d, 'y', 0d), named_struct('x', 9d, 'y', 0d))"
+    assert [tuple(r) for r in spark.sql(f"SELECT i.* FROM VALUES (1), (2) t(k), LATERAL line_intervals({line}, {square}) i").collect()] == [(1.0, 3.0)] * 2
+    null = "cast(null as array<struct<x: double, y: double>>)"
+    assert spark.sql(f"SELECT i.* FROM VALUES (1) t(k), LATERAL line_intervals({null}, {square}) i").count() == 0
+    with pytest.raises(Exception, match="rings must hold"):
+        spark.sql(f"SELECT * FROM line_intervals({line}, {line})").collect()
