@@ -12,9 +12,10 @@ all but the earliest are removed.
 Contexts of a gram that has more than ``PIECE`` of them are cut into bands of
 ``BAND`` places of the gram within the window.  All windows of a band hold the
 same 85 bytes around the gram, their core, and go to shards by its hash.  A
-core that is still shared by more than ``PIECE`` is dealt over several shards;
-the windows that come out earliest there are compared across those shards by
-two 64-bit hashes of their bytes, so that no match is lost.
+core that is still shared by more than ``PIECE`` is dealt over several shards,
+before its rows move where it holds over a thousandth of them; the windows that
+come out earliest there are compared across those shards by two 64-bit hashes
+of their bytes, so that no match is lost.
 
 Texts are shuffled once, by document, for both the contexts' bytes and the
 final digests.
@@ -23,6 +24,7 @@ final digests.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -264,6 +266,19 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(arrays, names=["unit", "key", "a", "text"])
 
 
+def _count_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows :func:`_cut_out` makes of each core."""
+    h = xxhash.xxh3_64_intdigest
+    for rows, values in in_blocks(batches, "text"):
+        held: Counter[int] = Counter()
+        for contexts, v in zip(rows.column(1).to_pylist(), values, strict=True):
+            for c in contexts:
+                if c["hot"] and v is not None and c["b"] + WINDOW <= len(v):
+                    held.update(h(v[s:e], n) - (1 << 63) for n, _, _, s, e in bands(c["a"], c["b"], c["a"] + c["p"]))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["unit", "n"])
+
+
 def window_hashes(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of the windows at the given places; ``text`` needs 8 spare bytes."""
     loads = load64(text)
@@ -327,15 +342,16 @@ def _sort_shards(parts: Iterator[pd.DataFrame], piece: int) -> Iterator[pd.DataF
         # Units in stretches of about a shard each; a unit is never cut here.
         size = np.cumsum([len(x) for x in pdf.text])
         cut = bounds(pdf.unit.values)
-        # A unit of one context has nothing to compare.
+        # A unit of one context has nothing to compare, but a part of a dealt one may have elsewhere.
         lo = 0
         for hi in cut[1:].tolist():
             if hi == len(pdf) or size[hi - 1] - (size[lo - 1] if lo else 0) >= SHARD_BYTES:
                 part = pdf.iloc[lo:hi]
-                if not hot:
-                    part = part[part.duplicated("unit", keep=False)]
-                if len(part):
-                    yield _sort_shard(part, hot)
+                dealt = part.dealt.values | hot
+                whole = part[~dealt]
+                for some, split in ((whole[whole.duplicated("unit", keep=False)], False), (part[dealt], True)):
+                    if len(some):
+                        yield _sort_shard(some, split)
                 lo = hi
 
 
@@ -381,8 +397,8 @@ def placed(docs: DataFrame) -> DataFrame:
     return rows.join(order.select("key", "same", "_rank"), ["key", "same"]).select("doc_id", F.col("_rank").alias("key"), "text")
 
 
-def removed_spans(docs: DataFrame, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
-    """``(texts, spans)``: texts (doc_id, key, text) dealt by key, and spans (key, a, b) to remove, which may overlap."""
+def cut_contexts(docs: DataFrame, piece: int = PIECE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(texts, sifted, contexts)``: texts (doc_id, key, text) dealt by key, what :func:`_sift` found, and the contexts' bytes by unit."""
     spark = docs.sparkSession
     rows = placed(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -399,11 +415,28 @@ def removed_spans(docs: DataFrame, piece: int = PIECE) -> tuple[DataFrame, DataF
     wanted = (
         sifted.filter("kind = 0").groupBy("key").agg(F.collect_list(F.struct("unit", "hot", "a", "b", "p")).alias("contexts")).hint("shuffle_hash")
     )
+    held = texts.join(wanted, "key").select("key", "contexts", "text", "doc_id")  # doc_id only so that all uses of the texts share one shuffle
+    # Rows of hot grams' bands, the ones that cores can gather; from the contexts alone.
+    of_bands = F.sum(F.floor(F.col("p") / BAND) - F.floor((F.col("p") + F.col("a") - F.col("b")) / BAND) + 1)
+    banded = sifted.filter("kind = 0 and hot").agg(F.coalesce(of_bands, F.lit(0))).first()[0]
+    rows_out = held.mapInArrow(_cut_out, "unit long, key long, a long, text binary")
+    if banded > piece:
+        counts = held.filter(F.exists("contexts", lambda c: c["hot"])).mapInArrow(_count_cores, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+        # Over a thousandth of the rows each, so at most a thousand cores.
+        hot = counts.filter((F.col("n") > piece) & (F.col("n") * 1000 > banded)).select("unit", F.ceil(F.col("n") / piece).alias("parts"))
+        dealt = rows_out.join(F.broadcast(hot), "unit", "left")
+        own = F.xxhash64("unit", F.pmod(F.xxhash64("key", "a"), F.col("parts")))
+        rows_out = dealt.select(F.when(F.col("parts").isNull(), F.col("unit")).otherwise(own).alias("unit"), "key", "a", "text", F.col("parts").isNotNull().alias("dealt"))
+    else:
+        rows_out = rows_out.withColumn("dealt", F.lit(False))
+    return texts, sifted, rows_out
+
+
+def removed_spans(docs: DataFrame, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
+    """``(texts, spans)``: texts (doc_id, key, text) dealt by key, and spans (key, a, b) to remove, which may overlap."""
+    texts, sifted, contexts = cut_contexts(docs, piece)
     shards = (
-        texts.join(wanted, "key")
-        .select("key", "contexts", "text", "doc_id")  # doc_id only so that both uses of the texts share one shuffle
-        .mapInArrow(_cut_out, "unit long, key long, a long, text binary")
-        .repartition("unit")
+        contexts.repartition("unit")
         .sortWithinPartitions("unit")
         .mapInPandas(lambda parts: _sort_shards(parts, piece), "kind byte, h1 long, h2 long, key long, a long, b long")
     )
@@ -419,9 +452,10 @@ def dedup_substrings(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     Needs columns doc_id and text; others are ignored.  A byte goes if a
     100-byte string over it also starts earlier, in a document with a smaller
     doc_id or before in the same one.  Null text counts as empty; a null doc_id
-    comes first.  Rows that share a doc_id are one place in that order: equal
-    texts there don't remove each other, and what is removed from one row is
-    removed from the same bytes of the others.  Every row comes out; an empty
+    comes first.  Rows of one doc_id and text are one place in that order: they
+    don't remove each other, and what is removed from one is removed from the
+    same bytes of the others.  Different texts of one doc_id, or of none, go by
+    their hashes and do remove from each other.  Every row comes out; an empty
     table gives an empty one.
     """
     texts, spans = removed_spans(docs, piece)

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pedshade.llm import linededup, simhash, substrings, suffix
 
@@ -170,6 +171,31 @@ def test_substrings_match_brute_force(docs, rows, piece):
     assert got == brute_removed([(r[0], r[1]) for r in rows])
 
 
+def test_substrings_of_a_hot_core_are_dealt_out(spark):
+    """One string of 104 bytes in ever more surroundings: units stay as small, and the result is the brute-force one."""
+    rnd = random.Random(6)
+    say = lambda k: "".join(rnd.choice("abcdefghij") for _ in range(k))
+    core = say(104)
+    rows = [(i, say(60) + core + say(60)) for i in range(6000)]
+    for n in (1500, 6000):
+        df = spark.createDataFrame(rows[:n], "doc_id long, text string").repartition(6)
+        units = substrings.cut_contexts(df, 200)[2].groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.max("dealt").alias("dealt"))
+        most = units.agg(F.max("n"), F.count_if("dealt")).first()
+        assert most[0] < 400 and most[1] >= n // 200
+        got = {r.doc_id: (r.n_removed, r.n_spans) for r in substrings.dedup_substrings(df, 200).collect()}
+        # An earlier text's core goes on to the left and right as far as its bytes there are the same.
+        before, behind = set(), set()
+        for i, text in rows[:n]:
+            left, right = text[:60][::-1], text[-60:]
+            more = sum(max(k for k in range(61) if k == 0 or side[:k] in seen) for side, seen in ((left, before), (right, behind)))
+            assert got[i] == ((104 + more, 1) if i else (0, 0))
+            before |= {left[:k] for k in range(1, 61)}
+            behind |= {right[:k] for k in range(1, 61)}
+    few = rows[:400]
+    df = spark.createDataFrame(few, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r) for r in substrings.dedup_substrings(df, 30).collect()) == brute_removed(few)
+
+
 def test_substrings_periodic_and_exact_lengths(spark):
     rnd = random.Random(5)
     s = "".join(rnd.choice("abcdef é") for _ in range(400))
