@@ -14,6 +14,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
+from pedshade.config import SCENARIOS
 from pedshade.functions import compare, geo
 from pedshade.operators import components, evaluation, polygons, repair, routes, rules, spatial
 from pedshade.pipelines import Runner
@@ -390,6 +391,29 @@ def tile_layer_files(s, d):
     return read.select("path", "content").mapInPandas(decoded, "layer string, z int, x long, y long, n_lines long")
 
 
+# -- streams ----------------------------------------------------------------------------------------
+
+@query("""WITH e AS (SELECT user_id AS session_id, event_id, ts, event_type, ['09:00', '12:00', '15:00'][event_id % 3 + 1] AS scenario FROM events WHERE event_type IN ('click', 'view')),
+k AS (SELECT session_id, arg_max(event_id, struct_pack(ts := ts, e := event_id)) FILTER (event_type = 'click') AS click, arg_max(scenario, struct_pack(ts := ts, e := event_id)) FILTER (event_type = 'view') AS scenario FROM e GROUP BY 1)
+SELECT session_id, concat('from ', click) AS start, concat('to ', click % 7) AS destination, scenario FROM k WHERE click IS NOT NULL AND scenario IS NOT NULL""")
+def streamed_recalculations(s, d):
+    """Clicks select, views choose a scenario: the last request of each session, from a stream of all events in several batches."""
+    e = load(s, d, "events").filter("event_type in ('click', 'view')")
+    k, view = F.col("event_id"), F.col("event_type") == "view"
+    scenario = F.when(view, F.element_at(F.array(*map(F.lit, SCENARIOS)), (k % 3 + 1).cast("int")))
+    changes = e.select(
+        F.col("user_id").cast("long").alias("session_id"), k.cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.when(~view, F.concat(F.lit("from "), k)).alias("start"), F.when(~view, F.concat(F.lit("to "), k % 7)).alias("destination"), scenario.alias("scenario"),
+    )
+    base = _folder(s, "changes")
+    changes.repartition(8).write.parquet(f"{base}/in")
+    stream = s.readStream.schema(state.CHANGES).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    out = state.stream_recalculations(stream).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out/batch={n}"))
+    out.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    asked = s.read.parquet(f"{base}/out")
+    return asked.groupBy("session_id").agg(F.max_by(F.struct("start", "destination", "scenario"), F.struct("asked", "batch")).alias("r")).select("session_id", "r.*")
+
+
 # -- contracts --------------------------------------------------------------------------------------
 
 @query(with_views("road_nodes", "road_edges") + _SPLIT + """, k AS (SELECT component, count(*) AS n FROM comp GROUP BY 1), top AS (SELECT component FROM k ORDER BY n DESC, component LIMIT 1)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pedshade.config import MODES
 
@@ -115,6 +116,97 @@ def recalculate(selections: DataFrame, scenarios: DataFrame) -> DataFrame:
     return selections.filter("start is not null and destination is not null").join(scenarios, "session_id")
 
 
+#: A selection or a scenario of a session; the fields of the other kind are null.
+CHANGES = "session_id long, event_id long, ts timestamp, start string, destination string, scenario string"
+_HELD = "start string, destination string, picked long, picked_id long, scenario string, chosen long, chosen_id long"
+_REQUEST = "session_id long, start string, destination string, scenario string, asked long"
+
+
+def _changed(held: dict, row: dict) -> dict:
+    """What a session holds after a change; one that is older than what is held is stale and changes nothing."""
+    at = (int(row["at"]), int(row["event_id"]))
+    if row["scenario"] is None:
+        if held["picked"] is None or at > (held["picked"], held["picked_id"]):
+            return held | {"start": row["start"], "destination": row["destination"], "picked": at[0], "picked_id": at[1]}
+    elif held["chosen"] is None or at > (held["chosen"], held["chosen_id"]):
+        return held | {"scenario": row["scenario"], "chosen": at[0], "chosen_id": at[1]}
+    return held
+
+
+def _request(held: dict) -> tuple | None:
+    """What to route: ends, scenario, and when the newer of both came."""
+    if held["start"] is None or held["destination"] is None or held["scenario"] is None:
+        return None
+    return held["start"], held["destination"], held["scenario"], max(held["picked"], held["chosen"])
+
+
+class ScenarioChanges(StatefulProcessor):
+    """Joins a session's selection with its newest scenario, whichever comes last; what idles is forgotten."""
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", _HELD)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _HELD.split(", ")]
+        before = dict(zip(names, self.held.get(), strict=True)) if self.held.exists() else dict.fromkeys(names)
+        held = before
+        for pdf in rows:
+            for row in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+                held = _changed(held, row)
+        if held == before:
+            return
+        self.held.update(tuple(held[n] for n in names))
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max(held["picked"] or 0, held["chosen"] or 0) // 1000 + self.idle_ms)
+        asked = _request(held)
+        if asked and asked != _request(before):
+            yield pd.DataFrame([(key[0], *asked)], columns=[c.split()[0] for c in _REQUEST.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_recalculations(changes: DataFrame, idle: str | None = None) -> DataFrame:
+    """``(session_id, start, destination, scenario, asked)``: what to route again as selections and scenarios (``CHANGES``) change.
+
+    A micro-batch gives each session's newest request only, and none where it
+    stays the same; ``asked`` is when its newer part came, in microseconds.
+    Changes may come in any order.  A session without a change for ``idle`` of
+    event time ("10 minutes") is forgotten, so that a later scenario routes
+    nothing.  Needs the RocksDB state store, which this sets for the session.
+    """
+    spark = changes.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = changes if idle is None else changes.withWatermark("ts", "0 seconds")
+    ms = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
+    rows = rows.withColumn("at", F.unix_micros("ts"))
+    return rows.groupBy("session_id").transformWithStateInPandas(ScenarioChanges(ms), _REQUEST, "Update", "None" if idle is None else "EventTime")
+
+
+def recalculations(changes: DataFrame) -> DataFrame:
+    """Each session's last request of a batch of ``CHANGES``; what the stream has given last, if nothing was forgotten."""
+    at = F.struct("ts", "event_id")
+    last = lambda of, kind: F.max_by(F.when(kind, of), F.when(kind, at))
+    scenario = F.col("scenario").isNotNull()
+    ends = F.struct("start", "destination")
+    held = changes.groupBy("session_id").agg(
+        last(ends, ~scenario).alias("ends"), last(F.col("scenario"), scenario).alias("scenario"),
+        F.greatest(F.max(F.when(scenario, F.unix_micros("ts"))), F.max(F.when(~scenario, F.unix_micros("ts")))).alias("asked"),
+    )
+    held = held.select("session_id", "ends.start", "ends.destination", "scenario", "asked")
+    return held.filter("start is not null and destination is not null and scenario is not null")
+
+
 def pending_units(units: DataFrame, progress: DataFrame, shards: DataFrame) -> DataFrame:
     """``(unit_id, status)`` still to do: a unit is done only with a completed record and its shard."""
     done = progress.filter("status = 'completed'").select("unit_id").join(shards.select("unit_id").distinct(), "unit_id", "left_semi")

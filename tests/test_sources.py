@@ -6,6 +6,7 @@ import json
 import os
 import random
 import zipfile
+from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
@@ -399,6 +400,52 @@ def test_batch_fold_equals_stream(spark, tmp_path):
     assert {k: tuple(v) for k, v in got.items()} == {k: tuple(v) for k, v in batch.items()}
 
 
+def run_stream(df, out, checkpoint):
+    """Runs to the end of what is there now and returns what came out."""
+    df.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("append").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination(180)
+    return df.sparkSession.read.schema(state._REQUEST).parquet(out).collect()
+
+
+def test_recalculations_over_a_restarted_stream(spark, tmp_path):
+    rnd = random.Random(12)
+    stamp = lambda k: datetime(2026, 1, 1) + timedelta(seconds=k)
+    rows = []
+    for k in range(120):
+        pick = rnd.random() < 0.5
+        rows.append((rnd.randrange(9), k, stamp(k // 2), f"s{k}" if pick and k % 10 else None, f"d{k}" if pick else None, None if pick else rnd.choice(["09:00", "12:00", "15:00"])))
+    batch = sorted(tuple(r) for r in state.recalculations(spark.createDataFrame(rows, state.CHANGES)).collect())
+    rnd.shuffle(rows)
+    os.makedirs(f"{tmp_path}/in")
+    stream = state.stream_recalculations(spark.readStream.schema(state.CHANGES).parquet(f"{tmp_path}/in"))
+    for part in (rows[:50], rows[50:51], rows[51:]):  # the query starts anew for each, from its checkpoint
+        spark.createDataFrame(part, state.CHANGES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = run_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
+    # Late changes give nothing newer than what is held, so the last request is the one with the latest part.
+    last = {}
+    for r in got:
+        last[r.session_id] = max(last.get(r.session_id, r), r, key=lambda x: x.asked)
+    assert {b[0] for b in batch} == {i for i in last if any(b[0] == i for b in batch)}
+    assert [tuple(last[b[0]])[3:] for b in batch] == [b[3:] for b in batch]
+    assert sorted(tuple(r) for r in got)[-1][0] in range(9) and len(got) >= len(batch)
+
+
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    stamp = lambda m: datetime(2026, 1, 1) + timedelta(minutes=m)
+    os.makedirs(f"{tmp_path}/in")
+    stream = state.stream_recalculations(spark.readStream.schema(state.CHANGES).parquet(f"{tmp_path}/in"), "10 minutes")
+    steps = [
+        [(1, 1, stamp(0), "a", "b", None), (2, 2, stamp(0), "c", "d", None)],
+        [(1, 3, stamp(5), None, None, "09:00")],
+        [(9, 4, stamp(14), "e", "f", None)],  # time passes: session 2 was last heard 14 minutes ago, session 1 nine
+        [(9, 5, stamp(14), "e", "g", None)],
+        [(1, 6, stamp(14.5), None, None, "12:00"), (2, 7, stamp(14.5), None, None, "12:00")],
+    ]
+    for part in steps:
+        spark.createDataFrame(part, state.CHANGES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = run_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert sorted(tuple(r)[:4] for r in got) == [(1, "a", "b", "09:00"), (1, "a", "b", "12:00")]
+
+
 def test_pending_units(spark):
     u = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "unit_id string")
     p = spark.createDataFrame([("a", "completed"), ("b", "completed"), ("c", "failed")], "unit_id string, status string")
