@@ -729,16 +729,39 @@ def od_attempts(s, d):
     return a.select("attempt", "source", "target", r6(F.col("straight_m"), 4).alias("straight_m"), evaluation.first_reason().alias("reason"))
 
 
+# Draws double in number with every step of l; 3,000 attempts fill the strata of a network of 2,000 nodes, smaller ones need more.
+_SAMPLE = with_views("road_nodes", "road_edges") + f""", l(k, n, state, a, c) AS (SELECT 0, 1::BIGINT, (1664525 * 20260821::HUGEINT + 1013904223) % 4294967296, 1664525::HUGEINT, 1013904223::HUGEINT
+ UNION ALL SELECT k + 1, n + u * (1::BIGINT << k), CASE WHEN u = 0 THEN state ELSE (a * state + c) % 4294967296 END, a * a % 4294967296, (a * c + c) % 4294967296 FROM l CROSS JOIN (VALUES (0), (1)) t(u) WHERE k < 18),
+o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY CAST(node_id AS VARCHAR)) - 1 AS k, * FROM road_nodes),
+dr AS MATERIALIZED (SELECT n, CAST(floor(state / 4294967296e0 * (SELECT count(*) FROM o)) AS BIGINT) AS k FROM l WHERE k = 18 AND n <= 2 * (SELECT CASE WHEN count(*) <= 500 THEN 100000 ELSE 3000 END FROM o)),
+p AS (SELECT (x.n + 1) // 2 AS attempt, a.node_id AS source, b.node_id AS target, a.lon AS alon, a.lat AS alat, b.lon AS blon, b.lat AS blat
+ FROM dr x JOIN dr y ON x.n % 2 = 1 AND y.n = x.n + 1 JOIN o a ON a.k = x.k JOIN o b ON b.k = y.k),
+m0 AS (SELECT attempt, source, target, {equirect_sql('a', 'b')} AS straight_m FROM p),
+m AS MATERIALIZED (SELECT *, CASE WHEN source = target THEN 'same_node' WHEN straight_m < 350 OR straight_m > 1800 THEN 'straight_distance' END AS early FROM m0),
+es AS MATERIALIZED (SELECT source, target, min(length) AS cost FROM road_edges GROUP BY 1, 2), start AS MATERIALIZED (SELECT DISTINCT source FROM m WHERE early IS NULL),
+r(src, n, cost) USING KEY (src, n) AS (SELECT source, source, 0e0 FROM start UNION
+  SELECT r.src, e.target, min(r.cost + e.cost) FROM r JOIN es e ON e.source = r.n LEFT JOIN recurring.r AS q ON q.src = r.src AND q.n = e.target
+  WHERE q.cost IS NULL OR r.cost + e.cost < q.cost GROUP BY r.src, e.target),
+f0 AS (SELECT m.*, CASE WHEN early IS NULL THEN r.cost END AS fastest_m FROM m LEFT JOIN r ON r.src = m.source AND r.n = m.target),
+f1 AS (SELECT *, CASE WHEN fastest_m >= 400 AND fastest_m < 1000 THEN 'short' WHEN fastest_m >= 1000 AND fastest_m < 2000 THEN 'medium' WHEN fastest_m >= 2000 AND fastest_m <= 3500 THEN 'long' END AS stratum FROM f0),
+f2 AS (SELECT *, coalesce(early, CASE WHEN fastest_m IS NULL THEN 'route_failed' WHEN stratum IS NULL THEN 'fastest_distance' WHEN fastest_m / straight_m > 3 THEN 'ratio' END) AS late FROM f1),
+f3 AS (SELECT *, late IS NULL AND row_number() OVER (PARTITION BY source, target, late IS NULL ORDER BY attempt) > 1 AS again FROM f2),
+f4 AS MATERIALIZED (SELECT *, CASE WHEN late IS NULL AND NOT again THEN row_number() OVER (PARTITION BY stratum, late IS NULL AND NOT again ORDER BY attempt) END AS place FROM f3),
+taken AS MATERIALIZED (SELECT DISTINCT source, target FROM f4 WHERE place <= 30),
+sample AS (SELECT f4.*, CASE WHEN place <= 30 THEN NULL WHEN late IS NOT NULL THEN late WHEN again AND t.source IS NOT NULL THEN 'duplicate_pair' ELSE 'stratum_full' END AS reason
+ FROM f4 LEFT JOIN taken t ON t.source = f4.source AND t.target = f4.target WHERE attempt <= (SELECT max(attempt) FROM f4 WHERE place <= 30))"""
+
+
 def _sample(s, d):
     return evaluation.sample_pairs(nodes_of(s, d), edges_of(s, d))
 
 
-@query()
+@query(_SAMPLE + " SELECT CAST(attempt AS BIGINT) AS attempt, source, target, stratum, round(fastest_m, 6) AS fastest_m FROM sample WHERE reason IS NULL")
 def od_sample(s, d):
     return _sample(s, d).filter("reason is null").select("attempt", "source", "target", "stratum", r6(F.col("fastest_m")).alias("fastest_m"))
 
 
-@query()
+@query(_SAMPLE + f" SELECT reason, count(sample.reason) AS n FROM (SELECT unnest({list(evaluation.REASONS)!r}) AS reason) LEFT JOIN sample USING (reason) GROUP BY reason")
 def rejection_counts(s, d):
     return evaluation.rejection_counts(_sample(s, d))
 
