@@ -25,7 +25,7 @@ from pedshade.plans.queries import (
 )
 from pedshade.runtime import Scratch
 from pedshade.sources import archives, binary_graph, citygml, graph_json, layers, publish
-from pedshade.sources.files import write_files
+from pedshade.sources.files import listed, write_files
 from pedshade.streaming import state
 
 NODES_A_UNIT, STATIONS_A_UNIT = 512, 64
@@ -293,9 +293,20 @@ def shard_scan(s, d):
     return rows.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
-@query("SELECT unnest(['roads', 'roads', 'greenery', 'stations', 'stations', 'buildings', 'buildings', 'boundaries', 'tiles']) AS source, unnest(['.json', '.graphml', '.parquet', '.csv', '.geojson', '.gml', '.zip', '.json', '.pbf']) AS suffix")
+@query(f"""WITH u AS (SELECT DISTINCT source // {NODES_A_UNIT} AS unit FROM ({with_views("road_edges")} SELECT source FROM road_edges)),
+t AS (SELECT DISTINCT station_id // {STATIONS_A_UNIT} AS unit FROM ({with_views("stations")} SELECT station_id FROM stations)),
+r(source, suffix) AS (VALUES ('roads', '.json'), ('roads', '.graphml'), ('greenery', '.parquet'), ('stations', '.csv'), ('stations', '.geojson'), ('buildings', '.gml'), ('buildings', '.zip'), ('boundaries', '.json'), ('tiles', '.pbf'))
+SELECT source, suffix, CASE WHEN source = 'roads' AND suffix = '.graphml' THEN (SELECT count(*) FROM u) WHEN source = 'stations' AND suffix = '.csv' THEN (SELECT count(*) FROM t) ELSE 0 END AS n_files FROM r""")
 def source_registry(s, d):
-    return archives.registry(s).select("source", F.explode("suffixes").alias("suffix"))
+    """The kinds of sources, with how many files of each are staged: a folder of road files, one of station files."""
+    base = _folder(s, "staged")
+    roads = edges_of(s, d).groupBy(_unit()).agg(F.encode(F.concat_ws(",", F.array_sort(F.collect_list("edge_id"))), "UTF-8").alias("content"))
+    stations = load(s, d, "stations").groupBy(_station_unit()).agg(F.encode(F.concat_ws(",", F.array_sort(F.collect_list("name"))), "UTF-8").alias("content"))
+    named = [df.select(F.concat(F.lit(f"{kind}/"), "unit", F.lit(suffix)).alias("path"), "content") for df, kind, suffix in ((roads, "roads", ".graphml"), (stations, "stations", ".csv"))]
+    write_files(named[0].unionByName(named[1]), base)
+    found = listed(s, base).select(F.element_at(F.split("path", "/"), -2).alias("source"), F.regexp_extract("path", r"(\.[a-z]+)$", 1).alias("suffix"))
+    kinds = archives.registry(s).select("source", F.explode("suffixes").alias("suffix"))
+    return kinds.join(found.groupBy("source", "suffix").agg(F.count(F.lit(1)).alias("n")), ["source", "suffix"], "left").select("source", "suffix", F.coalesce("n", F.lit(0)).alias("n_files"))
 
 
 # -- sinks -----------------------------------------------------------------------------------------
@@ -347,9 +358,8 @@ def replaced_shards(s, d):
  UNION ALL SELECT 6 + row_number() OVER (ORDER BY k) - 1, concat('| ', k, ' | ', n, ' |') FROM t) SELECT CAST(p AS BIGINT) AS line_no, line FROM l""")
 def markdown_report(s, d):
     """The lines of a report, empty ones left out."""
-    table = load(s, d, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n")).orderBy("n_regionkey")
-    lines = publish.markdown_report("Report", {"nations": table}).split("\n")
-    return s.createDataFrame([(i, x) for i, x in enumerate(lines) if x], "line_no long, line string")
+    table = load(s, d, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    return publish.report_lines("Report", {"nations": (table, ["n_regionkey"])}).filter("line <> ''")
 
 
 @query(with_views("road_nodes", "road_edges") + _ENDS + f""", z AS (SELECT unnest([10, 11, 12, 13]) AS z),

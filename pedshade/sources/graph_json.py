@@ -37,7 +37,7 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 #: Edges of the largest graph that is written as one document.
-MOST_EDGES = 500_000
+MOST_EDGES = 2_000_000
 
 
 def _no_nan(edges: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pedshade.functions.geo import tiles_of
@@ -377,3 +377,24 @@ def markdown_report(title: str, tables: dict[str, DataFrame], digits: int = 4, m
         out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
         out += ["| " + " | ".join(show(v) for v in r) + " |" for r in rows] + [""]
     return "\n".join(out)
+
+
+def report_lines(title: str, tables: dict[str, tuple[DataFrame, list[str]]], digits: int = 4, most: int = 200) -> DataFrame:
+    """``(line_no, line)``: the report of :func:`markdown_report` as a table; tables come with the columns they go by.
+
+    A table of more than ``most`` rows is an error once the report is read.
+    """
+    spark = next(iter(tables.values()))[0].sparkSession
+    fixed, lines = [(0, 0, f"# {title}"), (0, 1, "")], []
+    for part, (name, (df, order)) in enumerate(tables.items(), 1):
+        fixed += [(part, k, line) for k, line in enumerate((f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)))]
+        fixed.append((part, most + 10, ""))
+        number = lambda c, kind: F.format_string(f"%.{digits}f", c) if kind in ("double", "float") else c.cast("string")
+        cells = [F.coalesce(number(F.col(c), kind), F.lit("–")) for c, kind in df.dtypes]
+        rows = df.limit(most + 1).select(F.row_number().over(Window.orderBy(*order)).alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+        checked = F.when(F.col("n") > most, F.raise_error(F.lit(f"{name} is too long for a report")).cast("string")).otherwise(F.col("line"))
+        lines.append(rows.select(F.lit(part).alias("part"), (F.col("n") + 3).alias("nth"), checked.alias("line")))
+    out = spark.createDataFrame(fixed, "part int, nth int, line string")
+    for rows in lines:
+        out = out.unionByName(rows)
+    return out.select((F.row_number().over(Window.orderBy("part", "nth")) - 1).cast("long").alias("line_no"), "line")
