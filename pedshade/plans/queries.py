@@ -202,14 +202,14 @@ def edge_costs(s, d):
     return edges_of(s, d).select("edge_id", *[r6(exposure.edge_cost(m, NOON), 10).alias(m) for m in ("fastest", "balanced", "coolest")])
 
 
-@query(with_views("road_edges") + f", c AS ({_COSTS}) SELECT edge_id, round(balanced, 6) AS balanced, round(coolest, 6) AS coolest FROM c")
+@query(with_views("road_edges") + f", c AS ({_COSTS}) SELECT edge_id, round(balanced, 10) AS balanced, round(coolest, 10) AS coolest FROM c")
 def edge_costs_by_function(s, d):
     """The same costs from a function of the user's over arrays of values."""
     def cost(lam):
         return lambda length, green, water, shade: length * (1 + lam * (0.75 * (0.7 * (1 - green) + 0.3 * water) + 0.25 * (1 - shade)))
 
     columns = ("length", "green_score", "water_penalty", "shade_1200")
-    return edges_of(s, d).select("edge_id", *[r6(extensions.cost_function(cost(lam), *columns)).alias(m) for m, lam in (("balanced", 1.0), ("coolest", 3.0))])
+    return edges_of(s, d).select("edge_id", *[r6(extensions.cost_function(cost(lam), *columns), 10).alias(m) for m, lam in (("balanced", 1.0), ("coolest", 3.0))])
 
 
 @query(with_views("road_edges") + f", c AS ({_COSTS}) SELECT edge_id, round(balanced, 10) AS balanced, round(coolest, 10) AS coolest FROM c")

@@ -68,8 +68,8 @@ class Written(WriterCommitMessage):
 class _Writer(DataSourceArrowWriter):
     """Tasks write to folders of their own; the commit moves the files of the tasks that count."""
 
-    def __init__(self, base: str):
-        self.base = base
+    def __init__(self, base: str, marker: bool):
+        self.base, self.marker = base, marker
         self.staging = f"{base}/_staging-{uuid.uuid4().hex}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
@@ -104,6 +104,8 @@ class _Writer(DataSourceArrowWriter):
                     made.add(parent)
                 where.move(f"{store(m.folder)[1]}/{name}", f"{base}/{name}")
         self._clear()
+        if not self.marker:
+            return
         where.create_dir(base, recursive=True)
         with where.open_output_stream(f"{base}/_SUCCESS"):
             pass
@@ -123,7 +125,8 @@ class FileSink(DataSource):
     No file appears before every task is done: a task that fails leaves
     nothing, and of several attempts at one task only the last counts.  Files
     of the same names are replaced, others stay; ``_SUCCESS`` comes last, so
-    what a crash within the commit leaves is told by its absence.
+    what a crash within the commit leaves is told by its absence.  The option
+    ``marker`` set to false leaves it out.
     """
 
     @classmethod
@@ -133,11 +136,11 @@ class FileSink(DataSource):
     def writer(self, schema, overwrite: bool) -> _Writer:
         if {"path", "content"} - set(schema.names):
             raise ValueError("files need the columns path and content")
-        return _Writer(self.options["path"].rstrip("/"))
+        return _Writer(self.options["path"].rstrip("/"), self.options.get("marker", "true") == "true")
 
 
-def write_files(files: DataFrame, base: str) -> None:
+def write_files(files: DataFrame, base: str, marker: bool = True) -> None:
     """Writes a file for each row (path, content); see :class:`FileSink`."""
     spark = files.sparkSession
     spark.dataSource.register(FileSink)
-    files.select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content")).write.format("files").mode("append").save(base)
+    files.select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content")).write.format("files").option("marker", str(marker).lower()).mode("append").save(base)

@@ -266,8 +266,8 @@ def vector_tiles(features: DataFrame, properties: list[str], zooms: tuple[int, .
 
 
 def write_tiles(tiles: DataFrame, directory: str) -> None:
-    """One file ``z/x/y.pbf`` a tile; none before all are written."""
-    write_files(tiles.select(F.concat_ws("/", "z", "x", F.concat("y", F.lit(".pbf"))).alias("path"), F.col("tile").alias("content")), directory)
+    """One file ``z/x/y.pbf`` a tile and nothing else; none before all are written."""
+    write_files(tiles.select(F.concat_ws("/", "z", "x", F.concat("y", F.lit(".pbf"))).alias("path"), F.col("tile").alias("content")), directory, marker=False)
 
 
 def write_layers(layers: dict[str, tuple[DataFrame, list[str]]], directory: str, bounds: tuple[float, float, float, float], zooms: tuple[int, ...] = ZOOMS) -> None:
