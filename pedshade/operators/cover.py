@@ -26,8 +26,14 @@ def _ring(points) -> np.ndarray:
     return np.array([(p["x"], p["y"]) for p in points], float).reshape(-1, 2)
 
 
+def shipped(rings: Column) -> Column:
+    """A polygon on its way to a Python worker: pandas refuses arrays of arrays that differ in length, so rings go as structs."""
+    return F.transform(rings, lambda r: F.struct(r.alias("ring")))
+
+
 def _rings(polygon) -> list[np.ndarray]:
-    return [_ring(r) for r in polygon]
+    """Of a shipped polygon."""
+    return [_ring(r["ring"]) for r in polygon]
 
 
 def rings_box(rings: Column) -> Column:
@@ -53,7 +59,7 @@ def fragments(polygons: DataFrame, size: float = FRAGMENT_M) -> DataFrame:
                     rows.append((r.poly_id, r.cx, r.cy, area))
             yield frame(rows, ["poly_id", "cx", "cy", "area"])
 
-    placed = polygons.select("poly_id", "rings", F.inline(cells_of(rings_box(F.col("rings")), size)))
+    placed = polygons.select("poly_id", "rings", F.inline(cells_of(rings_box(F.col("rings")), size))).withColumn("rings", shipped(F.col("rings")))
     return placed.mapInPandas(cut, "poly_id long, cx long, cy long, area double")
 
 
@@ -66,14 +72,14 @@ def green_scores(lines: DataFrame, polygons: DataFrame, distance: float = GREEN_
     b = line_box(F.col("line"))
     wide = F.struct(*[(b[k] + F.lit(s * distance)).alias(k) for k, s in (("west", -1), ("south", -1), ("east", 1), ("north", 1))])
     left = lines.select("edge_id", "line", wide.alias("box"))
-    right = polygons.select("rings", rings_box(F.col("rings")).alias("box"))
-    near = box_pairs(left, right, cell).groupBy("l.edge_id").agg(F.first("l.line").alias("line"), F.collect_list("r.rings").alias("polygons"))
+    right = polygons.select(F.struct(shipped(F.col("rings")).alias("rings")).alias("polygon"), rings_box(F.col("rings")).alias("box"))
+    near = box_pairs(left, right, cell).groupBy("l.edge_id").agg(F.first("l.line").alias("line"), F.collect_list("r.polygon").alias("polygons"))
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = []
             for r in pdf.itertuples(index=False):
-                area, green = union_areas(buffer(_ring(r.line), distance), [_rings(p) for p in r.polygons])
+                area, green = union_areas(buffer(_ring(r.line), distance), [_rings(p["rings"]) for p in r.polygons])
                 rows.append((r.edge_id, min(1.0, max(0.0, green / area)) if area > 0 else 0.0))
             yield frame(rows, ["edge_id", "green_score"])
 
@@ -84,7 +90,7 @@ def green_scores(lines: DataFrame, polygons: DataFrame, distance: float = GREEN_
 def line_polygon_intervals(lines: DataFrame, polygons: DataFrame, keys: list[str], cell: float = FRAGMENT_M) -> DataFrame:
     """``(edge_id, *keys, s, e)``: where each line lies within each polygon, in distance from its start."""
     left = lines.select("edge_id", "line", line_box(F.col("line")).alias("box"))
-    right = polygons.select(*keys, "rings", rings_box(F.col("rings")).alias("box"))
+    right = polygons.select(*keys, shipped(F.col("rings")).alias("rings"), rings_box(F.col("rings")).alias("box"))
     pairs = box_pairs(left, right, cell).select("l.edge_id", "l.line", *[f"r.{k}" for k in keys], "r.rings")
     kinds = dict(polygons.dtypes)
 

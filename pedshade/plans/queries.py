@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pedshade.config import DEFAULT, SAMPLER_EARTH_RADIUS_M, SCENARIOS, SHADE_COLUMNS, SNAP_EARTH_RADIUS_M
 from pedshade.functions import compare, exposure, extensions, geo, solar
-from pedshade.operators import components, cover, evaluation, intervals, ranks, repair, routes, rules, spatial
+from pedshade.operators import components, cover, dissolve, evaluation, intervals, ranks, repair, routes, rules, spatial
 from pedshade.operators.routing import relaxed_tree, shortest_paths
 from pedshade.plans.fixtures import load, with_views
 from pedshade.runtime import Scratch
@@ -552,6 +552,14 @@ def route_geometry(s, d):
     return lines.select("od_id", "mode", F.posexplode("geometry").alias("k", "p")).select("od_id", "mode", "k", "p.lon", "p.lat")
 
 
+@query()
+def shaded_ground(s, d):
+    """Ground in the towers' shadows and outside them, by scenario and square; tests hold it against a known shadow and the kernel."""
+    selected, sun = _towers(s, d, Scratch(s, "buildings"))
+    parts = dissolve.ground_shade(selected, sun)
+    return parts.groupBy("scenario", "cx", "cy").agg(F.count("*").alias("n_parts"), r6(F.sum(dissolve.rings_area(F.col("rings"))), 3).alias("area"))
+
+
 @query(_ROUTES + """, l AS (SELECT t.od_id, t.mode, coalesce(string_agg(edge_id, ',' ORDER BY seq), '') AS p FROM total t LEFT JOIN steps USING (od_id, mode) GROUP BY 1, 2),
 w AS (SELECT od_id, max(p) FILTER (mode = 'fastest') AS f, max(p) FILTER (mode = 'balanced') AS b, max(p) FILTER (mode = 'coolest') AS c FROM l GROUP BY 1)
 SELECT od_id, f = b AS fastest_equals_balanced, f = c AS fastest_equals_coolest, b = c AS balanced_equals_coolest, f = b AND f = c AS all_equal FROM w""")
@@ -918,6 +926,64 @@ def tile_fragments(s, d):
     return out.select("poly_id", "cx", "cy", r6(F.col("area") * 1e6, 4).alias("area"))
 
 
+def _squares_sql(layers: dict[str, str], kept: str) -> str:
+    """CTEs that cut boxes to squares and their planes to cells; the area of the cells that ``kept`` holds, by square."""
+    ctes = "".join(f""",
+{k}c AS (SELECT *, unnest(generate_series(CAST(floor(w / 0.001e0) AS BIGINT), CAST(floor(e / 0.001e0) AS BIGINT))) AS cx FROM ({boxes})),
+{k}f AS (SELECT *, unnest(generate_series(CAST(floor(s / 0.001e0) AS BIGINT), CAST(floor(n / 0.001e0) AS BIGINT))) AS cy FROM {k}c),
+{k} AS (SELECT cx, cy, greatest(w, cx * 0.001e0) AS w, least(e, (cx + 1) * 0.001e0) AS e, greatest(s, cy * 0.001e0) AS s, least(n, (cy + 1) * 0.001e0) AS n FROM {k}f)""" for k, boxes in layers.items())
+    ends = lambda a, b: " UNION ".join(f"SELECT cx, cy, {c} AS v FROM {k}" for k in layers for c in (a, b))
+    return ctes + f""",
+xs AS (SELECT cx, cy, v AS x, lead(v) OVER (PARTITION BY cx, cy ORDER BY v) AS x2 FROM ({ends("w", "e")})),
+ys AS (SELECT cx, cy, v AS y, lead(v) OVER (PARTITION BY cx, cy ORDER BY v) AS y2 FROM ({ends("s", "n")})),
+z AS (SELECT xs.cx, xs.cy, (x + x2) / 2 AS mx, (y + y2) / 2 AS my, (x2 - x) * (y2 - y) * 1e6 AS area FROM xs JOIN ys USING (cx, cy) WHERE x2 > x AND y2 > y)
+SELECT cx, cy, round(sum(area), 4) AS area FROM z WHERE {kept} GROUP BY 1, 2 HAVING round(sum(area), 4) > 0"""
+
+
+def _within_sql(layer: str) -> str:
+    return f"EXISTS (SELECT 1 FROM {layer} q WHERE q.cx = z.cx AND q.cy = z.cy AND mx > w AND mx < e AND my > s AND my < n)"
+
+
+def _by_square(parts):
+    area = r6(F.sum(dissolve.rings_area(F.col("rings"))) * 1e6, 4)
+    return parts.groupBy("cx", "cy").agg(area.alias("area")).filter("area > 0")
+
+
+@query(with_views("stations") + _BLOCKS + _squares_sql({"p": "SELECT w, s, e, n FROM b"}, _within_sql("p")))
+def dissolved_blocks(s, d):
+    """The union of the blocks around all stations, by square."""
+    return _by_square(dissolve.dissolve(_blocks(s, d), [], 0.001))
+
+
+_SHIFTED = "SELECT lon + 0.0001e0 AS w, lat - 0.0002e0 AS s, lon + 0.0011e0 AS e, lat + 0.0009e0 AS n FROM stations"
+
+
+@query(with_views("stations") + _BLOCKS + _squares_sql({"p": "SELECT w, s, e, n FROM b", "g": _SHIFTED}, _within_sql("p") + " AND NOT " + _within_sql("g")))
+def blocks_outside_parks(s, d):
+    """The same less the union of parks beside the stations, which cut blocks to pieces and fill some squares."""
+    parks = load(s, d, "stations").select(_square(F.col("lon") + 0.0006, F.col("lat") + 0.00035, 0.0005, 0.00055).alias("rings"))
+    return _by_square(dissolve.overlay(_blocks(s, d), parks, [], dissolve.difference, 0.001))
+
+
+@query(with_views("stations") + """, k AS (SELECT station_id AS poly_id, station_id % 5 AS kind FROM stations)
+SELECT poly_id, CAST(CASE kind WHEN 1 THEN 2 WHEN 3 THEN 4 ELSE 1 END AS BIGINT) AS n_parts, CAST(CASE WHEN kind = 2 THEN 1 ELSE 0 END AS BIGINT) AS n_holes,
+ CASE kind WHEN 1 THEN 5000e0 WHEN 2 THEN 9750e0 WHEN 3 THEN 5000e0 ELSE 10000e0 END AS area, kind <> 0 AS repaired FROM k WHERE kind <> 4""")
+def repaired_outlines(s, d):
+    """Outlines as surveys give them: sound, crossing themselves, with a hole that a second ring fills in part, touched at all sides, and drawn twice over."""
+    st = spatial.with_projection(load(s, d, "stations")).withColumn("kind", F.col("station_id") % 5)
+    at = lambda *points: F.array(*[_xy(F.round("x", 3) + F.lit(float(dx)), F.round("y", 3) + F.lit(float(dy))) for dx, dy in points])
+    square = at((0, 0), (100, 0), (100, 100), (0, 100))
+    twisted = at((0, 0), (100, 100), (100, 0), (0, 100))
+    # What the second ring covers of the hole, 750 of 1,000, is filled again.
+    crossed = F.array(square, at((20, 20), (60, 20), (60, 45), (20, 45)), at((40, 20), (60, 20), (60, 45), (20, 45), (20, 32.5), (40, 32.5)))
+    touched = F.array(square, at((50, 0), (100, 50), (50, 100), (0, 50)))
+    kinds = F.when(F.col("kind") == 0, F.array(square)).when(F.col("kind") == 1, F.array(twisted)).when(F.col("kind") == 2, crossed).when(F.col("kind") == 3, touched).otherwise(F.array(square, square))
+    parts = dissolve.repair(st.select(F.col("station_id").cast("long").alias("poly_id"), kinds.alias("rings")))
+    area = r6(F.sum(dissolve.rings_area(F.col("rings"))), 3)
+    holes = F.sum(F.size("rings") - 1)
+    return parts.groupBy("poly_id").agg(F.count("*").alias("n_parts"), holes.alias("n_holes"), area.alias("area"), F.first("repaired").alias("repaired"))
+
+
 def _metric_lines(s, d):
     x1, y1 = geo.project(F.col("a.lon"), F.col("a.lat"))
     x2, y2 = geo.project(F.col("b.lon"), F.col("b.lat"))
@@ -931,9 +997,8 @@ def green_scores(s, d):
     return cover.green_scores(_metric_lines(s, d), p).select("edge_id", r6(F.col("green_score")).alias("green_score"))
 
 
-@query()
-def building_shade(s, d):
-    """Shade on each edge and scenario from a tower at every station; tests hold it against a known shadow."""
+def _towers(s, d, scratch):
+    """``(selected, sun)``: a tower at every station, and the sun of each scenario."""
     st = spatial.with_projection(load(s, d, "stations")).withColumn("top", (F.lit(10) + F.col("station_id") % 50).cast("double"))
     corner = lambda dx, dy, z: F.struct((F.col("x") + F.lit(dx)).alias("x"), (F.col("y") + F.lit(dy)).alias("y"), z.alias("z"))
     at = [(-20.0, -20.0), (20.0, -20.0), (20.0, 20.0), (-20.0, 20.0)]
@@ -946,9 +1011,16 @@ def building_shade(s, d):
     az, el = solar.solar_position(F.unix_timestamp("instant").cast("double"), F.lit(35.68), F.lit(139.75))
     # Written tables, as a source would give them: the optimizer would copy these
     # expressions into every use otherwise.
-    scratch = Scratch(s, "buildings")
     sun = scratch.write(solar.scenarios(s).select("scenario", az.alias("azimuth"), el.alias("elevation")))
     selected = scratch.write(cover.select_solids(scratch.write(b)))
+    return selected, sun
+
+
+@query()
+def building_shade(s, d):
+    """Shade on each edge and scenario from a tower at every station; tests hold it against a known shadow."""
+    scratch = Scratch(s, "buildings")
+    selected, sun = _towers(s, d, scratch)
     return cover.shade_scores(scratch.write(_metric_lines(s, d)), selected, sun).select("edge_id", "scenario", r6(F.col("score"), 4).alias("score"))
 
 
