@@ -260,8 +260,23 @@ def repair(polygons: DataFrame, digits: int = DIGITS) -> DataFrame:
     return out.select("row.*", "part", "rings", "repaired")
 
 
-def _cut(polygons: DataFrame, keys: list[str], size: float, digits: int) -> DataFrame:
-    """``(*keys, cx, cy, rings)``: each different polygon in the squares it meets, one row for each part."""
+def _clipped(ring: np.ndarray, w: float, s: float, e: float, n: float) -> np.ndarray:
+    """The ring in a rectangle.  Where it leaves and comes back it runs along a side; what it runs there twice has no area under the even-odd rule."""
+    for axis, bound, sign in ((0, w, 1), (0, e, -1), (1, s, 1), (1, n, -1)):
+        d = (ring[:, axis] - bound) * sign
+        ok = d >= 0
+        if ok.all():
+            continue
+        after, d_after = np.roll(ring, -1, axis=0), np.roll(d, -1)
+        crosses = ok != np.roll(ok, -1)
+        at = ring + (d / np.where(crosses, d - d_after, 1))[:, None] * (after - ring)
+        at[:, axis] = bound
+        ring = np.stack([ring, at], axis=1).reshape(-1, 2)[np.stack([ok, crosses], axis=1).ravel()]
+    return ring
+
+
+def _cut(polygons: DataFrame, keys: list[str], size: float) -> DataFrame:
+    """``(*keys, cx, cy, rings)``: each different polygon in the squares that its box meets, cut to the square."""
     kinds = dict(polygons.dtypes)
     placed = polygons.select(*keys, "rings").distinct().select(*keys, "rings", F.inline(cells_of(rings_box(F.col("rings")), size))).withColumn("rings", shipped(F.col("rings")))
     names = [*keys, "cx", "cy", "rings"]
@@ -270,9 +285,10 @@ def _cut(polygons: DataFrame, keys: list[str], size: float, digits: int) -> Data
         for pdf in batches:
             rows = []
             for *own, cx, cy, polygon in pdf[names].itertuples(index=False, name=None):
-                w, s, e, n = cx * size, cy * size, (cx + 1) * size, (cy + 1) * size
-                square = [np.array([(w, s), (e, s), (e, n), (w, n)])]
-                rows += [(*own, cx, cy, part) for part in _plain(combine([_rings(polygon)], [square], common, digits))]
+                rings = [_clipped(r, cx * size, cy * size, (cx + 1) * size, (cy + 1) * size) for r in _rings(polygon) if len(r) >= 3]
+                rings = [r.tolist() for r in rings if len(r) >= 3 and np.ptp(r, axis=0).all()]
+                if rings:
+                    rows.append((*own, cx, cy, *_plain([rings])))
             yield frame(rows, names)
 
     return placed.mapInPandas(clip, "".join(f"{k} {kinds[k]}, " for k in keys) + f"cx long, cy long, rings {POLYGON}")
@@ -314,7 +330,7 @@ def dissolve(polygons: DataFrame, keys: list[str], size: float = FRAGMENT_M, bat
     """
     scratch = Scratch(polygons.sparkSession, "dissolve")
     where = [*keys, "cx", "cy"]
-    parts = scratch.write(_cut(polygons.filter("size(flatten(rings)) > 0"), keys, size, digits))
+    parts = scratch.write(_cut(polygons.filter("size(flatten(rings)) > 0"), keys, size))
     most = parts.groupBy(*where).count().agg(F.max("count")).first()[0] or 0
     while most > batch:
         most = -(-most // batch)
