@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -82,12 +83,25 @@ SELECT user_id AS session_id, event_id, ts,
 }
 
 
+#: The one row that every view calls g: the grid's width and its number of nodes.
+_GRID = "SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS w, count(*) AS n FROM {part}"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, or a view over the tables, as a DataFrame."""
+    """A table, or a view over the tables, as a DataFrame.
+
+    The grid comes as a hinted relation of its own: the optimizer leaves joins
+    with a hint where they stand.  It would otherwise join the two sides of
+    ``b = a + g.w`` before ``g``, on an inferred condition that is no equality,
+    which pairs all nodes with all others.
+    """
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    inputs = {n: load(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", VIEWS[name]))}
-    return spark.sql(VIEWS[name], **inputs)
+    text = VIEWS[name].replace("CROSS JOIN g", "CROSS JOIN {grid} g")
+    inputs = {n: load(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", text)) - {"grid"}}
+    if text != VIEWS[name]:
+        inputs["grid"] = F.broadcast(spark.sql(_GRID, part=inputs["part"] if "part" in inputs else load(spark, sf_dir, "part")))
+    return spark.sql(text, **inputs)
 
 
 def with_views(*names: str) -> str:
