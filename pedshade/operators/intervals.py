@@ -17,7 +17,8 @@ def normalized(intervals: DataFrame, s: str = "s", e: str = "e") -> DataFrame:
 def merge(intervals: DataFrame, keys: list[str], s: str = "s", e: str = "e") -> DataFrame:
     """Disjoint intervals of each key; gaps up to ``EPSILON`` close."""
     before = Window.partitionBy(*keys).orderBy(s, e).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*keys).orderBy(s, e).rowsBetween(Window.unboundedPreceding, 0)
+    # Equal intervals are of one island, whichever of them came first above.
+    upto = Window.partitionBy(*keys).orderBy(s, e).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     reach = F.max(e).over(before)
     marked = normalized(intervals.select(*keys, s, e), s, e).withColumn("_new", (reach.isNull() | (F.col(s) > reach + F.lit(EPSILON))).cast("int"))
     island = marked.withColumn("_island", F.sum("_new").over(upto))
