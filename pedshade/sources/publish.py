@@ -120,6 +120,8 @@ TOLERANCE = 3.0
 
 
 def _varint(n: int) -> bytes:
+    if n < 128:
+        return bytes((n,))
     out = bytearray()
     while n > 127:
         out.append(n & 127 | 128)
@@ -141,7 +143,8 @@ def clip_to_tile(line: list[tuple[float, float]], low: float, high: float) -> li
     parts: list[list[tuple[float, float]]] = []
     for (x0, y0), (x1, y1) in zip(line, line[1:], strict=False):
         t0, t1, dx, dy = 0.0, 1.0, x1 - x0, y1 - y0
-        for p, q in ((-dx, x0 - low), (dx, high - x0), (-dy, y0 - low), (dy, high - y0)):
+        inside = low <= x0 <= high and low <= x1 <= high and low <= y0 <= high and low <= y1 <= high
+        for p, q in () if inside else ((-dx, x0 - low), (dx, high - x0), (-dy, y0 - low), (dy, high - y0)):
             if p == 0:
                 if q < 0:
                     t0, t1 = 1.0, 0.0
@@ -213,8 +216,7 @@ def assemble_tile(features: list[tuple[bytes, dict]], layer: str = "default") ->
     if not out:
         return b""
     body = _block(1, layer.encode()) + b"".join(out) + b"".join(_block(3, k.encode()) for k in keys)
-    for v in values:
-        body += _block(4, _block(1, v.encode()) if isinstance(v, str) else _varint(3 << 3 | 1) + struct.pack("<d", v))
+    body += b"".join(_block(4, _block(1, v.encode()) if isinstance(v, str) else _varint(3 << 3 | 1) + struct.pack("<d", v)) for v in values)
     return _block(3, body + _varint(5 << 3) + _varint(EXTENT) + _varint(15 << 3) + _varint(2))
 
 
@@ -226,9 +228,9 @@ def encode_tile(features: list[tuple[list[tuple[float, float]], dict]], layer: s
 def vector_tiles(features: DataFrame, properties: list[str], zooms: tuple[int, ...] = ZOOMS, layer: str = "default", tolerance: float = TOLERANCE) -> DataFrame:
     """``(z, x, y, n_features, tile)``: features with ``geometry`` (structs lon, lat) in the tiles that their boxes meet.
 
-    Lines are simplified, clipped and encoded row by row; only the bytes that
-    a tile holds anyway meet in its group.  Tiles without any part of a line are
-    left out.
+    A line reaches Python once, with the list of its tiles, and is projected
+    once for all of them; only the bytes that a tile holds anyway meet in its
+    group.  Tiles without any part of a line are left out.
     """
     axis = lambda f, n: f(F.transform("geometry", lambda p: p[n]))
     box = (axis(F.array_min, "lon"), axis(F.array_min, "lat"), axis(F.array_max, "lon"), axis(F.array_max, "lat"))
@@ -237,7 +239,10 @@ def vector_tiles(features: DataFrame, properties: list[str], zooms: tuple[int, .
         return F.transform(tiles_of(*box, zoom), lambda t: F.struct(F.lit(zoom).alias("z"), t["x"].alias("x"), t["y"].alias("y")))
 
     tiles = F.flatten(F.array(*map(at, zooms)))
-    rows = features.select("geometry", *properties, F.inline(tiles))
+    # Plain arrays, which Arrow hands over as such.
+    each = lambda c, n: F.transform(c, lambda p: p[n])
+    rows = features.select(*properties, *[each("geometry", n).alias(f"_{n}") for n in ("lon", "lat")], tiles.alias("_tiles"))
+    rows = rows.select(*properties, "_lon", "_lat", *[each("_tiles", n).alias(f"_{n}") for n in "zxy"])
     kinds = dict(features.dtypes)
     own = "".join(f"{c} {kinds[c]}, " for c in properties)
 
@@ -245,15 +250,17 @@ def vector_tiles(features: DataFrame, properties: list[str], zooms: tuple[int, .
         """Lines become a tile's few bytes before tiles are grouped; what vanishes in a tile goes."""
         for pdf in parts:
             out = []
-            for r in pdf.to_dict("records"):
-                n = 2.0 ** r["z"]
-                line = []
-                for p in r["geometry"]:
-                    lat = math.radians(p["lat"])
-                    y = (1 - math.log(math.tan(lat) + 1 / math.cos(lat)) / math.pi) / 2 * n
-                    line.append((((p["lon"] + 180) / 360 * n - r["x"]) * EXTENT, (y - r["y"]) * EXTENT))
-                if encoded := encode_line(line, tolerance):
-                    out.append((*(r[c] for c in properties), r["z"], r["x"], r["y"], encoded))
+            values = zip(*(pdf[c].tolist() for c in properties), strict=True) if properties else [()] * len(pdf)
+            for r, *parts_of in zip(values, *(pdf[f"_{c}"] for c in ("lon", "lat", "z", "x", "y")), strict=True):
+                lons, lats, *tiles_at = (a.tolist() for a in parts_of)
+                whole = []
+                for lon, lat in zip(lons, map(math.radians, lats), strict=True):
+                    whole.append(((lon + 180) / 360, (1 - math.log(math.tan(lat) + 1 / math.cos(lat)) / math.pi) / 2))
+                for z, x, y in zip(*tiles_at, strict=True):
+                    n = 2.0**z
+                    line = [((px * n - x) * EXTENT, (py * n - y) * EXTENT) for px, py in whole]
+                    if encoded := encode_line(line, tolerance):
+                        out.append((*r, z, x, y, encoded))
             yield pd.DataFrame(out, columns=[*properties, "z", "x", "y", "line"])
 
     def encode(pdf: pd.DataFrame) -> pd.DataFrame:

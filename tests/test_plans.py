@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pedshade.plans import fixtures, queries
+from pedshade.sources import publish
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +29,27 @@ def test_equal_intervals_are_one_island_in_sql():
      FROM (SELECT unnest(range(20000)) AS k), (SELECT unnest(range(6)) AS j), (SELECT unnest(range(3)) AS copy) ORDER BY hash(k, j, copy)""")
     got = c.execute(f"WITH {sql} SELECT count(*), max(e - s) FROM out").fetchone()
     assert got == (120000, 4.0)
+
+
+def test_lines_reach_python_once_for_all_their_tiles(spark):
+    """Tiles are listed with a line; rows do not multiply before they are encoded."""
+    line = spark.createDataFrame([("a", [(139.7, 35.6), (139.95, 35.8)])], "edge_id string, geometry array<struct<lon: double, lat: double>>")
+    tiles = publish.vector_tiles(line, ["edge_id"])
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "Generate" not in plan
+    got = [(r.z, r.x, r.y, r.n_features) for r in tiles.collect()]
+    assert len(got) > 4 and {z for z, *_ in got} == {10, 11, 12, 13} and {n for *_, n in got} == {1}
+
+
+def test_large_tiles_take_time_in_proportion():
+    """A tile of many distinct values is put together in one piece."""
+    import time
+
+    def seconds(n):
+        line = publish.encode_line([(0.0, 0.0), (9.0, 9.0)])
+        began = time.perf_counter()
+        publish.assemble_tile([(line, {"edge_id": f"edge-{k:09}-{'x' * 40}"}) for k in range(n)])
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 10 * seconds(20_000)
