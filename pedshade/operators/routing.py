@@ -264,6 +264,44 @@ def relaxed_tree(edges: DataFrame, sources: DataFrame, cost: str = "cost", block
     raise RuntimeError(f"distances did not settle within {max_rounds} rounds")
 
 
+_TREE_COSTS = "source long, node long, cost double"
+
+
+def _search_trees(shared):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g: Adjacency = shared.value
+        every = set(range(len(g.nodes)))
+        for pdf in parts:
+            for source in pdf.source.tolist():
+                at = int(np.searchsorted(g.nodes, source))
+                if at == len(g.nodes) or g.nodes[at] != source:
+                    yield pd.DataFrame({"source": [source], "node": [source], "cost": [0.0]})
+                    continue
+                found, _ = g.search(at, every, "cost")
+                yield pd.DataFrame({"source": source, "node": g.nodes[list(found)], "cost": list(found.values())})
+
+    return run
+
+
+def tree_costs(edges: DataFrame, sources: DataFrame, cost: str = "cost", max_edges: int = MAX_BROADCAST_EDGES, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``(source, node, cost)`` of all nodes reachable from each of ``sources``.
+
+    A graph under the limits is broadcast and each tree searched by one task, a
+    tree at a time; beyond them :func:`relaxed_tree` does the same by rounds.
+    """
+    priced = edges.select("edge_id", F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), F.col(cost).cast("double").alias("cost"))
+    priced = Scratch(edges.sparkSession, "priced").write(priced)
+    seen = priced.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("edge_id") + 32), F.lit(0)).alias("size"), F.count_if(~_valid(F.col("cost"))).alias("bad")).first()
+    if seen["bad"]:
+        raise ValueError(f"costs of {cost} must be finite and not negative")
+    if seen["n"] > max_edges or seen["size"] > max_bytes:
+        return relaxed_tree(priced, sources).select("source", "node", "cost")
+    sc = edges.sparkSession.sparkContext
+    shared = sc.broadcast(Adjacency(priced.toPandas(), ["cost"]))
+    starts = sources.select(F.col("source").cast("long").alias("source")).filter("source is not null").distinct()
+    return starts.repartition(max(2 * sc.defaultParallelism, 1), "source").mapInPandas(_search_trees(shared), _TREE_COSTS)
+
+
 _WALK = "od_id long, source long, target long, total_cost double, at long, edge_ids array<string>, nodes array<long>"
 
 

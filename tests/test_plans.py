@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pedshade.operators import routing
 from pedshade.plans import fixtures, queries
 from pedshade.sources import publish
 
@@ -53,3 +54,14 @@ def test_large_tiles_take_time_in_proportion():
 
     seconds(1000)
     assert seconds(80_000) < 10 * seconds(20_000)
+
+
+def test_tree_costs_by_both_strategies(spark):
+    """A graph that fits is searched tree by tree; rounds of joins give the same."""
+    rows = [(f"e{k:03}", (k * 7) % 23, (k * 11 + 3) % 23, float(k % 9 + 1)) for k in range(60)]
+    edges = spark.createDataFrame(rows, "edge_id string, source long, target long, cost double")
+    sources = spark.createDataFrame([(0,), (5,), (5,), (99,), (None,)], "source long")
+    got = [sorted((r.source, r.node, r.cost) for r in routing.tree_costs(edges, sources, "cost", cap).collect()) for cap in (10**6, 0)]
+    assert got[0] == got[1] and (99, 99, 0.0) in got[0] and len({s for s, *_ in got[0]}) == 3
+    plans = [routing.tree_costs(edges, sources, "cost", cap)._jdf.queryExecution().executedPlan().toString() for cap in (10**6, 0)]
+    assert "MapInPandas" in plans[0] and "MapInPandas" not in plans[1]
