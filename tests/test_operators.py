@@ -641,3 +641,32 @@ def test_streams_of_requests_and_counts(spark, tmp_path):
     assert sorted(r.request_id for r in result(state.single_flight(stream()), "flight", "append")) == [1, 2, 3]
     counts = {(r.start.hour, r.event_type): r.n for r in result(state.tumbling_counts(stream()), "counts", "complete")}
     assert counts == {(0, "a"): 3, (1, "b"): 1}
+
+
+@pytest.mark.parametrize("tiles, far", [(1280, 512), (1280, 1), (2, 1)])
+def test_windows_keep_the_contract(spark, monkeypatch, tiles, far):
+    """Short and long trips, ties, ends unknown or equal, an island: as by search over the whole graph, however large a window may be."""
+    from pedshade.operators import windows
+
+    monkeypatch.setattr(windows, "WINDOW_TILES", tiles)
+    monkeypatch.setattr(windows, "FAR_TILES", far)
+    monkeypatch.setattr(windows, "NEAR_TILES", 1)
+    w = 12
+    rows = grid(w, [1, 1, 2, 5, 0.1]) + [("i:1:0", 900, 901, 1.0, 1.0)]
+    e = spark.createDataFrame(rows, GRID)
+    rnd = random.Random(8)
+    od = spark.createDataFrame([(i, rnd.randrange(w * w), rnd.randrange(w * w)) for i in range(25)] + [(90, 3, 3), (91, 5000, 5000), (92, 4, 5000), (93, 4, 901), (94, 900, 901), (1, 4, 77)], OD)
+    nodes = spark.createDataFrame([(n, n % w / 1000, n // w / 1000) for n in range(w * w)] + [(900, 0.05, 0.05), (901, 0.051, 0.05)], "node_id long, lon double, lat double")
+    want = routing.shortest_paths(od, e, {"p": F.col("p"), "q": F.col("q")})
+    got = windows.Windows(e, ["p", "q"], nodes, 12).paths(od)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_short_trips_need_no_overlay(spark, monkeypatch):
+    """A graph beyond the broadcast that has places works out no ways between entries."""
+    monkeypatch.setattr(overlay, "_arcs_of_block", None)
+    w = 8
+    nodes = spark.createDataFrame([(n, n % w / 1000, n // w / 1000) for n in range(w * w)], "node_id long, lon double, lat double")
+    od = spark.createDataFrame([(1, 9, 27)], OD)
+    row = routing.shortest_paths(od, spark.createDataFrame(grid(w, [1.0]), GRID), {"q": F.col("q")}, 0, nodes=nodes, block_nodes=16).first()
+    assert row.total_cost == 4.0 and len(row.edge_ids) == 4
