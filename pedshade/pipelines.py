@@ -119,8 +119,8 @@ def build_environment(nodes: DataFrame, edges: DataFrame, polygons: DataFrame, s
     flat = polygons.select("poly_id", F.transform("rings", lambda r: F.transform(r, _projected)).alias("rings"))
     green = scratch.write(cover.green_scores(lines, flat))
     sites = spatial.with_projection(stations).withColumnRenamed("station_id", "site_id")
-    far = spatial.nearest_to_lines(lines, sites).groupBy("edge_id").agg(F.min("distance_m").alias("water_m"))
-    water = scratch.write(far.select("edge_id", geo.water_penalty(F.col("water_m")).alias("water_penalty")))
+    far = spatial.nearest_to_lines(lines, sites, ties=False)
+    water = scratch.write(far.select("edge_id", geo.water_penalty(F.col("distance_m")).alias("water_penalty")))
     made = scratch.write(edges.drop("green_score", "water_penalty").join(green, "edge_id").join(water, "edge_id"))
     rules.require(rules.union([rules.score_gates(made, "green_score"), rules.score_gates(made, "water_penalty"), rules.edge_values(made)]), "the environment")
     if made.count() != edges.count():

@@ -343,7 +343,9 @@ _SX, _SY = geo.projection_sql("lon", "lat")
 t AS MATERIALIZED (SELECT station_id, {_SX} AS sx, {_SY} AS sy FROM stations)
 SELECT node_id, round(min(sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy))), 3) AS distance_m FROM p CROSS JOIN t GROUP BY node_id""")
 def nearest_station(s, d):
-    points = spatial.with_projection(nodes_of(s, d)).withColumnRenamed("node_id", "point_id")
+    # Few splits hold many nodes, so they are dealt out, and written, before they are projected: a filter on x would be pushed ahead.
+    n = Scratch(s, "stations").write(nodes_of(s, d).repartition("node_id"))
+    points = spatial.with_projection(n).withColumnRenamed("node_id", "point_id")
     sites = spatial.with_projection(load(s, d, "stations")).withColumnRenamed("station_id", "site_id")
     return spatial.nearest(points, sites).select(F.col("point_id").alias("node_id"), r6(F.col("distance_m"), 3).alias("distance_m"))
 
@@ -985,9 +987,10 @@ def repaired_outlines(s, d):
 
 
 def _metric_lines(s, d):
-    x1, y1 = geo.project(F.col("a.lon"), F.col("a.lat"))
-    x2, y2 = geo.project(F.col("b.lon"), F.col("b.lat"))
-    return _ends(s, d).select("edge_id", F.array(_xy(x1, y1), _xy(x2, y2)).alias("line"))
+    n = spatial.with_projection(nodes_of(s, d)).select("node_id", "x", "y")  # a node once, not once for each of its edges
+    a, b = n.alias("a"), n.alias("b")
+    ends = edges_of(s, d).join(a, F.col("source") == F.col("a.node_id")).join(b, F.col("target") == F.col("b.node_id"))
+    return ends.select("edge_id", F.array(_xy(F.col("a.x"), F.col("a.y")), _xy(F.col("b.x"), F.col("b.y"))).alias("line"))
 
 
 @query()

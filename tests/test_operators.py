@@ -549,6 +549,45 @@ def test_nearest_to_lines_keeps_ties(spark):
         spatial.nearest_to_lines(lines, sites.filter("1 = 0"))
 
 
+def test_nearest_moves_a_row_for_each_item_and_list(spark, monkeypatch):
+    """Many sites in few places, near and far: the result is brute force's, and what is written stays as small as the items."""
+    rnd = random.Random(28)
+    places = [(rnd.randrange(60) * 10.0, rnd.randrange(60) * 10.0) for _ in range(40)] + [(9000.0, 9000.0)]
+    sites = [(k, *places[k % len(places)]) for k in range(1200)]
+    points = [(k, rnd.random() * 700, rnd.random() * 700) for k in range(50)] + [(50, 2000.0, 1500.0), (51, 9000.0, 9000.0)]
+    lines = [(str(k), [{"x": x, "y": y}, {"x": x + rnd.randrange(-40, 40), "y": y + 30.0}]) for k, x, y in points] + [("dot", [{"x": 5.0, "y": 6.0}])]
+    s = spark.createDataFrame(sites, "site_id long, x double, y double")
+    p = spark.createDataFrame(points, "point_id long, x double, y double")
+    e = spark.createDataFrame(lines, "edge_id string, line array<struct<x: double, y: double>>")
+    want = {k: min((float(np.hypot(x - a, y - b)), i) for i, a, b in sites) for k, x, y in points}
+    written = []
+    write = spatial.Scratch.write
+    monkeypatch.setattr(spatial.Scratch, "write", lambda self, df: written.append(write(self, df)) or written[-1])
+    monkeypatch.setattr(spatial.Scratch, "drop", lambda self, df: None)
+    for most in (7,):  # several lists for a cell
+        got = {r.point_id: (r.distance_m, r.site_id) for r in spatial.nearest(p, s, 400.0, most=most).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0]) for k in want)
+
+        def apart(line, a, b):
+            (x, y), (u, v) = ((q["x"], q["y"]) for q in (line * 2)[:2])
+            w = (u - x) ** 2 + (v - y) ** 2
+            f = min(1.0, max(0.0, ((a - x) * (u - x) + (b - y) * (v - y)) / w)) if w else 0.0
+            return round(float(np.hypot(a - x - f * (u - x), b - y - f * (v - y))), 6)
+
+        all_ties = {}
+        for r in spatial.nearest_to_lines(e, s, 400.0, most=most).collect():
+            all_ties.setdefault(r.edge_id, set()).add((round(r.distance_m, 6), r.site_id))
+        one = {r.edge_id: (round(r.distance_m, 6), r.site_id) for r in spatial.nearest_to_lines(e, s, 400.0, ties=False, most=most).collect()}
+        for k, line in lines:
+            far = sorted((apart(line, a, b), i) for i, a, b in sites)
+            # Places that rounding makes equal may be apart in the last bit; the sites of a place are not.
+            hit = {sites[i][1:] for _, i in all_ties[k]}
+            assert all_ties[k] <= {f for f in far if f[0] == far[0][0]} and {i for _, i in all_ties[k]} == {i for i, *at in sites if tuple(at) in hit}
+            assert one[k] == min(all_ties[k])
+    assert max(df.count() for df in written) <= len(lines)
+
+
 def boxes(rnd, n, spread, large):
     out = []
     for k in range(n):
