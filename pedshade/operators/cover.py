@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +14,6 @@ from pedshade.operators import intervals
 from pedshade.operators.polygons import buffer, line_intervals, union_areas
 from pedshade.operators.ranks import quantiles
 from pedshade.operators.spatial import box_pairs, line_box
-from pedshade.runtime import frame
 
 GREEN_BUFFER_M, FRAGMENT_M = 15.0, 100.0
 
@@ -36,6 +35,21 @@ def _rings(polygon) -> list[np.ndarray]:
     return [_ring(r["ring"]) for r in polygon]
 
 
+#: Rows that a Python worker holds as objects at once; nested ones take many times their size in Arrow.
+ROWS_AT_ONCE = 256
+
+
+def _slices(batches: Iterator[pa.RecordBatch], at_once: int = ROWS_AT_ONCE) -> Iterator[list[dict]]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, at_once):
+            yield batch.slice(lo, at_once).to_pylist()
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def rings_box(rings: Column) -> Column:
     return line_box(F.flatten(rings))
 
@@ -48,19 +62,23 @@ def fragments(polygons: DataFrame, size: float = FRAGMENT_M) -> DataFrame:
     """
     from pedshade.operators.spatial import cells_of
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
+    schema = pa.schema([("poly_id", pa.int64()), ("cx", pa.int64()), ("cy", pa.int64()), ("area", pa.float64())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _slices(batches):
             rows = []
-            for r in pdf.itertuples(index=False):
-                w, s = r.cx * size, r.cy * size
+            for r in held:
+                w, s = r["cx"] * size, r["cy"] * size
                 square = [np.array([(w, s), (w + size, s), (w + size, s + size), (w, s + size)])]
-                _, area = union_areas([square], [_rings(r.rings)])
+                _, area = union_areas([square], [_rings(r["rings"])])
                 if area > 0:
-                    rows.append((r.poly_id, r.cx, r.cy, area))
-            yield frame(rows, ["poly_id", "cx", "cy", "area"])
+                    rows.append((r["poly_id"], r["cx"], r["cy"], area))
+            yield _batch(rows, schema)
 
     placed = polygons.select("poly_id", "rings", F.inline(cells_of(rings_box(F.col("rings")), size))).withColumn("rings", shipped(F.col("rings")))
-    return placed.mapInPandas(cut, "poly_id long, cx long, cy long, area double")
+    # Squares take long for their few bytes, so a fixed number of tasks shares them: a small file is one split, and adaptive execution goes by bytes.
+    tasks = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(tasks, "poly_id", "cx", "cy").mapInArrow(cut, "poly_id long, cx long, cy long, area double")
 
 
 def green_scores(lines: DataFrame, polygons: DataFrame, distance: float = GREEN_BUFFER_M, cell: float = FRAGMENT_M) -> DataFrame:
@@ -72,18 +90,21 @@ def green_scores(lines: DataFrame, polygons: DataFrame, distance: float = GREEN_
     b = line_box(F.col("line"))
     wide = F.struct(*[(b[k] + F.lit(s * distance)).alias(k) for k, s in (("west", -1), ("south", -1), ("east", 1), ("north", 1))])
     left = lines.select("edge_id", "line", wide.alias("box"))
-    right = polygons.select(F.struct(shipped(F.col("rings")).alias("rings")).alias("polygon"), rings_box(F.col("rings")).alias("box"))
+    # A polygon that comes twice adds nothing to a union.
+    right = polygons.select("rings").distinct().select(F.struct(shipped(F.col("rings")).alias("rings")).alias("polygon"), rings_box(F.col("rings")).alias("box"))
     near = box_pairs(left, right, cell).groupBy("l.edge_id").agg(F.first("l.line").alias("line"), F.collect_list("r.polygon").alias("polygons"))
 
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
+    schema = pa.schema([("edge_id", pa.string()), ("green_score", pa.float64())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _slices(batches):
             rows = []
-            for r in pdf.itertuples(index=False):
-                area, green = union_areas(buffer(_ring(r.line), distance), [_rings(p["rings"]) for p in r.polygons])
-                rows.append((r.edge_id, min(1.0, max(0.0, green / area)) if area > 0 else 0.0))
-            yield frame(rows, ["edge_id", "green_score"])
+            for r in held:
+                area, green = union_areas(buffer(_ring(r["line"]), distance), [_rings(p["rings"]) for p in r["polygons"]])
+                rows.append((r["edge_id"], min(1.0, max(0.0, green / area)) if area > 0 else 0.0))
+            yield _batch(rows, schema)
 
-    got = near.mapInPandas(score, "edge_id string, green_score double")
+    got = near.mapInArrow(score, "edge_id string, green_score double")
     return lines.select("edge_id").join(got, "edge_id", "left").select("edge_id", F.coalesce("green_score", F.lit(0.0)).alias("green_score"))
 
 
@@ -94,16 +115,18 @@ def line_polygon_intervals(lines: DataFrame, polygons: DataFrame, keys: list[str
     pairs = box_pairs(left, right, cell).select("l.edge_id", "l.line", *[f"r.{k}" for k in keys], "r.rings")
     kinds = dict(polygons.dtypes)
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                own = tuple(getattr(r, k) for k in keys)
-                rows += [(r.edge_id, *own, s, e) for s, e in line_intervals(_ring(r.line), _rings(r.rings))]
-            yield frame(rows, ["edge_id", *keys, "s", "e"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # The keys keep the types that they came with.
+            schema = pa.schema([(k, batch.schema.field(k).type) for k in ("edge_id", *keys)] + [("s", pa.float64()), ("e", pa.float64())])
+            for held in _slices([batch]):
+                rows = []
+                for r in held:
+                    own = tuple(r[k] for k in keys)
+                    rows += [(r["edge_id"], *own, s, e) for s, e in line_intervals(_ring(r["line"]), _rings(r["rings"]))]
+                yield _batch(rows, schema)
 
-    schema = "edge_id string, " + "".join(f"{k} {kinds[k]}, " for k in keys) + "s double, e double"
-    return pairs.mapInPandas(cut, schema)
+    return pairs.mapInArrow(cut, "edge_id string, " + "".join(f"{k} {kinds[k]}, " for k in keys) + "s double, e double")
 
 
 # -- buildings ---------------------------------------------------------------------------
@@ -184,9 +207,10 @@ def shade_scores(lines: DataFrame, selected: DataFrame, sun: DataFrame, cell: fl
     so no union of polygons is ever built.
     """
     lines = lines.select("edge_id", "line")
-    shadow = line_polygon_intervals(lines, shadow_polygons(selected, sun), ["scenario"], cell)
+    # A shadow or footprint that comes twice covers nothing more.
+    shadow = line_polygon_intervals(lines, shadow_polygons(selected, sun).select("scenario", "rings").distinct(), ["scenario"], cell)
     scenarios = F.broadcast(sun.select("scenario").distinct())
-    foot = line_polygon_intervals(lines, footprints(selected), [], cell).crossJoin(scenarios)
+    foot = line_polygon_intervals(lines, footprints(selected).select("rings").distinct(), [], cell).crossJoin(scenarios)
     steps = F.transform(F.sequence(F.lit(1), F.size("line") - 1), lambda i: F.hypot(F.element_at("line", i + 1)["x"] - F.element_at("line", i)["x"], F.element_at("line", i + 1)["y"] - F.element_at("line", i)["y"]))
     lengths = lines.select("edge_id", F.aggregate(steps, F.lit(0.0), lambda a, x: a + x).alias("length")).crossJoin(scenarios)
     return intervals.covered_ratio(shadow, foot, lengths, ["edge_id", "scenario"]).withColumnRenamed("ratio", "score")

@@ -588,6 +588,31 @@ def test_nearest_moves_a_row_for_each_item_and_list(spark, monkeypatch):
     assert max(df.count() for df in written) <= len(lines)
 
 
+def _square_at(x, y, size=10.0):
+    return [[{"x": x, "y": y}, {"x": x + size, "y": y}, {"x": x + size, "y": y + size}, {"x": x, "y": y + size}]]
+
+
+def test_fragments_are_shared_by_tasks(spark):
+    """Polygons of one partition are worked on by several tasks."""
+    polygons = spark.createDataFrame([(k, _square_at(15.0 * k, 3.0)) for k in range(40)], "poly_id long, rings array<array<struct<x: double, y: double>>>").coalesce(1)
+    out = cover.fragments(polygons, 10.0).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in out}) > 1
+    assert sum(r.area for r in out) == pytest.approx(40 * 100.0)
+
+
+def test_green_scores_take_equal_polygons_once(spark, monkeypatch):
+    """Copies of a polygon change no score, and a worker gets one of them."""
+    kind = "poly_id long, rings array<array<struct<x: double, y: double>>>"
+    lines = spark.createDataFrame([("a", [{"x": 0.0, "y": 0.0}, {"x": 30.0, "y": 0.0}]), ("b", [{"x": 900.0, "y": 0.0}, {"x": 930.0, "y": 0.0}])], "edge_id string, line array<struct<x: double, y: double>>")
+    once = [(k, _square_at(12.0 * k, -5.0)) for k in range(3)]
+    seen = []
+    pairs = cover.box_pairs
+    monkeypatch.setattr(cover, "box_pairs", lambda left, right, cell: seen.append(right.count()) or pairs(left, right, cell))
+    want, got = ({r.edge_id: r.green_score for r in cover.green_scores(lines, spark.createDataFrame(rows, kind)).collect()} for rows in (once, [(k + 100 * n, r) for k, r in once for n in range(20)]))
+    assert got == want and want["a"] > 0 and want["b"] == 0
+    assert seen == [3, 3]
+
+
 def boxes(rnd, n, spread, large):
     out = []
     for k in range(n):
