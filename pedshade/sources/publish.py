@@ -108,8 +108,12 @@ def latest_version(df_reader, base: str) -> DataFrame:
 
 
 def write_shards(df: DataFrame, path: str, unit: str = "mesh_id") -> None:
-    """Replaces the partitions of the units in ``df`` only; writing a unit again changes nothing else."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(unit).parquet(path)
+    """Replaces the partitions of the units in ``df`` only; writing a unit again changes nothing else.
+
+    Rows of a unit meet in one task first, or in a few if they are many, so
+    that there is not a file for each unit and task.
+    """
+    df.hint("rebalance", unit).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(unit).parquet(path)
 
 
 # -- vector tiles -------------------------------------------------------------------------

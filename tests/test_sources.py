@@ -344,6 +344,16 @@ def test_tables_publish_together(spark, tmp_path):
     assert "| n |" in publish.markdown_report("t", {"x": spark.createDataFrame([(1,)], "n long")})
 
 
+def test_shards_have_a_file_for_each_unit(spark, tmp_path):
+    """Not one for each unit and task."""
+    s = f"{tmp_path}/s"
+    df = spark.range(600, numPartitions=6).selectExpr("id", "concat('m', id % 5) AS mesh_id")
+    for _ in range(2):
+        publish.write_shards(df, s)
+    assert spark.read.parquet(s).count() == 600
+    assert sum(f.endswith(".parquet") for *_, names in os.walk(s) for f in names) == 5
+
+
 def test_vector_tiles(spark, tmp_path):
     line = [{"lon": 139.70, "lat": 35.60}, {"lon": 139.80, "lat": 35.65}]
     df = spark.createDataFrame([(line, 0.5, "e")], "geometry array<struct<lon: double, lat: double>>, heat double, id string")
