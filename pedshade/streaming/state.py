@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -122,7 +122,7 @@ _HELD = "start string, destination string, picked long, picked_id long, scenario
 _REQUEST = "session_id long, start string, destination string, scenario string, asked long"
 
 
-def _changed(held: dict, row: dict) -> dict:
+def _changed(held: dict, row: dict | Row) -> dict:
     """What a session holds after a change; one that is older than what is held is stale and changes nothing."""
     at = (int(row["at"]), int(row["event_id"]))
     if row["scenario"] is None:
@@ -150,13 +150,12 @@ class ScenarioChanges(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", _HELD)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         names = [c.split()[0] for c in _HELD.split(", ")]
         before = dict(zip(names, self.held.get(), strict=True)) if self.held.exists() else dict.fromkeys(names)
         held = before
-        for pdf in rows:
-            for row in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
-                held = _changed(held, row)
+        for row in rows:
+            held = _changed(held, row)
         if held == before:
             return
         self.held.update(tuple(held[n] for n in names))
@@ -166,9 +165,9 @@ class ScenarioChanges(StatefulProcessor):
             self.handle.registerTimer(max(held["picked"] or 0, held["chosen"] or 0) // 1000 + self.idle_ms)
         asked = _request(held)
         if asked and asked != _request(before):
-            yield pd.DataFrame([(key[0], *asked)], columns=[c.split()[0] for c in _REQUEST.split(", ")])
+            yield Row(**dict(zip([c.split()[0] for c in _REQUEST.split(", ")], (key[0], *asked), strict=True)))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.held.clear()
         return iter(())
 
@@ -190,7 +189,7 @@ def stream_recalculations(changes: DataFrame, idle: str | None = None) -> DataFr
     rows = changes if idle is None else changes.withWatermark("ts", "0 seconds")
     ms = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
     rows = rows.withColumn("at", F.unix_micros("ts"))
-    return rows.groupBy("session_id").transformWithStateInPandas(ScenarioChanges(ms), _REQUEST, "Update", "None" if idle is None else "EventTime")
+    return rows.groupBy("session_id").transformWithState(ScenarioChanges(ms), _REQUEST, "Update", "None" if idle is None else "EventTime")
 
 
 def recalculations(changes: DataFrame) -> DataFrame:
