@@ -5,6 +5,7 @@ from collections import defaultdict
 from heapq import heappop, heappush
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -417,6 +418,29 @@ def test_components_and_bridges(spark):
         repair.spanning_bridges(pairs, 5).count()
 
 
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    rounds, star = [], components._small_star
+    monkeypatch.setattr(components, "_small_star", lambda e: rounds.append(1) or star(e))
+    chain = spark.range(0, 40_000, 1, 8).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).repartition(8, "v")
+    got = components.connected_components(chain).agg(F.count("node"), F.count_distinct("node"), F.max("component")).first()
+    assert tuple(got) == (40_001, 40_001, 0)
+    assert len(rounds) <= 3
+
+
+@pytest.mark.parametrize("held", [7, 64, 10**6])
+def test_contraction_in_pieces_links_the_same(monkeypatch, held):
+    monkeypatch.setattr(components, "CONTRACT_EDGES", held)
+    rnd = random.Random(held)
+    edges = [tuple(sorted(rnd.sample(range(200), 2))) for _ in range(150)]
+    stars = list(components._contract(iter(pd.DataFrame(edges[k : k + 20], columns=["u", "v"]) for k in range(0, 150, 20))))
+    assert len(stars) == 1 or held < 10**6
+
+    def labels(u, v):
+        return components.label_min(200, np.array(u), np.array(v)).tolist()
+
+    assert labels(*zip(*edges)) == labels(*(np.concatenate([s[c] for s in stars]) for c in "uv"))
+
+
 def test_repair_joins_two_grids(spark):
     nodes = [(k, 139.7 + (k % 5) * 0.0004 + (0.0024 if k >= 25 else 0), 35.6 + (k % 25 // 5) * 0.0004) for k in range(50)]
     edges = []
