@@ -548,6 +548,31 @@ def test_sampler_against_a_plain_loop(spark):
         evaluation.sample_pairs(n, e, per_stratum=500, attempts=60)
 
 
+def test_sampler_routes_an_attempt_once(spark, monkeypatch):
+    """Batches go on where the last one ended, over one graph, and their sizes don't show in the result."""
+    n, e, _ = sampler_graph(spark)
+    whole = sorted(evaluation.sample_pairs(n, e, per_stratum=3, attempts=4000).collect())
+    drawn, graphs, inner, find = [], [], evaluation._attempts, evaluation.route_finder
+    monkeypatch.setattr(evaluation, "_attempts", lambda ordered, k, start, stop, seed: drawn.append((start, stop)) or inner(ordered, k, start, stop, seed))
+    monkeypatch.setattr(evaluation, "route_finder", lambda *a: graphs.append(a) or find(*a))
+    monkeypatch.setattr(evaluation, "_next_stop", lambda done, filled, per_stratum, attempts: min(attempts, done + 100))
+    assert sorted(evaluation.sample_pairs(n, e, per_stratum=3, attempts=4000).collect()) == whole
+    assert len(graphs) == 1 and all(a[1] == b[0] for a, b in zip(drawn, drawn[1:]))
+    draws = [tuple(r) for r in evaluation.lcg_sequence(spark, 50, block=7, start=20).orderBy("n").select("n", "state").collect()]
+    assert draws == evaluation.lcg_states(20260821, 20, 50)
+
+
+def test_attempts_grow_with_the_network(spark, monkeypatch, tmp_path):
+    """A network that needs more attempts than the model's limit is sampled whole by the queries."""
+    from pedshade.plans import queries
+
+    spark.range(60_000).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    (tmp_path / "lineitem.parquet").symlink_to("/root/testdata/sf0.001/lineitem.parquet")
+    monkeypatch.setattr(evaluation, "sample_pairs", lambda nodes, edges, attempts=0: attempts)
+    assert queries._sample(spark, str(tmp_path)) == 600_000
+    assert queries._sample(spark, "/root/testdata/sf0.001") == evaluation.MAX_ATTEMPTS
+
+
 def test_evaluation_end_to_end(spark):
     n, e, _ = sampler_graph(spark)
     tables = evaluation.evaluate(n, e, per_stratum=2, attempts=4000)
