@@ -1,9 +1,11 @@
 """Plans and SQL of the registered queries."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from pedshade.operators import routing
+from pedshade.operators import overlay, routing, windows
 from pedshade.plans import fixtures, queries
+from pedshade.runtime import Scratch
 from pedshade.sources import publish
 
 SF = "/root/testdata/sf0.001"
@@ -20,6 +22,26 @@ def test_edges_never_pair_all_nodes(spark):
         assert "NestedLoopJoin BuildRight, Cross, (" not in plan
 
 
+def test_places_of_a_large_graph_are_not_broadcast(spark):
+    """Nodes in order pack into files below the planner's limit, so size alone does not keep them from the driver."""
+    scratch = Scratch(spark, "places")
+    k = F.col("id")
+    nodes = scratch.write(spark.range(40_000).select(k.alias("node_id"), ((k % 200) / 1000).alias("lon"), (F.floor(k / 200) / 1000).alias("lat")))
+    edges = scratch.write(spark.range(39_999).select(k.cast("string").alias("edge_id"), k.alias("source"), (k + 1).alias("target"), F.lit(1.0).alias("cost")))
+    plans, write = [], Scratch.write
+
+    def seen(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(Scratch, "write", seen)
+        graph = windows.Windows(edges, ["cost"], nodes)
+        overlay.Overlay(edges, ["cost"], nodes, places=graph.places.select("node", "b"))
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line and "[node" in line or "Join [source" in line or "Join [target" in line]
+    assert len(joins) >= 6 and not any("BroadcastHashJoin" in line for line in joins)
+
+
 def test_equal_intervals_are_one_island_in_sql():
     """Of equal intervals either may open the island; with 400 rows a key, equal ones change places between two sorts."""
     import duckdb
