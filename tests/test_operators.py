@@ -783,3 +783,24 @@ def test_short_trips_need_no_overlay(spark, monkeypatch):
     od = spark.createDataFrame([(1, 9, 27)], OD)
     row = routing.shortest_paths(od, spark.createDataFrame(grid(w, [1.0]), GRID), {"q": F.col("q")}, 0, nodes=nodes, block_nodes=16).first()
     assert row.total_cost == 4.0 and len(row.edge_ids) == 4
+
+
+def test_labels_of_a_large_window_stay_small():
+    """A search through a whole window keeps its labels in arrays; as tuples they took over 200 bytes a node."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pedshade.operators.windows import Window
+
+    n = 40_000
+    k = np.arange(n - 1)
+    edges = pa.table({"s": k, "t": k + 1, "tb": np.zeros(n - 1, np.int64), "tx": (k + 1) * 1.0, "ty": k * 0.0, "c0": np.ones(n - 1), "edge_id": pa.array(k.astype(str))})
+    trips = pa.table({"source": [0], "target": [n - 1], "sx": [0.0], "sy": [0.0], "tx": [n - 1.0], "ty": [0.0], "modes": [[0]], "tiles": [[0]]})
+    w = Window(trips, edges, [[0.0] * 8])
+    tracemalloc.start()
+    certain, cost, slots = w.search(0, 0, n - 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (certain, cost, len(slots)) == (True, n - 1.0, n - 1)
+    assert peak < 150 * n
