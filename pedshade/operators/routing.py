@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pedshade.operators.overlay import BLOCK_NODES, Overlay
+from pedshade.operators.trees import TILE_NODES, tiled_trees
 from pedshade.operators.windows import Windows
 from pedshade.runtime import Scratch, frame
 
@@ -302,11 +303,15 @@ def _search_trees(shared):
     return run
 
 
-def tree_costs(edges: DataFrame, sources: DataFrame, cost: str = "cost", max_edges: int = MAX_BROADCAST_EDGES, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+def tree_costs(
+    edges: DataFrame, sources: DataFrame, cost: str = "cost", max_edges: int = MAX_BROADCAST_EDGES, max_bytes: int = MAX_BROADCAST_BYTES,
+    nodes: DataFrame | None = None, block_nodes: int = TILE_NODES,
+) -> DataFrame:
     """``(source, node, cost)`` of all nodes reachable from each of ``sources``.
 
     A graph under the limits is broadcast and each tree searched by one task, a
-    tree at a time; beyond them :func:`relaxed_tree` does the same by rounds.
+    tree at a time.  Beyond them :func:`tiled_trees` takes all trees through
+    tiles around ``nodes``; without these :func:`relaxed_tree` relaxes by rounds.
     """
     priced = edges.select("edge_id", F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), F.col(cost).cast("double").alias("cost"))
     priced = Scratch(edges.sparkSession, "priced").write(priced)
@@ -314,7 +319,7 @@ def tree_costs(edges: DataFrame, sources: DataFrame, cost: str = "cost", max_edg
     if seen["bad"]:
         raise ValueError(f"costs of {cost} must be finite and not negative")
     if seen["n"] > max_edges or seen["size"] > max_bytes:
-        return relaxed_tree(priced, sources).select("source", "node", "cost")
+        return relaxed_tree(priced, sources).select("source", "node", "cost") if nodes is None else tiled_trees(priced, sources, nodes, block_nodes)
     sc = edges.sparkSession.sparkContext
     shared = sc.broadcast(Adjacency(priced.toPandas(), ["cost"]))
     starts = sources.select(F.col("source").cast("long").alias("source")).filter("source is not null").distinct()

@@ -636,8 +636,8 @@ r(src, n, cost) USING KEY (src, n) AS (SELECT source, source, 0e0 FROM start UNI
   WHERE p.cost IS NULL OR r.cost + e.cost < p.cost GROUP BY r.src, e.target)
 SELECT src AS source, count(*) AS n_reached, round(max(cost), 6) AS farthest, round(avg(cost), 6) AS mean FROM r GROUP BY src""")
 def reachable_tree(s, d):
-    """Trees of all od_pairs' sources: a task searches a tree over the broadcast graph, or rounds of joins where it is too large for that."""
-    tree = tree_costs(edges_of(s, d), load(s, d, "od_pairs"), "length")
+    """Trees of all od_pairs' sources: a task searches a tree over the broadcast graph, or costs go from tile to tile where it is too large for that."""
+    tree = tree_costs(edges_of(s, d), load(s, d, "od_pairs"), "length", nodes=nodes_of(s, d))
     return tree.groupBy("source").agg(F.count(F.lit(1)).alias("n_reached"), r6(F.max("cost")).alias("farthest"), r6(F.avg("cost")).alias("mean"))
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pedshade.operators import overlay, routing, windows
+from pedshade.operators import overlay, routing, trees, windows
 from pedshade.plans import fixtures, queries
 from pedshade.runtime import Scratch
 from pedshade.sources import publish
@@ -87,3 +87,21 @@ def test_tree_costs_by_both_strategies(spark):
     assert got[0] == got[1] and (99, 99, 0.0) in got[0] and len({s for s, *_ in got[0]}) == 3
     plans = [routing.tree_costs(edges, sources, "cost", cap)._jdf.queryExecution().executedPlan().toString() for cap in (10**6, 0)]
     assert "MapInPandas" in plans[0] and "MapInPandas" not in plans[1]
+
+
+def test_trees_from_tile_to_tile(spark, monkeypatch):
+    """Trees of a placed graph go through tiles in batches of sources: one-way streets, parallel edges, islands and unknown sources as in a search."""
+    monkeypatch.setattr(trees, "BATCH_SOURCES", 2)
+    at = lambda x, y: 12 * y + x
+    rows = [(at(x, y), at(x + dx, y + dy)) for x in range(12) for y in range(12) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)) if 0 <= x + dx < 12 and 0 <= y + dy < 12]
+    rows = [(s, t) for s, t in rows if not (s % 5 == 0 and t > s)] + [(at(3, 3), at(3, 4)), (200, 201)]
+    edges = spark.createDataFrame([(f"e{k}", s, t, float((7 * s + 11 * t + k) % 10)) for k, (s, t) in enumerate(rows)], "edge_id string, source long, target long, cost double")
+    nodes = spark.createDataFrame([(at(x, y), 139 + x / 1000, 35 + y / 1000) for x in range(12) for y in range(12)] + [(200, 140.0, 36.0)], "node_id long, lon double, lat double")
+    sources = spark.createDataFrame([(0,), (77,), (77,), (143,), (30,), (200,), (999,), (None,)], "source long")
+    relaxed = routing.relaxed_tree
+    monkeypatch.setattr(routing, "relaxed_tree", None)  # no rounds of joins
+    got = sorted((r.source, r.node, r.cost) for r in trees.tiled_trees(edges, sources, nodes, 8, 3).collect())
+    assert got == sorted((r.source, r.node, r.cost) for r in routing.tree_costs(edges, sources, nodes=nodes, max_edges=10**6).collect())
+    assert got == sorted((r.source, r.node, r.cost) for r in routing.tree_costs(edges, sources, nodes=nodes, max_edges=0, block_nodes=16).collect())
+    assert got == sorted((r.source, r.node, r.cost) for r in relaxed(edges, sources).collect())
+    assert (999, 999, 0.0) in got and (200, 201, float((7 * 200 + 11 * 201 + len(rows) - 1) % 10)) in got
